@@ -110,7 +110,10 @@ def exact_quantiles(
     seen = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     ordered = running_sums(seen, keys, [value], {"_upto": F.col("_c")}, hot_rows=hot_rows)
     totals = seen.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    located = ordered.join(totals, _same(ordered, totals, keys)).select(ordered["*"], totals["_n"])
+    if keys:
+        located = ordered.join(totals, _same(ordered, totals, keys)).select(ordered["*"], totals["_n"])
+    else:
+        located = ordered.withColumn("_n", totals.scalar())
 
     def at(index: Column) -> Column:
         inside = (F.col("_upto") > index) & (F.col("_upto") - F.col("_c") <= index)

@@ -1,6 +1,6 @@
 """Imports every query module, so that the registry is full."""
 
-from gridfare.plans import fare_queries  # noqa: F401
+from gridfare.plans import fare_queries, grid_queries  # noqa: F401
 from gridfare.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

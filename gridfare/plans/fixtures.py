@@ -160,3 +160,69 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
         "CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'click' THEN 'empty' WHEN 'view' THEN 'empty' "
         "WHEN 'error' THEN 'error' ELSE 'timeout' END AS status",
     )
+
+
+# ---- grids ----
+
+FOLD_SPLIT = [125, 250, 375]
+
+
+def planes(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as images holding one 8x8 plane, row-major."""
+    return table(spark, sf, "embeddings").selectExpr(
+        "vec_id",
+        "concat('img_', vec_id + 1, '.jpg') AS image",
+        "vec_id + 1 AS image_num",
+        "IF(vec_id % 5 = 0, 'Test', 'Train') AS split",
+        "label AS team",
+        "CAST(embedding AS ARRAY<DOUBLE>) AS v",
+        "8 AS height",
+        "8 AS width",
+    )
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    labels = "transform(v, (x, i) -> IF(x > 0.1D, CAST((team + i div 24) % 10 + 1 AS INT), 0))"
+    found = planes(spark, sf).withColumn("labels", F.expr(labels))
+    return found.withColumn("count", F.expr("CAST(least(20, size(filter(labels, l -> l > 0))) AS INT)"))
+
+
+def wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotations, one row per image; up to three teams each."""
+    cells_ = [f"labels[{i}] AS c{i + 1:02d}" for i in range(64)]
+    return _labelled(spark, sf).selectExpr("image", "split", "count", *cells_)
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same annotations as cells, with the plane value of each cell."""
+    rows = _labelled(spark, sf).select(
+        "image", "image_num", "split", "count", F.posexplode("labels").alias("cell_id", "label"), "v"
+    )
+    return rows.selectExpr(
+        "image",
+        "image_num",
+        "split",
+        "CAST(count AS BIGINT) AS count",
+        "CAST(cell_id AS BIGINT) AS cell_id",
+        "CAST(cell_id + 1 AS BIGINT) AS cell_num",
+        "CAST(cell_id div 8 AS BIGINT) AS cell_row",
+        "CAST(cell_id % 8 AS BIGINT) AS cell_col",
+        "CAST(label AS BIGINT) AS label",
+        "IF(label > 0, 1L, 0L) AS player_present",
+        "v[cell_id] AS v",
+        f"CAST(CASE WHEN image_num <= {FOLD_SPLIT[0]} THEN 1 WHEN image_num <= {FOLD_SPLIT[1]} THEN 2 "
+        f"WHEN image_num <= {FOLD_SPLIT[2]} THEN 3 ELSE 4 END AS BIGINT) AS fold_id",
+    )
+
+
+def annotation_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as labelling actions: a user id is an image, and five annotators work on them."""
+    return table(spark, sf, "events").selectExpr(
+        "event_id",
+        "ts",
+        "user_id AS image_id",
+        "concat('u', event_id % 5) AS user",
+        "CASE event_type WHEN 'signup' THEN 'lock' WHEN 'click' THEN 'heartbeat' WHEN 'view' THEN 'save' "
+        "WHEN 'purchase' THEN 'unlock' ELSE IF(event_id % 2 = 0, 'force_unlock', 'lock') END AS action",
+        "CAST(floor(value) AS BIGINT) % 21 AS count",
+    )
