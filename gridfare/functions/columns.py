@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -44,6 +45,11 @@ def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also when it is used inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def image_number(name: Column) -> Column:
     """The integer inside ``img_N.jpg``, null when the name has another shape."""
     digits = F.regexp_extract(name, r"^img_(\d+)\.jpg$", 1)

@@ -226,3 +226,40 @@ def annotation_events(spark: SparkSession, sf: str) -> DataFrame:
         "WHEN 'purchase' THEN 'unlock' ELSE IF(event_id % 2 = 0, 'force_unlock', 'lock') END AS action",
         "CAST(floor(value) AS BIGINT) % 21 AS count",
     )
+
+
+def gray_planes(spark: SparkSession, sf: str) -> DataFrame:
+    """Planes as grey levels 0-255."""
+    level = "transform(v, x -> CAST(floor(least(255D, greatest(0D, (x + 0.6D) / 1.2D * 255D))) AS DOUBLE))"
+    return planes(spark, sf).selectExpr("image", "team", "height", "width", f"{level} AS level")
+
+
+def colour_planes(spark: SparkSession, sf: str) -> DataFrame:
+    """Grey planes tinted into three channels."""
+    return gray_planes(spark, sf).selectExpr(
+        "image",
+        "team",
+        "height",
+        "width",
+        "transform(level, x -> CAST(x AS INT)) AS r",
+        "transform(level, x -> CAST(255 - x AS INT)) AS g",
+        "transform(level, x -> CAST(x * 7 % 256 AS INT)) AS b",
+    )
+
+
+def maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells with a probability, for assembling maps."""
+    return cells(spark, sf).withColumn("p", F.expr("least(1D, greatest(0D, v + 0.5D))"))
+
+
+def map_planes(spark: SparkSession, sf: str) -> DataFrame:
+    fold = f"CAST(CASE WHEN image_num <= {FOLD_SPLIT[0]} THEN 1 WHEN image_num <= {FOLD_SPLIT[1]} THEN 2 " \
+           f"WHEN image_num <= {FOLD_SPLIT[2]} THEN 3 ELSE 4 END AS BIGINT) AS fold_id"
+    return _labelled(spark, sf).selectExpr(
+        "image",
+        "CAST(count AS BIGINT) AS count",
+        fold,
+        "height",
+        "width",
+        "transform(v, x -> least(1D, greatest(0D, x + 0.5D))) AS map",
+    )
