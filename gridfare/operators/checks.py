@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,14 +101,3 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         count_if(F.col("n") > 1).alias("repeated_groups"),
     )
 
-
-def failed_checks(cells: DataFrame) -> DataFrame:
-    """Number of offending images per structural check."""
-    checks = {
-        "cells_per_image": check_cells_per_image(cells),
-        "single_fold": check_single_fold(cells),
-        "constant_count": check_constant_count(cells),
-        "count_grid_agreement": count_grid_agreement(cells),
-    }
-    counted = [d.agg(F.lit(n).alias("check"), F.count(F.lit(1)).alias("offending")) for n, d in checks.items()]
-    return reduce(DataFrame.unionByName, counted)

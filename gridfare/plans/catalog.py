@@ -1,6 +1,12 @@
 """Imports every query module, so that the registry is full."""
 
-from gridfare.plans import fare_queries, grid_queries, plane_queries  # noqa: F401
+from gridfare.plans import (  # noqa: F401
+    cleaning_queries,
+    fare_queries,
+    grid_queries,
+    plane_queries,
+    stream_queries,
+)
 from gridfare.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
