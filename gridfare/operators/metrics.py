@@ -134,17 +134,13 @@ def multiclass_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     Everything after the first count works on at most classes squared rows.
     """
     counts = df.groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    hit = F.when(F.col("a") == F.col("p"), F.col("n")).otherwise(0)
-    sides = counts.select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.col("a").alias("c"), hit.alias("tp"), F.col("n").alias("support"), F.lit(0).cast("long").alias("g")
-                ),
-                F.struct(F.col("p"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("n")),
-            )
-        )
-    )
+    none = F.lit(0).cast("long")
+    hit = F.when(F.col("a") == F.col("p"), F.col("n")).otherwise(none)
+
+    def side(c: str, *figures: Column) -> Column:
+        return F.struct(F.col(c).alias("c"), *[f.alias(n) for f, n in zip(figures, ("tp", "support", "g"))])
+
+    sides = counts.select(F.inline(F.array(side("a", hit, F.col("n"), none), side("p", none, none, F.col("n")))))
     per = sides.groupBy("c").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("g").alias("guessed"))
     tp, support, guessed = F.col("tp"), F.col("support"), F.col("guessed")
     classes = per.select(

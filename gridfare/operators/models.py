@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from gridfare.functions.ranking import HOT_ROWS, exact_quantiles
 from gridfare.operators import components as comp
 from gridfare.operators.metrics import binary_metrics, count_metrics, curve_areas, round_and_clip
+from gridfare.session import checkpointed
 
 FOLDS = (1, 2, 3, 4)
 PCA_SETTINGS: dict[str, float | None] = {"No PCA": None, "PCA 90%": 0.90, "PCA 95%": 0.95, "PCA 98%": 0.98}
@@ -133,15 +134,19 @@ def fit_presence(
     variance: float | None = None,
 ) -> tuple[PipelineModel, int | None]:
     """Preparation, optional PCA and a classifier, all from the training rows."""
-    prep = preparation(train, columns)
+    held = train.select(*columns, label).persist()
+    prep = preparation(held, columns)
     stages: list[Transformer] = [prep]
-    ready, kept = prep.transform(train), None
+    ready, kept = prep.transform(held), None
     features = "features"
     if variance is not None:
         reduce_, kept = pca_by_variance(ready, variance)
         stages.append(reduce_)
         ready, features = reduce_.transform(ready), "reduced"
-    model = estimator.copy({estimator.featuresCol: features}).fit(balanced_weights(ready, label))
+    weighted = balanced_weights(ready, label, train=held).select(features, label, "weight").persist()
+    model = estimator.copy({estimator.featuresCol: features}).fit(weighted)
+    weighted.unpersist()
+    held.unpersist()
     return PipelineModel(stages=[*stages, model]), kept
 
 
@@ -158,11 +163,17 @@ def oof_predict(
     label: str = "player_present",
     variance: float | None = None,
     folds: Sequence[int] = FOLDS,
+    materialise: bool = True,
 ) -> DataFrame:
-    """Every row scored by the model of the folds it is not in."""
+    """Every row scored by the model of the folds it is not in.
+
+    Training passes over its rows many times, so they are written once to the shared folder unless the caller has.
+    """
+    needed = list(dict.fromkeys([*columns, *keep, label, "fold_id"]))
+    data = checkpointed(cells.select(*needed)) if materialise else cells
     scored = []
     for fold in folds:
-        train, valid = image_folds(cells, fold)
+        train, valid = image_folds(data, fold)
         model, _ = fit_presence(train, estimator, columns, label=label, variance=variance)
         scored.append(positive_probability(model.transform(valid)).select(*keep, "p"))
     return reduce(DataFrame.unionByName, scored)
@@ -180,13 +191,14 @@ def experiment_grid(
 ) -> DataFrame:
     """Mean out-of-fold metrics per model and PCA setting, best F1 first. A failed experiment is a row with its error."""
     spark = cells.sparkSession
-    data = cells.select(*columns, label, "fold_id").persist()
+    data = checkpointed(cells.select(*columns, label, "fold_id"))
 
     def run(name: str, estimator: Estimator, setting: str, variance: float | None) -> dict:
         try:
             scored = oof_predict(
-                data, estimator, columns, keep=[label, "fold_id"], label=label, variance=variance, folds=folds
-            )
+                data, estimator, columns, keep=[label, "fold_id"], label=label, variance=variance, folds=folds,
+                materialise=False,
+            )
             # A fold is the key on which both sides agree; each side has one row per fold.
             point = binary_metrics(scored, label, "p", keys=["fold_id"])
             area = curve_areas(scored, label, "p", keys=["fold_id"])
@@ -199,7 +211,6 @@ def experiment_grid(
     jobs = [(n, e, s, v) for n, e in chosen.items() for s, v in settings.items()]
     with ThreadPoolExecutor(parallelism) as pool:
         rows = list(pool.map(lambda job: run(*job), jobs))
-    data.unpersist()
     shape = "model string, pca string, " + ", ".join(f"{m} double" for m in METRICS) + ", error string"
     table = spark.createDataFrame([tuple(r[c] for c in ("model", "pca", *METRICS, "error")) for r in rows], shape)
     return table.orderBy(F.desc_nulls_last("f1"), "model", "pca")
@@ -236,7 +247,7 @@ def oof_counts(
     key: str = "image",
 ) -> DataFrame:
     """Out-of-fold counts, rounded half to even and clipped to the highest training count of the fold."""
-    ready = count_vector(columns).transform(table).select(key, "count", "fold_id", "features").persist()
+    ready = checkpointed(count_vector(columns).transform(table).select(key, "count", "fold_id", "features"))
     parts = []
     for fold in folds:
         train, valid = image_folds(ready, fold)
@@ -259,7 +270,7 @@ def ablations(
     columns = comp.count_feature_columns()
     placed = [c for c in columns if any(k in c for k in ("row_", "col_", "half", "middle"))]
     shaped = [c for c in columns if "component" in c or "_occ" in c]
-    whole = comp.count_feature_table(planes, keys, values=values)
+    whole = checkpointed(comp.count_feature_table(planes, keys, values=values))
 
     def part(first: int, last: int) -> DataFrame:
         return comp.count_feature_table(comp.subset_map(planes, first, last, values=values), keys, values=values)
@@ -345,9 +356,8 @@ def team_classifier(
     train: DataFrame, columns: Sequence[str], *, label: str = "label", trees: int = 100
 ) -> PipelineModel:
     """Forest over the eleven labels with balanced weights."""
-    prep = preparation(train, columns)
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=10, seed=SEED
     )
-    return PipelineModel(stages=[prep, forest.fit(balanced_weights(prep.transform(train), label))])
+    return fit_presence(train, forest, columns, label=label)[0]
 

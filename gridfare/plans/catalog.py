@@ -4,6 +4,7 @@ from gridfare.plans import (  # noqa: F401
     cleaning_queries,
     fare_queries,
     grid_queries,
+    model_queries,
     plane_queries,
     stream_queries,
 )

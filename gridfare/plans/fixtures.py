@@ -263,3 +263,38 @@ def map_planes(spark: SparkSession, sf: str) -> DataFrame:
         "width",
         "transform(v, x -> least(1D, greatest(0D, x + 0.5D))) AS map",
     )
+
+
+# ---- models ----
+
+CELL_FEATURES = ["f_blur", "f_laplacian", "f_center_x", "f_center_y"]
+
+
+def cell_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells with plane features that hint at presence without giving it away; some are missing."""
+    from gridfare.operators import planes as pl
+
+    base = _labelled(spark, sf).selectExpr("image", "image_num", "count", "height", "width", "labels", "v")
+    maps_ = pl.laplacian(pl.gaussian_blur(base, values="v", into="blur"), values="v", into="lap")
+    zipped = F.posexplode(F.arrays_zip("labels", "blur", "lap")).alias("cell_id", "z")
+    rows = maps_.select("image", "image_num", "count", zipped)
+    fold = f"CAST(CASE WHEN image_num <= {FOLD_SPLIT[0]} THEN 1 WHEN image_num <= {FOLD_SPLIT[1]} THEN 2 " \
+           f"WHEN image_num <= {FOLD_SPLIT[2]} THEN 3 ELSE 4 END AS BIGINT) AS fold_id"
+    return rows.selectExpr(
+        "image",
+        "CAST(cell_id AS BIGINT) AS cell_id",
+        "CAST(count AS BIGINT) AS count",
+        fold,
+        "CAST(z.labels AS BIGINT) AS label",
+        "IF(z.labels > 0, 1L, 0L) AS player_present",
+        "IF(cell_id % 17 = 3, NULL, z.blur) AS f_blur",
+        "z.lap AS f_laplacian",
+        "(cell_id % 8 + 0.5D) / 8 AS f_center_x",
+        "(cell_id div 8 + 0.5D) / 8 AS f_center_y",
+    )
+
+
+def scored_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality labels as truth, and a score from the length of the document."""
+    scores = table(spark, sf, "documents").selectExpr("doc_id", "n_chars % 100 / 100D AS score")
+    return table(spark, sf, "labels").join(scores, "doc_id").select("doc_id", "quality", "toxic", "score")
