@@ -230,14 +230,15 @@ def _ranked(results: DataFrame, search: str, rank: str, hot_rows: int) -> DataFr
     )
 
 
-_IS_MEDIAN = (F.col("_pos") == F.floor(F.col("num_results") / 2) + 1) & (F.col("price") != F.col("_low"))
+def _is_median() -> Column:
+    return (F.col("_pos") == F.floor(F.col("num_results") / 2) + 1) & (F.col("price") != F.col("_low"))
 
 
 def pick_median(
     results: DataFrame, *, search: str = "search_id", rank: str = "rank", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """The middle of the stable price order (upper middle when even), unless it costs the same as the cheapest."""
-    return _ranked(results, search, rank, hot_rows).where(_IS_MEDIAN).select(*results.columns)
+    return _ranked(results, search, rank, hot_rows).where(_is_median()).select(*results.columns)
 
 
 def fare_categories(
@@ -257,7 +258,7 @@ def fare_categories(
         F.array(
             F.when(F.col(rank) == F.col("_first"), "Best"),
             F.when(F.col("_pos") == 1, "Cheapest"),
-            F.when(_IS_MEDIAN, "Median"),
+            F.when(_is_median(), "Median"),
         )
     )
     chosen = _ranked(results, search, rank, hot_rows).withColumn("flight_category", F.explode(names))

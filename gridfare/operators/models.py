@@ -219,11 +219,17 @@ def experiment_grid(
 # ---- counts ----
 
 
-def count_regressors(n: int, *, trees: int = 150, rounds: int = 100, alpha: float = 1.0) -> dict[str, Estimator]:
-    """Ridge, forest and boosting. Ridge penalises the raw sum of squares, so its strength is divided by the rows."""
+def count_regressors(
+    n: int, deviation: float, *, trees: int = 150, rounds: int = 100, alpha: float = 1.0
+) -> dict[str, Estimator]:
+    """Ridge, forest and boosting for ``n`` training rows whose counts have this population deviation.
+
+    Ridge penalises the raw sum of squares. Spark averages the loss and scales the label first, so the strength that
+    means the same is ``alpha * deviation / n``.
+    """
     common = {"featuresCol": "features", "labelCol": "count"}
     return {
-        "Ridge": LinearRegression(**common, regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False),
+        "Ridge": LinearRegression(**common, regParam=alpha * deviation / max(n, 1), elasticNetParam=0.0, standardization=False),
         "RandomForest": RandomForestRegressor(**common, numTrees=trees, maxDepth=10, seed=SEED),
         "GradBoost": GBTRegressor(**common, maxIter=rounds, maxDepth=3, stepSize=0.1, seed=SEED),
     }
@@ -240,7 +246,7 @@ def count_vector(columns: Sequence[str]) -> PipelineModel:
 
 def oof_counts(
     table: DataFrame,
-    make: Callable[[int], Estimator],
+    make: Callable[[int, float], Estimator],
     columns: Sequence[str],
     *,
     folds: Sequence[int] = FOLDS,
@@ -251,8 +257,8 @@ def oof_counts(
     parts = []
     for fold in folds:
         train, valid = image_folds(ready, fold)
-        n, highest = train.agg(F.count(F.lit(1)), F.max("count")).first()
-        scored = make(n).fit(train).transform(valid)
+        n, deviation, highest = train.agg(F.count(F.lit(1)), F.stddev_pop("count"), F.max("count")).first()
+        scored = make(n, float(deviation or 0.0)).fit(train).transform(valid)
         clipped = round_and_clip(scored, "prediction", highest=int(highest or 0), into="predicted")
         parts.append(clipped.select(key, "count", "fold_id", "predicted"))
     return reduce(DataFrame.unionByName, parts)
@@ -260,7 +266,7 @@ def oof_counts(
 
 def ablations(
     planes: DataFrame,
-    make: Callable[[int], Estimator],
+    make: Callable[[int, float], Estimator],
     *,
     values: str = "map",
     keys: Sequence[str] = ("image", "count", "fold_id"),

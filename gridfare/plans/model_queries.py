@@ -259,8 +259,8 @@ def _table(spark, sf):
 @query("count_regressors")
 def _regressors(spark, sf):
     table, parts = _table(spark, sf), []
-    for name in models.count_regressors(1):
-        make = lambda n, name=name: models.count_regressors(n, **SMALL)[name]
+    for name in models.count_regressors(1, 1.0):
+        make = lambda n, s, name=name: models.count_regressors(n, s, **SMALL)[name]
         scored = models.oof_counts(table, make, comp.count_feature_columns())
         parts.append(metrics.count_metrics(scored, "count", "predicted").withColumn("model", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
@@ -268,13 +268,14 @@ def _regressors(spark, sf):
 
 @query("ablations")
 def _ablations(spark, sf):
-    return models.ablations(fx.map_planes(spark, sf), lambda n: models.count_regressors(n)["Ridge"])
+    return models.ablations(fx.map_planes(spark, sf), lambda n, s: models.count_regressors(n, s)["Ridge"])
 
 
 def _final(spark, sf):
     classifier = models.presence_classifiers(**SMALL)["RandomForest"]
     table = _table(spark, sf)
-    ridge = models.count_regressors(2000)["Ridge"]
+    n, deviation = table.agg(F.count(F.lit(1)), F.stddev_pop("count")).first()
+    ridge = models.count_regressors(n, deviation)["Ridge"]
     return models.fit_final(_presence(spark, sf), fx.CELL_FEATURES, classifier, table, ridge)
 
 
