@@ -101,13 +101,16 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     *,
+    weight: str | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    Values are counted first, so what is ordered is distinct values, and no group is held in memory.
+    Values are counted first, so what is ordered is distinct values, and no group is held in memory. ``weight`` names
+    a column of counts when that has been done already.
     """
-    seen = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    seen = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(rows.alias("_c"))
     ordered = running_sums(seen, keys, [value], {"_upto": F.col("_c")}, hot_rows=hot_rows)
     totals = seen.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:

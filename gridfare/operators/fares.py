@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfare.functions.columns import col, flag, half_even, total
+from gridfare.functions.columns import col, flag, half_even
 from gridfare.functions.ranking import HOT_ROWS, positions_with_stats
 from gridfare.schemas import (
     CABIN,
@@ -21,41 +21,45 @@ from gridfare.schemas import (
 # ---- result pages ----
 
 
-def _page_entries(pages: DataFrame, body: str) -> DataFrame:
-    parsed = F.from_json(F.col(body), "not_found boolean, entries array<string>")
-    entries = F.when(F.coalesce(parsed["not_found"], F.lit(False)), None).otherwise(parsed["entries"])
-    return pages.withColumn("_entries", entries)
+def _read_entries(body: str) -> Column:
+    """Readable entries of a page as (entry_pos, e); every text is parsed once.
 
+    An entry needs its legs, its carbon figures and a price, which may be null: that is an unpriced result.
+    """
 
-def _entry(raw: Column) -> Column:
-    """The parsed entry, null when a required field is absent or has the wrong shape.
+    def parse(raw: Column, pos: Column) -> Column:
+        return F.struct(
+            pos.alias("entry_pos"), F.from_json(raw, ENTRY_SCHEMA).alias("e"), F.json_object_keys(raw).alias("names")
+        )
 
-    A price that is present but null is allowed: it is an unpriced result.
-    """
-    parsed = F.from_json(raw, ENTRY_SCHEMA)
-    names = F.json_object_keys(raw)
-    complete = total([F.when(F.array_contains(names, f), 1).otherwise(0) for f in ("price", "legs", "carbon")]) == 3
-    return F.when(complete & parsed["legs"].isNotNull() & parsed["carbon"].isNotNull(), parsed)
+    def readable(item: Column) -> Column:
+        whole = item["e"]["legs"].isNotNull() & item["e"]["carbon"].isNotNull()
+        return whole & F.array_contains(item["names"], "price")
+
+    return F.filter(F.transform(body, parse), readable)
+
+
+def _page_entries(pages: DataFrame, body: str) -> DataFrame:
+    parsed = F.from_json(F.col(body), "not_found boolean, entries array<string>")
+    entries = F.when(F.coalesce(parsed["not_found"], F.lit(False)), None).otherwise(parsed["entries"])
+    kept = [c for c in pages.columns if c != body]
+    return pages.select(*kept, F.coalesce(entries, F.array().cast("array<string>")).alias("_entries"))
 
 
 def explode_pages(pages: DataFrame, *, body: str = "body") -> DataFrame:
     """One row per readable itinerary; a bad entry is skipped and the rest of its page kept."""
-    rows = _page_entries(pages, body).select(
-        *[c for c in pages.columns if c != body], F.posexplode("_entries").alias("entry_pos", "_raw")
-    )
-    kept = rows.withColumn("_e", _entry(F.col("_raw"))).where("_e is not null")
-    return kept.select(*[c for c in kept.columns if c not in ("_raw", "_e")], "_e.*")
+    listed = _page_entries(pages, body)
+    kept = [c for c in listed.columns if c != "_entries"]
+    rows = listed.select(*kept, F.inline(_read_entries("_entries")))
+    return rows.select(*kept, "entry_pos", "e.*")
 
 
 def page_counts(pages: DataFrame, *, body: str = "body") -> DataFrame:
     """Entries kept and skipped on each page; a not-found page and a null list count as empty."""
-    whole = F.coalesce(F.col("_entries"), F.array().cast("array<string>"))
-    good = F.size(F.filter(whole, lambda raw: _entry(raw).isNotNull()))
-    return _page_entries(pages, body).select(
-        *[c for c in pages.columns if c != body],
-        good.cast("long").alias("kept"),
-        (F.size(whole) - good).cast("long").alias("skipped"),
-    )
+    listed = _page_entries(pages, body)
+    kept = [c for c in listed.columns if c != "_entries"]
+    counted = listed.select(*kept, F.size("_entries").alias("_n"), F.size(_read_entries("_entries")).alias("_k"))
+    return counted.select(*kept, F.col("_k").cast("long").alias("kept"), (F.col("_n") - F.col("_k")).cast("long").alias("skipped"))
 
 
 # ---- fields of one itinerary ----

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,8 @@ def reject_reason(fares: DataFrame, *, min_price: float = MIN_PRICE, max_price:
         (priced & ~((price >= min_price) & (price <= max_price)), "price_out_of_band"),
         ((category == "NoFlights") & (price_text != ""), "price_on_no_flights"),
     ]
-    return F.coalesce(*[F.when(broken, name) for broken, name in rules])
+    # One chain, not a coalesce of conditions: a filter on the result then stays a single walk through the rules.
+    return reduce(lambda chain, rule: chain.when(*rule), rules[1:], F.when(*rules[0]))
 
 
 def validate_fares(fares: DataFrame, *, min_price: float = MIN_PRICE, max_price: float = MAX_PRICE) -> DataFrame:
@@ -82,8 +84,9 @@ def rejected_rows(validated: DataFrame) -> DataFrame:
 
 
 def reject_summary(validated: DataFrame) -> DataFrame:
-    """Dropped rows by reason."""
-    return rejected_rows(validated).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rows_dropped"))
+    """Dropped rows by reason; good rows form the null group, whose count of reasons is 0."""
+    counts = validated.groupBy("reject_reason").agg(F.count("reject_reason").alias("rows_dropped"))
+    return counts.where("rows_dropped > 0")
 
 
 def run_summary(tasks: DataFrame, validated: DataFrame, *, run: str = "run_id", search: str = "search_id") -> DataFrame:
@@ -213,15 +216,17 @@ def integrity_counts(fares: DataFrame) -> DataFrame:
 def lead_time_bands(fares: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fare statistics by horizon, departure weekday, booking weekday and category."""
     keys = ["Days_to_Departure", "Day_of_Week", "Booking_Day_Of_Week", "Flight_Category"]
-    priced = fares.where("Price_INR is not null")
-    basics = priced.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("Price_INR").alias("mean_price"),
-        F.min("Price_INR").alias("min_price"),
-        F.max("Price_INR").alias("max_price"),
+    # Counted per price once; the basic figures and the quantiles both read the counts.
+    counts = fares.where("Price_INR is not null").groupBy(*keys, "Price_INR").agg(F.count(F.lit(1)).alias("_rows"))
+    price, rows = F.col("Price_INR"), F.col("_rows")
+    basics = counts.groupBy(*keys).agg(
+        F.sum(rows).alias("n"),
+        (F.sum(price * rows) / F.sum(rows)).alias("mean_price"),
+        F.min(price).alias("min_price"),
+        F.max(price).alias("max_price"),
     )
     middles = exact_quantiles(
-        priced, keys, "Price_INR", {"q25": 0.25, "median_price": 0.5, "q75": 0.75}, hot_rows=hot_rows
+        counts, keys, "Price_INR", {"q25": 0.25, "median_price": 0.5, "q75": 0.75}, weight="_rows", hot_rows=hot_rows
     )
     return basics.join(middles, keys)
 

@@ -9,8 +9,15 @@ from gridfare.operators.fares import normalise_itineraries
 from gridfare.schemas import FARE_COLUMNS
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, *, spread: bool = False) -> DataFrame:
+    """One driver table. ``spread`` shares the rows of a single file among all cores before costly expressions.
+
+    A table of many files is already shared and is left as it is.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if spread and len(df.inputFiles()) == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 # ---- fares ----
@@ -42,7 +49,7 @@ def tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as the results of those searches, in page order by ``rank``."""
-    return table(spark, sf, "lineitem").selectExpr(
+    return table(spark, sf, "lineitem", spread=True).selectExpr(
         "l_orderkey AS search_id",
         "struct(l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank",
         "l_partkey AS part",
@@ -77,7 +84,7 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
         f" 'plane_type', concat('A', CAST(l_partkey % 5 + 318 AS STRING)))"
     )
     legs = f"transform(slice(array(1, 2, 3), 1, l_linenumber % 4), i -> {leg})"
-    return table(spark, sf, "lineitem").selectExpr(
+    return table(spark, sf, "lineitem", spread=True).selectExpr(
         "l_orderkey AS search_id",
         "struct(l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank",
         "l_partkey AS part",
@@ -96,7 +103,7 @@ def itineraries(spark: SparkSession, sf: str) -> DataFrame:
 
 def fares(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as finished fare rows with planted faults; the columns not listed here are null."""
-    row = table(spark, sf, "lineitem").selectExpr(
+    row = table(spark, sf, "lineitem", spread=True).selectExpr(
         "CAST(IF(l_partkey % 11 = 0, 3, 4) AS BIGINT) AS Schema_Version",
         "date_format(l_shipdate + make_dt_interval(0, 0, 0, l_orderkey * 37 % 86400), 'yyyy-MM-dd HH:mm:ss') "
         "AS Scrape_Timestamp",
@@ -128,7 +135,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     unpriced = f"'{{\"price\":null,\"type\":\"x\",\"airlines\":[],\"legs\":[],{carbon}}}'"
     bad = f"IF(k % 2 = 0, '{{\"legs\":[],{carbon}}}', '{{\"price\":7}}')"
     return (
-        table(spark, sf, "events")
+        table(spark, sf, "events", spread=True)
         .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
         .selectExpr(
             "event_id AS page_id",
@@ -169,7 +176,7 @@ FOLD_SPLIT = [125, 250, 375]
 
 def planes(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as images holding one 8x8 plane, row-major."""
-    return table(spark, sf, "embeddings").selectExpr(
+    return table(spark, sf, "embeddings", spread=True).selectExpr(
         "vec_id",
         "concat('img_', vec_id + 1, '.jpg') AS image",
         "vec_id + 1 AS image_num",
