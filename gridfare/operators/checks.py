@@ -93,8 +93,9 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """How many rows repeat an earlier one in full."""
-    groups = df.groupBy(*(columns or df.columns)).agg(F.count(F.lit(1)).alias("n"))
+    """How many rows repeat an earlier one in full. Rows are compared by digest, so long texts are not shuffled."""
+    digest = F.sha2(F.to_json(F.struct(*(columns or df.columns))), 256)
+    groups = df.groupBy(digest.alias("digest")).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
         F.sum("n").alias("n_rows"),
         F.sum(F.col("n") - 1).alias("duplicates"),

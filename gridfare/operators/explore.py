@@ -71,13 +71,9 @@ def occupancy_by_axis(cells: DataFrame) -> DataFrame:
 def class_balance(df: DataFrame, column: str) -> DataFrame:
     """Counts and shares of each value, and the smallest count over the largest."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    # One row per class: the window runs over classes, not over data.
-    every = Window.partitionBy(F.lit(0))
-    return counts.select(
-        "value",
-        "n",
-        (F.col("n") / F.sum("n").over(every)).alias("share"),
-        (F.min("n").over(every) / F.max("n").over(every)).alias("minority_ratio"),
+    ends = counts.agg(F.struct(F.sum("n").alias("t"), F.min("n").alias("lo"), F.max("n").alias("hi"))).scalar()
+    return counts.withColumn("_e", ends).select(
+        "value", "n", (F.col("n") / F.col("_e.t")).alias("share"), (F.col("_e.lo") / F.col("_e.hi")).alias("minority_ratio")
     )
 
 

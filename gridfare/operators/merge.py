@@ -37,7 +37,7 @@ def merge_features(
     for other in (texture, edge):
         fresh = [c for c in other.columns if c in key or c not in merged.columns]
         merged = merged.join(other.select(*fresh), list(key), "left")
-    counts = annotations.select("image", "count").distinct()
+    counts = annotations.groupBy("image").agg(F.min("count").alias("count"))
     merged = merged.join(counts, "image", "left")
     return drop_image_number(assign_fold(image_number(merged)), keep=keep_image_number)
 

@@ -235,14 +235,18 @@ def glcm_features(cells: DataFrame, keys: Sequence[str], *, values: str = "level
     step = 256 // levels
     rows = _with_neighbours(cells, keys, values, ANGLES)
     here = F.floor(F.col("c") / step)
-    pairs = F.array(
-        *[
-            F.struct(F.lit(a).alias("angle"), here.alias("i"), F.floor(F.col(f"n{a}") / step).alias("j"))
-            for a in range(len(ANGLES))
-        ]
+    # Angle and both levels travel as one number; a pair that leaves the cell has none.
+    codes = [
+        (a * levels * levels + here * levels + F.floor(F.col(f"n{a}") / step)).cast("int") for a in range(len(ANGLES))
+    ]
+    one_way = rows.select(*keys, F.explode(F.array(*codes)).alias("code")).where("code is not null")
+    counts = one_way.groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("n")).select(
+        *keys,
+        F.floor(F.col("code") / (levels * levels)).alias("angle"),
+        (F.floor(F.col("code") / levels) % levels).alias("i"),
+        (F.col("code") % levels).cast("long").alias("j"),
+        "n",
     )
-    one_way = rows.select(*keys, F.inline(pairs)).where("j is not null")
-    counts = one_way.groupBy(*keys, "angle", "i", "j").agg(F.count(F.lit(1)).alias("n"))
     both = counts.unionByName(counts.select(*keys, "angle", F.col("j").alias("i"), F.col("i").alias("j"), "n"))
     n, gap = F.col("n"), F.col("i") - F.col("j")
     cells_ = both.groupBy(*keys, "angle", "i", "j").agg(F.sum("n").alias("n"))

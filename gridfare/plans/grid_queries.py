@@ -250,6 +250,19 @@ def _audit(spark, sf):
 
 # ---- checks ----
 
+@query(
+    "check_required_columns",
+    """SELECT unnest(['f_center_x', 'f_center_y']) AS missing, (SELECT count(*) * 64 FROM embeddings) AS n_rows""",
+)
+def _required(spark, sf):
+    cells = fx.cells(spark, sf)
+    lacking = checks.check_required_columns(cells)
+    return cells.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(F.array(*map(F.lit, lacking))).alias("missing"), "n_rows")
+
+
+query("drop_image_number", f"WITH {CELLS} SELECT image, cell_num FROM cells")(
+    lambda spark, sf: merge.drop_image_number(_cells(spark, sf, "image", "cell_num", "image_num"))
+)
 query("check_binary_domain", "SELECT n_chars, count(*) AS n FROM documents WHERE n_chars NOT IN (0, 1) GROUP BY 1")(
     lambda spark, sf: checks.check_binary_domain(fx.table(spark, sf, "documents"), "n_chars")
 )

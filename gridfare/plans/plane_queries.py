@@ -119,11 +119,9 @@ _CODES = ["r // 8", "32 + g // 8", "64 + b // 8"] + [
     f"{32 * i} + least(floor({c} * 32), 31)::INT" for i, c in ((3, "h"), (4, "s"), (5, "v"))
 ]
 _HIST = ", ".join(f"count(*) FILTER (code = {k}) AS f{k:03d}" for k in range(192))
-query(
-    "colour_histogram",
-    f"""WITH {RGB}, codes AS (SELECT image, cell_row, cell_col, unnest([{', '.join(_CODES)}]) AS code FROM pixels)
-    SELECT image, cell_row, cell_col, {_HIST} FROM codes GROUP BY ALL""",
-)(lambda spark, sf: pl.colour_histogram(_pixels(spark, sf), KEYS))
+_HISTOGRAM_SQL = f"""WITH {RGB}, codes AS (SELECT image, cell_row, cell_col, unnest([{', '.join(_CODES)}]) AS code FROM pixels)
+    SELECT image, cell_row, cell_col, {_HIST} FROM codes GROUP BY ALL"""
+query("colour_histogram", _HISTOGRAM_SQL)(lambda spark, sf: pl.colour_histogram(_pixels(spark, sf), KEYS))
 
 
 def _moment_sql(c):
@@ -132,15 +130,13 @@ def _moment_sql(c):
 
 
 _MOMENTS = [f"{c}_{m}" for c in "hsv" for m in ("mean", "std", "skew")]
-query(
-    "colour_moments",
-    f"""WITH {RGB}, m AS (SELECT *, {', '.join(_moment_sql(c) for c in 'hsv')} FROM pixels
+_MOMENTS_SQL = f"""WITH {RGB}, m AS (SELECT *, {', '.join(_moment_sql(c) for c in 'hsv')} FROM pixels
       WINDOW w AS (PARTITION BY image, cell_row, cell_col))
     SELECT image, cell_row, cell_col, {', '.join(
         f"{sql_r6(f'avg({c})')} AS {c}_mean, {sql_r6(f'stddev_pop({c})')} AS {c}_std, "
         f"CASE WHEN stddev_pop({c}) = 0 THEN 0 ELSE {sql_r6(f'avg({c}3) / avg({c}2) ** 1.5')} END AS {c}_skew"
-        for c in 'hsv')} FROM m GROUP BY 1, 2, 3""",
-)(
+        for c in 'hsv')} FROM m GROUP BY 1, 2, 3"""
+query("colour_moments", _MOMENTS_SQL)(
     lambda spark, sf: pl.colour_moments(_pixels(spark, sf), KEYS).select(*KEYS, *[r6(c).alias(c) for c in _MOMENTS])
 )
 query(
@@ -183,16 +179,14 @@ _BITS = ", ".join(
 )
 _CHANGES = " + ".join(f"abs(b{i} - b{(i + 1) % 8})" for i in range(8))
 _ONES = " + ".join(f"b{i}" for i in range(8))
-query(
-    "lbp_histogram",
-    f"""WITH {_INCELL}, bits AS (SELECT c.image, c.cell_row, c.cell_col, c.y, c.x, {_BITS} FROM cpx c JOIN cpx n
+_LBP_SQL = f"""WITH {_INCELL}, bits AS (SELECT c.image, c.cell_row, c.cell_col, c.y, c.x, {_BITS} FROM cpx c JOIN cpx n
       ON c.image = n.image AND c.cell_row = n.cell_row AND c.cell_col = n.cell_col
       GROUP BY c.image, c.cell_row, c.cell_col, c.y, c.x, c.level),
     codes AS (SELECT *, CASE WHEN {_CHANGES} <= 2 THEN {_ONES} ELSE 9 END AS code FROM bits)
     SELECT image, cell_row, cell_col, {', '.join(
         f"{sql_r6(f'count(*) FILTER (code = {k}) / (count(*) + 1e-6)')} AS tex_{k:02d}" for k in range(10))}
-    FROM codes GROUP BY 1, 2, 3""",
-)(
+    FROM codes GROUP BY 1, 2, 3"""
+query("lbp_histogram", _LBP_SQL)(
     lambda spark, sf: pl.lbp_histogram(_cell_planes(spark, sf), KEYS).select(
         *KEYS, *[r6(f"tex_{k:02d}").alias(f"tex_{k:02d}") for k in range(10)]
     )
@@ -370,20 +364,42 @@ query(
 )
 
 
-@query("feature_export")
+def _unpivoted(sql: str, first: int, shift: int) -> str:
+    """Numbered columns of a finished oracle as (cell, pos, value) rows; ``first`` is the column number to start at."""
+    return f"""SELECT image, cell_row, cell_col, row_number() OVER (PARTITION BY image, cell_row, cell_col ORDER BY name)
+      - 1 + {shift} AS pos, value::DOUBLE AS value FROM (UNPIVOT (FROM ({sql}))
+      ON COLUMNS(* EXCLUDE (image, cell_row, cell_col)) INTO NAME name VALUE value) WHERE {first}"""
+
+
+_NAMED_MOMENTS = f"""SELECT image, cell_row, cell_col, {', '.join(f'{m} AS m{i}' for i, m in enumerate(_MOMENTS))}
+  FROM ({_MOMENTS_SQL})"""
+_CELL_HOG = f"""WITH {_CENTRAL}, squares AS (SELECT image, cell_row, cell_col, y % 4 // 2 AS sy, x % 4 // 2 AS sx, b AS bin,
+    sum(CASE WHEN bin = b THEN m ELSE 0 END) / 4 AS s FROM turned, range(9) r(b) GROUP BY 1, 2, 3, 4, 5, 6),
+  {_normed('squares', 'image, cell_row, cell_col', 's')}
+  SELECT image, cell_row, cell_col, 105 + (sy * 2 + sx) * 9 + bin AS pos, {sql_r6('q')} AS value FROM squares_3"""
+
+
+@query(
+    "feature_export",
+    f"""{_unpivoted(_HISTOGRAM_SQL, "name >= 'f096'", 0)}
+    UNION ALL {_unpivoted(_NAMED_MOMENTS, 'true', 96)}
+    UNION ALL ({_CELL_HOG})
+    UNION ALL {_unpivoted(_LBP_SQL, 'true', 141)}""",
+)
 def _export(spark, sf):
-    """Grid cells of 4x4 pixels with their whole vector; dense squares of 2x2 pixels."""
+    """Grid cells of 4x4 pixels with their whole vector, one row per value; dense squares of 2x2 pixels."""
     tinted = fx.colour_planes(spark, sf).drop("team")
     pixels = pl.assign_cell(pl.explode_pixels(tinted, ["r", "g", "b"]), **CELL)
     crops = _cell_planes(spark, sf)
-    meta = crops.select(*KEYS)
-    return pl.feature_export(
-        meta,
+    table = pl.feature_export(
+        crops.select(*KEYS),
         pl.colour_histogram(pixels, KEYS),
         pl.colour_moments(pixels, KEYS),
         pl.hog_dense(crops, KEYS, size=2),
         pl.lbp_histogram(crops, KEYS),
     )
+    rows = table.select(*KEYS, F.posexplode("features").alias("pos", "value"))
+    return rows.select(*KEYS, F.col("pos").cast("long").alias("pos"), r6("value").alias("value"))
 
 
 # ---- components ----
