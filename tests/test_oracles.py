@@ -20,7 +20,7 @@ def duck(sf):
 
 
 def _cell(value):
-    if value is None or (isinstance(value, float) and pd.isna(value)) or value is pd.NaT:
+    if value is None or value is pd.NA or value is pd.NaT or (isinstance(value, float) and pd.isna(value)):
         return "~"
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         return repr(float(value))
