@@ -241,22 +241,30 @@ def hotspot(cells: DataFrame) -> DataFrame:
     return best.select("axis", F.col("b.at").alias("at"), F.col("b.presence").alias("presence"))
 
 
-def annotation_progress(events: DataFrame) -> DataFrame:
-    """Images done per annotator (the last to save counts) and, as ``ALL``, done out of total."""
+def image_activity(events: DataFrame) -> DataFrame:
+    """Per image: who saved last, and whether anyone did."""
     save = F.col("action") == "save"
-    images = events.groupBy("image_id").agg(
-        F.max_by("user", F.when(save, F.struct("ts", "event_id"))).alias("_u"), F.max(F.when(save, 1)).alias("_done")
+    return events.groupBy("image_id").agg(
+        F.max_by("user", F.when(save, F.struct("ts", "event_id"))).alias("annotator"), F.max(F.when(save, 1)).alias("done")
     )
-    rolled = images.withColumn("annotator", F.when(F.col("_done") == 1, F.col("_u"))).rollup("annotator").agg(
-        F.count("_done").alias("done"), F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")
+
+
+def progress_totals(images: DataFrame) -> DataFrame:
+    """Images done per annotator (the last to save counts) and, as ``ALL``, done out of total."""
+    rolled = images.withColumn("annotator", F.when(F.col("done") == 1, F.col("annotator"))).rollup("annotator").agg(
+        F.count("done").alias("n_done"), F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")
     )
     return rolled.where("gid = 1 OR annotator IS NOT NULL").select(
         F.when(F.col("gid") == 1, "ALL").otherwise(F.col("annotator")).alias("annotator"),
-        "done",
+        F.col("n_done").alias("done"),
         F.when(F.col("gid") == 1, F.col("n")).alias("total"),
     )
 
 
+def annotation_progress(events: DataFrame) -> DataFrame:
+    return progress_totals(image_activity(events))
+
+
 def count_extremes(images: DataFrame, *, key: str = "image", count: str = "count", n: int = 5) -> DataFrame:
     """The image with the lowest, the middle and the highest count, and the ``n`` highest."""
     placed = positions(images.select(key, count), [], [count, key])

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from gridfare.functions import kernels
 from gridfare.functions.columns import bound, col, count_if, ratio, total
 from gridfare.functions.ranking import HOT_ROWS, exact_quantiles
-from gridfare.schemas import CELL_HEIGHT, CELL_WIDTH, GRID
+from gridfare.schemas import CELL_HEIGHT, CELL_WIDTH
 
 BINS = 32
 LEVELS = 32

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridfare.functions.columns import any_of, col, count_if, ratio
+from gridfare.functions.columns import any_of, count_if, ratio
 from gridfare.functions.ranking import HOT_ROWS, exact_quantiles
 from gridfare.schemas import (
     DATA_SOURCES,

@@ -9,7 +9,7 @@ from gridfare.operators import fares as fare
 from gridfare.operators import quality, routes
 from gridfare.plans import fixtures as fx
 from gridfare.plans.registry import query, sql_r6
-from gridfare.schemas import BATCHES, FARE_COLUMNS, FARE_COLUMNS_V3
+from gridfare.schemas import FARE_COLUMNS_V3
 from gridfare.session import scratch_path
 from gridfare.sources.fares import append_fares_monthly, read_fares, read_fares_all_months
 from gridfare.sources.logs import read_run_logs

@@ -132,8 +132,8 @@ def _lock_leases(spark, sf):
     UNION ALL SELECT 'ALL', count(u), count(*) FROM i""",
 )
 def _progress(spark, sf):
-    events = fx.annotation_events(spark, sf)
-    return _complete(spark, sf, events, "progress", jobs.image_activity, jobs.live_progress)
+    events = _stream(spark, fx.annotation_events(spark, sf), "progress")
+    return _finish(spark, lambda path, state: jobs.live_progress(events, path, state), "progress")
 
 
 def _attempts(spark, sf):

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from gridfare.functions.columns import count_if, image_number, ratio
+from gridfare.operators.explore import image_activity, progress_totals
 from gridfare.operators.fares import explode_pages, fare_rows, normalise_itineraries
 from gridfare.operators.quality import valid_rows, validate_fares
 from gridfare.schemas import NO_PLAYER_RANGE, STALE_HOURS
@@ -138,24 +139,9 @@ def current_annotations(events: DataFrame) -> DataFrame:
     return saves.groupBy("image_id").agg(latest).select("image_id", "s.*")
 
 
-def image_activity(events: DataFrame) -> DataFrame:
-    """Per image: who saved last, and whether anyone did."""
-    save = F.col("action") == "save"
-    return events.groupBy("image_id").agg(
-        F.max_by("user", F.when(save, F.struct("ts", "event_id"))).alias("annotator"), F.max(F.when(save, 1)).alias("done")
-    )
-
-
-def live_progress(images: DataFrame) -> DataFrame:
-    """Done and total images, and done per annotator, from :func:`image_activity`."""
-    rolled = images.withColumn("annotator", F.when(F.col("done") == 1, F.col("annotator"))).rollup("annotator").agg(
-        F.count("done").alias("n_done"), F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")
-    )
-    return rolled.where("gid = 1 OR annotator IS NOT NULL").select(
-        F.when(F.col("gid") == 1, "ALL").otherwise(F.col("annotator")).alias("annotator"),
-        F.col("n_done").alias("done"),
-        F.when(F.col("gid") == 1, F.col("n")).alias("total"),
-    )
+def live_progress(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Done and total images, and done per annotator, rewritten after every batch."""
+    return run_complete(image_activity(events), path, checkpoint, summarise=progress_totals)
 
 
 def no_player_default(images: DataFrame, *, image: str = "image", count: str = "count") -> DataFrame:
