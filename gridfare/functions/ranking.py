@@ -106,11 +106,15 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    Values are counted first, so what is ordered is distinct values, and no group is held in memory. ``weight`` names
-    a column of counts when that has been done already.
+    Values are counted first, so what is ordered is distinct values, and no group is held in memory. The counts are
+    written to the shared folder: they are read several times, the data once. ``weight`` names a column of counts when
+    the caller has done that already.
     """
-    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    seen = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(rows.alias("_c"))
+    known = df.where(F.col(value).isNotNull())
+    if weight is None:
+        seen = checkpointed(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
+    else:
+        seen = known.groupBy(*keys, value).agg(F.sum(weight).alias("_c"))
     ordered = running_sums(seen, keys, [value], {"_upto": F.col("_c")}, hot_rows=hot_rows)
     totals = seen.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridfare.functions.columns import count_if, flag, half_even, ratio
 from gridfare.functions.ranking import HOT_ROWS, running_sums
 from gridfare.operators.planes import BINS, to_hsv
+from gridfare.session import checkpointed
 
 THRESHOLDS = (0.30, 0.40, 0.50, 0.60, 0.70)
 
@@ -47,12 +48,13 @@ def curve_areas(
 ) -> DataFrame:
     """Area under the ROC curve (trapezoid) and average precision; 0.5 for a single class.
 
-    Rows are reduced to distinct scores, then hits are accumulated from the highest score down.
+    Rows are reduced to distinct scores and written once; hits are then accumulated from the highest score down.
     """
     keys = list(keys)
-    by_score = df.groupBy(*keys, score).agg(
+    counts = df.groupBy(*keys, score).agg(
         count_if(F.col(truth) == 1).alias("_pos"), count_if(F.col(truth) != 1).alias("_neg")
     )
+    by_score = checkpointed(counts)
     sums = {"_tp": F.col("_pos"), "_fp": F.col("_neg")}
     walked = running_sums(by_score, keys, [F.col(score).desc()], sums, hot_rows=hot_rows)
     precision = F.col("_tp") / (F.col("_tp") + F.col("_fp"))

@@ -24,6 +24,7 @@ from gridfare.schemas import (
     SCHEMA_VERSION,
     STALE_HOURS,
 )
+from gridfare.session import checkpointed
 
 
 def _text(name: str) -> Column:
@@ -217,7 +218,8 @@ def lead_time_bands(fares: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fare statistics by horizon, departure weekday, booking weekday and category."""
     keys = ["Days_to_Departure", "Day_of_Week", "Booking_Day_Of_Week", "Flight_Category"]
     # Counted per price once; the basic figures and the quantiles both read the counts.
-    counts = fares.where("Price_INR is not null").groupBy(*keys, "Price_INR").agg(F.count(F.lit(1)).alias("_rows"))
+    priced = fares.where("Price_INR is not null")
+    counts = checkpointed(priced.groupBy(*keys, "Price_INR").agg(F.count(F.lit(1)).alias("_rows")))
     price, rows = F.col("Price_INR"), F.col("_rows")
     basics = counts.groupBy(*keys).agg(
         F.sum(rows).alias("n"),
