@@ -1,28 +1,66 @@
-"""The corpus pipeline: stages over documents, each reading what the one before it has written."""
+"""The corpus pipeline: five stages over documents, each reading what the one before it has written.
+
+Every stage is one operator of ``gridfare.llm`` applied to whatever its predecessor kept. All but the last return the
+columns of their input; the last returns the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridfare.llm import exact_dedup
+from gridfare.llm import exact_dedup, packing, quality, secret_scan, simhash
+from gridfare.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality classifier, fitted on the labelled ones, rejects."""
+    return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the longest original of texts equal but for white space."""
     return exact_dedup.drop_duplicates(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_duplicates)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of linked fingerprints."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts; the documents stay, and their character counts follow."""
+    masked = docs.withColumn("text", secret_scan.mask(docs["text"], secret_scan.fit(docs)))
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the texts into sequences for training."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", good_documents),
+    ("exact_dedup", exact_duplicates),
+    ("simhash_near_dedup", near_duplicates),
+    ("secret_scan", masked_secrets),
+    ("packing", packed_sequences),
+]
 
+#: Trained models and a tokenizer have no SQL form; the tests hold the rows against brute-force versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; what a stage returns is written to the shared folder and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

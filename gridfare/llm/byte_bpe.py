@@ -25,9 +25,11 @@ from pyspark.sql.functions import arrow_udf
 
 from gridfare.llm.columns import keyed_text
 
-#: Characters cut into words at a time, and words a task remembers; both bound memory and neither changes a result.
-BLOCK_CHARS = 4_000_000
-REMEMBERED_WORDS = 600_000
+#: Characters cut into words at a time, words replayed together, and words a worker remembers. They bound memory; none
+#: changes a result.
+BLOCK_CHARS = 2_000_000
+REPLAYED_WORDS = 100_000
+REMEMBERED_WORDS = 300_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -84,11 +86,11 @@ def replay(words: Sequence[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray
     data = np.frombuffer(b"".join(words), dtype=np.uint8)
     token = ranks.byte[data]
     count = len(token)
-    left, right = np.arange(-1, count - 1), np.arange(1, count + 1)
+    left, right = np.arange(-1, count - 1, dtype=np.int32), np.arange(1, count + 1, dtype=np.int32)
     left[starts], right[starts + sizes - 1] = -1, -1
     whole = np.array([ranks.rank.get(word, -1) for word in words], dtype=np.int64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    live = np.flatnonzero((right >= 0) & (whole[owner] < 0))
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    live = np.flatnonzero((right >= 0) & (whole[owner] < 0)).astype(np.int32)
     pair = np.full(count, _NONE, dtype=np.int32)
     pair[live] = ranks.of(token[live], token[live + 1])
     waiting: dict[int, list[np.ndarray]] = {}
@@ -213,8 +215,8 @@ class Encoder:
         return np.concatenate(runs)
 
     def learn(self) -> None:
-        fresh = [word.encode() for word in islice(self.numbers, len(self.lengths), None)]
-        if fresh:
+        words = islice(self.numbers, len(self.lengths), None)
+        while fresh := [word.encode() for word in islice(words, REPLAYED_WORDS)]:
             ids, places, lengths = replay(fresh, self.ranks)
             self.starts = np.concatenate([self.starts, len(self.ids) + places])
             self.lengths = np.concatenate([self.lengths, lengths])
@@ -222,19 +224,25 @@ class Encoder:
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
-        if len(self.numbers) > REMEMBERED_WORDS:
-            self.forget()
-        words = [self.numbered(text) for text in texts]
-        self.learn()
-        spelt, counts = [], []
-        for numbers in words:
-            lengths = self.lengths[numbers]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(total)
-            spelt.append(self.ids[at])
-            counts.append(total)
-        return np.concatenate(spelt) if spelt else np.zeros(0, np.int32), np.array(counts, dtype=np.int64)
+        spelt, counts, begin = [np.zeros(0, np.int32)], [], 0
+        while begin < len(texts):
+            end, size = begin + 1, len(texts[begin])
+            while end < len(texts) and size + len(texts[end]) <= BLOCK_CHARS:
+                size += len(texts[end])
+                end += 1
+            if len(self.numbers) > REMEMBERED_WORDS:
+                self.forget()
+            words = [self.numbered(text) for text in texts[begin:end]]
+            self.learn()
+            for numbers in words:
+                lengths = self.lengths[numbers]
+                ends = np.cumsum(lengths)
+                total = int(ends[-1]) if len(ends) else 0
+                at = np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(total)
+                spelt.append(self.ids[at])
+                counts.append(total)
+            begin = end
+        return np.concatenate(spelt), np.array(counts, dtype=np.int64)
 
 
 def encode(text: Column, path: str, pattern: str) -> Column:

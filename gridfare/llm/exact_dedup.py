@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridfare.llm.columns import keyed_text
 
@@ -67,15 +68,16 @@ def duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows that stay, with all their columns; of repeated rows with the winning id one stays.
 
-    Winners are few columns wide, so a text moves once more at most, to meet its id.
+    Winners are few columns wide, so a text moves once more at most, to meet its group and id under one key.
     """
-    staying = winners(docs, id_col=id_col, text_col=text_col, salts=salts).select(F.col("keep_id").alias("_keep_id"))
-    kept = docs.join(staying, docs[id_col].eqNullSafe(staying["_keep_id"]), "left_semi")
-    return _first_of_each_id(kept, id_col, text_col)
+    best = winners(docs, id_col=id_col, text_col=text_col, salts=salts)
+    staying = best.select(_pick(F.col("digest"), F.col("keep_id")).alias("_pick"))
+    body = F.regexp_replace(F.coalesce(docs[text_col].cast("string"), F.lit("")), BLANKS, "")
+    keyed = docs.withColumn("_pick", _pick(F.sha2(body, 256), docs[id_col].cast("long")))
+    place = Window.partitionBy("_pick").orderBy(F.length(text_col).desc_nulls_last(), F.col(text_col))
+    kept = keyed.join(staying, "_pick", "left_semi").withColumn("_place", F.row_number().over(place))
+    return kept.where("_place = 1").drop("_pick", "_place")
 
 
-def _first_of_each_id(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy(rows[id_col]).orderBy(F.length(text_col).desc_nulls_last(), F.col(text_col))
-    return rows.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+def _pick(digest: Column, row_id: Column) -> Column:
+    return F.concat_ws(":", digest, F.coalesce(row_id.cast("string"), F.lit("none")))

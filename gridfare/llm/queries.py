@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridfare.llm import byte_bpe, exact_dedup, sharding
+from gridfare.llm import ann, byte_bpe, exact_dedup, language_id, masked_lm, packing, quality, secret_scan, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,13 +21,53 @@ def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_documents(spark, sf))
 
 
+def masked_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    return masked_lm.score_documents(docs, masked_lm.fit(docs))
+
+
+def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = ann.usable(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    return ann.nearest(vectors.where("vec_id % 100 = 0"), vectors, ann.dimensions(vectors))
+
+
+def simhash_components(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf))
+
+
+def lexical_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def secret_spans(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    return secret_scan.scan_documents(docs, secret_scan.fit(docs))
+
+
+def languages(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    return language_id.label_documents(docs, language_id.fit(docs))
+
+
+def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    return quality.score_documents(docs, quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+
+
 def hash_tree_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_table(_documents(spark, sf), 40)
 
 
 QUERIES = {
+    "op1_masked_lm": masked_scores,
     "op2_byte_bpe": byte_bpe_round_trip,
     "op3_exact_dedup": exact_duplicates,
+    "op4_cross_polytope": nearest_vectors,
+    "op5_simhash": simhash_components,
+    "op6_lexical_packing": lexical_packing,
+    "op7_secret_grammar": secret_spans,
+    "op8_language_id": languages,
+    "op9_quality_cnn": quality_scores,
     "op10_hash_tree_sharding": hash_tree_shards,
 }
 
