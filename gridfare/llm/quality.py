@@ -1,8 +1,10 @@
 """A quality classifier: a byte-level convolutional network in numpy.
 
 A text is its UTF-8 bytes, cut into blocks of eight. Two neighbouring blocks are a chunk, so chunks overlap by half and
-together cover the whole text. Learned filters answer to every chunk, each filter keeps its strongest answer, and a small
-dense layer combines these into one probability. Texts are read in slabs, so memory does not grow with their length.
+together cover the whole text. A byte enters with a learned vector and with its echo: whether the four bytes that begin
+there have begun within the ``ECHO`` bytes before, which lets filters see repetition. Learned filters answer to every chunk,
+each filter keeps its strongest answer, and a small dense layer combines these into one probability. Texts are read in
+slabs, so memory does not grow with their length.
 
 The fit uses a bounded sample: the ``train_rows`` labelled rows with the smallest hash among those of at most
 ``train_bytes`` bytes. Scores never see anything but the text.
@@ -21,7 +23,7 @@ from pyspark.sql.functions import arrow_udf
 
 from gridfare.llm.columns import keyed_text
 
-BLOCK, DIMS, FILTERS, HIDDEN = 8, 8, 32, 16
+BLOCK, DIMS, FILTERS, HIDDEN, ECHO = 8, 8, 32, 16, 32
 SLAB_BLOCKS = 32_768
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH = 2_000, 32_768, 10, 32
 
@@ -46,7 +48,7 @@ class Network:
         def normal(*shape: int, scale: float) -> np.ndarray:
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-        wide = BLOCK * DIMS
+        wide = BLOCK * (DIMS + 1)
         net = Network(
             normal(256, DIMS, scale=0.5), normal(wide, FILTERS, scale=wide**-0.5), normal(wide, FILTERS, scale=wide**-0.5),
             np.zeros(FILTERS, np.float32), normal(FILTERS, HIDDEN, scale=FILTERS**-0.5), np.zeros(HIDDEN, np.float32),
@@ -58,8 +60,12 @@ class Network:
     def weights(self) -> list[np.ndarray]:
         return list(vars(self).values())
 
-    def blocks(self, codes: np.ndarray) -> np.ndarray:
-        return self.embed[codes].reshape(-1, BLOCK * DIMS)
+    def blocks(self, flat: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """One row per block from ``begin`` to ``end``: for each byte its vector and its echo."""
+        rows = np.empty(((end - begin) * BLOCK, DIMS + 1), np.float32)
+        rows[:, :DIMS] = self.embed[flat[begin * BLOCK : end * BLOCK]]
+        rows[:, DIMS] = echoes(flat, begin * BLOCK, end * BLOCK)
+        return rows.reshape(end - begin, -1)
 
     def combine(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(probabilities, hidden layer, pooled answers above zero) from the strongest answer of each filter."""
@@ -70,12 +76,12 @@ class Network:
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """One probability per text, given as arrays of bytes."""
-        codes, starts = lay_out(texts)
+        flat, starts = lay_out(texts)
         pooled = np.full((len(texts), FILTERS), -np.inf, np.float32)
-        chunks = len(codes) - 1
+        chunks = len(flat) // BLOCK - 1
         for begin in range(0, chunks, SLAB_BLOCKS):
             end = min(begin + SLAB_BLOCKS, chunks)
-            blocks = self.blocks(codes[begin : end + 1])
+            blocks = self.blocks(flat, begin, end + 1)
             answers = blocks[:-1] @ self.first + blocks[1:] @ self.second
             # The chunk that begins at a text's last block would reach into the next text.
             last = starts[1:] - 1
@@ -89,13 +95,27 @@ class Network:
 
 
 def lay_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(all texts as one array of blocks, the first block of each): two blocks at least, the last one never full."""
-    counts = np.maximum(np.array([len(text) // BLOCK + 1 for text in texts], dtype=np.int64), 2)
+    """(the bytes of all texts, the first block of each): zeros fill a text's last block and ``ECHO`` bytes more."""
+    counts = np.array([len(text) // BLOCK + 1 + ECHO // BLOCK for text in texts], dtype=np.int64)
     starts = np.cumsum(counts) - counts
     flat = np.zeros(int(counts.sum()) * BLOCK, np.uint8)
     for start, text in zip((starts * BLOCK).tolist(), texts):
         flat[start : start + len(text)] = text
-    return flat.reshape(-1, BLOCK), starts
+    return flat, starts
+
+
+def echoes(flat: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Whether the four bytes at each position are those at one of the ``ECHO`` positions before; zeros never are."""
+    around = np.zeros(ECHO + end - begin + 3, np.uint32)
+    known = flat[max(begin - ECHO, 0) : end + 3]
+    first = ECHO - min(begin, ECHO)
+    around[first : first + len(known)] = known
+    grams = around[:-3] | around[1:-2] << np.uint32(8) | around[2:-1] << np.uint32(16) | around[3:] << np.uint32(24)
+    own = grams[ECHO:]
+    found = np.zeros(len(own), bool)
+    for lag in range(2, ECHO + 1):
+        found |= own == grams[ECHO - lag : len(grams) - lag]
+    return found & (around[ECHO:-3] != 0)
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, *, epochs: int = EPOCHS, seed: int = 7, rate: float = 3e-3) -> Network:
@@ -120,9 +140,10 @@ def train(texts: list[np.ndarray], labels: np.ndarray, *, epochs: int = EPOCHS,
 
 
 def _gradients(net: Network, texts: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
-    codes, starts = lay_out(texts)
-    ends = np.append(starts[1:], len(codes)) - 1
-    blocks = net.blocks(codes)
+    flat, starts = lay_out(texts)
+    ends = np.append(starts[1:], len(flat) // BLOCK) - 1
+    blocks = net.blocks(flat, 0, len(flat) // BLOCK)
+    codes = flat.reshape(-1, BLOCK)
     answers = blocks[:-1] @ net.first + blocks[1:] @ net.second
     won = np.stack([start + answers[start:end].argmax(axis=0) for start, end in zip(starts, ends)])
     pooled = answers[won, np.arange(FILTERS)]
@@ -134,8 +155,8 @@ def _gradients(net: Network, texts: list[np.ndarray], labels: np.ndarray) -> lis
     second = np.einsum("df,dfk->kf", to_pooled, blocks[won + 1])
     embed = np.zeros_like(net.embed)
     for half, at in ((net.first, won), (net.second, won + 1)):
-        back = (to_pooled[:, :, None] * half.T).reshape(-1, DIMS)
-        np.add.at(embed, codes[at].reshape(-1), back)
+        back = (to_pooled[:, :, None] * half.T).reshape(-1, DIMS + 1)
+        np.add.at(embed, codes[at].reshape(-1), back[:, :DIMS])
     return [
         embed, first, second, to_pooled.sum(axis=0), strong.T @ to_mixed, to_mixed.sum(axis=0), mixed.T @ slope,
         slope.sum(keepdims=True),
