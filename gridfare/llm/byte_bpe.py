@@ -30,6 +30,7 @@ from gridfare.llm.columns import keyed_text
 BLOCK_CHARS = 2_000_000
 REPLAYED_WORDS = 100_000
 REMEMBERED_WORDS = 300_000
+SLICE_ROWS = 512
 _NONE = np.int32(2**31 - 1)
 
 
@@ -245,13 +246,20 @@ class Encoder:
         return np.concatenate(spelt), np.array(counts, dtype=np.int64)
 
 
+def sliced(batches: Iterator[pa.Array], rows: int = SLICE_ROWS) -> Iterator[pa.Array]:
+    """The same rows in smaller batches, so that fewer texts are held in Python at a time."""
+    for batch in batches:
+        for begin in range(0, len(batch), rows):
+            yield batch.slice(begin, rows)
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Token ids (array<int>) of a text column, without special tokens. Null gives null, an empty text an empty array."""
 
     @arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = encoder(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.to_pylist()
             values, counts = known.encode([text or "" for text in texts])
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -267,7 +275,7 @@ def decode(ids: Column, path: str) -> Column:
     @arrow_udf("binary")
     def text_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = load_ranks(path).token
-        for batch in batches:
+        for batch in sliced(batches):
             values = batch.values.to_numpy(zero_copy_only=False)
             ends = batch.offsets.to_numpy()
             yield pa.array(
