@@ -196,12 +196,17 @@ def fit(
     train_rows: int = TRAIN_ROWS,
     train_bytes: int = TRAIN_BYTES,
 ) -> Network:
-    """Fit on labelled rows that are not held out. Without any row the answer is the untrained network's 0.5."""
+    """Fit on labelled rows that are not held out. Without any row the answer is the untrained network's 0.5.
+
+    Rows are chosen by id and length; only the chosen ones, ``train_rows`` at most, are broadcast to meet their texts.
+    """
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
     marks = marks.where("label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = keyed_text(docs).where(~held_out(F.col("doc_id")) & (F.octet_length("text") <= train_bytes))
-    chosen = texts.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = chosen.select("label", F.col("text").cast("binary").alias("text")).toArrow()
+    fitting = marks.join(texts.select("doc_id"), "doc_id", "left_semi")
+    chosen = fitting.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = found.select("label", F.col("text").cast("binary").alias("text")).toArrow()
     if not sample.num_rows:
         net = Network.random(0)
         net.out[:] = 0
