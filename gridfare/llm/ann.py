@@ -4,11 +4,11 @@ A unit vector is turned by a pseudo-random rotation (three rounds of random sign
 assigned to the nearest of the signed axes. A table joins two such axes to one bucket. A query probes the ``probes``
 likeliest buckets of each table, and what lies there is ranked by its exact distance.
 
-The work is grouped by (table, first axis, block): the vectors with that first axis, cut into blocks of about
-``block_rows`` by a hash, meet the queries that probe it, and only the nearest of each query leave the group. A group is
-bounded however many vectors share a bucket, and no list of candidate pairs is ever written. Identical vectors cannot all
-be among the ten nearest: of each different vector the ``k + 1`` smallest ids are indexed, which loses nothing, and
-identical queries are searched once.
+Vectors are dealt out by a hash of their id into blocks of about ``block_rows``, each with its own tables, and queries into
+slices of about ``slice_rows``; a block meets every slice, and only the nearest of each query leave the pair. A task is
+bounded however many vectors share a bucket, and no list of candidate pairs is ever written. Identical vectors cannot all be
+among the ten nearest: of each different vector the ``k + 1`` smallest ids are indexed, which loses nothing, and identical
+queries are searched once.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-TABLES, PROBES, BLOCK_ROWS = 24, 256, 20_000
+TABLES, PROBES, BLOCK_ROWS, SLICE_ROWS = 24, 256, 16_384, 4_096
+#: Queries whose probes are worked out together.
+TOGETHER = 64
 
 
 def _padded(dims: int) -> int:
@@ -46,12 +48,17 @@ def rotate(vectors: np.ndarray, number: int) -> np.ndarray:
     return turned
 
 
-def _units(batch: pa.Array, dims: int) -> np.ndarray:
-    rows = np.zeros((len(batch), _padded(dims)))
-    rows[:, :dims] = np.array(batch.to_pylist(), dtype=np.float64).reshape(-1, dims)
+def _padded_units(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, with zeros up to a power of two."""
+    rows = np.zeros((len(vectors), _padded(vectors.shape[1])))
+    rows[:, : vectors.shape[1]] = vectors
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _units(batch: pa.Array, dims: int) -> np.ndarray:
+    return _padded_units(np.array(batch.to_pylist(), dtype=np.float64).reshape(-1, dims))
+
+
 def _answers(units: np.ndarray, number: int) -> np.ndarray:
     """How near each row is to every signed axis: the positive ones, then the negative ones."""
     turned = rotate(units, number)
@@ -59,40 +66,40 @@ def _answers(units: np.ndarray, number: int) -> np.ndarray:
 
 
 def buckets(vector: Column, dims: int, tables: int) -> Column:
-    """array<struct<t, a, b>>: the two axes of each table."""
+    """array<int>: the bucket of each table, its two axes in one number."""
 
-    @arrow_udf("array<struct<t:int,a:int,b:int>>")
+    @arrow_udf("array<int>")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             units = _units(batch, dims)
-            a = np.stack([_answers(units, 2 * t).argmax(axis=1) for t in range(tables)], axis=1)
-            b = np.stack([_answers(units, 2 * t + 1).argmax(axis=1) for t in range(tables)], axis=1)
-            t = np.tile(np.arange(tables, dtype=np.int32), len(units))
-            cells = pa.StructArray.from_arrays([pa.array(x.astype(np.int32).ravel()) for x in (t, a, b)], ["t", "a", "b"])
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(units) + 1, dtype=np.int32) * tables), cells)
+            axes = 2 * units.shape[1]
+            pairs = ((_answers(units, 2 * t).argmax(axis=1), _answers(units, 2 * t + 1).argmax(axis=1)) for t in range(tables))
+            codes = np.stack([a * axes + b for a, b in pairs], axis=1).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(units) + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))
 
     return hashed(vector)
 
 
-def probed(vector: Column, dims: int, tables: int, probes: int) -> Column:
-    """array<struct<t, a, bs>>: for each first axis worth probing, the second axes to look at with it."""
+def probed(units: np.ndarray, table: int, probes: int) -> np.ndarray:
+    """The likeliest buckets of a table for each query: those whose two axes it is nearest to, by the sum of both."""
+    both = _answers(units, 2 * table)[:, :, None] + _answers(units, 2 * table + 1)[:, None, :]
+    flat = both.reshape(len(units), -1)
+    return np.argpartition(-flat, min(probes, flat.shape[1]) - 1, axis=1)[:, :probes]
 
-    @arrow_udf("array<struct<t:int,a:int,bs:array<int>>>")
-    def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            units = _units(batch, dims)
-            out: list[list[dict]] = [[] for _ in range(len(units))]
-            for t in range(tables):
-                first, second = _answers(units, 2 * t), _answers(units, 2 * t + 1)
-                width = first.shape[1]
-                for row in range(len(units)):
-                    both = (first[row][:, None] + second[row][None, :]).ravel()
-                    taken = np.argpartition(-both, min(probes, both.size) - 1)[:probes]
-                    for a in np.unique(taken // width).tolist():
-                        out[row].append({"t": t, "a": a, "bs": (taken[taken // width == a] % width).astype(np.int32)})
-            yield pa.array(out, pa.list_(pa.struct([("t", pa.int32()), ("a", pa.int32()), ("bs", pa.list_(pa.int32()))])))
 
-    return listed(vector)
+def candidates(codes: np.ndarray, units: np.ndarray, probes: int) -> np.ndarray:
+    """For each query which rows of a block lie in a probed bucket of any table; ``codes`` has a column per table."""
+    found = np.zeros((len(units), len(codes)), bool)
+    for table in range(codes.shape[1]):
+        order = np.argsort(codes[:, table], kind="stable")
+        ranked = codes[order, table]
+        wanted = probed(units, table, probes)
+        begins, ends = np.searchsorted(ranked, wanted), np.searchsorted(ranked, wanted, "right")
+        for query in range(len(units)):
+            sizes = ends[query] - begins[query]
+            at = np.repeat(begins[query] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+            found[query, order[at]] = True
+    return found
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -107,8 +114,9 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def nearest(
-    queries: DataFrame, vectors: DataFrame, dims: int, *, k: int = 10, tables: int = TABLES, probes: int = PROBES, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+    queries: DataFrame, vectors: DataFrame, dims: int, *, k: int = 10, tables: int = TABLES, probes: int = PROBES,
+    block_rows: int = BLOCK_ROWS, slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by Euclidean distance, ties to the smaller id.
 
     Both inputs are (vec_id, vector) as from :func:`usable`; vectors of other lengths than ``dims`` take no part. A query
@@ -117,33 +125,45 @@ def nearest(
     fits = F.size("vector") == dims
     place = Window.partitionBy("vector").orderBy("vec_id")
     once = vectors.where(fits).withColumn("_copy", F.row_number().over(place)).where(F.col("_copy") <= k + 1).drop("_copy")
-    indexed = once.withColumn("cell", F.explode(buckets(F.col("vector"), dims, tables))).select("vec_id", "vector", "cell.t", "cell.a", "cell.b")
-    # tables x signed axes rows, whatever the input: safe to broadcast.
-    sizes = F.broadcast(indexed.groupBy("t", "a").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")))
-    stored = indexed.join(sizes, ["t", "a"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-
     wanted = queries.where(fits).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("wanted"))
     asked = wanted.groupBy("wanted").agg(F.min("query_id").alias("group_id"))
-    probing = asked.withColumn("cell", F.explode(probed(F.col("wanted"), dims, tables, probes)))
-    probing = probing.select("group_id", "wanted", "cell.t", "cell.a", "cell.bs").join(sizes, ["t", "a"])
-    probing = probing.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
-    def rank_group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
-        if len(left) and len(right):
-            matrix, second, ids = np.stack(right["vector"].to_numpy()), right["b"].to_numpy(), right["vec_id"].to_numpy()
-            for group_id, vector, bs in zip(left["group_id"], left["wanted"], left["bs"]):
-                at = np.flatnonzero(np.isin(second, bs))
-                gaps = np.sqrt(((matrix[at] - np.asarray(vector)) ** 2).sum(axis=1))
-                first = np.lexsort((ids[at], gaps))[: k + 1]
-                found.append(pd.DataFrame({"group_id": group_id, "vec_id": ids[at][first], "score": gaps[first]}))
-        return pd.concat(found) if found else pd.DataFrame({"group_id": [], "vec_id": [], "score": []})
+    def parts(rows: DataFrame, size: int) -> Column:
+        return F.greatest(F.ceil(rows.agg(F.count(F.lit(1))).scalar() / size).cast("int"), F.lit(1))
+
+    blocks, slices = parts(vectors, block_rows), parts(queries, slice_rows)
+
+    def all_of(count: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), count - 1))
 
+    stored = once.withColumn("codes", buckets(F.col("vector"), dims, tables)).withColumns(
+        {"block": F.pmod(F.xxhash64("vec_id"), blocks).cast("int"), "slice": all_of(slices)}
+    )
+    probing = asked.withColumns({"block": all_of(blocks), "slice": F.pmod(F.xxhash64("group_id"), slices).cast("int")})
     # Both sides come from the same tables; new names keep their columns apart.
-    probing = probing.toDF("t", "a", "group_id", "wanted", "bs", "block")
-    keys = ["t", "a", "block"]
-    met = probing.groupBy(*keys).cogroup(stored.drop("blocks").groupBy(*keys))
-    near = met.applyInPandas(rank_group, "group_id long, vec_id long, score double").groupBy("group_id", "vec_id").agg(F.min("score").alias("score"))
+    stored, probing = stored.toDF(*stored.columns), probing.toDF(*probing.columns)
+
+    def rank_group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        groups, ids, scores = [], [], []
+        if len(left) and len(right):
+            own, codes = right["vec_id"].to_numpy(), np.stack(right["codes"].to_numpy())
+            matrix, asked_for = np.stack(right["vector"].to_numpy()), np.stack(left["wanted"].to_numpy())
+            for begin in range(0, len(left), TOGETHER):
+                some = asked_for[begin : begin + TOGETHER]
+                hits = candidates(codes, _padded_units(some), probes)
+                for number, vector in enumerate(some):
+                    at = np.flatnonzero(hits[number])
+                    gaps = np.sqrt(((matrix[at] - vector) ** 2).sum(axis=1))
+                    first = np.lexsort((own[at], gaps))[: k + 1]
+                    groups.append(np.full(len(first), left["group_id"].iloc[begin + number]))
+                    ids.append(own[at][first])
+                    scores.append(gaps[first])
+        shape = {"group_id": (groups, np.int64), "vec_id": (ids, np.int64), "score": (scores, np.float64)}
+        return pd.DataFrame({n: np.concatenate(v) if v else np.zeros(0, kind) for n, (v, kind) in shape.items()})
+
+    met = probing.groupBy("block", "slice").cogroup(stored.groupBy("block", "slice"))
+    near = met.applyInPandas(rank_group, "group_id long, vec_id long, score double")
+    near = near.groupBy("group_id", "vec_id").agg(F.min("score").alias("score"))
     by_distance = Window.partitionBy("group_id").orderBy("score", "vec_id")
     best = near.withColumn("_at", F.row_number().over(by_distance)).where(F.col("_at") <= k + 1).drop("_at")
 
