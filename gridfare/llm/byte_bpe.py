@@ -35,44 +35,62 @@ _NONE = np.int32(2**31 - 1)
 
 
 class Ranks:
-    """A rank file: one base64 token and its rank per line. ``pairs`` has the rank of each pair that is a token."""
+    """What a replay has to know: the token of each byte, of a byte that ends a word, and the rank and token of each merge."""
+
+    def __init__(self, byte: list[int], last: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> None:
+        self.byte, self.last = np.array(byte, dtype=np.int32), np.array(last, dtype=np.int32)
+        self.span = 1 + max(max(pair) for pair in pairs)
+        listed = sorted((first * self.span + second, rank) for (first, second), (rank, _) in pairs.items())
+        self.keys = np.array([key for key, _ in listed], dtype=np.int64)
+        self.values = np.array([rank for _, rank in listed], dtype=np.int32)
+        self.merged = {rank: token for rank, token in pairs.values()}
+
+    def whole(self, word: bytes) -> int:
+        """The token that a word is without any merge, or -1."""
+        return -1
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or _NONE."""
+        wanted = first.astype(np.int64) * self.span + second
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.values[at], _NONE)
+
+
+class FileRanks(Ranks):
+    """A rank file: one base64 token and its rank per line. A pair merges when its bytes are a token; ranks are ids."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             self.rank = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.token = {rank: piece for piece, rank in self.rank.items()}
-        self.byte = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.span = max(self.token) + 1
         pairs = {}
         for piece, rank in self.rank.items():
             for cut in range(1, len(piece)):
                 first, second = self.rank.get(piece[:cut]), self.rank.get(piece[cut:])
                 if first is not None and second is not None:
-                    pairs[first * self.span + second] = rank
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.values = np.array([pairs[key] for key in self.keys.tolist()], dtype=np.int32)
+                    pairs[first, second] = rank, rank
+        byte = [self.rank[bytes([b])] for b in range(256)]
+        super().__init__(byte, byte, pairs)
 
-    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The rank of each pair, or _NONE."""
-        wanted = first.astype(np.int64) * self.span + second
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where(self.keys[at] == wanted, self.values[at], _NONE)
+    def whole(self, word: bytes) -> int:
+        return self.rank.get(word, -1)
 
 
 @lru_cache(maxsize=2)
-def load_ranks(path: str) -> Ranks:
-    return Ranks(path)
+def load_ranks(path: str) -> FileRanks:
+    return FileRanks(path)
 
 
-def merge_word(word: bytes, rank: dict[bytes, int]) -> list[int]:
+def merge_word(word: bytes, ranks: Ranks) -> list[int]:
     """The ids of one word by the definition: merge the pair of lowest rank, the leftmost first, until none is left."""
-    parts = [word[i : i + 1] for i in range(len(word))]
+    parts = [*ranks.byte[list(word[:-1])].tolist(), int(ranks.last[word[-1]])]
     while len(parts) > 1:
-        lowest, at = min((rank.get(parts[i] + parts[i + 1], _NONE), i) for i in range(len(parts) - 1))
-        if lowest == _NONE:
+        found = ranks.of(np.array(parts[:-1]), np.array(parts[1:]))
+        at = int(found.argmin())
+        if found[at] == _NONE:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [rank[part] for part in parts]
+        parts[at : at + 2] = [ranks.merged[int(found[at])]]
+    return parts
 
 
 def replay(words: Sequence[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,10 +104,11 @@ def replay(words: Sequence[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(words), dtype=np.uint8)
     token = ranks.byte[data]
+    token[starts + sizes - 1] = ranks.last[data[starts + sizes - 1]]
     count = len(token)
     left, right = np.arange(-1, count - 1, dtype=np.int32), np.arange(1, count + 1, dtype=np.int32)
     left[starts], right[starts + sizes - 1] = -1, -1
-    whole = np.array([ranks.rank.get(word, -1) for word in words], dtype=np.int64)
+    whole = np.array([ranks.whole(word) for word in words], dtype=np.int64)
     owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     live = np.flatnonzero((right >= 0) & (whole[owner] < 0)).astype(np.int32)
     pair = np.full(count, _NONE, dtype=np.int32)
@@ -129,14 +148,15 @@ def replay(words: Sequence[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray
             spots = spots[~np.isin(owner[spots], irregular[-1])]
             after = right[spots]
         beyond = right[after]
-        token[spots] = rank
+        merged = ranks.merged[rank]
+        token[spots] = merged
         right[spots] = beyond
         left[beyond[beyond >= 0]] = spots[beyond >= 0]
         pair[after], pair[spots] = _NONE, _NONE
         token[after] = -1
         before = left[spots]
         before = before[before >= 0]
-        touched = np.concatenate([spots[beyond >= 0], before[token[before] != rank]])
+        touched = np.concatenate([spots[beyond >= 0], before[token[before] != merged]])
         pair[touched] = ranks.of(token[touched], token[right[touched]])
         lower = pair[touched] < rank
         if lower.any():
@@ -151,7 +171,7 @@ def replay(words: Sequence[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray
     spelt = [token[token >= 0]]
     end = len(spelt[0])
     for number in np.unique(np.concatenate(irregular)).tolist() if irregular else []:
-        spelt.append(np.array(merge_word(words[number], ranks.rank), dtype=np.int32))
+        spelt.append(np.array(merge_word(words[number], ranks), dtype=np.int32))
         places[number], lengths[number] = end, len(spelt[-1])
         end += len(spelt[-1])
     return np.concatenate(spelt), places, lengths
@@ -185,14 +205,14 @@ class _Numbers(dict):
 @lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:
     """One per worker, so that the tasks of a worker share the words it has met."""
-    return Encoder(path, pattern)
+    return Encoder(load_ranks(path), pattern)
 
 
 class Encoder:
     """Numbers the words of many texts, replays the new ones together and spells the texts out from them."""
 
-    def __init__(self, path: str, pattern: str) -> None:
-        self.ranks = load_ranks(path)
+    def __init__(self, ranks: Ranks, pattern: str, remember: int = REMEMBERED_WORDS) -> None:
+        self.ranks, self.remember = ranks, remember
         self.pattern, self.narrow = regex.compile(pattern), narrow_pattern(pattern)
         self.forget()
 
@@ -231,7 +251,7 @@ class Encoder:
             while end < len(texts) and size + len(texts[end]) <= BLOCK_CHARS:
                 size += len(texts[end])
                 end += 1
-            if len(self.numbers) > REMEMBERED_WORDS:
+            if len(self.numbers) > self.remember:
                 self.forget()
             words = [self.numbered(text) for text in texts[begin:end]]
             self.learn()

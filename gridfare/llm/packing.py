@@ -10,6 +10,7 @@ cut at powers of two, which are not padded.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,39 +24,58 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from tokenizers import Tokenizer
 
+from gridfare.llm.byte_bpe import Encoder, Ranks, sliced
 from gridfare.llm.columns import keyed_text
 from gridfare.session import scratch_path
 
 WINDOW, END_ID = 2_048, 1
 SHARD_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 8_000_000, 2_000_000, 4_096
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 500_000
 #: BM25's saturation and length weights, and how many of a seed's terms, the rarest first, make its query.
 SATURATION, LENGTH_WEIGHT, QUERY_TERMS = 1.2, 0.75, 32
-_SPACES = str.maketrans("\t\n\r", "   ")
+
+
+def word_ranks(model: dict) -> Ranks:
+    """The merges of a tokenizer file whose tokens are spelt in printable stand-ins for bytes and mark the end of a word."""
+    # The stand-ins: printable bytes stand for themselves, the others follow from 256 on.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    sign = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
+    ids, end = model["vocab"], model["end_of_word_suffix"]
+    pairs = {}
+    for rank, merge in enumerate(model["merges"]):
+        first, second = merge.split(" ") if isinstance(merge, str) else merge
+        pairs[ids[first], ids[second]] = rank, ids[first + second]
+    return Ranks([ids[sign[b]] for b in range(256)], [ids[sign[b] + end] for b in range(256)], pairs)
 
 
 class WordTokens:
-    """The ids of texts by a tokenizer that never joins across spaces: words are tokenised once and remembered."""
+    """Ids by a tokenizer file. Texts of the first 256 characters, which its normal form leaves as they are but for case, go
+    through the merge replay, which does each different word once; all others go through the library.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        words = [text.translate(_SPACES).split(" ") for text in texts]
-        fresh = {word for own in words for word in own if word not in self.known}
-        if fresh and len(self.known) + len(fresh) > REMEMBERED_WORDS:
-            self.known.clear()
-            fresh = {word for own in words for word in own}
-        if fresh:
-            listed = list(fresh)
-            for begin in range(0, len(listed), 10_000):
-                part = listed[begin : begin + 10_000]
-                for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.known[word] = np.array(coded.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, own)) for own in words]
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        self.words = Encoder(word_ranks(content["model"]), content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], REMEMBERED_WORDS)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        easy = [text.lower() if text.isascii() or is_latin(text) else None for text in texts]
+        ids, counts = self.words.encode([text for text in easy if text is not None])
+        parts = iter(np.split(ids, np.cumsum(counts)[:-1]))
+        return [
+            next(parts) if low is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+            for low, text in zip(easy, texts)
+        ]
+
+
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=1)
@@ -64,38 +84,32 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def tokenised(text: Column, path: str, slice_chars: int = 2_000_000) -> Column:
-    """Ids of a text and the closing id, as little-endian unsigned 32-bit integers (binary); a null text is empty."""
+def width(vocabulary: int) -> str:
+    """The narrowest type that holds all ids."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def tokenised(text: Column, path: str, kind: str) -> Column:
+    """Ids of a text and the closing id, as little-endian integers of the given type (binary); a null text is empty."""
 
     @arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, end = word_tokens(path), np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
-            texts, out, begin = [text or "" for text in batch.to_pylist()], [], 0
-            while begin < len(texts):
-                stop, size = begin + 1, len(texts[begin])
-                while stop < len(texts) and size + len(texts[stop]) <= slice_chars:
-                    size += len(texts[stop])
-                    stop += 1
-                out += [coded + end for coded in known.encode(texts[begin:stop])]
-                begin = stop
-            yield pa.array(out, pa.binary())
+        known = word_tokens(path)
+        for batch in sliced(batches):
+            coded = known.encode([text or "" for text in batch.to_pylist()])
+            yield pa.array([np.append(ids, END_ID).astype(kind).tobytes() for ids in coded], pa.binary())
 
     return ids(text)
 
 
-def _ids(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, dtype="<u4")
-
-
-def document_frequencies(coded: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, int]:
+def document_frequencies(coded: DataFrame, vocabulary: int, kind: str) -> tuple[np.ndarray, int, int]:
     """(documents with each token, documents, tokens) over all rows; as many entries as the vocabulary, plus two."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(vocabulary + 2, np.int64)
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                ids = _ids(value)
+                ids = np.frombuffer(value, kind)
                 seen[np.unique(ids)] += 1
                 seen[vocabulary] += 1
                 seen[vocabulary + 1] += len(ids)
@@ -198,10 +212,11 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     at = scratch_path(spark, "packing-ids")
-    keyed_text(docs, id_col, text_col).select("doc_id", tokenised(F.col("text"), path).alias("ids")).write.parquet(at)
-    coded = spark.read.parquet(at)
     vocabulary = Tokenizer.from_file(path).get_vocab_size()
-    seen, rows, tokens = document_frequencies(coded, vocabulary)
+    kind = width(vocabulary)
+    keyed_text(docs, id_col, text_col).select("doc_id", tokenised(F.col("text"), path, kind).alias("ids")).write.parquet(at)
+    coded = spark.read.parquet(at)
+    seen, rows, tokens = document_frequencies(coded, vocabulary, kind)
     idf = np.log1p((rows - seen + 0.5) / (seen + 0.5))
     idf[END_ID] = 0.0
     mean_length = max(tokens / max(rows, 1), 1.0)
@@ -211,7 +226,7 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
         for batch in batches:
             both = np.zeros((len(batch), 2), np.int32)
             for row, value in enumerate(batch.to_pylist()):
-                term, times = np.unique(_ids(value), return_counts=True)
+                term, times = np.unique(np.frombuffer(value, kind), return_counts=True)
                 # A token of one document only leads to no neighbour.
                 weight = idf[term] * times / (times + SATURATION) * (seen[term] > 1)
                 best = term[np.argsort(-weight, kind="stable")[:2]]
@@ -229,7 +244,7 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
             for sequence in pack_block(ids, idf, mean_length, window):
                 offset = 0
                 for number, start, length in sequence:
-                    crc = zlib.crc32(ids[number][start : start + length].tobytes())
+                    crc = zlib.crc32(ids[number][start : start + length].astype("<u4").tobytes())
                     out.append((owners[number], start, length, crc, len(ids[number]), numbers, offset))
                     offset += length
                 numbers += 1
@@ -242,7 +257,7 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
         for batch in batches:
             for owner, value in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 owners.append(owner)
-                ids.append(_ids(value))
+                ids.append(np.frombuffer(value, kind))
                 held += len(ids[-1])
                 if held >= BLOCK_TOKENS or len(ids) >= BLOCK_DOCS:
                     yield emit()
