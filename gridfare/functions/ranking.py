@@ -1,126 +1,111 @@
 """Positions, running sums and exact quantiles that stay whole when one group is very large.
 
-A plain window puts a group in one task. That is the cheapest plan while every group is small, so the largest
-group is measured first (a partially aggregated count). Past ``hot_rows`` the rows are range-partitioned on
-(keys, order) instead, which spreads one group over many tasks; each block is numbered on its own and shifted by
-the totals of the blocks before it.
+A window over a whole group puts the group in one task. Here a group is cut into blocks along its order: a block is a
+function of the first order column that never decreases with it, so no pass over the data is needed to choose the
+cuts. Rows are ordered inside (group, block), and shifted by the totals of the group's earlier blocks, which are one small
+row each. Every input takes this one path, and nothing runs when the plan is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
-from gridfare.session import checkpointed
+#: Blocks per unit of the logarithm of a number, and leading characters that make a block of texts.
+BLOCKS_PER_LOG, BLOCK_CHARS = 4096, 12
 
-HOT_ROWS = 1_000_000
 
+def order_block(df: DataFrame, name: str) -> Column:
+    """The block of an order column: equal values share one, larger values never have a smaller one; null stays null."""
+    kind, value = df.schema[name].dataType, df[name]
+    if isinstance(kind, StringType):
+        return F.substring(value, 1, BLOCK_CHARS)
+    if isinstance(kind, DateType):
+        value = F.unix_date(value)
+    elif isinstance(kind, TimestampNTZType):
+        value = value.cast("timestamp")
+    elif not isinstance(kind, (NumericType, BooleanType, TimestampType)):
+        return F.lit(0)
+    x = value.cast("double")
+    step = (F.signum(x) * F.floor(F.log1p(F.abs(x)) * BLOCKS_PER_LOG)).cast("long")
+    # Not-a-number sorts after all numbers; infinity casts to the largest long but one block below it.
+    return F.when(F.isnan(x), F.lit(2**63 - 1)).when(value.isNotNull(), F.least(step, F.lit(2**63 - 2)))
 
-def group_extent(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows in the largest group, rows in all)."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
-    return int(largest or 0), int(total or 0)
 
-
-def _partition(keys: Sequence[str]):
+def _group(keys: Sequence[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+_MERGES = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str | Column],
+    order: Sequence[str],
     sums: Mapping[str, Column],
     *,
-    hot_rows: int = HOT_ROWS,
+    stats: Mapping[str, tuple[str, Column]] | None = None,
+    descending: bool = False,
 ) -> DataFrame:
-    """Add inclusive running sums within ``keys``; ``order`` must be unique inside a group."""
-    largest, total = group_extent(df, keys)
-    if largest <= hot_rows:
-        upto = _partition(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({name: F.sum(value).over(upto) for name, value in sums.items()})
-
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * ceil(total / hot_rows))
-    addends = {f"_add_{name}": value for name, value in sums.items()}
-    spread = df.withColumns(addends).repartitionByRange(parts, *keys, *order)
-    blocks = checkpointed(spread.withColumn("_block", F.spark_partition_id()))
-    in_block = Window.partitionBy("_block", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = blocks.withColumns({name: F.sum(f"_add_{name}").over(in_block) for name in sums})
-    totals = blocks.groupBy("_block", *keys).agg(*[F.sum(f"_add_{n}").alias(f"_sum_{n}") for n in sums])
-    before = _partition(keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_block", *keys, *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums]
-    )
-    joined = local.join(offsets, (local["_block"] == offsets["_block"]) & _same(local, offsets, keys))
-    kept = [local[c] for c in df.columns if c not in sums]
-    return joined.select(*kept, *[(local[n] + offsets[f"_off_{n}"]).alias(n) for n in sums])
+    """Add inclusive running sums within ``keys``; ``order`` must be unique inside a group.
 
+    ``descending`` turns the first order column around. ``stats`` adds figures of the whole group, each a way to merge
+    (``sum``, ``min`` or ``max``) and a column; they come from the block totals.
+    """
+    stats = stats or {}
+    rows = df.withColumns({"_block": order_block(df, order[0]), **{f"_add_{name}": value for name, value in sums.items()}})
 
-def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], *, into: str = "pos", hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Add the 1-based position of each row within ``keys``."""
-    return running_sums(df, keys, order, {into: F.lit(1).cast("long")}, hot_rows=hot_rows)
+    def turned(name: str) -> Column:
+        return F.col(name).desc() if descending else F.col(name).asc()
+
+    inside = Window.partitionBy(*keys, "_block").orderBy(turned(order[0]), *order[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumns({name: F.sum(f"_add_{name}").over(inside) for name in sums})
+    totals = rows.groupBy(*keys, "_block").agg(
+        *[F.sum(f"_add_{name}").alias(f"_sum_{name}") for name in sums],
+        *[_MERGES[how](value).alias(f"_part_{name}") for name, (how, value) in stats.items()],
+    )
+    before = _group(keys).orderBy(turned("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(
+        *[F.col(key).alias(f"_key_{place}") for place, key in enumerate(keys)],
+        F.col("_block").alias("_at"),
+        *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_off_{name}") for name in sums],
+        *[_MERGES[how](f"_part_{name}").over(_group(keys)).alias(f"_all_{name}") for name, (how, _) in stats.items()],
+    )
+    here = F.col("_block").eqNullSafe(F.col("_at"))
+    for place, key in enumerate(keys):
+        here = here & F.col(key).eqNullSafe(F.col(f"_key_{place}"))
+    joined = local.join(shifts, here)
+    return joined.select(
+        *[F.col(c) for c in df.columns if c not in sums and c not in stats],
+        *[(F.col(name) + F.col(f"_off_{name}")).alias(name) for name in sums],
+        *[F.col(f"_all_{name}").alias(name) for name in stats],
+    )
 
 
-def positions_with_stats(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    stats: Mapping[str, Column],
-    *,
-    into: str = "pos",
-    hot_rows: int = HOT_ROWS,
+def positions(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, into: str = "pos", stats: Mapping[str, tuple[str, Column]] | None = None
 ) -> DataFrame:
-    """Positions plus whole-group aggregates; one shuffle while all groups are small."""
-    largest, _ = group_extent(df, keys)
-    if largest <= hot_rows:
-        whole = _partition(keys)
-        named = {name: agg.over(whole) for name, agg in stats.items()}
-        return df.withColumns({into: F.row_number().over(whole.orderBy(*order)).cast("long"), **named})
-    placed = positions(df, keys, order, into=into, hot_rows=hot_rows)
-    grouped = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return placed.join(grouped, _same(placed, grouped, keys)).select(placed["*"], *[grouped[n] for n in stats])
+    """Add the 1-based position of each row within ``keys``, and figures of the whole group."""
+    return running_sums(df, keys, order, {into: F.lit(1).cast("long")}, stats=stats)
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    *,
-    weight: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *, weight: str | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    Values are counted first, so what is ordered is distinct values, and no group is held in memory. The counts are
-    written to the shared folder: they are read several times, the data once. ``weight`` names a column of counts when
-    the caller has done that already.
+    Values are counted first, so what is ordered is distinct values, and no group is held in memory. ``weight`` names a
+    column of counts when the caller has done that already.
     """
     known = df.where(F.col(value).isNotNull())
-    if weight is None:
-        seen = checkpointed(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    else:
-        seen = known.groupBy(*keys, value).agg(F.sum(weight).alias("_c"))
-    ordered = running_sums(seen, keys, [value], {"_upto": F.col("_c")}, hot_rows=hot_rows)
-    totals = seen.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    if keys:
-        located = ordered.join(totals, _same(ordered, totals, keys)).select(ordered["*"], totals["_n"])
-    else:
-        located = ordered.withColumn("_n", totals.scalar())
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    seen = known.groupBy(*keys, value).agg(rows.alias("_c"))
+    located = running_sums(seen, keys, [value], {"_upto": F.col("_c")}, stats={"_n": ("sum", F.col("_c"))})
 
     def at(index: Column) -> Column:
         inside = (F.col("_upto") > index) & (F.col("_upto") - F.col("_c") <= index)

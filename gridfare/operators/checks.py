@@ -56,8 +56,9 @@ def count_grid_agreement(cells: DataFrame, *, image: str = "image") -> DataFrame
 
 
 def check_image_size(images: DataFrame, *, width: int = 800, height: int = 600) -> DataFrame:
-    """Images of any other size."""
-    return images.where(~((F.col("width") == width) & (F.col("height") == height)))
+    """Images of any other size, an unknown one included."""
+    good = (F.col("width") == width) & (F.col("height") == height)
+    return images.where(~F.coalesce(good, F.lit(False)))
 
 
 def edge_row_labels(cells: DataFrame) -> DataFrame:

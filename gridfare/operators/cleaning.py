@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfare.functions.columns import any_of, col, count_if
-from gridfare.functions.ranking import HOT_ROWS, positions
+from gridfare.functions.ranking import positions
 from gridfare.schemas import NO_PLAYER_RANGE
 
 # Words that mark a picture as no match scene.
@@ -44,11 +44,15 @@ def keyword_filter(images: DataFrame, texts: Sequence[str], *, words: Sequence[s
 
 
 def dedupe_by_hash(files: DataFrame, *, content: str = "content", name: str = "name") -> DataFrame:
-    """One row per content hash, the smallest name, with the number of copies. The content itself is not shuffled."""
+    """One row per content hash, the smallest name, with the number of copies. The content itself is not shuffled.
+
+    A file without content is no copy of another one: each name without content stays.
+    """
     digest = F.sha2(F.col(content).cast("binary"), 256)
     hashed = files.withColumn("sha256", digest).drop(content)
     rest = [c for c in hashed.columns if c != "sha256"]
-    kept = hashed.groupBy("sha256").agg(
+    unknown = F.when(F.col("sha256").isNull(), F.col(name))
+    kept = hashed.groupBy("sha256", unknown.alias("_unknown")).agg(
         F.min_by(F.struct(*rest), F.col(name)).alias("_k"), F.count(F.lit(1)).alias("copies")
     )
     return kept.select("_k.*", "sha256", "copies")
@@ -97,21 +101,20 @@ def sequential_rename(
     key: str = "name",
     no_player: str = "no_player",
     reserved: tuple[int, int] = NO_PLAYER_RANGE,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Old name to ``img_N.jpg``: images without players take the reserved numbers, the others the rest in key order.
 
-    Numbers come from running positions that spread over tasks, so no single task sorts a whole group. An overfull
-    reserved block is an error when the result is read.
+    Numbers come from running positions that spread over tasks, so no single task sorts a whole group. Images without
+    players that find the reserved block full go on after the highest number of all.
     """
     first, last = reserved
     size = last - first + 1
     grouped = images.withColumn("_np", F.when(F.col(no_player), 1).otherwise(0))
-    placed = positions(grouped, ["_np"], [key], into="_pos", hot_rows=hot_rows)
+    placed = positions(grouped, ["_np"], [key], into="_pos")
     skip = F.when(F.col("_pos") >= first, F.col("_pos") + size).otherwise(F.col("_pos"))
-    fits = F.when(F.col("_pos") <= size, F.col("_pos") + first - 1).otherwise(
-        F.raise_error(F.lit(f"more than {size} images for the reserved numbers {first}-{last}")).cast("long")
-    )
+    others = images.where(~F.coalesce(F.col(no_player), F.lit(False))).agg(F.count(F.lit(1))).scalar()
+    highest = F.greatest(F.when(others >= first, others + size).otherwise(others), F.lit(last))
+    fits = F.when(F.col("_pos") <= size, F.col("_pos") + first - 1).otherwise(highest + F.col("_pos") - size)
     number = F.when(F.col("_np") == 1, fits).otherwise(skip)
     kept = [c for c in images.columns]
     return placed.select(*kept, number.alias("image_num"), F.concat(F.lit("img_"), number, F.lit(".jpg")).alias("new_name"))
@@ -144,6 +147,6 @@ def duplicate_names(index: DataFrame) -> DataFrame:
 def missing_and_unreadable(annotated: DataFrame, files: DataFrame, *, name: str = "name", readable: Column) -> DataFrame:
     """Annotated names without a file (``missing``), and files that do not decode (``unreadable``)."""
     missing = annotated.select(name).distinct().join(files.select(name), name, "left_anti")
-    broken = files.where(~readable).select(name)
+    broken = files.where(~F.coalesce(readable, F.lit(False))).select(name)
     return missing.withColumn("problem", F.lit("missing")).unionByName(broken.withColumn("problem", F.lit("unreadable")))
 

@@ -55,14 +55,12 @@ def component_stats(
 
     A map is one record, so sizes are counted inside it: there is no shuffle.
     """
-    marked = planes
-    for t in thresholds:
-        marked = grid_components(marked, values=values, above=t, into=f"_l_{threshold_name(t)}")
-    sized = marked.withColumns(
-        {f"_s_{threshold_name(t)}": _component_sizes(F.col(f"_l_{threshold_name(t)}")) for t in thresholds}
-    )
+    names = [threshold_name(t) for t in thresholds]
+    run = kernels.threshold_labels_udf(names, [float(t) for t in thresholds])
+    marked = planes.withColumn("_labels", run(F.col(values), F.col("height"), F.col("width")))
+    sized = marked.withColumns({f"_s_{n}": _component_sizes(F.col(f"_labels.{n}")) for n in names})
     out = []
-    for n in map(threshold_name, thresholds):
+    for n in names:
         sizes = F.col(f"_s_{n}")
         occupied = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b)
         count = F.size(sizes).cast("long")

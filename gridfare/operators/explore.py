@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridfare.functions.columns import count_if, ratio
-from gridfare.functions.ranking import HOT_ROWS, exact_quantiles, positions
+from gridfare.functions.ranking import exact_quantiles, positions
 from gridfare.operators.grid import bin_region, melt_features
 from gridfare.schemas import GRID, TEAMS
 
@@ -81,37 +83,53 @@ def count_cell_corr(images: DataFrame, a: str = "count", b: str = "player_cells"
     return images.agg(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("corr"))
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str], *, limit: int = 40, per_pass: int = 120) -> DataFrame:
-    """Pearson correlations below the diagonal for the first ``limit`` features, in long form.
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlations below the diagonal of all features, in long form; null where a spread is zero.
 
-    Each pair ignores rows where either side is null. Pairs are aggregated ``per_pass`` at a time to keep the
-    generated code small.
+    Each pair ignores rows where either side is null. One scan: every task multiplies its rows into matrices of counts,
+    sums and products, whose size is the square of the number of columns whatever the input.
     """
-    chosen = list(columns)[:limit]
-    pairs = [(a, b) for b, a in combinations(chosen, 2)]
-    typed = _doubles(df, chosen)
-    parts = []
-    for start in range(0, len(pairs), per_pass):
-        some = pairs[start : start + per_pass]
-        row = typed.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in some])
-        cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in some]
-        parts.append(row.select(F.inline(F.array(*cells))))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def skewness_report(df: DataFrame, columns: Sequence[str], *, limit: float = 2.0, n: int = 10) -> DataFrame:
-    """The most skewed columns, with missing values and range; skew is the population figure."""
+    chosen = list(columns)
+    later, earlier = (np.array(x, dtype=np.int64) for x in zip(*[(j, i) for i, j in combinations(range(len(chosen)), 2)]))
+    figures = ["n", "xs", "ys", "xxs", "yys", "xys"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(figures), len(later)))
+        for batch in batches:
+            known = np.stack([np.asarray(c.is_valid()) for c in batch.columns], axis=1).astype(float)
+            x = np.stack([np.asarray(c.fill_null(0.0)) for c in batch.columns], axis=1)
+            n, s, squares, products = known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x
+            parts = [n[later, earlier], s[later, earlier], s[earlier, later], squares[later, earlier], squares[earlier, later]]
+            total += np.stack([*parts, products[later, earlier]])
+        yield pa.record_batch([pa.array(later), pa.array(earlier), *map(pa.array, total)], names=["i", "j", *figures])
+
+    shape = "i long, j long, " + ", ".join(f"{f} double" for f in figures)
+    found = _doubles(df, chosen).mapInArrow(sums, shape).groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in figures])
+    x_spread = F.col("xxs") - F.col("xs") * F.col("xs") / F.col("n")
+    y_spread = F.col("yys") - F.col("ys") * F.col("ys") / F.col("n")
+    together = F.col("xys") - F.col("xs") * F.col("ys") / F.col("n")
+    names = F.array(*map(F.lit, chosen))
+    corr = F.when((F.col("n") > 1) & (x_spread > 0) & (y_spread > 0), together / F.sqrt(x_spread * y_spread))
+    return found.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), corr.alias("corr"))
+
+
+def skewness_report(df: DataFrame, columns: Sequence[str], *, limit: float = 2.0) -> DataFrame:
+    """Skew, missing values and range of every column, the most right-skewed first; skew is the population figure."""
     measures = {"skew": F.skewness, "min": F.min, "max": F.max}
     aggs = [fn(c).alias(f"{m}|{c}") for c in columns for m, fn in measures.items()]
     aggs += [count_if(F.col(c).isNull()).alias(f"missing|{c}") for c in columns]
     rows = _long(_doubles(df, columns).agg(*aggs), columns, ["skew", "missing", "min", "max"])
-    ordered = rows.orderBy(F.abs("skew").desc_nulls_last(), "column").limit(n)
-    return ordered.withColumns(
+    return rows.orderBy(F.desc_nulls_last("skew"), "column").withColumns(
         {"range": F.col("max") - F.col("min"), "high": F.coalesce(F.abs("skew") > limit, F.lit(False))}
     )
 
 
-def describe_counts(df: DataFrame, column: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def most_skewed(report: DataFrame, *, n: int = 10) -> DataFrame:
+    """The top of the report among the columns whose skew is high."""
+    return report.where("high").orderBy(F.desc("skew"), "column").limit(n)
+
+
+def describe_counts(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum."""
     basics = df.agg(
         F.count(column).alias("n"),
@@ -120,15 +138,15 @@ def describe_counts(df: DataFrame, column: str, *, hot_rows: int = HOT_ROWS) ->
         F.min(column).alias("min"),
         F.max(column).alias("max"),
     )
-    middles = exact_quantiles(df, [], column, QUARTILES, hot_rows=hot_rows)
+    middles = exact_quantiles(df, [], column, QUARTILES)
     found = middles.select(F.struct(*QUARTILES)).scalar()
     return basics.withColumn("_q", found).select(*basics.columns, *[F.col(f"_q.{q}").alias(q) for q in QUARTILES])
 
 
-def fold_boxplot(df: DataFrame, by: str, value: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fold_boxplot(df: DataFrame, by: str, value: str) -> DataFrame:
     """Extremes and exact quartiles per fold or other small key."""
     ends = df.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    return ends.join(exact_quantiles(df, [by], value, QUARTILES, hot_rows=hot_rows), by)
+    return ends.join(exact_quantiles(df, [by], value, QUARTILES), by)
 
 
 def count_histogram(df: DataFrame, column: str, *, bins: int = 15) -> DataFrame:
@@ -149,7 +167,7 @@ def count_histogram(df: DataFrame, column: str, *, bins: int = 15) -> DataFrame:
 
 
 def class_distributions(
-    df: DataFrame, features: Sequence[str], *, by: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, features: Sequence[str], *, by: str
 ) -> DataFrame:
     """Extremes and quartiles of each feature within each class."""
     melted = melt_features(df, features, by=by)
@@ -157,7 +175,7 @@ def class_distributions(
     ends = melted.groupBy(*keys).agg(
         F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
-    return ends.join(exact_quantiles(melted, keys, "value", QUARTILES, hot_rows=hot_rows), keys)
+    return ends.join(exact_quantiles(melted, keys, "value", QUARTILES), keys)
 
 
 def team_presence(cells: DataFrame, *, image: str = "image") -> DataFrame:

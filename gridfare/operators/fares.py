@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfare.functions.columns import col, flag, half_even
-from gridfare.functions.ranking import HOT_ROWS, positions_with_stats
+from gridfare.functions.ranking import positions
 from gridfare.schemas import (
     CABIN,
     CURRENCY,
@@ -219,19 +219,9 @@ def pick_cheapest(results: DataFrame, *, search: str = "search_id", rank: str =
     return picked.select(search, "_p.*")
 
 
-def _ranked(results: DataFrame, search: str, rank: str, hot_rows: int) -> DataFrame:
-    return positions_with_stats(
-        results.where("price is not null"),
-        [search],
-        ["price", rank],
-        {
-            "num_results": F.count(F.lit(1)),
-            "_first": F.min(rank),
-            "_low": F.min("price"),
-        },
-        into="_pos",
-        hot_rows=hot_rows,
-    )
+def _ranked(results: DataFrame, search: str, rank: str) -> DataFrame:
+    stats = {"num_results": ("sum", F.lit(1)), "_first": ("min", F.col(rank)), "_low": ("min", F.col("price"))}
+    return positions(results.where("price is not null"), [search], ["price", rank], into="_pos", stats=stats)
 
 
 def _is_median() -> Column:
@@ -239,10 +229,10 @@ def _is_median() -> Column:
 
 
 def pick_median(
-    results: DataFrame, *, search: str = "search_id", rank: str = "rank", hot_rows: int = HOT_ROWS
+    results: DataFrame, *, search: str = "search_id", rank: str = "rank"
 ) -> DataFrame:
     """The middle of the stable price order (upper middle when even), unless it costs the same as the cheapest."""
-    return _ranked(results, search, rank, hot_rows).where(_is_median()).select(*results.columns)
+    return _ranked(results, search, rank).where(_is_median()).select(*results.columns)
 
 
 def fare_categories(
@@ -251,12 +241,11 @@ def fare_categories(
     *,
     search: str = "search_id",
     rank: str = "rank",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Best, Cheapest and Median rows of every search, or its NoFlights row.
 
-    Positions and group figures come from one shuffle by search; a result that serves several categories is
-    exploded, not read again.
+    Results are ordered by price inside price blocks of their search, so that a search of any size spreads over tasks;
+    a result that serves several categories is exploded, not read again.
     """
     names = F.array_compact(
         F.array(
@@ -265,18 +254,18 @@ def fare_categories(
             F.when(_is_median(), "Median"),
         )
     )
-    chosen = _ranked(results, search, rank, hot_rows).withColumn("flight_category", F.explode(names))
+    chosen = _ranked(results, search, rank).withColumn("flight_category", F.explode(names))
     chosen = chosen.drop("_pos", "_first", "_low")
     return tasks.join(chosen, search, "left").fillna({"flight_category": "NoFlights", "num_results": 0})
 
 
-def fare_rows(tasks: DataFrame, itineraries: DataFrame, *, now: str = "now", hot_rows: int = HOT_ROWS) -> DataFrame:
+def fare_rows(tasks: DataFrame, itineraries: DataFrame, *, now: str = "now") -> DataFrame:
     """Tasks and their itineraries to full version-4 rows, in file order.
 
     ``tasks``: search_id, origin, destination, days_out and the scrape time. ``itineraries``: search_id, rank and
     the columns of :func:`normalise_itineraries`.
     """
-    picked = fare_categories(tasks, itineraries, hot_rows=hot_rows)
+    picked = fare_categories(tasks, itineraries)
     dressed = clock_fields(clock_fields(picked, "departure_dt", prefix="Departure"), "arrival_dt", prefix="Arrival")
     dressed = booking_context(dressed, now, "days_out")
     priced = F.col("flight_category") != "NoFlights"

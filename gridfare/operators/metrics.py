@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfare.functions.columns import count_if, flag, half_even, ratio
-from gridfare.functions.ranking import HOT_ROWS, running_sums
+from gridfare.functions.ranking import running_sums
 from gridfare.operators.planes import BINS, to_hsv
-from gridfare.session import checkpointed
 
 THRESHOLDS = (0.30, 0.40, 0.50, 0.60, 0.70)
 
@@ -44,19 +43,18 @@ def binary_metrics(
 
 
 def curve_areas(
-    df: DataFrame, truth: str, score: str, *, keys: Sequence[str] = (), hot_rows: int = HOT_ROWS
+    df: DataFrame, truth: str, score: str, *, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Area under the ROC curve (trapezoid) and average precision; 0.5 for a single class.
 
-    Rows are reduced to distinct scores and written once; hits are then accumulated from the highest score down.
+    Rows are reduced to distinct scores; hits are then accumulated from the highest score down.
     """
     keys = list(keys)
     counts = df.groupBy(*keys, score).agg(
         count_if(F.col(truth) == 1).alias("_pos"), count_if(F.col(truth) != 1).alias("_neg")
     )
-    by_score = checkpointed(counts)
     sums = {"_tp": F.col("_pos"), "_fp": F.col("_neg")}
-    walked = running_sums(by_score, keys, [F.col(score).desc()], sums, hot_rows=hot_rows)
+    walked = running_sums(counts, keys, [score], sums, descending=True)
     precision = F.col("_tp") / (F.col("_tp") + F.col("_fp"))
     totals = walked.groupBy(*keys).agg(
         F.sum("_pos").alias("_p"),
@@ -72,13 +70,13 @@ def curve_areas(
     )
 
 
-def roc_auc(df: DataFrame, truth: str, score: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return curve_areas(df, truth, score, hot_rows=hot_rows).select("roc_auc")
+def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
+    return curve_areas(df, truth, score).select("roc_auc")
 
 
-def pr_auc(df: DataFrame, truth: str, score: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def pr_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Average precision: the sum of recall steps times precision."""
-    return curve_areas(df, truth, score, hot_rows=hot_rows).select("pr_auc")
+    return curve_areas(df, truth, score).select("pr_auc")
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str, classes: Sequence[int] = (0, 1)) -> DataFrame:
@@ -172,11 +170,12 @@ def multiclass_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def prediction_outcome(
-    df: DataFrame, actual: str, predicted: str, *, image: str = "image", images: int = 20
+    df: DataFrame, actual: str, predicted: str, *, image: str = "image", images: int | None = None
 ) -> DataFrame:
-    """Correct or wrong for every cell of a stable sample of images; the sample size is the operator's own."""
-    sample = df.select(image).distinct().orderBy(F.md5(image), image).limit(images)
-    shown = df.join(F.broadcast(sample), image, "left_semi")
+    """Correct or wrong for every cell; ``images`` takes a stable sample of so many images."""
+    shown = df
+    if images is not None:
+        shown = df.join(df.select(image).distinct().orderBy(F.md5(image), image).limit(images), image, "left_semi")
     right = F.col(actual) == F.col(predicted)
     text = F.when(right, F.lit("correct")).otherwise(F.concat_ws(" instead of ", F.col(predicted), F.col(actual)))
     return shown.select("*", flag(right).alias("correct"), text.alias("outcome"))

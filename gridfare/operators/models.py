@@ -19,17 +19,19 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfare.functions.ranking import HOT_ROWS, exact_quantiles
+from gridfare.functions.ranking import exact_quantiles
 from gridfare.operators import components as comp
 from gridfare.operators.metrics import binary_metrics, count_metrics, curve_areas, round_and_clip
 from gridfare.session import checkpointed
 
 FOLDS = (1, 2, 3, 4)
-PCA_SETTINGS: dict[str, float | None] = {"No PCA": None, "PCA 90%": 0.90, "PCA 95%": 0.95, "PCA 98%": 0.98}
+PCA_SETTINGS: dict[str, float | None] = {"whole": None, "share_90": 0.90, "share_95": 0.95, "share_98": 0.98}
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
 COUNT_METRICS = ["mae", "rmse", "exact_acc", "pm1_acc"]
 BUNDLE_KEYS = ["model1_pipeline", "model1_threshold", "model2_model", "cell_feature_cols", "count_feature_cols"]
 SEED = 42
+#: Deepest trees of a forest; Spark wants a bound and allows 30 at most.
+FOREST_DEPTH = 10
 
 
 def image_folds(df: DataFrame, fold: int, *, column: str = "fold_id") -> tuple[DataFrame, DataFrame]:
@@ -54,19 +56,19 @@ def balanced_weights(df: DataFrame, label: str, *, train: DataFrame | None = Non
     return df.withColumn("_w", weights).select(*[c for c in df.columns if c != into], F.try_element_at("_w", F.col(label)).alias(into))
 
 
-def column_medians(train: DataFrame, columns: Sequence[str], *, hot_rows: int = HOT_ROWS) -> dict[str, float]:
+def column_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact medians of the training rows; one number per column comes to the driver."""
     long = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "c", "x")
-    found = exact_quantiles(long.where(~F.isnan("x")), ["c"], "x", {"m": 0.5}, hot_rows=hot_rows).collect()
+    found = exact_quantiles(long.where(~F.isnan("x")), ["c"], "x", {"m": 0.5}).collect()
     medians = {row["c"]: float(row["m"]) for row in found}
     return {c: medians.get(c, 0.0) for c in columns}
 
 
 def impute_median(
-    df: DataFrame, columns: Sequence[str], *, train: DataFrame | None = None, hot_rows: int = HOT_ROWS
+    df: DataFrame, columns: Sequence[str], *, train: DataFrame | None = None
 ) -> DataFrame:
     """Missing values replaced by the training median of their column."""
-    medians = column_medians(df if train is None else train, columns, hot_rows=hot_rows)
+    medians = column_medians(df if train is None else train, columns)
     return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(m)) for c, m in medians.items()})
 
 
@@ -82,9 +84,9 @@ def standardise(df: DataFrame, columns: Sequence[str], *, train: DataFrame | Non
     return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scales.items()})
 
 
-def preparation(train: DataFrame, columns: Sequence[str], *, hot_rows: int = HOT_ROWS) -> PipelineModel:
+def preparation(train: DataFrame, columns: Sequence[str]) -> PipelineModel:
     """Median imputation and standardising as a saveable pipeline that adds the vector ``features``."""
-    medians = column_medians(train, columns, hot_rows=hot_rows)
+    medians = column_medians(train, columns)
     filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c) for c in columns])
     scales = column_scales(filled, columns)
     scaled = ", ".join(
@@ -112,16 +114,17 @@ def pca_by_variance(prepared: DataFrame, target: float, *, features: str = "feat
 
 
 def presence_classifiers(
-    *, features: str = "features", label: str = "player_present", weight: str = "weight", trees: int = 150, rounds: int = 100
-) -> dict[str, Estimator]:
+    *, features: str = "features", label: str = "player_present", weight: str = "weight", trees: int = 150, rounds: int = 100,
+    depth: int = FOREST_DEPTH,
+) -> dict[str, Estimator]:
     """Logistic regression, two forests and boosting. The last forest, without bootstrap, stands in for extra trees."""
     common = {"featuresCol": features, "labelCol": label, "weightCol": weight}
-    forest = {**common, "numTrees": trees, "maxDepth": 10, "seed": SEED}
+    forest = {**common, "numTrees": trees, "maxDepth": depth, "seed": SEED}
     return {
-        "LogisticReg": LogisticRegression(**common, maxIter=500),
-        "RandomForest": RandomForestClassifier(**forest),
-        "NoBootstrapForest": RandomForestClassifier(**forest, bootstrap=False, featureSubsetStrategy="onethird"),
-        "GradientBoost": GBTClassifier(**common, maxIter=rounds, maxDepth=3, stepSize=0.1, seed=SEED),
+        "logistic": LogisticRegression(**common, maxIter=500, standardization=False),
+        "forest": RandomForestClassifier(**forest),
+        "forest_no_bootstrap": RandomForestClassifier(**forest, bootstrap=False, featureSubsetStrategy="onethird"),
+        "boosting": GBTClassifier(**common, maxIter=rounds, maxDepth=3, stepSize=0.1, seed=SEED),
     }
 
 
@@ -132,10 +135,26 @@ def fit_presence(
     *,
     label: str = "player_present",
     variance: float | None = None,
+    prepared: PipelineModel | None = None,
+    strength: float = 1.0,
 ) -> tuple[PipelineModel, int | None]:
-    """Preparation, optional PCA and a classifier, all from the training rows."""
+    """Preparation, optional PCA and a classifier, all from the training rows.
+
+    ``prepared`` hands in the preparation when several models share their training rows. A logistic regression has a
+    ridge penalty: half the squared weights against ``strength`` times the summed weighted losses. Spark averages the
+    losses, and balanced weights add up to the number of rows, so its parameter is one over ``strength`` times that.
+    """
     held = train.select(*columns, label).persist()
-    prep = preparation(held, columns)
+    try:
+        return _fit_presence(held, estimator, columns, label, variance, prepared, strength)
+    finally:
+        held.unpersist()
+
+
+def _fit_presence(
+    held: DataFrame, estimator: Estimator, columns: Sequence[str], label: str, variance: float | None, prepared: PipelineModel | None, strength: float
+) -> tuple[PipelineModel, int | None]:
+    prep = prepared or preparation(held, columns)
     stages: list[Transformer] = [prep]
     ready, kept = prep.transform(held), None
     features = "features"
@@ -144,9 +163,13 @@ def fit_presence(
         stages.append(reduce_)
         ready, features = reduce_.transform(ready), "reduced"
     weighted = balanced_weights(ready, label, train=held).select(features, label, "weight").persist()
-    model = estimator.copy({estimator.featuresCol: features}).fit(weighted)
-    weighted.unpersist()
-    held.unpersist()
+    settings = {estimator.featuresCol: features}
+    try:
+        if isinstance(estimator, LogisticRegression):
+            settings[estimator.regParam] = 1.0 / (strength * max(weighted.count(), 1))
+        model = estimator.copy(settings).fit(weighted)
+    finally:
+        weighted.unpersist()
     return PipelineModel(stages=[*stages, model]), kept
 
 
@@ -164,17 +187,20 @@ def oof_predict(
     variance: float | None = None,
     folds: Sequence[int] = FOLDS,
     materialise: bool = True,
+    prepared: Mapping[int, PipelineModel] | None = None,
 ) -> DataFrame:
     """Every row scored by the model of the folds it is not in.
 
     Training passes over its rows many times, so they are written once to the shared folder unless the caller has.
+    ``prepared`` has the preparation of each fold when several calls share them.
     """
     needed = list(dict.fromkeys([*columns, *keep, label, "fold_id"]))
     data = checkpointed(cells.select(*needed)) if materialise else cells
     scored = []
     for fold in folds:
         train, valid = image_folds(data, fold)
-        model, _ = fit_presence(train, estimator, columns, label=label, variance=variance)
+        ready = (prepared or {}).get(fold)
+        model, _ = fit_presence(train, estimator, columns, label=label, variance=variance, prepared=ready)
         scored.append(positive_probability(model.transform(valid)).select(*keep, "p"))
     return reduce(DataFrame.unionByName, scored)
 
@@ -192,12 +218,14 @@ def experiment_grid(
     """Mean out-of-fold metrics per model and PCA setting, best F1 first. A failed experiment is a row with its error."""
     spark = cells.sparkSession
     data = checkpointed(cells.select(*columns, label, "fold_id"))
+    # Medians and scales depend on the fold alone.
+    prepared = {fold: preparation(image_folds(data, fold)[0], columns) for fold in folds}
 
     def run(name: str, estimator: Estimator, setting: str, variance: float | None) -> dict:
         try:
             scored = oof_predict(
                 data, estimator, columns, keep=[label, "fold_id"], label=label, variance=variance, folds=folds,
-                materialise=False,
+                materialise=False, prepared=prepared,
             )
             # A fold is the key on which both sides agree; each side has one row per fold.
             point = binary_metrics(scored, label, "p", keys=["fold_id"])
@@ -205,7 +233,7 @@ def experiment_grid(
             row = point.join(area, "fold_id").agg(*[F.avg(m).alias(m) for m in METRICS]).first()
             return {"model": name, "pca": setting, **row.asDict(), "error": None}
         except Exception as problem:  # noqa: BLE001 - the grid goes on and reports it
-            return {"model": name, "pca": setting, **dict.fromkeys(METRICS), "error": str(problem)[:200]}
+            return {"model": name, "pca": setting, **dict.fromkeys(METRICS), "error": str(problem)}
 
     chosen = presence_classifiers(label=label) if models is None else models
     jobs = [(n, e, s, v) for n, e in chosen.items() for s, v in settings.items()]
@@ -220,18 +248,20 @@ def experiment_grid(
 
 
 def count_regressors(
-    n: int, deviation: float, *, trees: int = 150, rounds: int = 100, alpha: float = 1.0
+    n: int, deviation: float, *, trees: int = 150, rounds: int = 100, alpha: float = 1.0, depth: int = FOREST_DEPTH
 ) -> dict[str, Estimator]:
-    """Ridge, forest and boosting for ``n`` training rows whose counts have this population deviation.
+    """Ridge, two forests (the second without bootstrap) and boosting for ``n`` training rows whose counts have this population deviation.
 
     Ridge penalises the raw sum of squares. Spark averages the loss and scales the label first, so the strength that
     means the same is ``alpha * deviation / n``.
     """
     common = {"featuresCol": "features", "labelCol": "count"}
+    forest = {**common, "numTrees": trees, "maxDepth": depth, "seed": SEED}
     return {
-        "Ridge": LinearRegression(**common, regParam=alpha * deviation / max(n, 1), elasticNetParam=0.0, standardization=False),
-        "RandomForest": RandomForestRegressor(**common, numTrees=trees, maxDepth=10, seed=SEED),
-        "GradBoost": GBTRegressor(**common, maxIter=rounds, maxDepth=3, stepSize=0.1, seed=SEED),
+        "ridge": LinearRegression(**common, regParam=alpha * deviation / max(n, 1), elasticNetParam=0.0, standardization=False),
+        "forest": RandomForestRegressor(**forest),
+        "forest_no_bootstrap": RandomForestRegressor(**forest, bootstrap=False, featureSubsetStrategy="onethird"),
+        "boosting": GBTRegressor(**common, maxIter=rounds, maxDepth=3, stepSize=0.1, seed=SEED),
     }
 
 
@@ -264,6 +294,22 @@ def oof_counts(
     return reduce(DataFrame.unionByName, parts)
 
 
+def two_stage_counts(
+    cells: DataFrame,
+    classifier: Estimator,
+    make: Callable[[int, float], Estimator],
+    columns: Sequence[str],
+    *,
+    keys: Sequence[str] = ("image", "count", "fold_id"),
+    label: str = "player_present",
+    folds: Sequence[int] = FOLDS,
+) -> DataFrame:
+    """Counts from the cells: out-of-fold presence, one map per image, its features, out-of-fold counts."""
+    presence = oof_predict(cells, classifier, columns, keep=[*keys, "cell_id"], label=label, folds=folds)
+    table = comp.count_feature_table(comp.assemble_map(presence, keys), keys)
+    return oof_counts(table, make, comp.count_feature_columns(), folds=folds, key=keys[0])
+
+
 def ablations(
     planes: DataFrame,
     make: Callable[[int, float], Estimator],
@@ -273,21 +319,21 @@ def ablations(
     folds: Sequence[int] = FOLDS,
 ) -> DataFrame:
     """Count metrics with parts of the map or of the features left out, best mean absolute error first."""
-    columns = comp.count_feature_columns()
-    placed = [c for c in columns if any(k in c for k in ("row_", "col_", "half", "middle"))]
-    shaped = [c for c in columns if "component" in c or "_occ" in c]
+    statistics, places = comp.STAT_FEATURES, comp.OCCUPANCY_FEATURES
+    every = comp.count_feature_columns()
+    shapes = every[len(statistics) + len(places) :]
     whole = checkpointed(comp.count_feature_table(planes, keys, values=values))
 
-    def part(first: int, last: int) -> DataFrame:
+    def rows_only(first: int, last: int) -> DataFrame:
         return comp.count_feature_table(comp.subset_map(planes, first, last, values=values), keys, values=values)
 
     runs = {
-        "All 64 cells (baseline)": (whole, columns),
-        "Upper half (rows 0-3)": (part(0, 3), columns),
-        "Middle rows (1-6)": (part(1, 6), columns),
-        "No coordinate features": (whole, [c for c in columns if c not in placed]),
-        "Prob stats only (no CC)": (whole, [c for c in columns if c not in shaped]),
-        "CC features only": (whole, shaped),
+        "everything": (whole, every),
+        "map rows 0 to 3": (rows_only(0, 3), every),
+        "map rows 1 to 6": (rows_only(1, 6), every),
+        "without places": (whole, [*statistics, *shapes]),
+        "without components": (whole, [*statistics, *places]),
+        "components alone": (whole, shapes),
     }
     results = []
     for label, (table, chosen) in runs.items():
@@ -359,11 +405,11 @@ def feature_importance(spark: SparkSession, model: Transformer, columns: Sequenc
 
 
 def team_classifier(
-    train: DataFrame, columns: Sequence[str], *, label: str = "label", trees: int = 100
+    train: DataFrame, columns: Sequence[str], *, label: str = "label", trees: int = 100, depth: int = FOREST_DEPTH
 ) -> PipelineModel:
     """Forest over the eleven labels with balanced weights."""
     forest = RandomForestClassifier(
-        featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=10, seed=SEED
+        featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED
     )
     return fit_presence(train, forest, columns, label=label)[0]
 

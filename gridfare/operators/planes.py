@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from gridfare.functions import kernels
 from gridfare.functions.columns import bound, col, count_if, ratio, total
-from gridfare.functions.ranking import HOT_ROWS, exact_quantiles
+from gridfare.functions.ranking import exact_quantiles
 from gridfare.schemas import CELL_HEIGHT, CELL_WIDTH
 
 BINS = 32
@@ -122,32 +122,32 @@ def dominant_colour(
     *,
     patch: Sequence[str] = ("image", "cell_row", "cell_col"),
     label: str = "label",
-    patches: int = 10,
+    patches: int | None = None,
     grass: tuple[float, float] = GRASS_HUE,
 ) -> DataFrame:
-    """Mean colour of up to ten patches per team without their grass-coloured pixels.
+    """Mean colour of the patches of each team without their grass-coloured pixels.
 
-    The patch limit is the operator's own; Spark applies it before the shuffle as well as after.
+    ``patches`` takes a stable sample of so many patches a team; Spark applies it before the shuffle as well as after.
     """
-    stamp = F.md5(F.concat_ws("|", *patch))
-    found = pixels.where(F.col(label) > 0).select(label, *patch).distinct()
-    order = Window.partitionBy(label).orderBy(stamp, *patch)
-    chosen = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= patches).drop("_n")
-    # At most ten patches for each of ten teams come back.
-    kept = to_hsv(pixels.join(F.broadcast(chosen), [label, *patch], "left_semi"))
+    own = pixels.where(F.col(label) > 0)
+    if patches is not None:
+        order = Window.partitionBy(label).orderBy(F.md5(F.concat_ws("|", *patch)), *patch)
+        found = own.select(label, *patch).distinct().withColumn("_n", F.row_number().over(order))
+        own = own.join(found.where(F.col("_n") <= patches).drop("_n"), [label, *patch], "left_semi")
+    kept = to_hsv(own)
     kept = kept.where(~F.col("h").between(*grass))
     return kept.groupBy(label).agg(F.count(F.lit(1)).alias("pixels"), *[F.avg(c).alias(f"mean_{c}") for c in "rgbhsv"])
 
 
 def colour_shift_profile(
-    df: DataFrame, group: str, channels: Sequence[str], *, hot_rows: int = HOT_ROWS
+    df: DataFrame, group: str, channels: Sequence[str]
 ) -> DataFrame:
     """Spread of each channel within each lighting group: deviation and the middle half."""
     long = df.select(group, *[F.col(c).cast("double").alias(c) for c in channels])
     long = long.unpivot([group], list(channels), "channel", "level")
     keys = [group, "channel"]
     spread = long.groupBy(*keys).agg(F.stddev_pop("level").alias("std"), F.avg("level").alias("mean"))
-    ends = exact_quantiles(long, keys, "level", {"q25": 0.25, "q75": 0.75}, hot_rows=hot_rows)
+    ends = exact_quantiles(long, keys, "level", {"q25": 0.25, "q75": 0.75})
     return spread.join(ends, keys).withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
@@ -235,10 +235,12 @@ def glcm_features(cells: DataFrame, keys: Sequence[str], *, values: str = "level
     step = 256 // levels
     rows = _with_neighbours(cells, keys, values, ANGLES)
     here = F.floor(F.col("c") / step)
-    # Angle and both levels travel as one number; a pair that leaves the cell has none.
-    codes = [
-        (a * levels * levels + here * levels + F.floor(F.col(f"n{a}") / step)).cast("int") for a in range(len(ANGLES))
-    ]
+    # Angle and both levels, the lower first, travel as one number; a pair that leaves the cell has none.
+    codes = []
+    for a in range(len(ANGLES)):
+        there = F.floor(F.col(f"n{a}") / step)
+        ordered = F.least(here, there) * levels + F.greatest(here, there)
+        codes.append(F.when(there.isNotNull(), a * levels * levels + ordered).cast("int"))
     one_way = rows.select(*keys, F.explode(F.array(*codes)).alias("code")).where("code is not null")
     counts = one_way.groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("n")).select(
         *keys,
@@ -247,17 +249,17 @@ def glcm_features(cells: DataFrame, keys: Sequence[str], *, values: str = "level
         (F.col("code") % levels).cast("long").alias("j"),
         "n",
     )
-    both = counts.unionByName(counts.select(*keys, "angle", F.col("j").alias("i"), F.col("i").alias("j"), "n"))
-    n, gap = F.col("n"), F.col("i") - F.col("j")
-    cells_ = both.groupBy(*keys, "angle", "i", "j").agg(F.sum("n").alias("n"))
-    sums = cells_.groupBy(*keys, "angle").agg(
-        F.sum("n").alias("t"),
-        F.sum(n * gap * gap).alias("contrast"),
-        F.sum(n / (1 + gap * gap)).alias("homogeneity"),
-        F.sum(n * n).alias("asm"),
-        F.sum(n * F.col("i")).alias("si"),
-        F.sum(n * F.col("i") * F.col("i")).alias("sii"),
-        F.sum(n * F.col("i") * F.col("j")).alias("sij"),
+    # A pair stands for two entries of the symmetric matrix, or for one of twice its count on the diagonal.
+    n, i, j = F.col("n"), F.col("i"), F.col("j")
+    gap = i - j
+    sums = counts.groupBy(*keys, "angle").agg(
+        F.sum(2 * n).alias("t"),
+        F.sum(2 * n * gap * gap).alias("contrast"),
+        F.sum(2 * n / (1 + gap * gap)).alias("homogeneity"),
+        F.sum(F.when(i == j, 4 * n * n).otherwise(2 * n * n)).alias("asm"),
+        F.sum(n * (i + j)).alias("si"),
+        F.sum(n * (i * i + j * j)).alias("sii"),
+        F.sum(2 * n * i * j).alias("sij"),
     )
     t = F.col("t")
     # Symmetric counts: both margins share mean and variance. Integers keep the variance test exact.
@@ -292,10 +294,14 @@ def gaussian_blur(planes: DataFrame, *, values: str = "level", into: str = "blur
 
 
 def edge_maps(
-    planes: DataFrame, *, values: str = "level", low: float = 50, high: float = 150, smooth: bool = True
-) -> DataFrame:
-    """``gx``, ``gy``, ``laplacian`` and ``edge`` planes of the (blurred) input, computed once per image."""
-    run = kernels.edge_maps_udf(low, high, smooth)
+    planes: DataFrame, *, values: str = "level", low: float = 50, high: float = 150, smooth: bool = True,
+    cell: tuple[int, int] | None = None,
+) -> DataFrame:
+    """``gx``, ``gy``, ``laplacian`` and ``edge`` planes of the (blurred) input, computed once per image.
+
+    With the height and width of a ``cell``, ``contour`` marks each outer contour of a cell at one of its pixels.
+    """
+    run = kernels.edge_maps_udf(low, high, smooth, cell)
     maps = planes.withColumn("_m", run(F.col(values), F.col("height"), F.col("width")))
     return maps.select(*planes.columns, "_m.*")
 
@@ -338,14 +344,44 @@ def edge_cell_stats(
     rows = explode_pixels(maps.select(*keys, "height", "width", "edge", "gx", "gy", "laplacian"),
                           ["edge", "gx", "gy", "laplacian"])
     placed = assign_cell(rows, cell_height=cell_height, cell_width=cell_width)
+    return placed.groupBy(*keys, "cell_row", "cell_col").agg(*_edge_figures())
+
+
+def _edge_figures() -> list[Column]:
     strength = magnitude(F.col("gx"), F.col("gy"))
-    return placed.groupBy(*keys, "cell_row", "cell_col").agg(
+    return [
         (F.sum("edge") / F.count(F.lit(1))).alias("f_edge_density"),
         F.sum("edge").alias("f_canny_count"),
         F.avg(strength).alias("f_sobel_mean"),
         F.stddev_pop(strength).alias("f_sobel_std"),
         F.var_pop("laplacian").alias("f_laplacian_var"),
-    )
+    ]
+
+
+def edge_table(
+    planes: DataFrame,
+    keys: Sequence[str],
+    *,
+    values: str = "level",
+    cell_height: int = CELL_HEIGHT,
+    cell_width: int = CELL_WIDTH,
+    low: float = 50,
+    high: float = 150,
+    smooth: bool = True,
+) -> DataFrame:
+    """All 42 edge columns of each cell: edge statistics, outer contours and 36 gradient shares.
+
+    One Arrow pass gives all maps of a plane, one explosion its pixels, and one aggregate, which combines before the
+    shuffle, every figure.
+    """
+    maps = edge_maps(planes, values=values, low=low, high=high, smooth=smooth, cell=(cell_height, cell_width))
+    names = ["edge", "gx", "gy", "laplacian", "contour"]
+    placed = assign_cell(explode_pixels(maps.select(*keys, "height", "width", *names), names), cell_height=cell_height, cell_width=cell_width)
+    sums, shares = _gradient_shares(cell_height, cell_width, 2, 9)
+    cell = [*keys, "cell_row", "cell_col"]
+    contours = F.sum("contour").alias("f_contour_count")
+    figures = placed.groupBy(*cell).agg(*_edge_figures(), contours, *sums)
+    return figures.select(*[c for c in figures.columns if not c.startswith("_h")], *shares)
 
 
 def external_contour_count(
@@ -383,6 +419,13 @@ def hog_36(
     """Magnitude-weighted orientation shares of 2x2 patches per cell, ``f_hog_000``..; an empty patch stays 0."""
     rows = explode_pixels(maps.select(*keys, "height", "width", "gx", "gy"), ["gx", "gy"])
     placed = assign_cell(rows, cell_height=cell_height, cell_width=cell_width)
+    sums, shares = _gradient_shares(cell_height, cell_width, patches, bins)
+    cell = [*keys, "cell_row", "cell_col"]
+    return placed.groupBy(*cell).agg(*sums).select(*cell, *shares)
+
+
+def _gradient_shares(cell_height: int, cell_width: int, patches: int, bins: int) -> tuple[list[Column], list[Column]]:
+    """Aggregates ``_h0``.. of gradient strength by patch and direction, and the shares made of them."""
     gx, gy = F.col("gx"), F.col("gy")
 
     def patch(offset: Column, length: int) -> Column:
@@ -390,18 +433,15 @@ def hog_36(
         return total([F.when(offset >= cut, 1).otherwise(0) for cut in cuts])
 
     where = patch(F.col("y") % cell_height, cell_height) * patches + patch(F.col("x") % cell_width, cell_width)
-    code = where * bins + _bin(orientation(gx, gy), 0, 180, bins)
-    weighed = placed.select(*keys, "cell_row", "cell_col", code.cast("int").alias("code"), magnitude(gx, gy).alias("m"))
-    cell = [*keys, "cell_row", "cell_col"]
+    code = (where * bins + _bin(orientation(gx, gy), 0, 180, bins)).cast("int")
     size = patches * patches * bins
-    sums = weighed.groupBy(*cell).agg(*[F.sum(F.when(F.col("code") == k, F.col("m")).otherwise(0.0)).alias(f"h{k}")
-                                        for k in range(size)])
-    out = []
+    sums = [F.sum(F.when(code == k, magnitude(gx, gy)).otherwise(0.0)).alias(f"_h{k}") for k in range(size)]
+    shares = []
     for k in range(size):
         first = k // bins * bins
-        whole = total([F.col(f"h{j}") for j in range(first, first + bins)])
-        out.append(ratio(F.col(f"h{k}"), whole).alias(f"f_hog_{k:03d}"))
-    return sums.select(*cell, *out)
+        whole = total([F.col(f"_h{j}") for j in range(first, first + bins)])
+        shares.append(ratio(F.col(f"_h{k}"), whole).alias(f"f_hog_{k:03d}"))
+    return sums, shares
 
 
 def _central_gradients(cells: DataFrame, keys: Sequence[str], values: str) -> DataFrame:
@@ -483,20 +523,12 @@ def contour_summary(
 ) -> DataFrame:
     """Outer contours of the closed edge map by area, and edge densities, per image.
 
-    The area of a contour is its number of pixels.
+    The area of a contour is its number of pixels. Areas are counted where the map is: nothing is shuffled.
     """
-    closed = _apply(morph_close(maps), "closed", _outer_labels, "_o", "bigint")
-    rows = explode_pixels(closed.select(*keys, "height", "width", "edge", "_o"), ["edge", "_o"])
-    sizes = rows.where("_o > 0").groupBy(*keys, "_o").agg(F.count(F.lit(1)).alias("area"))
-    kept = F.col("area").between(min_area, max_area)
-    contours = sizes.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("f_raw_contour_count"),
-        count_if(kept).alias("f_filtered_contour_count"),
-        count_if(F.col("area") > max_area // 2).alias("f_large_contour_count"),
-        F.coalesce(F.avg(F.when(kept, F.col("area"))), F.lit(0.0)).alias("f_mean_contour_area"),
-        F.coalesce(F.max(F.when(kept, F.col("area"))), F.lit(0)).alias("f_max_contour_area"),
-        F.coalesce(F.sum(F.when(kept, F.col("area"))), F.lit(0)).alias("f_total_contour_area"),
-    )
+    found = maps.withColumn("_areas", kernels.areas_udf()(F.col("edge"), F.col("height"), F.col("width"))["areas"])
+    areas, whole = F.col("_areas"), F.lit(0).cast("long")
+    kept = F.filter(areas, lambda a: a.between(min_area, max_area))
+    covered = F.aggregate(kept, whole, lambda s, a: s + a)
     half = F.floor(F.col("height") / 2)
     line = F.when(F.col("height") > 0, half * F.col("width"))
 
@@ -505,15 +537,19 @@ def contour_summary(
 
     split = (half * F.col("width")).cast("int")
     upper, lower = ones(F.slice("edge", 1, split)), ones(F.slice("edge", split + 1, F.size("edge")))
-    densities = maps.select(
+    return found.select(
         *keys,
+        F.size(areas).cast("long").alias("f_raw_contour_count"),
+        F.size(kept).cast("long").alias("f_filtered_contour_count"),
+        F.size(F.filter(areas, lambda a: a > max_area // 2)).cast("long").alias("f_large_contour_count"),
+        F.when(F.size(kept) > 0, covered / F.size(kept)).otherwise(0.0).alias("f_mean_contour_area"),
+        F.coalesce(F.array_max(kept), whole).alias("f_max_contour_area"),
+        covered.alias("f_total_contour_area"),
         (upper + lower).alias("f_edge_pixel_count"),
         ((upper + lower) / (F.col("height") * F.col("width"))).alias("f_edge_density"),
         (upper / F.greatest(line, F.lit(1))).alias("f_upper_half_edge_density"),
         (lower / F.greatest(line, F.lit(1))).alias("f_lower_half_edge_density"),
     )
-    joined = densities.join(contours, list(keys), "left")
-    return joined.fillna(0, [c for c in contours.columns if c not in keys])
 
 
 # ---- export ----

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridfare.functions.columns import any_of, count_if, ratio
-from gridfare.functions.ranking import HOT_ROWS, exact_quantiles
+from gridfare.functions.ranking import exact_quantiles
 from gridfare.schemas import (
     DATA_SOURCES,
     EXIT_GATE,
     EXIT_OK,
     FARE_COLUMNS,
     FLIGHT_CATEGORIES,
+    HORIZONS,
     MAX_PRICE,
     MIN_PRICE,
     MIN_SUCCESS_RATE,
@@ -24,7 +25,6 @@ from gridfare.schemas import (
     SCHEMA_VERSION,
     STALE_HOURS,
 )
-from gridfare.session import checkpointed
 
 
 def _text(name: str) -> Column:
@@ -178,8 +178,11 @@ def plausibility_audit(fares: DataFrame, *, min_price: float = MIN_PRICE, max_pr
     )
 
 
-def _listed(name: str) -> Column:
-    return F.array_join(F.sort_array(F.collect_set(F.col(name).cast("string"))), ",")
+def _listed(name: str, domain: Sequence[object]) -> Column:
+    """The values of a stated domain that occur, and ``other`` for any outside it: a set no larger than the domain."""
+    value = F.col(name).cast("string")
+    known = F.when(value.isin([str(v) for v in domain]), value).when(value.isNotNull(), "other")
+    return F.array_join(F.sort_array(F.collect_set(known)), ",")
 
 
 def dataset_profile(fares: DataFrame) -> DataFrame:
@@ -189,10 +192,10 @@ def dataset_profile(fares: DataFrame) -> DataFrame:
         F.min("Scrape_Timestamp").alias("first_scrape"),
         F.max("Scrape_Timestamp").alias("last_scrape"),
         F.countDistinct("Source_City", "Destination_City").alias("routes"),
-        _listed("Schema_Version").alias("versions"),
-        _listed("Flight_Category").alias("categories"),
-        _listed("Data_Source").alias("sources"),
-        _listed("Days_to_Departure").alias("horizons"),
+        _listed("Schema_Version", range(1, SCHEMA_VERSION + 1)).alias("versions"),
+        _listed("Flight_Category", FLIGHT_CATEGORIES).alias("categories"),
+        _listed("Data_Source", DATA_SOURCES).alias("sources"),
+        _listed("Days_to_Departure", HORIZONS).alias("horizons"),
     )
 
 
@@ -214,12 +217,12 @@ def integrity_counts(fares: DataFrame) -> DataFrame:
     return sets.select(by.alias("by"), F.coalesce("month", "version", "category").alias("value"), "n_rows", "routes")
 
 
-def lead_time_bands(fares: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def lead_time_bands(fares: DataFrame) -> DataFrame:
     """Fare statistics by horizon, departure weekday, booking weekday and category."""
     keys = ["Days_to_Departure", "Day_of_Week", "Booking_Day_Of_Week", "Flight_Category"]
     # Counted per price once; the basic figures and the quantiles both read the counts.
     priced = fares.where("Price_INR is not null")
-    counts = checkpointed(priced.groupBy(*keys, "Price_INR").agg(F.count(F.lit(1)).alias("_rows")))
+    counts = priced.groupBy(*keys, "Price_INR").agg(F.count(F.lit(1)).alias("_rows"))
     price, rows = F.col("Price_INR"), F.col("_rows")
     basics = counts.groupBy(*keys).agg(
         F.sum(rows).alias("n"),
@@ -228,7 +231,7 @@ def lead_time_bands(fares: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.max(price).alias("max_price"),
     )
     middles = exact_quantiles(
-        counts, keys, "Price_INR", {"q25": 0.25, "median_price": 0.5, "q75": 0.75}, weight="_rows", hot_rows=hot_rows
+        counts, keys, "Price_INR", {"q25": 0.25, "median_price": 0.5, "q75": 0.75}, weight="_rows"
     )
     return basics.join(middles, keys)
 

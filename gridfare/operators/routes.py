@@ -10,19 +10,14 @@ from pyspark.sql import functions as F
 from gridfare.functions.columns import col
 from gridfare.schemas import BATCHES, DISPLAY_ZONE, HORIZONS, ROTATION_EPOCH
 
-MAX_CODES = 2_000
 
-
-def route_universe(airports: DataFrame, *, code: str = "code", max_codes: int = MAX_CODES) -> DataFrame:
+def route_universe(airports: DataFrame, *, code: str = "code") -> DataFrame:
     """All ordered pairs of distinct codes, with their index in sorted order.
 
-    The output is quadratic by definition, so the code list is checked to be small first. Pairs come from
-    exploding one sorted array, and the index is arithmetic: no join and no global window.
+    The output is quadratic in the codes by definition. Pairs come from exploding one sorted array of codes, and the
+    index is arithmetic: no join and no global window.
     """
     codes = airports.select(F.col(code).alias("code")).where("code is not null").distinct()
-    found = codes.limit(max_codes + 1).count()
-    if found > max_codes:
-        raise ValueError(f"more than {max_codes} airport codes; pass a larger max_codes if that is intended")
     listed = codes.agg(F.sort_array(F.collect_set("code")).alias("codes")).withColumn("n", F.size("codes"))
     origins = listed.select("codes", "n", F.posexplode("codes").alias("i", "origin"))
     pairs = origins.select("n", "i", "origin", F.posexplode("codes").alias("j", "destination")).where("i <> j")
@@ -135,17 +130,15 @@ def cap_tasks(
 def route_coverage(routes: DataFrame, run_days: DataFrame, *, day: str = "day", batches: int = BATCHES) -> DataFrame:
     """Routes not covered exactly once in a rotation window, from the days on which a run took place.
 
-    Counts are per batch and window, so only the faulty windows meet the route table.
+    All windows from the first to the last run count, also those without any run. Runs are counted per window and batch,
+    so only the faulty pairs meet the route table, whose rows they multiply by definition.
     """
     turns = rotation_index(run_days, day, batches=batches)
     times = turns.groupBy("cycle", "batch_index").agg(F.count(F.lit(1)).alias("times"))
-    # Batches of a window as fixed slots: a batch that never ran still gets its row.
-    slots = times.groupBy("cycle").agg(
-        *[F.sum(F.when(F.col("batch_index") == b, F.col("times"))).alias(f"b{b}") for b in range(batches)]
-    )
-    filled = slots.select(
-        "cycle",
-        F.posexplode(F.array(*[F.coalesce(F.col(f"b{b}"), F.lit(0)) for b in range(batches)])).alias("batch", "times"),
-    ).where("times <> 1")
+    ends = times.agg(F.min("cycle").alias("first"), F.max("cycle").alias("last")).where("first IS NOT NULL")
+    windows = ends.select(F.explode(F.sequence("first", "last")).alias("cycle"))
+    wanted = windows.select("cycle", F.explode(F.array(*[F.lit(b).cast("long") for b in range(batches)])).alias("batch"))
+    ran = times.withColumnRenamed("batch_index", "batch")
+    filled = wanted.join(ran, ["cycle", "batch"], "left").fillna(0, ["times"]).where("times <> 1")
     batched = assign_batches(routes, batches=batches)
     return filled.join(batched, "batch").select("cycle", "origin", "destination", F.col("times").cast("long"))

@@ -104,12 +104,14 @@ query("cleaning_funnel", f"WITH {FILES} " + " UNION ALL ".join(_stage_sql(i) for
 )
 query(
     "sequential_rename",
-    f"""WITH {FILES}, r AS (SELECT name, row_number() OVER (PARTITION BY lang = 'de' ORDER BY name) AS p, lang = 'de' AS np
-      FROM files), n AS (SELECT name, CASE WHEN np THEN p + 250 WHEN p >= 251 THEN p + 1000000 ELSE p END AS image_num FROM r)
+    f"""WITH {FILES}, r AS (SELECT name, row_number() OVER (PARTITION BY lang = 'de' ORDER BY name) AS p, lang = 'de' AS np,
+      count(*) FILTER (lang <> 'de') OVER () AS others FROM files),
+    n AS (SELECT name, CASE WHEN NOT np THEN CASE WHEN p >= 251 THEN p + 37 ELSE p END WHEN p <= 37 THEN p + 250
+      ELSE greatest(CASE WHEN others >= 251 THEN others + 37 ELSE others END, 287) + p - 37 END AS image_num FROM r)
     SELECT name, image_num, 'img_' || image_num || '.jpg' AS new_name FROM n""",
 )(
     lambda spark, sf: cleaning.sequential_rename(
-        _files(spark, sf).select("name", (F.col("lang") == "de").alias("no_player")), reserved=(251, 1_000_250)
+        _files(spark, sf).select("name", (F.col("lang") == "de").alias("no_player"))
     ).drop("no_player")
 )
 query(
@@ -141,11 +143,12 @@ query(
     "missing_and_unreadable",
     """SELECT DISTINCT 'd' || doc_id AS name, 'missing' AS problem FROM labels
       WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'fr')
-    UNION ALL SELECT 'd' || doc_id, 'unreadable' FROM documents WHERE lang <> 'fr' AND n_chars % 10 = 0""",
+    UNION ALL SELECT CASE WHEN lang = 'fr' THEN 'moved_' ELSE 'd' END || doc_id, 'unreadable' FROM documents
+      WHERE n_chars % 10 = 0""",
 )(
     lambda spark, sf: cleaning.missing_and_unreadable(
         fx.table(spark, sf, "labels").selectExpr("concat('d', doc_id) AS name"),
-        fx.table(spark, sf, "documents").where("lang <> 'fr'").selectExpr("concat('d', doc_id) AS name", "n_chars"),
+        fx.table(spark, sf, "documents").selectExpr("concat(IF(lang = 'fr', 'moved_', 'd'), doc_id) AS name", "n_chars"),
         readable=F.col("n_chars") % 10 != 0,
     )
 )

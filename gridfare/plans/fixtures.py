@@ -9,15 +9,10 @@ from gridfare.operators.fares import normalise_itineraries
 from gridfare.schemas import FARE_COLUMNS
 
 
-def table(spark: SparkSession, sf: str, name: str, *, spread: bool = False) -> DataFrame:
-    """One driver table. ``spread`` shares the rows of a single file among all cores before costly expressions.
-
-    A table of many files is already shared and is left as it is.
-    """
+def table(spark: SparkSession, sf: str, name: str, *, spread: str | None = None) -> DataFrame:
+    """One driver table; ``spread`` names a key to deal its rows out by before costly expressions."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    if spread and len(df.inputFiles()) == 1:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), spread) if spread else df
 
 
 # ---- fares ----
@@ -84,7 +79,7 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
         f" 'plane_type', concat('A', CAST(l_partkey % 5 + 318 AS STRING)))"
     )
     legs = f"transform(slice(array(1, 2, 3), 1, l_linenumber % 4), i -> {leg})"
-    return table(spark, sf, "lineitem", spread=True).selectExpr(
+    return table(spark, sf, "lineitem", spread="l_orderkey").selectExpr(
         "l_orderkey AS search_id",
         "struct(l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank",
         "l_partkey AS part",
@@ -103,7 +98,7 @@ def itineraries(spark: SparkSession, sf: str) -> DataFrame:
 
 def fares(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as finished fare rows with planted faults; the columns not listed here are null."""
-    row = table(spark, sf, "lineitem", spread=True).selectExpr(
+    row = table(spark, sf, "lineitem", spread="l_orderkey").selectExpr(
         "CAST(IF(l_partkey % 11 = 0, 3, 4) AS BIGINT) AS Schema_Version",
         "date_format(l_shipdate + make_dt_interval(0, 0, 0, l_orderkey * 37 % 86400), 'yyyy-MM-dd HH:mm:ss') "
         "AS Scrape_Timestamp",
@@ -135,7 +130,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     unpriced = f"'{{\"price\":null,\"type\":\"x\",\"airlines\":[],\"legs\":[],{carbon}}}'"
     bad = f"IF(k % 2 = 0, '{{\"legs\":[],{carbon}}}', '{{\"price\":7}}')"
     return (
-        table(spark, sf, "events", spread=True)
+        table(spark, sf, "events", spread="event_id")
         .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
         .selectExpr(
             "event_id AS page_id",
@@ -171,12 +166,13 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- grids ----
 
-FOLD_SPLIT = [125, 250, 375]
+#: Folds of equal share at every size.
+FOLD = "CAST(image_num % 4 + 1 AS BIGINT) AS fold_id"
 
 
 def planes(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as images holding one 8x8 plane, row-major."""
-    return table(spark, sf, "embeddings", spread=True).selectExpr(
+    return table(spark, sf, "embeddings", spread="vec_id").selectExpr(
         "vec_id",
         "concat('img_', vec_id + 1, '.jpg') AS image",
         "vec_id + 1 AS image_num",
@@ -217,8 +213,7 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
         "CAST(label AS BIGINT) AS label",
         "IF(label > 0, 1L, 0L) AS player_present",
         "v[cell_id] AS v",
-        f"CAST(CASE WHEN image_num <= {FOLD_SPLIT[0]} THEN 1 WHEN image_num <= {FOLD_SPLIT[1]} THEN 2 "
-        f"WHEN image_num <= {FOLD_SPLIT[2]} THEN 3 ELSE 4 END AS BIGINT) AS fold_id",
+        FOLD,
     )
 
 
@@ -260,12 +255,10 @@ def maps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def map_planes(spark: SparkSession, sf: str) -> DataFrame:
-    fold = f"CAST(CASE WHEN image_num <= {FOLD_SPLIT[0]} THEN 1 WHEN image_num <= {FOLD_SPLIT[1]} THEN 2 " \
-           f"WHEN image_num <= {FOLD_SPLIT[2]} THEN 3 ELSE 4 END AS BIGINT) AS fold_id"
     return _labelled(spark, sf).selectExpr(
         "image",
         "CAST(count AS BIGINT) AS count",
-        fold,
+        FOLD,
         "height",
         "width",
         "transform(v, x -> least(1D, greatest(0D, x + 0.5D))) AS map",
@@ -285,13 +278,11 @@ def cell_features(spark: SparkSession, sf: str) -> DataFrame:
     maps_ = pl.laplacian(pl.gaussian_blur(base, values="v", into="blur"), values="v", into="lap")
     zipped = F.posexplode(F.arrays_zip("labels", "blur", "lap")).alias("cell_id", "z")
     rows = maps_.select("image", "image_num", "count", zipped)
-    fold = f"CAST(CASE WHEN image_num <= {FOLD_SPLIT[0]} THEN 1 WHEN image_num <= {FOLD_SPLIT[1]} THEN 2 " \
-           f"WHEN image_num <= {FOLD_SPLIT[2]} THEN 3 ELSE 4 END AS BIGINT) AS fold_id"
     return rows.selectExpr(
         "image",
         "CAST(cell_id AS BIGINT) AS cell_id",
         "CAST(count AS BIGINT) AS count",
-        fold,
+        FOLD,
         "CAST(z.labels AS BIGINT) AS label",
         "IF(z.labels > 0, 1L, 0L) AS player_present",
         "IF(cell_id % 17 = 3, NULL, z.blur) AS f_blur",

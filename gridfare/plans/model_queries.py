@@ -127,8 +127,7 @@ query(
 )
 query(
     "prediction_outcome",
-    f"""WITH {CELLS}, s AS (SELECT image FROM (SELECT DISTINCT image FROM cells) ORDER BY md5(image), image LIMIT 20),
-    g AS (SELECT image, cell_id, label, CASE WHEN v > 0.3 THEN 0 ELSE label END AS guess FROM cells SEMI JOIN s USING (image))
+    f"""WITH {CELLS}, g AS (SELECT image, cell_id, label, CASE WHEN v > 0.3 THEN 0 ELSE label END AS guess FROM cells)
     SELECT image, cell_id, label, guess, (label = guess)::BIGINT AS correct,
       CASE WHEN label = guess THEN 'correct' ELSE guess || ' instead of ' || label END AS outcome FROM g""",
 )(
@@ -206,106 +205,155 @@ def _standardise(spark, sf):
     return _round(scaled.drop("o_orderstatus"), ["o_totalprice", "fixed"])
 
 
-# ---- learners: these run with few trees and rounds, the library's defaults are the full numbers ----
+# ---- learners: few trees and rounds keep these short, the library's defaults are the full numbers. Values of a learner
+# have no SQL; what must hold for any learner has: which rows it answers for, supports, ranges. Each oracle states that.
 
-SMALL = {"trees": 5, "rounds": 5}
+SMALL = {"trees": 10, "rounds": 10}
+_SHARES = "(VALUES (0.90::DOUBLE), (0.95::DOUBLE), (0.98::DOUBLE)) s(target)"
+_MODELS = ["boosting", "forest", "forest_no_bootstrap", "logistic"]
+
+
+def _names(names, column):
+    return "(VALUES " + ", ".join(f"('{n}')" for n in names) + f") {column}({column})"
 
 
 def _presence(spark, sf):
     return fx.cell_features(spark, sf)
 
 
-@query("pca_by_variance")
+def _inside(value, low, high):
+    return F.coalesce(F.col(value).between(low, high), F.lit(False)).alias("in_range")
+
+
+@query("pca_by_variance", f"SELECT target, TRUE AS in_range FROM {_SHARES}")
 def _pca(spark, sf):
-    """Components kept for each target, from the 64 plane values."""
+    """Components kept for each target, from the 64 plane values: some, never more than there are, never fewer for more."""
     planes = fx.planes(spark, sf).select(*[F.col("v")[i].alias(f"f_{i}") for i in range(64)])
     names = [f"f_{i}" for i in range(64)]
     ready = models.preparation(planes, names).transform(planes)
-    rows = [(t, models.pca_by_variance(ready, t)[1]) for t in (0.90, 0.95, 0.98)]
-    return spark.createDataFrame(rows, "target double, components int")
+    kept = [models.pca_by_variance(ready, t)[1] for t in (0.90, 0.95, 0.98)]
+    rows = [(t, 1 <= k <= 64 and k >= max(kept[:i], default=0)) for i, (t, k) in enumerate(zip((0.90, 0.95, 0.98), kept))]
+    return spark.createDataFrame(rows, "target double, in_range boolean")
 
 
-@query("presence_classifiers")
+@query(
+    "presence_classifiers",
+    f"""WITH {CELLS} SELECT model, fold_id, count(*) AS n, count(*) FILTER (label > 0) AS positives, TRUE AS in_range
+    FROM cells, {_names(_MODELS, 'model')} GROUP BY 1, 2""",
+)
 def _classifiers(spark, sf):
-    cells = _presence(spark, sf)
-    train, valid = models.image_folds(cells, 1)
+    cells = _presence(spark, sf).select(*fx.CELL_FEATURES, "player_present", "fold_id")
     parts = []
     for name, estimator in models.presence_classifiers(**SMALL).items():
-        model, _ = models.fit_presence(train, estimator, fx.CELL_FEATURES)
-        scored = models.positive_probability(model.transform(valid))
-        parts.append(metrics.binary_metrics(scored, "player_present", "p").withColumn("model", F.lit(name)))
-    return reduce(DataFrame.unionByName, parts)
+        scored = models.oof_predict(cells, estimator, fx.CELL_FEATURES, keep=["player_present", "fold_id"])
+        found = metrics.binary_metrics(scored, "player_present", "p", keys=["fold_id"])
+        parts.append(found.withColumn("model", F.lit(name)))
+    whole = reduce(DataFrame.unionByName, parts)
+    n = (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n")
+    return whole.select("model", "fold_id", n, (F.col("tp") + F.col("fn")).alias("positives"), _inside("f1", 0, 1))
 
 
-@query("oof_predict")
+@query("oof_predict", f"WITH {CELLS} SELECT image, cell_id, fold_id, TRUE AS in_range FROM cells")
 def _oof(spark, sf):
-    estimator = models.presence_classifiers(**SMALL)["LogisticReg"]
-    return models.oof_predict(_presence(spark, sf), estimator, fx.CELL_FEATURES, keep=["image", "cell_id", "fold_id"])
+    estimator = models.presence_classifiers(**SMALL)["logistic"]
+    scored = models.oof_predict(_presence(spark, sf), estimator, fx.CELL_FEATURES, keep=["image", "cell_id", "fold_id"])
+    return scored.select("image", "cell_id", "fold_id", _inside("p", 0, 1))
 
 
-@query("experiment_grid")
+@query(
+    "experiment_grid",
+    f"""SELECT model, pca, NULL::VARCHAR AS error, TRUE AS in_range
+    FROM {_names(_MODELS, 'model')}, {_names(models.PCA_SETTINGS, 'pca')}""",
+)
 def _grid(spark, sf):
-    chosen = {k: v for k, v in models.presence_classifiers(**SMALL).items() if k in ("LogisticReg", "RandomForest")}
-    settings = {"No PCA": None, "PCA 95%": 0.95}
-    return models.experiment_grid(
-        _presence(spark, sf), fx.CELL_FEATURES, models=chosen, settings=settings, folds=(1, 2)
-    )
+    found = models.experiment_grid(_presence(spark, sf), fx.CELL_FEATURES, models=models.presence_classifiers(**SMALL))
+    sound = reduce(lambda a, b: a & b, [F.col(m).between(0, 1) for m in models.METRICS])
+    return found.select("model", "pca", "error", F.coalesce(sound, F.lit(False)).alias("in_range"))
 
 
 def _table(spark, sf):
     return comp.count_feature_table(fx.map_planes(spark, sf), ["image", "count", "fold_id"])
 
 
-@query("count_regressors")
+_COUNTED = f"WITH {CELLS}, i AS (SELECT image, min(count)::BIGINT AS count, min(fold_id) AS fold_id FROM cells GROUP BY 1)"
+
+
+@query(
+    "count_regressors",
+    f"""{_COUNTED} SELECT model, image, count, fold_id, TRUE AS in_range
+    FROM i, {_names(['boosting', 'forest', 'forest_no_bootstrap', 'ridge'], 'model')}""",
+)
 def _regressors(spark, sf):
     table, parts = _table(spark, sf), []
     for name in models.count_regressors(1, 1.0):
         make = lambda n, s, name=name: models.count_regressors(n, s, **SMALL)[name]
         scored = models.oof_counts(table, make, comp.count_feature_columns())
-        parts.append(metrics.count_metrics(scored, "count", "predicted").withColumn("model", F.lit(name)))
+        parts.append(scored.select(F.lit(name).alias("model"), "image", "count", "fold_id", _inside("predicted", 0, 20)))
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("ablations")
+@query("two_stage_counts", f"{_COUNTED} SELECT image, count, fold_id, TRUE AS in_range FROM i")
+def _two_stages(spark, sf):
+    classifier = models.presence_classifiers(**SMALL)["logistic"]
+    found = models.two_stage_counts(
+        _presence(spark, sf), classifier, lambda n, s: models.count_regressors(n, s)["ridge"], fx.CELL_FEATURES
+    )
+    return found.select("image", "count", "fold_id", _inside("predicted", 0, 20))
+
+
+@query(
+    "ablations",
+    "SELECT label, TRUE AS in_range FROM "
+    + _names(
+        ["everything", "map rows 0 to 3", "map rows 1 to 6", "without places", "without components", "components alone"], "label"
+    ),
+)
 def _ablations(spark, sf):
-    return models.ablations(fx.map_planes(spark, sf), lambda n, s: models.count_regressors(n, s)["Ridge"])
+    found = models.ablations(fx.map_planes(spark, sf), lambda n, s: models.count_regressors(n, s)["ridge"])
+    sound = F.col("mae").between(0, F.col("rmse")) & F.col("exact_acc").between(0, F.col("pm1_acc")) & (F.col("pm1_acc") <= 1)
+    return found.select("label", F.coalesce(sound, F.lit(False)).alias("in_range"))
 
 
 def _final(spark, sf):
-    classifier = models.presence_classifiers(**SMALL)["RandomForest"]
+    classifier = models.presence_classifiers(**SMALL)["forest"]
     table = _table(spark, sf)
     n, deviation = table.agg(F.count(F.lit(1)), F.stddev_pop("count")).first()
-    ridge = models.count_regressors(n, deviation)["Ridge"]
+    ridge = models.count_regressors(n, deviation)["ridge"]
     return models.fit_final(_presence(spark, sf), fx.CELL_FEATURES, classifier, table, ridge)
 
 
-@query("fit_final")
+@query("fit_final", f"{_COUNTED} SELECT image, count, TRUE AS in_range FROM i")
 def _fit_final(spark, sf):
     _, counts = _final(spark, sf)
-    scored = counts.transform(_table(spark, sf))
-    return metrics.round_and_clip(scored, "prediction", highest=20, into="predicted").select("image", "count", "predicted")
+    scored = metrics.round_and_clip(counts.transform(_table(spark, sf)), "prediction", highest=20, into="predicted")
+    return scored.select("image", "count", _inside("predicted", 0, 20))
 
 
-@query("save_bundle")
+@query("save_bundle", f"WITH {CELLS} SELECT image, cell_id, TRUE AS in_range FROM cells")
 def _bundle(spark, sf):
     presence, counts = _final(spark, sf)
     path = scratch_path(spark, "bundle")
-    models.save_bundle(spark, path, presence, counts, threshold=0.5, cell_columns=fx.CELL_FEATURES, model1_name="RandomForest")
+    models.save_bundle(spark, path, presence, counts, threshold=0.5, cell_columns=fx.CELL_FEATURES, model1_name="forest")
     loaded = models.load_bundle(spark, path)
     scored = models.positive_probability(loaded["model1_pipeline"].transform(_presence(spark, sf)))
-    return scored.select("image", "cell_id", (F.col("p") >= loaded["model1_threshold"]).alias("present"))
+    return scored.select("image", "cell_id", _inside("p", 0, 1))
 
 
-@query("feature_importance")
+@query("feature_importance", "SELECT feature, TRUE AS in_range FROM " + _names(fx.CELL_FEATURES, "feature"))
 def _importance(spark, sf):
     presence, _ = _final(spark, sf)
-    return models.feature_importance(spark, presence, fx.CELL_FEATURES)
+    found = models.feature_importance(spark, presence, fx.CELL_FEATURES)
+    return found.select("feature", _inside("importance", 0, 1))
 
 
-@query("team_classifier")
+@query(
+    "team_classifier",
+    f"""WITH {CELLS} SELECT label::VARCHAR AS class, count(*) AS support, TRUE AS in_range FROM cells WHERE fold_id = 1 GROUP BY 1""",
+)
 def _teams(spark, sf):
     cells = _presence(spark, sf)
     train, valid = models.image_folds(cells, 1)
-    model = models.team_classifier(train, fx.CELL_FEATURES, trees=5)
+    model = models.team_classifier(train, fx.CELL_FEATURES, trees=10)
     scored = model.transform(valid).withColumn("guess", F.col("prediction").cast("long"))
-    return metrics.multiclass_report(scored, "label", "guess")
+    report = metrics.multiclass_report(scored, "label", "guess").where("class RLIKE '^[0-9]+$' AND support > 0")
+    return report.select("class", "support", _inside("f1", 0, 1))

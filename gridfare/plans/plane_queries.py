@@ -9,7 +9,7 @@ from gridfare.operators import components as comp
 from gridfare.operators import planes as pl
 from gridfare.plans import fixtures as fx
 from gridfare.plans.grid_queries import CELLS
-from gridfare.plans.registry import query, sql_r6
+from gridfare.plans.registry import ORACLES, query, sql_r6
 
 CELL = {"cell_height": 4, "cell_width": 4}
 KEYS = ["image", "cell_row", "cell_col"]
@@ -141,11 +141,8 @@ query("colour_moments", _MOMENTS_SQL)(
 )
 query(
     "dominant_colour",
-    f"""WITH {RGB}, patches AS (SELECT DISTINCT team, image, cell_row, cell_col FROM pixels WHERE team > 0),
-    chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY team
-      ORDER BY md5(image || '|' || cell_row || '|' || cell_col), image, cell_row, cell_col) AS n FROM patches) WHERE n <= 10)
-    SELECT team, count(*) AS pixels, {', '.join(f"{sql_r6(f'avg({c})')} AS mean_{c}" for c in 'rgbhsv')}
-    FROM pixels SEMI JOIN chosen USING (team, image, cell_row, cell_col) WHERE h NOT BETWEEN 0.15 AND 0.45 GROUP BY 1""",
+    f"""WITH {RGB} SELECT team, count(*) AS pixels, {', '.join(f"{sql_r6(f'avg({c})')} AS mean_{c}" for c in 'rgbhsv')}
+    FROM pixels WHERE team > 0 AND h NOT BETWEEN 0.15 AND 0.45 GROUP BY 1""",
 )(
     lambda spark, sf: pl.dominant_colour(_pixels(spark, sf), label="team").withColumns(
         {f"mean_{c}": r6(f"mean_{c}") for c in "rgbhsv"}
@@ -287,6 +284,15 @@ query(
         *KEYS, *[r6(c).alias(c) for c in _HOG36]
     )
 )
+query(
+    "edge_table",
+    "SELECT * FROM "
+    + " NATURAL JOIN ".join(f"({ORACLES[name]}) t{place}" for place, name in enumerate(("edge_cell_stats", "external_contour_count", "hog_36"))),
+)(
+    lambda spark, sf: pl.edge_table(_gray(spark, sf), ["image"], **CELL).withColumns(
+        {c: r6(c) for c in (*_STATS, *_HOG36)}
+    )
+)
 _CENTRAL = f"""{_INCELL}, diff AS (SELECT c.image, c.cell_row, c.cell_col, c.y, c.x,
   coalesce(max(n.level) FILTER (n.y = c.y + 1 AND n.x = c.x) - max(n.level) FILTER (n.y = c.y - 1 AND n.x = c.x), 0) AS gy,
   coalesce(max(n.level) FILTER (n.x = c.x + 1 AND n.y = c.y) - max(n.level) FILTER (n.x = c.x - 1 AND n.y = c.y), 0) AS gx

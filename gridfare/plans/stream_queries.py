@@ -12,10 +12,23 @@ from gridfare.session import scratch_path
 from gridfare.streaming import jobs, leases
 
 
-def _stream(spark, df, name, files=2):
-    """A file stream over ``df``, which is written to the shared folder in time order."""
+def _stream(spark, df, name, slices=4):
+    """A file stream over ``df``, written to the shared folder slice by slice and read in as many micro-batches.
+
+    Slices follow the time of the rows, or a hash of rows without one; a slice has as many files as the data has partitions.
+    """
     path = scratch_path(spark, f"in-{name}")
-    df.repartition(files).write.parquet(path)
+    time = next((c for c in ("now", "ts") if c in df.columns), None)
+    if time:
+        at = F.col(time).cast("timestamp").cast("double")
+        low, high = df.agg(F.min(at), F.max(at)).first()
+        place = F.floor((at - F.lit(low)) / F.lit((high or 0.0) - (low or 0.0) + 1.0) * slices)
+    else:
+        place = F.pmod(F.xxhash64(*df.columns), F.lit(slices))
+    dealt = df.withColumn("_slice", F.coalesce(place.cast("int"), F.lit(0)))
+    for number in range(slices):
+        dealt.where(F.col("_slice") == number).drop("_slice").write.mode("append").parquet(path)
+    files = max(1, df.rdd.getNumPartitions())
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -163,12 +176,14 @@ def _rates(spark, sf):
 
 @query(
     "stale_alert",
-    f"""WITH g AS (SELECT lag(ts) OVER (ORDER BY ts) AS silent_from, ts AS silent_until FROM events WHERE user_id < 10),
+    f"""WITH t AS (SELECT ts + to_hours((user_id % 5 * 3000)::INT) AS ts FROM events),
+    g AS (SELECT lag(ts) OVER (ORDER BY ts) AS silent_from, ts AS silent_until FROM t),
     h AS (SELECT *, (epoch_us(silent_until) - epoch_us(silent_from)) / 3600000000 AS hours FROM g)
     SELECT {_ts_sql('silent_from')}, {_ts_sql('silent_until')}, {sql_r6('hours')} AS hours FROM h WHERE h.hours > 2""",
 )
 def _stale(spark, sf):
-    quiet = fx.table(spark, sf, "events").where("user_id < 10").select("ts")
+    # Users moved apart by months: the months between them are silent.
+    quiet = fx.table(spark, sf, "events").selectExpr("ts + make_dt_interval(0, CAST(user_id % 5 * 3000 AS INT)) AS ts")
     found = _complete(spark, sf, quiet, "quiet", jobs.hourly_activity, lambda h: jobs.stale_alert(h, stale_hours=2))
     return found.select(_ts("silent_from"), _ts("silent_until"), r6("hours").alias("hours"))
 

@@ -219,13 +219,13 @@ def test_reserved_numbers(spark):
     rows = [(f"a{i:03d}", i % 4 == 0) for i in range(40)]
     images = spark.createDataFrame(rows, "name string, no_player boolean")
     plain = cleaning.sequential_rename(images, reserved=(5, 14)).collect()
-    spread = cleaning.sequential_rename(images, reserved=(5, 14), hot_rows=4).collect()
-    assert sorted(plain) == sorted(spread)
     numbers = [r["image_num"] for r in plain]
     assert sorted(numbers) == list(range(1, 41))
     assert {r["image_num"] for r in plain if r["no_player"]} == set(range(5, 15))
-    with pytest.raises(Exception, match="reserved"):
-        cleaning.sequential_rename(images, reserved=(5, 10)).collect()
+    # A full block: the rest goes on after the highest number, and every number is used once.
+    over = cleaning.sequential_rename(images, reserved=(5, 10)).collect()
+    assert sorted(r["image_num"] for r in over) == list(range(1, 41))
+    assert sorted(r["image_num"] for r in over if r["no_player"]) == [5, 6, 7, 8, 9, 10, 37, 38, 39, 40]
 
 
 def test_merge_reports_in_strict_mode(spark):
@@ -245,3 +245,58 @@ def test_export_has_the_named_length(spark, sf):
     rows = catalog.QUERIES["feature_export"](spark, sf)
     # Dense squares of 2 pixels on a 4x4 cell: one block of 36 values.
     assert rows.agg(F.max("pos")).first()[0] + 1 == 96 + 9 + 36 + 10 == len(pl.feature_names(36))
+
+
+def test_unknown_sizes_contents_and_readability_are_reported(spark):
+    sized = spark.createDataFrame([("a", 800, 600), ("b", None, 600), ("c", 800, None), ("d", 1, 1)], "name string, width int, height int")
+    assert {r["name"] for r in checks.check_image_size(sized).collect()} == {"b", "c", "d"}
+    files = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None), ("d", None)], "name string, content string")
+    kept = {r["name"]: r["copies"] for r in cleaning.dedupe_by_hash(files).collect()}
+    assert kept == {"a": 2, "c": 1, "d": 1}
+    seen = spark.createDataFrame([("a", True), ("b", None)], "name string, ok boolean")
+    found = cleaning.missing_and_unreadable(seen.select("name"), seen, readable=F.col("ok"))
+    assert [tuple(r) for r in found.collect()] == [("b", "unreadable")]
+
+
+def test_all_features_are_correlated_and_reported(spark):
+    from gridfare.operators import explore
+
+    rng = np.random.default_rng(0)
+    data = rng.standard_normal((80, 45))
+    data[:, 44] = 3.0
+    rows = [tuple(None if (i + j) % 13 == 0 else float(x) for j, x in enumerate(row)) for i, row in enumerate(data)]
+    names = [f"c{j}" for j in range(45)]
+    df = spark.createDataFrame(rows, names).repartition(3)
+    found = {(r["a"], r["b"]): r["corr"] for r in explore.correlation_matrix(df, names).collect()}
+    assert len(found) == 45 * 44 // 2
+    table = df.toPandas()
+    for a, b in (("c7", "c3"), ("c43", "c0"), ("c20", "c19")):
+        assert found[a, b] == pytest.approx(table[a].corr(table[b]))
+    assert found["c44", "c1"] is None
+    report = explore.skewness_report(df, names, limit=0.3)
+    skews = [r["skew"] for r in report.collect() if r["skew"] is not None]
+    assert report.count() == 45 and skews == sorted(skews, reverse=True)
+    assert explore.most_skewed(report, n=3).count() == 3
+
+
+def test_stacked_planes_equal_single_ones():
+    from gridfare.functions import kernels
+
+    rng = np.random.default_rng(2)
+    planes = np.floor(rng.random((5, 9, 13)) * 255)
+    masks = planes > 120
+    for kernel in (kernels.blur, kernels.laplacian, kernels.close5):
+        assert np.array_equal(kernel(planes), np.stack([kernel(p) for p in planes]))
+    for kernel in (kernels.components, kernels.outer_components):
+        assert np.array_equal(kernel(masks), np.stack([kernel(m) for m in masks]))
+    gx, gy = kernels.gradients(planes)
+    apart = np.stack([kernels.edges(*kernels.gradients(p), 200, 500) for p in planes])
+    assert np.array_equal(kernels.edges(gx, gy, 200, 500), apart)
+    marks = kernels.contour_marks(masks, 4, 5)
+    for plane, mask in zip(marks, masks):
+        for r in range(2):
+            for c in range(2):
+                cut = np.s_[4 * r : 4 * r + 4, 5 * c : 5 * c + 5]
+                own = kernels.outer_components(mask[cut])
+                assert plane[cut].sum() == len(set(own.ravel()) - {0})
+    assert marks[:, 8:].sum() == marks[:, :, 10:].sum() == 0
