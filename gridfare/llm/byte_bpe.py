@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -202,50 +202,57 @@ class _Numbers(dict):
         return number
 
 
+Words = Iterable[str]
+Spelt = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def pattern_cut(pattern: str) -> Callable[[str], Words]:
+    """A function that cuts a text into the matches of a pattern; a very long text gives them one by one."""
+    wide, narrow = regex.compile(pattern), narrow_pattern(pattern)
+
+    def cut(text: str) -> Words:
+        try:
+            text.encode("latin-1")
+            own = narrow
+        except UnicodeEncodeError:
+            own = wide
+        return own.findall(text) if len(text) <= BLOCK_CHARS else (match[0] for match in own.finditer(text))
+
+    return cut
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:
     """One per worker, so that the tasks of a worker share the words it has met."""
-    return Encoder(load_ranks(path), pattern)
+    ranks = load_ranks(path)
+    return Encoder(pattern_cut(pattern), lambda words: replay([word.encode() for word in words], ranks))
 
 
 class Encoder:
-    """Numbers the words of many texts, replays the new ones together and spells the texts out from them."""
+    """Numbers the words of many texts, spells the new ones together and puts the texts together from them.
+
+    ``cut`` gives the words of a text, ``spell`` the ids of words: all of them, where each word's begin, how many it has.
+    """
 
-    def __init__(self, ranks: Ranks, pattern: str, remember: int = REMEMBERED_WORDS) -> None:
-        self.ranks, self.remember = ranks, remember
-        self.pattern, self.narrow = regex.compile(pattern), narrow_pattern(pattern)
+    def __init__(self, cut: Callable[[str], Words], spell: Callable[[list[str]], Spelt], remember: int = REMEMBERED_WORDS) -> None:
+        self.cut, self.spell, self.remember = cut, spell, remember
         self.forget()
 
     def forget(self) -> None:
         self.numbers = _Numbers()
         self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def numbered(self, text: str) -> np.ndarray:
-        """The number of each word; a very long text is read in runs, so that only its numbers grow."""
-        try:
-            text.encode("latin-1")
-            pattern = self.narrow
-        except UnicodeEncodeError:
-            pattern = self.pattern
-        if len(text) <= BLOCK_CHARS:
-            return np.array(list(map(self.numbers.__getitem__, pattern.findall(text))), dtype=np.int32)
-        found = (match[0] for match in pattern.finditer(text))
-        runs = []
-        while run := list(map(self.numbers.__getitem__, islice(found, BLOCK_CHARS))):
-            runs.append(np.array(run, dtype=np.int32))
-        return np.concatenate(runs)
-
     def learn(self) -> None:
         words = islice(self.numbers, len(self.lengths), None)
-        while fresh := [word.encode() for word in islice(words, REPLAYED_WORDS)]:
-            ids, places, lengths = replay(fresh, self.ranks)
+        while fresh := list(islice(words, REPLAYED_WORDS)):
+            ids, places, lengths = self.spell(fresh)
             self.starts = np.concatenate([self.starts, len(self.ids) + places])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
-        spelt, counts, begin = [np.zeros(0, np.int32)], [], 0
+        spelt, counts, begin = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
         while begin < len(texts):
             end, size = begin + 1, len(texts[begin])
             while end < len(texts) and size + len(texts[end]) <= BLOCK_CHARS:
@@ -253,17 +260,17 @@ class Encoder:
                 end += 1
             if len(self.numbers) > self.remember:
                 self.forget()
-            words = [self.numbered(text) for text in texts[begin:end]]
+            words = [self.cut(text) for text in texts[begin:end]]
+            numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int32)
+            sizes = [len(own) for own in words] if isinstance(words[0], list) else [len(numbers)]
             self.learn()
-            for numbers in words:
-                lengths = self.lengths[numbers]
-                ends = np.cumsum(lengths)
-                total = int(ends[-1]) if len(ends) else 0
-                at = np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(total)
-                spelt.append(self.ids[at])
-                counts.append(total)
+            lengths = self.lengths[numbers]
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            at = np.repeat(self.starts[numbers] - ends[:-1], lengths) + np.arange(int(ends[-1]))
+            spelt.append(self.ids[at])
+            counts.append(np.diff(ends[np.cumsum([0, *sizes])]))
             begin = end
-        return np.concatenate(spelt), np.array(counts, dtype=np.int64)
+        return np.concatenate(spelt), np.concatenate(counts)
 
 
 def sliced(batches: Iterator[pa.Array], rows: int = SLICE_ROWS) -> Iterator[pa.Array]:

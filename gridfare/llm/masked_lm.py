@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from gridfare.llm.columns import keyed_text
+from gridfare.session import checkpointed
 
 CLASSES, MEMBERS, SHARED = 32, 32, 31
 SIZE = CLASSES * MEMBERS
@@ -145,7 +146,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def start(texts: DataFrame, seed: int = 5) -> Model:
     """Numbers for the commonest words, ties by the word, and a network that knows their frequencies only."""
-    counts = word_counts(texts)
+    counts = checkpointed(word_counts(texts))  # read twice, and counting reads the corpus
     own = SIZE - 1 - SHARED
     common = counts.orderBy(F.desc("n"), "word").limit(own).toArrow()
     words, times = common["word"].to_pylist(), common["n"].to_numpy()

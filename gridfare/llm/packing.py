@@ -11,20 +11,21 @@ cut at powers of two, which are not padded.
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from tokenizers import Tokenizer
 
-from gridfare.llm.byte_bpe import Encoder, Ranks, sliced
+from gridfare.llm.byte_bpe import BLOCK_CHARS, SLICE_ROWS, Encoder, Ranks, Spelt, pattern_cut, replay
 from gridfare.llm.columns import keyed_text
 from gridfare.session import scratch_path
 
@@ -49,8 +50,9 @@ def word_ranks(model: dict) -> Ranks:
 
 
 class WordTokens:
-    """Ids by a tokenizer file. Texts of the first 256 characters, which its normal form leaves as they are but for case, go
-    through the merge replay, which does each different word once; all others go through the library.
+    """Ids by a tokenizer file. Texts of the first 256 characters, which its normal form leaves as they are but for case, are
+    cut at spaces; each different chunk is cut by the file's pattern once and each different word goes through the merge
+    replay once. All other texts go through the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,11 +60,19 @@ class WordTokens:
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        self.words = Encoder(word_ranks(content["model"]), content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], REMEMBERED_WORDS)
+        ranks = word_ranks(content["model"])
+        cut = pattern_cut(content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        words = Encoder(cut, lambda fresh: replay([word.encode() for word in fresh], ranks), REMEMBERED_WORDS)
+
+        def spell(chunks: list[str]) -> Spelt:
+            ids, counts = words.encode(chunks)
+            return ids, np.cumsum(counts) - counts, counts
+
+        self.chunks = Encoder(space_cut, spell, REMEMBERED_WORDS)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         easy = [text.lower() if text.isascii() or is_latin(text) else None for text in texts]
-        ids, counts = self.words.encode([text for text in easy if text is not None])
+        ids, counts = self.chunks.encode([text for text in easy if text is not None])
         parts = iter(np.split(ids, np.cumsum(counts)[:-1]))
         return [
             next(parts) if low is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
@@ -70,6 +80,13 @@ class WordTokens:
         ]
 
 
+def space_cut(text: str) -> Iterable[str]:
+    """Chunks between spaces and line ends; those of a very long text one by one."""
+    if len(text) <= BLOCK_CHARS:
+        return text.replace("\n", " ").split(" ")
+    return (match[0] for match in re.finditer(r"[^ \n]+", text))
+
+
 def is_latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -89,34 +106,46 @@ def width(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def tokenised(text: Column, path: str, kind: str) -> Column:
-    """Ids of a text and the closing id, as little-endian integers of the given type (binary); a null text is empty."""
-
-    @arrow_udf("binary")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = word_tokens(path)
-        for batch in sliced(batches):
-            coded = known.encode([text or "" for text in batch.to_pylist()])
-            yield pa.array([np.append(ids, END_ID).astype(kind).tobytes() for ids in coded], pa.binary())
-
-    return ids(text)
+def token_table(texts: DataFrame, path: str, vocabulary: int) -> DataFrame:
+    """(doc_id, ids, seen): the ids of each text and the closing id as little-endian integers, and one more row a task.
 
+    That row has ``seen`` alone: in how many of the task's texts each token occurs, then its texts and its tokens. The table
+    is written to the shared folder, where both kinds of rows are read without tokenising again.
+    """
+    kind = width(vocabulary)
 
-def document_frequencies(coded: DataFrame, vocabulary: int, kind: str) -> tuple[np.ndarray, int, int]:
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = word_tokens(path), np.zeros(vocabulary + 2, np.int64)
+        names = ["doc_id", "ids", "seen"]
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(begin, SLICE_ROWS)
+                coded = [np.append(own, END_ID).astype(kind) for own in known.encode(part.column(1).to_pylist())]
+                for own in coded:
+                    seen[np.unique(own)] += 1
+                    seen[-1] += len(own)
+                seen[-2] += len(coded)
+                values = pa.array([own.tobytes() for own in coded], pa.binary())
+                yield pa.record_batch([part.column(0), values, pa.nulls(len(coded), pa.binary())], names=names)
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=names)
+
+    at = scratch_path(texts.sparkSession, "packing-ids")
+    texts.mapInArrow(ids, "doc_id long, ids binary, seen binary").write.parquet(at)
+    return texts.sparkSession.read.parquet(at)
+
+
+def document_frequencies(table: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, int]:
     """(documents with each token, documents, tokens) over all rows; as many entries as the vocabulary, plus two."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(vocabulary + 2, np.int64)
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                ids = np.frombuffer(value, kind)
-                seen[np.unique(ids)] += 1
-                seen[vocabulary] += 1
-                seen[vocabulary + 1] += len(ids)
-        at = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["token", "n"])
-
-    rows = coded.select("ids").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+                seen = np.frombuffer(value, np.int64)
+                at = np.flatnonzero(seen)
+                yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["token", "n"])
+
+    counted = table.where("seen IS NOT NULL").select("seen").mapInArrow(entries, "token int, n long")
+    rows = counted.groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(vocabulary + 2, np.int64)
     out[rows["token"].to_numpy()] = rows["n"].to_numpy()
     return out[:vocabulary], int(out[vocabulary]), int(out[vocabulary + 1])
@@ -210,13 +239,11 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
     Null texts are empty and have the closing id alone; repeated rows are packed like any others; an empty table gives no
     row. Sequence numbers are unique, not consecutive.
     """
-    spark = docs.sparkSession
-    at = scratch_path(spark, "packing-ids")
     vocabulary = Tokenizer.from_file(path).get_vocab_size()
     kind = width(vocabulary)
-    keyed_text(docs, id_col, text_col).select("doc_id", tokenised(F.col("text"), path, kind).alias("ids")).write.parquet(at)
-    coded = spark.read.parquet(at)
-    seen, rows, tokens = document_frequencies(coded, vocabulary, kind)
+    table = token_table(keyed_text(docs, id_col, text_col), path, vocabulary)
+    coded = table.where("ids IS NOT NULL").select("doc_id", "ids")
+    seen, rows, tokens = document_frequencies(table, vocabulary)
     idf = np.log1p((rows - seen + 0.5) / (seen + 0.5))
     idf[END_ID] = 0.0
     mean_length = max(tokens / max(rows, 1), 1.0)
@@ -229,8 +256,10 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
                 term, times = np.unique(np.frombuffer(value, kind), return_counts=True)
                 # A token of one document only leads to no neighbour.
                 weight = idf[term] * times / (times + SATURATION) * (seen[term] > 1)
-                best = term[np.argsort(-weight, kind="stable")[:2]]
-                both[row, : len(best)] = best
+                for place in range(min(2, len(term))):
+                    best = int(weight.argmax())
+                    both[row, place] = term[best]
+                    weight[best] = -1.0
             yield pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["first", "second"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """Byte-level BPE against the library that defines it, and packing against its contract."""
 
+import functools
 import hashlib
 import zlib
 
@@ -66,11 +67,12 @@ def test_merges_that_overlap_or_go_back_in_rank():
 
 
 def test_forgetting_and_long_texts_change_nothing(monkeypatch, library):
-    monkeypatch.setattr(byte_bpe, "REMEMBERED_WORDS", 3)
+    forgetful = functools.partial(byte_bpe.Encoder, remember=3)
+    monkeypatch.setattr(byte_bpe, "Encoder", forgetful)
     monkeypatch.setattr(byte_bpe, "REPLAYED_WORDS", 2)
     monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 50)
     texts = ["some words that come and go, and come again", "x" * 20, "many many words " * 30, "日本語 " * 40]
-    ids, counts = byte_bpe.Encoder(byte_bpe.load_ranks(RANKS), public_tokenizers.PATTERN).encode(texts)
+    ids, counts = byte_bpe.encoder.__wrapped__(RANKS, public_tokenizers.PATTERN).encode(texts)
     assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode_ordinary(t) for t in texts]
 
 
