@@ -15,7 +15,7 @@ from gridfare.plans import fixtures as fx
 from gridfare.plans.grid_queries import CELLS
 from gridfare.plans.plane_queries import CELL, RGB
 from gridfare.plans.registry import query, sql_r6
-from gridfare.session import scratch_path
+from gridfare.session import checkpointed, scratch_path
 
 SCORED = """scored AS (SELECT doc_id, quality, toxic, n_chars % 100 / 100::DOUBLE AS score
   FROM labels JOIN documents USING (doc_id))"""
@@ -208,7 +208,7 @@ def _standardise(spark, sf):
 # ---- learners: few trees and rounds keep these short, the library's defaults are the full numbers. Values of a learner
 # have no SQL; what must hold for any learner has: which rows it answers for, supports, ranges. Each oracle states that.
 
-SMALL = {"trees": 10, "rounds": 10}
+SMALL = {"trees": 5, "rounds": 5}
 _SHARES = "(VALUES (0.90::DOUBLE), (0.95::DOUBLE), (0.98::DOUBLE)) s(target)"
 _MODELS = ["boosting", "forest", "forest_no_bootstrap", "logistic"]
 
@@ -239,13 +239,17 @@ def _pca(spark, sf):
 @query(
     "presence_classifiers",
     f"""WITH {CELLS} SELECT model, fold_id, count(*) AS n, count(*) FILTER (label > 0) AS positives, TRUE AS in_range
-    FROM cells, {_names(_MODELS, 'model')} GROUP BY 1, 2""",
+    FROM cells, {_names(_MODELS, 'model')} WHERE fold_id = 1 GROUP BY 1, 2""",
 )
 def _classifiers(spark, sf):
-    cells = _presence(spark, sf).select(*fx.CELL_FEATURES, "player_present", "fold_id")
+    cells = checkpointed(_presence(spark, sf).select(*fx.CELL_FEATURES, "player_present", "fold_id"))
+    # All models on one fold; experiment_grid has all folds.
+    prepared = {1: models.preparation(models.image_folds(cells, 1)[0], fx.CELL_FEATURES)}
     parts = []
     for name, estimator in models.presence_classifiers(**SMALL).items():
-        scored = models.oof_predict(cells, estimator, fx.CELL_FEATURES, keep=["player_present", "fold_id"])
+        scored = models.oof_predict(
+            cells, estimator, fx.CELL_FEATURES, keep=["player_present", "fold_id"], folds=(1,), materialise=False, prepared=prepared
+        )
         found = metrics.binary_metrics(scored, "player_present", "p", keys=["fold_id"])
         parts.append(found.withColumn("model", F.lit(name)))
     whole = reduce(DataFrame.unionByName, parts)
@@ -266,7 +270,7 @@ def _oof(spark, sf):
     FROM {_names(_MODELS, 'model')}, {_names(models.PCA_SETTINGS, 'pca')}""",
 )
 def _grid(spark, sf):
-    found = models.experiment_grid(_presence(spark, sf), fx.CELL_FEATURES, models=models.presence_classifiers(**SMALL))
+    found = models.experiment_grid(_presence(spark, sf), fx.CELL_FEATURES, models=models.presence_classifiers(**SMALL), parallelism=8)
     sound = reduce(lambda a, b: a & b, [F.col(m).between(0, 1) for m in models.METRICS])
     return found.select("model", "pca", "error", F.coalesce(sound, F.lit(False)).alias("in_range"))
 
@@ -353,7 +357,7 @@ def _importance(spark, sf):
 def _teams(spark, sf):
     cells = _presence(spark, sf)
     train, valid = models.image_folds(cells, 1)
-    model = models.team_classifier(train, fx.CELL_FEATURES, trees=10)
+    model = models.team_classifier(train, fx.CELL_FEATURES, trees=5)
     scored = model.transform(valid).withColumn("guess", F.col("prediction").cast("long"))
     report = metrics.multiclass_report(scored, "label", "guess").where("class RLIKE '^[0-9]+$' AND support > 0")
     return report.select("class", "support", _inside("f1", 0, 1))
