@@ -6,8 +6,8 @@ these conditional probabilities scores the document.
 Tokens are lower-cased words: the commonest words of the whole corpus have numbers of their own, the others share numbers
 by hash. Each context position has a table of hidden vectors; their sum passes through tanh, and a two-level softmax first
 names the token's class and then the token in it, classes being runs of words of like frequency. Training is data-parallel:
-in each round every task starts from the common network, takes every ``stride``-th position of all its documents as a
-target, and emits its weights; Spark sums them, weighted by examples, entry by entry. A sum has as many entries as the
+in each round every task starts from the common network, takes every position of all its documents as a target (every
+``stride``-th one if asked), and emits its weights; Spark sums them, weighted by examples, entry by entry. A sum has as many entries as the
 network, whatever the input, so the driver holds one network.
 """
 
@@ -30,7 +30,7 @@ from gridfare.session import checkpointed
 CLASSES, MEMBERS, SHARED = 32, 32, 31
 SIZE = CLASSES * MEMBERS
 SIDE, HIDDEN = 3, 24
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 512, 0.1
+ROUNDS, STRIDE, BATCH, RATE = 2, 1, 512, 0.1
 HELD_WORDS, SLAB_TOKENS, CHUNK = 200_000, 65_536, 512
 
 _SHAPES = {
@@ -105,7 +105,7 @@ def learn(net: dict[str, np.ndarray], squares: dict[str, np.ndarray], context: n
     hidden = _hidden(net, context)
     slope = np.exp(_log_softmax(hidden @ net["to_class"] + net["class_bias"]))
     slope[np.arange(count), targets // MEMBERS] -= 1
-    grads = {name: np.zeros_like(weight) for name, weight in net.items()}
+    grads = {name: np.zeros_like(weight) for name, weight in net.items() if name != "table"}
     grads["to_class"][:], grads["class_bias"][:] = hidden.T @ slope, slope.sum(axis=0)
     back = slope @ net["to_class"].T
     for number, rows in _by_class(targets):
@@ -115,12 +115,18 @@ def learn(net: dict[str, np.ndarray], squares: dict[str, np.ndarray], context: n
         back[rows] += inner @ net["to_member"][number].T
     back *= 1 - hidden * hidden
     grads["bias"][:] = back.sum(axis=0)
-    for place in range(2 * SIDE):
-        np.add.at(grads["table"][place], context[:, place], back)
     for name, grad in grads.items():
         grad /= count
         squares[name] += grad * grad
         net[name] -= RATE * grad / (np.sqrt(squares[name]) + 1e-6)
+    # Rows of the tables that no context names have no gradient and stay as they are.
+    rows = (context + np.arange(2 * SIDE) * SIZE).T.ravel()
+    order = np.argsort(rows, kind="stable")
+    named, begins = np.unique(rows[order], return_index=True)
+    grad = np.add.reduceat(back[order % count], begins, axis=0) / count
+    table, held = (part["table"].reshape(-1, HIDDEN) for part in (net, squares))
+    held[named] += grad * grad
+    table[named] -= RATE * grad / (np.sqrt(held[named]) + 1e-6)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -188,13 +194,15 @@ def train_round(texts: DataFrame, model: Model, stride: int) -> Model:
                 at = np.arange((doc_id or 0) % stride, len(tokens), stride)
                 if not len(at):
                     continue
-                context.append(contexts(tokens, at))
-                targets.append(tokens[at])
-                held += len(at)
                 seen += len(at)
-                if held >= 8 * BATCH:
-                    step()
-                    held = 0
+                for begin in range(0, len(at), SLAB_TOKENS):
+                    some = at[begin : begin + SLAB_TOKENS]
+                    context.append(contexts(tokens, some))
+                    targets.append(tokens[some])
+                    held += len(some)
+                    if held >= 8 * BATCH:
+                        step()
+                        held = 0
         if targets:
             step()
         if seen:

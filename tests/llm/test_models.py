@@ -220,6 +220,33 @@ def test_masked_scores_beat_word_frequencies(documents):
     assert loss(model) < loss(before)
 
 
+def test_masked_training_takes_every_position(documents, monkeypatch):
+    before = masked_lm.start(masked_lm.keyed_text(documents))
+    model = masked_lm.fit(documents)
+    rows = masked_lm.score_documents(documents, model).collect()
+    old = {r["doc_id"]: r["log_likelihood"] for r in masked_lm.score_documents(documents, before).collect()}
+    assert sum(r["log_likelihood"] for r in rows) > sum(old.values())
+
+    seen = []
+    monkeypatch.setattr(masked_lm, "learn", lambda net, squares, context, targets: seen.append(len(targets)))
+    monkeypatch.setattr(masked_lm, "SLAB_TOKENS", 7)
+    texts = [(1, "one two three four five six seven eight nine"), (15, "a b"), (None, "c")]
+
+    class Local:
+        sparkSession = documents.sparkSession
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, local, _):
+            batch = pa.record_batch([pa.array([i for i, _ in texts]), pa.array([t for _, t in texts])], names=["doc_id", "text"])
+            list(local(iter([batch])))
+            return documents.sparkSession.createDataFrame([], "start long, sums array<double>")
+
+    masked_lm.train_round(Local(), before, masked_lm.STRIDE)
+    assert sum(seen) == sum(len(before.tokens(text)) for _, text in texts)
+
+
 def test_masked_chances_sum_to_one_and_scores_to_their_sum(documents):
     model = masked_lm.start(masked_lm.keyed_text(documents))
     model.flat += np.random.default_rng(0).standard_normal(model.flat.shape).astype(np.float32) * 0.1
