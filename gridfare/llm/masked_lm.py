@@ -3,8 +3,9 @@
 A small window network predicts every token of a text from the tokens on both of its sides. The sum of the logarithms of
 these conditional probabilities scores the document.
 
-Tokens are lower-cased words: the commonest words of the whole corpus have numbers of their own, the others share numbers
-by hash. Each context position has a table of hidden vectors; their sum passes through tanh, and a two-level softmax first
+Tokens are lower-cased words and pieces of words, each with its blank in front: the commonest words of the whole corpus, the
+pieces that cover most of the other words, and every single byte. A word without a number is cut into the longest pieces
+from the left, so each text has tokens of its own and no two words share one. Each context position has a table of hidden vectors; their sum passes through tanh, and a two-level softmax first
 names the token's class and then the token in it, classes being runs of words of like frequency. Training is data-parallel:
 in each round every task starts from the common network, takes every position of all its documents as a target (every
 ``stride``-th one if asked), and emits its weights; Spark sums them, weighted by examples, entry by entry. A sum has as many entries as the
@@ -13,10 +14,9 @@ network, whatever the input, so the driver holds one network.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,12 @@ from pyspark.sql.functions import arrow_udf
 from gridfare.llm.columns import keyed_text
 from gridfare.session import checkpointed
 
-CLASSES, MEMBERS, SHARED = 32, 32, 31
+CLASSES, MEMBERS = 32, 32
 SIZE = CLASSES * MEMBERS
+BYTES, PIECES, LONGEST_PIECE = 256, 256, 4
 SIDE, HIDDEN = 3, 24
 ROUNDS, STRIDE, BATCH, RATE = 2, 1, 512, 0.1
-HELD_WORDS, SLAB_TOKENS, CHUNK = 200_000, 65_536, 512
+HELD_WORDS, LONGEST_HELD, SLAB_TOKENS, CHUNK = 200_000, 64, 65_536, 512
 
 _SHAPES = {
     "table": (2 * SIDE, SIZE, HIDDEN), "bias": (HIDDEN,), "to_class": (HIDDEN, CLASSES), "class_bias": (CLASSES,),
@@ -42,10 +43,11 @@ WEIGHTS = sum(int(np.prod(shape)) for shape in _SHAPES.values())
 
 @dataclass
 class Model:
-    """``numbers`` has the words with a number of their own; ``flat`` holds all weights one after the other."""
+    """``numbers`` has the words and pieces, from 1 on; 0 stands outside the text. ``flat`` holds all weights one after the other."""
 
     numbers: dict[bytes, int]
     flat: np.ndarray
+    _held: dict[bytes, list[int]] = field(default_factory=dict, repr=False)
 
     def parts(self) -> dict[str, np.ndarray]:
         out, at = {}, 0
@@ -56,9 +58,32 @@ class Model:
         return out
 
     def tokens(self, text: str) -> np.ndarray:
-        """The number of each word; 0 stands outside the text and 1 to ``SHARED`` are shared by hash."""
-        get, words = self.numbers.get, text.encode("utf-8", "surrogatepass").lower().split()
-        return np.array([get(word) or 1 + zlib.crc32(word) % SHARED for word in words], dtype=np.int64)
+        """The numbers of all words and pieces, in order."""
+        held, out = self._held, []
+        for word in text.encode("utf-8", "surrogatepass").lower().split():
+            found = held.get(word)
+            if found is None:
+                found = cut(word, self.numbers)
+                if len(word) <= LONGEST_HELD:
+                    if len(held) >= HELD_WORDS:
+                        held.clear()
+                    held[word] = found
+            out += found
+        return np.array(out, dtype=np.int64)
+
+
+def cut(word: bytes, numbers: dict[bytes, int]) -> list[int]:
+    """The number of a word, or those of the longest pieces from its left to its right."""
+    whole, out, at = b" " + word, [], 0
+    if number := numbers.get(whole):
+        return [number]
+    while at < len(whole):
+        for width in range(min(LONGEST_PIECE, len(whole) - at), 0, -1):
+            if number := numbers.get(whole[at : at + width]):
+                break
+        out.append(number)
+        at += width
+    return out
 
 
 def contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -150,19 +175,64 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def piece_weights(counts: DataFrame, own: set[bytes]) -> DataFrame:
+    """(piece, weight) of the words that are not in ``own``: how many tokens a piece saves where it occurs, overlaps included."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+
+        def emit() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["piece", "weight"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if word in own:
+                    continue
+                whole = b" " + word
+                for begin in range(0, len(whole), SLAB_TOKENS):
+                    for width in range(2, LONGEST_PIECE + 1):
+                        for at in range(begin, min(begin + SLAB_TOKENS, len(whole) - width + 1)):
+                            held[whole[at : at + width]] += n * (width - 1)
+                    if len(held) > HELD_WORDS:
+                        yield emit()
+        yield emit()
+
+    return counts.mapInArrow(weigh, "piece binary, weight long").groupBy("piece").agg(F.sum("weight").alias("weight"))
+
+
+def token_counts(counts: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
+    """(number, n) of the tokens of all texts, from the counts of their words."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [0] * SIZE
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for number in cut(word, numbers):
+                    sums[number] += n
+        yield pa.record_batch([pa.array(range(SIZE), pa.int64()), pa.array(sums, pa.int64())], names=["number", "n"])
+
+    return counts.mapInArrow(tally, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+
+
 def start(texts: DataFrame, seed: int = 5) -> Model:
-    """Numbers for the commonest words, ties by the word, and a network that knows their frequencies only."""
-    counts = checkpointed(word_counts(texts))  # read twice, and counting reads the corpus
-    own = SIZE - 1 - SHARED
-    common = counts.orderBy(F.desc("n"), "word").limit(own).toArrow()
-    words, times = common["word"].to_pylist(), common["n"].to_numpy()
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    """Numbers for words, pieces and bytes, commonest first, ties by the token; a network that knows their frequencies only."""
+    counts = checkpointed(word_counts(texts))  # read three times, and counting reads the corpus
+    words = counts.orderBy(F.desc("n"), "word").limit(SIZE - 1 - BYTES - PIECES).toArrow()["word"].to_pylist()
+    listed = {bytes([value]): 0 for value in range(BYTES)} | {b" " + word: 0 for word in words}
+    # A piece may be a word of its own already; so many more are taken.
+    weighed = piece_weights(counts, set(words)).orderBy(F.desc("weight"), "piece").limit(PIECES + len(words)).toArrow()
+    new = [piece for piece in weighed["piece"].to_pylist() if piece not in listed]
+    tokens = [*listed, *new[:PIECES]]
+    times = token_counts(counts, {token: number for number, token in enumerate(tokens, 1)}).toArrow()
+    found = dict(zip(times["number"].to_pylist(), times["n"].to_pylist()))
+    ranked = sorted((-found.get(number, 0), token) for number, token in enumerate(tokens, 1))
     frequency = np.full(SIZE, 0.5)
-    frequency[1 : 1 + SHARED] += (total - int(times.sum())) / SHARED
-    frequency[1 + SHARED : 1 + SHARED + len(words)] += times
+    frequency[1 : 1 + len(ranked)] += [-n for n, _ in ranked]
     grouped = frequency.reshape(CLASSES, MEMBERS)
     rng = np.random.default_rng(seed)
-    model = Model({word: 1 + SHARED + rank for rank, word in enumerate(words)}, np.zeros(WEIGHTS, np.float32))
+    model = Model({token: 1 + rank for rank, (_, token) in enumerate(ranked)}, np.zeros(WEIGHTS, np.float32))
     net = model.parts()
     net["table"][:] = rng.standard_normal(net["table"].shape) * 0.1
     net["to_class"][:] = rng.standard_normal(net["to_class"].shape) * 0.05
@@ -267,7 +337,7 @@ def scored(text: Column, model: Model) -> Column:
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, per_token) of every row.
 
-    A text without words, a null one too, has the empty sum 0 and no mean; repeated rows are scored alike.
+    ``n_tokens`` counts words and pieces. A text without words, a null one too, has the empty sum 0 and no mean; repeated rows are scored alike.
     """
     rows = keyed_text(docs, id_col, text_col).select("doc_id", scored(F.col("text"), model).alias("s"))
     return rows.select("doc_id", "s.n_tokens", "s.log_likelihood", (F.col("s.log_likelihood") / F.nullif("s.n_tokens", F.lit(0))).alias("per_token"))

@@ -247,6 +247,19 @@ def test_masked_training_takes_every_position(documents, monkeypatch):
     assert sum(seen) == sum(len(before.tokens(text)) for _, text in texts)
 
 
+def test_masked_tokens_tell_all_words_apart(documents, no_docs):
+    model = masked_lm.start(masked_lm.keyed_text(documents))
+    names = {number: token for token, number in model.numbers.items()}
+    words = {word for r in documents.collect() for word in r["text"].encode().lower().split()} | {f"zq{i}é".encode() for i in range(200)}
+    found = {word: tuple(model.tokens(word.decode()).tolist()) for word in words}
+    assert len(set(found.values())) == len(words) and 0 not in {n for own in found.values() for n in own}
+    assert all(b"".join(names[n] for n in own) == b" " + word for word, own in found.items())
+    assert sum(len(own) for own in found.values()) < 0.8 * sum(len(word) for word in words)
+    assert b"".join(names[n] for n in model.tokens("Zq  the\nqzx")) == b" zq the qzx"
+    bare = masked_lm.start(masked_lm.keyed_text(no_docs))
+    assert len(bare.tokens("ab c")) == 5
+
+
 def test_masked_chances_sum_to_one_and_scores_to_their_sum(documents):
     model = masked_lm.start(masked_lm.keyed_text(documents))
     model.flat += np.random.default_rng(0).standard_normal(model.flat.shape).astype(np.float32) * 0.1
