@@ -205,10 +205,8 @@ def _standardise(spark, sf):
     return _round(scaled.drop("o_orderstatus"), ["o_totalprice", "fixed"])
 
 
-# ---- learners: few trees and rounds keep these short, the library's defaults are the full numbers. Values of a learner
-# have no SQL; what must hold for any learner has: which rows it answers for, supports, ranges. Each oracle states that.
+# ---- learners, with the library's default trees and rounds. Values of a learner have no SQL; what must hold for any learner has: which rows it answers for, supports, ranges. Each oracle states that.
 
-SMALL = {"trees": 5, "rounds": 5}
 _SHARES = "(VALUES (0.90::DOUBLE), (0.95::DOUBLE), (0.98::DOUBLE)) s(target)"
 _MODELS = ["boosting", "forest", "forest_no_bootstrap", "logistic"]
 
@@ -246,7 +244,7 @@ def _classifiers(spark, sf):
     # All models on one fold; experiment_grid has all folds.
     prepared = {1: models.preparation(models.image_folds(cells, 1)[0], fx.CELL_FEATURES)}
     parts = []
-    for name, estimator in models.presence_classifiers(**SMALL).items():
+    for name, estimator in models.presence_classifiers().items():
         scored = models.oof_predict(
             cells, estimator, fx.CELL_FEATURES, keep=["player_present", "fold_id"], folds=(1,), materialise=False, prepared=prepared
         )
@@ -259,7 +257,7 @@ def _classifiers(spark, sf):
 
 @query("oof_predict", f"WITH {CELLS} SELECT image, cell_id, fold_id, TRUE AS in_range FROM cells")
 def _oof(spark, sf):
-    estimator = models.presence_classifiers(**SMALL)["logistic"]
+    estimator = models.presence_classifiers()["logistic"]
     scored = models.oof_predict(_presence(spark, sf), estimator, fx.CELL_FEATURES, keep=["image", "cell_id", "fold_id"])
     return scored.select("image", "cell_id", "fold_id", _inside("p", 0, 1))
 
@@ -270,7 +268,7 @@ def _oof(spark, sf):
     FROM {_names(_MODELS, 'model')}, {_names(models.PCA_SETTINGS, 'pca')}""",
 )
 def _grid(spark, sf):
-    found = models.experiment_grid(_presence(spark, sf), fx.CELL_FEATURES, models=models.presence_classifiers(**SMALL), parallelism=8)
+    found = models.experiment_grid(_presence(spark, sf), fx.CELL_FEATURES, models=models.presence_classifiers(), parallelism=8)
     sound = reduce(lambda a, b: a & b, [F.col(m).between(0, 1) for m in models.METRICS])
     return found.select("model", "pca", "error", F.coalesce(sound, F.lit(False)).alias("in_range"))
 
@@ -290,7 +288,7 @@ _COUNTED = f"WITH {CELLS}, i AS (SELECT image, min(count)::BIGINT AS count, min(
 def _regressors(spark, sf):
     table, parts = _table(spark, sf), []
     for name in models.count_regressors(1, 1.0):
-        make = lambda n, s, name=name: models.count_regressors(n, s, **SMALL)[name]
+        make = lambda n, s, name=name: models.count_regressors(n, s)[name]
         scored = models.oof_counts(table, make, comp.count_feature_columns())
         parts.append(scored.select(F.lit(name).alias("model"), "image", "count", "fold_id", _inside("predicted", 0, 20)))
     return reduce(DataFrame.unionByName, parts)
@@ -298,7 +296,7 @@ def _regressors(spark, sf):
 
 @query("two_stage_counts", f"{_COUNTED} SELECT image, count, fold_id, TRUE AS in_range FROM i")
 def _two_stages(spark, sf):
-    classifier = models.presence_classifiers(**SMALL)["logistic"]
+    classifier = models.presence_classifiers()["logistic"]
     found = models.two_stage_counts(
         _presence(spark, sf), classifier, lambda n, s: models.count_regressors(n, s)["ridge"], fx.CELL_FEATURES
     )
@@ -319,7 +317,7 @@ def _ablations(spark, sf):
 
 
 def _final(spark, sf):
-    classifier = models.presence_classifiers(**SMALL)["forest"]
+    classifier = models.presence_classifiers()["forest"]
     table = _table(spark, sf)
     n, deviation = table.agg(F.count(F.lit(1)), F.stddev_pop("count")).first()
     ridge = models.count_regressors(n, deviation)["ridge"]
@@ -357,7 +355,7 @@ def _importance(spark, sf):
 def _teams(spark, sf):
     cells = _presence(spark, sf)
     train, valid = models.image_folds(cells, 1)
-    model = models.team_classifier(train, fx.CELL_FEATURES, trees=5)
+    model = models.team_classifier(train, fx.CELL_FEATURES)
     scored = model.transform(valid).withColumn("guess", F.col("prediction").cast("long"))
     report = metrics.multiclass_report(scored, "label", "guess").where("class RLIKE '^[0-9]+$' AND support > 0")
     return report.select("class", "support", _inside("f1", 0, 1))

@@ -153,3 +153,34 @@ def test_a_failed_experiment_is_reported(spark):
 
 def test_bundle(spark, sf):
     assert catalog.QUERIES["save_bundle"](spark, sf).count() == fx.cells(spark, sf).count()
+
+
+@pytest.mark.parametrize("name", ["presence_classifiers", "oof_predict", "experiment_grid", "two_stage_counts", "fit_final", "count_regressors", "team_classifier"])
+def test_learner_queries_fit_the_full_numbers(spark, sf, monkeypatch, name):
+    class Reached(Exception):
+        pass
+
+    def numbers(found):
+        trees = {found[n].getNumTrees() for n in ("forest", "forest_no_bootstrap")}
+        assert trees == {150} and found["boosting"].getMaxIter() == 100
+        raise Reached
+
+    classifiers, team = models.presence_classifiers, models.team_classifier
+    monkeypatch.setattr(models, "presence_classifiers", lambda **settings: numbers(classifiers(**settings)))
+
+    def counted(table, make, columns):
+        found = make(9, 1.0)
+        if hasattr(found, "getNumTrees"):
+            assert found.getNumTrees() == 150
+            raise Reached
+        return table.withColumn("predicted", F.lit(0.0))
+
+    monkeypatch.setattr(models, "oof_counts", counted)
+
+    def teams(train, columns, **settings):
+        assert settings.get("trees", team.__kwdefaults__["trees"]) == 100
+        raise Reached
+
+    monkeypatch.setattr(models, "team_classifier", teams)
+    with pytest.raises(Reached):
+        catalog.QUERIES[name](spark, sf)
