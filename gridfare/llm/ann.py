@@ -2,7 +2,8 @@
 
 A unit vector is turned by a pseudo-random rotation (three rounds of random signs and a fast Hadamard transform) and
 assigned to the nearest of the signed axes. A table joins two such axes to one bucket. A query probes the ``probes``
-likeliest buckets of each table, and what lies there is ranked by its exact distance.
+likeliest buckets of each table, and what lies there is ranked by its exact distance. Queries that find too few rows there
+meet all vectors in a second pass.
 
 Vectors are dealt out by a hash of their id into blocks of about ``block_rows``, each with its own tables, and queries into
 slices of about ``slice_rows``; a block meets every slice, and only the nearest of each query leave the pair. A task is
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
+from gridfare.session import checkpointed
+
 TABLES, PROBES, BLOCK_ROWS, SLICE_ROWS = 24, 256, 16_384, 4_096
 #: Queries whose probes are worked out together.
 TOGETHER = 64
@@ -120,7 +123,8 @@ def nearest(
     """(query_id, rank, vec_id, score): the k nearest found by Euclidean distance, ties to the smaller id.
 
     Both inputs are (vec_id, vector) as from :func:`usable`; vectors of other lengths than ``dims`` take no part. A query
-    never finds its own id. A query near nothing that shares a probed bucket has fewer rows than k.
+    never finds its own id, and has k rows, or all other vectors if they are fewer. Probing runs when this is called, to see
+    which queries it leaves short.
     """
     fits = F.size("vector") == dims
     place = Window.partitionBy("vector").orderBy("vec_id")
@@ -131,26 +135,35 @@ def nearest(
     def parts(rows: DataFrame, size: int) -> Column:
         return F.greatest(F.ceil(rows.agg(F.count(F.lit(1))).scalar() / size).cast("int"), F.lit(1))
 
-    blocks, slices = parts(vectors, block_rows), parts(queries, slice_rows)
+    blocks = parts(vectors, block_rows)
 
     def all_of(count: Column) -> Column:
         return F.explode(F.sequence(F.lit(0), count - 1))
 
-    stored = once.withColumn("codes", buckets(F.col("vector"), dims, tables)).withColumns(
-        {"block": F.pmod(F.xxhash64("vec_id"), blocks).cast("int"), "slice": all_of(slices)}
-    )
-    probing = asked.withColumns({"block": all_of(blocks), "slice": F.pmod(F.xxhash64("group_id"), slices).cast("int")})
-    # Both sides come from the same tables; new names keep their columns apart.
-    stored, probing = stored.toDF(*stored.columns), probing.toDF(*probing.columns)
+    block = F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
+    by_distance = Window.partitionBy("group_id").orderBy("score", "vec_id")
+
+    def found_by(some: DataFrame, slices: Column, probing: bool) -> DataFrame:
+        """(group_id, vec_id, score) of the k + 1 nearest rows in probed buckets, or of all rows."""
+        stored = once.withColumn("codes", buckets(F.col("vector"), dims, tables)) if probing else once
+        stored = stored.withColumns({"block": block, "slice": all_of(slices)})
+        asking = some.withColumns({"block": all_of(blocks), "slice": F.pmod(F.xxhash64("group_id"), slices).cast("int")})
+        # Both sides come from the same tables; new names keep their columns apart.
+        stored, asking = stored.toDF(*stored.columns), asking.toDF(*asking.columns)
+        met = asking.groupBy("block", "slice").cogroup(stored.groupBy("block", "slice"))
+        near = met.applyInPandas(rank_group, "group_id long, vec_id long, score double")
+        near = near.groupBy("group_id", "vec_id").agg(F.min("score").alias("score"))
+        return near.withColumn("_at", F.row_number().over(by_distance)).where(F.col("_at") <= k + 1).drop("_at")
 
     def rank_group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         groups, ids, scores = [], [], []
         if len(left) and len(right):
-            own, codes = right["vec_id"].to_numpy(), np.stack(right["codes"].to_numpy())
+            own = right["vec_id"].to_numpy()
+            codes = np.stack(right["codes"].to_numpy()) if "codes" in right else None
             matrix, asked_for = np.stack(right["vector"].to_numpy()), np.stack(left["wanted"].to_numpy())
             for begin in range(0, len(left), TOGETHER):
                 some = asked_for[begin : begin + TOGETHER]
-                hits = candidates(codes, _padded_units(some), probes)
+                hits = np.ones((len(some), len(own)), bool) if codes is None else candidates(codes, _padded_units(some), probes)
                 for number, vector in enumerate(some):
                     at = np.flatnonzero(hits[number])
                     gaps = np.sqrt(((matrix[at] - vector) ** 2).sum(axis=1))
@@ -161,11 +174,12 @@ def nearest(
         shape = {"group_id": (groups, np.int64), "vec_id": (ids, np.int64), "score": (scores, np.float64)}
         return pd.DataFrame({n: np.concatenate(v) if v else np.zeros(0, kind) for n, (v, kind) in shape.items()})
 
-    met = probing.groupBy("block", "slice").cogroup(stored.groupBy("block", "slice"))
-    near = met.applyInPandas(rank_group, "group_id long, vec_id long, score double")
-    near = near.groupBy("group_id", "vec_id").agg(F.min("score").alias("score"))
-    by_distance = Window.partitionBy("group_id").orderBy("score", "vec_id")
-    best = near.withColumn("_at", F.row_number().over(by_distance)).where(F.col("_at") <= k + 1).drop("_at")
+    best = checkpointed(found_by(asked, parts(queries, slice_rows), True))
+    full = best.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k)
+    short = checkpointed(asked.join(full, "group_id", "left_anti"))
+    if not short.isEmpty():
+        whole = found_by(short, parts(short, slice_rows), False)
+        best = best.join(short.select("group_id"), "group_id", "left_anti").unionByName(whole)
 
     # Each query takes the answer of its vector without itself.
     who = wanted.join(asked, "wanted").select("query_id", "group_id").distinct()

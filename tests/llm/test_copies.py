@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -204,6 +205,24 @@ def test_copies_ties_and_bad_vectors(spark):
     assert len(found[100]) == 10 and 100 not in found[100]
 
 
+@pytest.mark.parametrize("others", [0, 400])
+def test_every_query_has_ten_answers_or_all(spark, others):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64) * 9
+    rows = [(i, [float(x) for x in rng.standard_normal(64)]) for i in range(9)]
+    rows += [(100 + i, [float(x) for x in centre + rng.standard_normal(64)]) for i in range(others)]
+    table = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    asked = [x for x in rows if x[0] < 9]
+    found = {}
+    for r in ann.nearest(table.where("vec_id < 9"), table, 64, block_rows=128, slice_rows=4).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(found[r["query_id"]])
+    assert {i: len(own) for i, own in found.items()} == {i: 10 if others else 8 for i, _ in asked}
+    if not others:
+        want = brute_nearest(rows, asked)
+        assert all([j for j, _ in found[i]] == [j for j, _ in want[i]] for i, _ in asked)
+
+
 def test_nearest_on_an_empty_table(spark):
     table = ann.usable(spark.createDataFrame([], "vec_id long, embedding array<float>, t int, a int"))
     assert ann.nearest(table, table, ann.dimensions(table)).count() == 0
