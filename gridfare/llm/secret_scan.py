@@ -2,8 +2,8 @@
 
 The values that the patterns catch are labelled credentials. For each kind a bounded sample of different values builds a
 prefix tree over character classes; states whose ending and branching frequencies agree within Hoeffding's bound are
-merged, which leaves a small probabilistic automaton of the format. Another one learns from the remaining long runs of the
-same alphabet. Every such run of every text is then scored: how much likelier is it under a credential format than as an
+merged, which leaves a small probabilistic automaton of the format. Another one learns from the remaining runs of the same
+alphabet, and from what is left of a run beside the patterns' spans. Every such run of every text is then scored: how much likelier is it under a credential format than as an
 ordinary run? Runs that pass are added as spans of kind ``format``; spans of the patterns always stay.
 """
 
@@ -29,8 +29,10 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
+#: Shapes whose verdict a task keeps.
+HELD_SHAPES = 100_000
 
 SAMPLE_PER_KIND, LONGEST_SAMPLED, ALPHA, FLOOR, ODDS = 400, 128, 0.05, 1e-4, math.log(99)
 
@@ -38,10 +40,11 @@ Span = tuple[str, int, int]
 
 
 def base_spans(text: str) -> tuple[list[Span], list[tuple[str, str]], list[tuple[int, int]]]:
-    """(spans of the patterns, (kind, value) of each, other runs of the alphabet of 16 characters or more).
+    """(spans of the patterns, (kind, value) of each, other runs of the alphabet, of ``ASSIGN_LEAST`` characters or more).
 
     Matches are the leftmost ones that do not overlap within a kind; those too short are dropped afterwards. Access keys and
-    hexadecimal strings that are long enough lie inside a run, so only runs are searched for them.
+    hexadecimal strings that are long enough lie inside a run, so only runs are searched for them. Spans are cut out of a run,
+    and each part that is left and long enough counts as a run.
     """
     spans: list[Span] = []
     values: list[tuple[str, str]] = []
@@ -60,14 +63,17 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[str, str]], list[tuple
                     spans.append((kind, match.start(), match.end()))
                     values.append((kind, match[0]))
     spans.sort(key=lambda span: (span[1], KINDS.index(span[0])))
-    covered = 0
-    at = 0
+    covered = at = 0
     for begin, end in runs:
+        start = max(begin, covered)
         while at < len(spans) and spans[at][1] < end:
+            if spans[at][1] - start >= ASSIGN_LEAST:
+                others.append((start, spans[at][1]))
             covered = max(covered, spans[at][2])
+            start = max(start, covered)
             at += 1
-        if covered <= begin:
-            others.append((begin, end))
+        if end - start >= ASSIGN_LEAST:
+            others.append((start, end))
     return spans, values, others
 
 
@@ -193,13 +199,21 @@ class Formats:
     kinds: dict[str, list]
     ordinary: list | None
     prior: float
+    _held: dict[str, bool] = field(default_factory=dict, repr=False)
 
     def accepts(self, value: str) -> bool:
         if not self.kinds or self.ordinary is None:
             return False
         string = shape(value)
-        best = max(_likelihood(table, string) for table in self.kinds.values())
-        return best - _likelihood(self.ordinary, string) + self.prior >= ODDS
+        verdict = self._held.get(string)
+        if verdict is None:
+            best = max(_likelihood(table, string) for table in self.kinds.values())
+            verdict = best - _likelihood(self.ordinary, string) + self.prior >= ODDS
+            if len(string) <= LONGEST_SAMPLED:
+                if len(self._held) >= HELD_SHAPES:
+                    self._held.clear()
+                self._held[string] = verdict
+        return verdict
 
 
 def _likelihood(table: list, string: str) -> float:
@@ -221,7 +235,8 @@ def _labelled(text: Column) -> Column:
             out = []
             for text in batch.to_pylist():
                 _, found, others = base_spans(text or "")
-                out.append([{"kind": k, "value": v} for k, v in found] + [{"kind": "ordinary", "value": text[a:b]} for a, b in others])
+                different = dict.fromkeys([*found, *(("ordinary", text[a:b]) for a, b in others)])
+                out.append([{"kind": k, "value": v} for k, v in different])
             yield pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))
 
     return values(text)
@@ -230,12 +245,14 @@ def _labelled(text: Column) -> Column:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_PER_KIND) -> Formats:
     """Learn the formats: at most ``sample`` different values of a kind, those of smallest hash, build its automaton.
 
-    Counts behind the prior cover the whole corpus. Without a credential or without an ordinary run nothing is added.
+    Counts behind the prior cover all different values of the corpus; long ones build no automaton and are told apart by their
+    SHA-256. Without a credential or without an ordinary run nothing is added.
     """
     found = keyed_text(docs, id_col, text_col).select(F.explode(_labelled(F.col("text"))).alias("v")).select("v.kind", "v.value")
-    distinct = found.where(F.length("value") <= LONGEST_SAMPLED).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    short = F.length("value") <= LONGEST_SAMPLED
+    distinct = found.select("kind", short.alias("short"), F.when(short, F.col("value")).otherwise(F.sha2("value", 256)).alias("value")).distinct()
     place = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    taken = distinct.withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample)
+    taken = distinct.where("short").withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample)
     by_kind: dict[str, list[str]] = {}
     for row in taken.select("kind", "value").collect():
         by_kind.setdefault(row["kind"], []).append(shape(row["value"]))
