@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridfare.llm import ann, byte_bpe, exact_dedup, language_id, masked_lm, packing, quality, secret_scan, sharding, simhash
+from gridfare.llm import ann, byte_bpe, exact_dedup, language_id, masked_lm, packing, quality, secret_scan, sharding, simhash, turn_repair
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,6 +58,10 @@ def hash_tree_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_table(_documents(spark, sf), 40)
 
 
+def repaired_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return turn_repair.repair_conversations(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_masked_lm": masked_scores,
     "op2_byte_bpe": byte_bpe_round_trip,
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_language_id": languages,
     "op9_quality_cnn": quality_scores,
     "op10_hash_tree_sharding": hash_tree_shards,
+    "op13_turn_repair": repaired_conversations,
 }
 
 ORACLES = {
