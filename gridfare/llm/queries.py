@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridfare.llm import ann, byte_bpe, exact_dedup, language_id, masked_lm, packing, quality, secret_scan, sharding, simhash, turn_repair
+from gridfare.llm import ann, byte_bpe, divergence, exact_dedup, language_id, masked_lm, packing, quality, secret_scan, sharding, simhash, turn_repair
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,6 +58,10 @@ def hash_tree_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_table(_documents(spark, sf), 40)
 
 
+def source_divergences(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.divergences(_documents(spark, sf))
+
+
 def repaired_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return turn_repair.repair_conversations(spark.read.parquet(f"{sf}/conversations.parquet"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_language_id": languages,
     "op9_quality_cnn": quality_scores,
     "op10_hash_tree_sharding": hash_tree_shards,
+    "op12_source_divergence": source_divergences,
     "op13_turn_repair": repaired_conversations,
 }
 
@@ -85,4 +90,33 @@ ORACLES = {
         SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
                doc_id = first_value(doc_id) OVER best AS kept, sha256(body) AS text_sha256
         FROM d WINDOW best AS (PARTITION BY body ORDER BY chars DESC, doc_id)""",
+    "op12_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+            FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        o AS (SELECT id, lang, source, unnest(words) AS term FROM d),
+        t AS (SELECT lang, term, count(*) AS m FROM o GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+        c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN t USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v, sum(m) AS m_all FROM t GROUP BY 1),
+        s AS (SELECT lang, source, coalesce(sum(n), 0) AS n_all FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        x AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n,
+                   1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (n_all + 5 * v) AS p,
+                   1 + (1000000000::HUGEINT * (m + 5)) // (m_all + 5 * v) AS q
+            FROM s JOIN v USING (lang) JOIN t USING (lang) LEFT JOIN c USING (lang, source, term)),
+        f AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q)::BIGINT FROM x WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value,
+               row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+        FROM r QUALIFY part = 'pair' OR rank <= 50""",
 }

@@ -10,7 +10,7 @@ dear its rest is at least: states that have failed are not entered again until t
 Texts move once, to be hashed in order. The search sees one character a row: rows are narrowed to a digest and what their
 text ends in, equal rows are counted before they move, and the first row of a role and text is found by an aggregate. Rows of
 a conversation then pass its task in order, one batch at a time. What a task holds of a conversation is that character, the
-edit and four numbers a row; the digest of the repaired conversation is sequential by definition.
+edit and five numbers a row; the digest of the repaired conversation is sequential by definition.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ ROLES = {USER: "user", ASSISTANT: "assistant"}
 #: role; upper case if truncated.
 DOOMED = "!"
 LEGAL_PAIRS = ("su", "ua", "au")
+#: Rows of a segment whose cost is bounded from below.
+SEGMENT = 12
 #: Searches a task remembers, and the longest conversation remembered.
 HELD, HELD_ROWS = 50_000, 64
 
@@ -50,54 +52,52 @@ def _kept(state: int, kind: str) -> int | None:
     return ASSISTANT if kind == "a" and state == USER else None
 
 
-def _alone(row: str) -> int:
-    """The least that a row costs, whatever stands beside it."""
-    if row == DOOMED:
-        return DELETE
-    stays = TRUNCATED if row.isupper() else 0
-    return min(stays + (REROLE if row in "xX" else KEEP), DELETE)
-
-
-def _beside(one: str, two: str) -> int:
-    """The least that two neighbours cost together: where they clash, one goes, changes, or a turn comes between."""
-    apart = _alone(one) + _alone(two)
-    left, right = one.lower(), two.lower()
-    if left + right in LEGAL_PAIRS or "e" in (left, right) or "x" in (left, right):
-        return apart
-    stay = sum(TRUNCATED for row in (one, two) if row.isupper()) + min(REROLE, INSERT)
-    return min(stay, DELETE + _alone(two), _alone(one) + DELETE)
-
-
-def _last(row: str) -> int:
-    """The least that the last row costs: unless it is an assistant's, it goes, changes, or a turn follows."""
-    if row.lower() in "ae":
-        return _alone(row)
-    return min((TRUNCATED if row.isupper() else 0) + min(REROLE, INSERT), DELETE)
-
-
-def lower_bounds(rows: str) -> array:
-    """For each state ``4 * row + read`` a cost that its rest has at least: clashes that share no row add up."""
+def _crossings() -> dict[str, list[list[int]]]:
+    """For each kind of row the least cost from what was read before it to what is read after it, turns before it included."""
+    table = {}
+    for row in "!suaxeSUAXE":
+        costs = [[_UNREACHED] * 4 for _ in range(4)]
+        for start in range(4):
+            read, inserted = start, 0
+            for _ in range(4):
+                moves = [(DELETE, read)]
+                if row != DOOMED:
+                    stays, after = (TRUNCATED if row.isupper() else 0), _kept(read, row.lower())
+                    moves.append((REROLE + stays, NEXT[read]))
+                    if after is not None:
+                        moves.append((KEEP + stays, after))
+                for cost, after in moves:
+                    costs[start][after] = min(costs[start][after], inserted + cost)
+                read, inserted = NEXT[read], inserted + INSERT
+        table[row] = costs
+    return table
+
+
+_CROSSINGS = _crossings()
+_ARRIVALS = {row: list(zip(*costs)) for row, costs in _CROSSINGS.items()}
+#: What is missing at the end: a user and an assistant turn, or an assistant turn.
+_MISSING = (0, 2 * INSERT, INSERT, 0)
+
+
+def lower_bounds(rows: str, segment: int = SEGMENT) -> array:
+    """For each state ``4 * row + read`` a cost that its rest has at least.
+
+    Rows are cut into segments of at most ``segment``, each entered and left as is cheapest for itself; the dearest cut counts.
+    """
     size = len(rows)
     rest = [0] * (size + 1)
-    follower, between = size, 0
-    bounds = array("i", bytes(16 * (size + 1)))
-    bounds[4 * size + SYSTEM], bounds[4 * size + USER] = 2 * INSERT, INSERT
+    bounds = array("q", bytes(32 * (size + 1)))
+    bounds[4 * size :] = array("q", _MISSING)
     for at in range(size - 1, -1, -1):
-        row = rows[at]
-        if row == DOOMED:
-            rest[at] = DELETE + rest[at + 1]
-            between += DELETE
-            for read in range(4):
-                bounds[4 * at + read] = DELETE + bounds[4 * at + 4 + read]
-            continue
-        pair = _last(row) if follower == size else _beside(row, rows[follower]) + rest[follower + 1]
-        rest[at] = max(_alone(row) + rest[at + 1], pair + between)
-        stays = TRUNCATED if row.isupper() else 0
+        costs, least = [0] * 4, 0
+        for end in range(at, min(at + segment, size)):
+            costs = [min(map(int.__add__, costs, arrival)) for arrival in _ARRIVALS[rows[end]]]
+            through = min(costs) + rest[end + 1] if end + 1 < size else min(map(int.__add__, costs, _MISSING))
+            least = max(least, through)
+        rest[at] = least
         for read in range(4):
-            fits = _kept(read, row.lower()) is not None
-            here = stays if fits else min(stays + min(REROLE, INSERT), DELETE)
-            bounds[4 * at + read] = max(rest[at], here + rest[at + 1])
-        follower, between = at, 0
+            follows = bounds[4 * at + 4 + read] if rows[at] == DOOMED else rest[at + 1]
+            bounds[4 * at + read] = max(least, min(_CROSSINGS[rows[at]][read]) + follows)
     return bounds
 
 
