@@ -99,7 +99,7 @@ def _groups_of(docs: DataFrame, text_col: str) -> DataFrame:
 def _share(n: Column, total: Column, terms: Column) -> Column:
     """The whole number 1 + floor(SCALE * (n + SMOOTH) / (total + SMOOTH * terms)); 0 where there is no term."""
     above = (n + SMOOTH).cast("decimal(27,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    below = (total + F.lit(SMOOTH) * terms).cast("decimal(20,0)")
+    below = (total + F.lit(SMOOTH) * terms.cast("long")).cast("decimal(20,0)")
     return F.when(terms > 0, F.call_function("div", above.cast("decimal(38,0)"), below) + 1).otherwise(0)
 
 

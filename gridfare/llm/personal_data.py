@@ -72,7 +72,7 @@ LOOSE_PATTERN = f"{PATTERNS['email']}|{PATTERNS['phone']}|{_OBSCURED}|{_ACCOUNT}
 _LOOSE_NEEDS = rf"[(\[](?:at|AT|@)[)\]]|[0-9][\x20.)-]|[A-Z]{{2}}[0-9]{{2}}|(?:{'|'.join(TITLES)})\.?\x20"
 #: Characters before a match that labelers see, and matches whose places are added up in one go.
 CONTEXT, BLOCK = 40, 256
-THRESHOLD = 0.9
+THRESHOLD = 0.8
 
 
 def _words(values: tuple[str, ...]) -> str:
@@ -111,7 +111,7 @@ def valid(kind: str, match: Column) -> Column:
         return F.lit(True)
     digits = _digits(match)
     if kind == "card":
-        return F.length(digits).between(14, 19) & F.luhn_check(digits)
+        return F.length(digits).between(14, 19) & F.call_function("luhn_check", digits)
     return F.length(digits).between(10, 15)
 
 
@@ -254,10 +254,14 @@ def _lookups(weights: dict[str, float], name: str, value: Column, values: tuple)
     return [F.when(value == v, F.lit(weights.get(f"{name}={v}", 0.0))).otherwise(0.0) for v in values]
 
 
+def _tagged(kind: str) -> Column:
+    return F.transform(f"_{kind}", lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("hit")))
+
+
 def vote_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Candidates of all documents counted by kind, votes and digits."""
     found = _searched(keyed_text(docs, id_col, text_col))
-    tagged = [F.transform(f"_{kind}", lambda h, kind=kind: F.struct(F.lit(kind).alias("kind"), h.alias("hit"))) for kind in BASE]
+    tagged = [_tagged(kind) for kind in BASE]
     loose = F.filter(F.transform("_loose", lambda h: F.struct(loose_kind(h["match"]).alias("kind"), h.alias("hit"))), lambda c: c["kind"].isNotNull())
     every = found.select(F.explode(F.concat(*tagged, loose)).alias("c")).select("c.kind", "c.hit")
     # Digit chains of any length match the card pattern; those as short as a number's groups are no candidates for a card.
@@ -297,7 +301,7 @@ def _features(row: tuple) -> list[str]:
     return ["bias", f"kind={row[0]}", *(f"{labeler}={vote}" for labeler, vote in zip(LABELERS, row[1:5])), f"digits={row[5]}"]
 
 
-def train(model: Evidence, rows: list[tuple], chance: np.ndarray, *, ridge: float = 1.0, steps: int = 30) -> None:
+def train(model: Evidence, rows: list[tuple], chance: np.ndarray, *, ridge: float = 0.1, steps: int = 30) -> None:
     """Logistic regression on the features of the rows, whose labels are probabilities and whose weights are counts, by Newton steps.
 
     Counts enter as their logarithm, so that a kind found often does not drown the others.
@@ -330,15 +334,17 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> E
 # ---- spans ----
 
 
+def _checked(kind: str) -> Column:
+    def check(h: Column) -> Column:
+        return F.struct(h["n"].alias("n"), F.length(h["match"]).alias("size"), valid(kind, h["match"]).alias("ok"), F.lit(kind).alias("kind"))
+
+    return F.transform(f"_{kind}", check)
+
+
 def find_spans(docs: DataFrame, model: Evidence, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, base, added): arrays of (start, place of the kind, end, kind) of every row, in code points, by start and kind."""
     found = _searched(keyed_text(docs, id_col, text_col))
-    checked = {
-        f"_{kind}": F.transform(
-            f"_{kind}", lambda h, kind=kind: F.struct(h["n"].alias("n"), F.length(h["match"]).alias("size"), valid(kind, h["match"]).alias("ok"), F.lit(kind).alias("kind"))
-        )
-        for kind in BASE
-    }
+    checked = {f"_{kind}": _checked(kind) for kind in BASE}
     marked = F.transform("_loose", lambda h: F.struct(loose_kind(h["match"]).alias("kind"), h.alias("hit")))
     least = math.log(threshold / (1 - threshold))
 

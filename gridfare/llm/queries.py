@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridfare.llm import ann, byte_bpe, divergence, exact_dedup, language_id, masked_lm, packing, quality, secret_scan, sharding, simhash, turn_repair
+from gridfare.llm import ann, byte_bpe, divergence, exact_dedup, language_id, masked_lm, packing, personal_data, quality, secret_scan, sharding, simhash, turn_repair
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,6 +58,11 @@ def hash_tree_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_table(_documents(spark, sf), 40)
 
 
+def personal_spans(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    return personal_data.scan_documents(docs, personal_data.fit(docs))
+
+
 def source_divergences(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.divergences(_documents(spark, sf))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_language_id": languages,
     "op9_quality_cnn": quality_scores,
     "op10_hash_tree_sharding": hash_tree_shards,
+    "op11_weak_pii": personal_spans,
     "op12_source_divergence": source_divergences,
     "op13_turn_repair": repaired_conversations,
 }
