@@ -104,7 +104,7 @@ PLANTED = [
     ("Please call me: (743) 555-3824 today", "number:16:30"), ("My account is IBAN: DE89 3704 0044 0532 0130 00 thanks", "account:20:47"),
     ("Write to mail: jane.doe (at) example (dot) com now", "contact:15:46"), ("Name: Dr. Anna Schmidt lives here", "name:6:22"),
 ]
-CLEAN = ["see page 12.34.56.78.90 of version 2-33-44-55", "date 2024-05-06 or 31.12.1999", "item 4432 5073 7903 5541 order", "account number XX99 1234 5678 9012 was refused"]
+CLEAN = ["see page 312.34.56.78.90 of version 2-33-44-55", "date 2024-05-06 or 31.12.1999", "item 4432 5073 7903 5541 order", "account number XX99 1234 5678 9012 was refused"]
 
 
 @pytest.fixture(scope="module")
