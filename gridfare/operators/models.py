@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 from gridfare.functions.ranking import exact_quantiles
 from gridfare.operators import components as comp
+from gridfare.operators import logistic, trees
+from gridfare.operators.logistic import Logistic
 from gridfare.operators.metrics import binary_metrics, count_metrics, curve_areas, round_and_clip
-from gridfare.session import checkpointed
+from gridfare.operators.trees import Experiment, Learner
+from gridfare.session import checkpointed, scratch_path
 
 FOLDS = (1, 2, 3, 4)
 PCA_SETTINGS: dict[str, float | None] = {"whole": None, "share_90": 0.90, "share_95": 0.95, "share_98": 0.98}
@@ -99,16 +102,26 @@ def preparation(train: DataFrame, columns: Sequence[str]) -> PipelineModel:
     return PipelineModel(stages=[shape, gather, drop])
 
 
-def pca_by_variance(prepared: DataFrame, target: float, *, features: str = "features", into: str = "reduced"):
-    """Fitted PCA stages that keep the fewest components whose explained share exceeds ``target``, and that number."""
+def fitted_pca(prepared: DataFrame, *, features: str = "features", into: str = "reduced"):
+    """All components of the training rows."""
     size = len(prepared.select(features).first()[0])
-    fitted = PCA(k=size, inputCol=features, outputCol=f"_{into}").fit(prepared)
-    reached, keep = 0.0, size
-    for i, share in enumerate(fitted.explainedVariance.toArray()):
+    return PCA(k=size, inputCol=features, outputCol=into).fit(prepared)
+
+
+def components_for(shares: Sequence[float], target: float) -> int:
+    """The fewest components whose explained share exceeds ``target``."""
+    reached = 0.0
+    for i, share in enumerate(shares):
         reached += share
         if reached > target:
-            keep = i + 1
-            break
+            return i + 1
+    return len(shares)
+
+
+def pca_by_variance(prepared: DataFrame, target: float, *, features: str = "features", into: str = "reduced"):
+    """Fitted PCA stages that keep the fewest components whose explained share exceeds ``target``, and that number."""
+    fitted = fitted_pca(prepared, features=features, into=f"_{into}")
+    keep = components_for(fitted.explainedVariance.toArray(), target)
     cut = VectorSlicer(inputCol=f"_{into}", outputCol=into, indices=list(range(keep)))
     return PipelineModel(stages=[fitted, cut]), keep
 
@@ -117,13 +130,12 @@ def presence_classifiers(
     *, features: str = "features", label: str = "player_present", weight: str = "weight", trees: int = 150, rounds: int = 100,
     depth: int = FOREST_DEPTH,
 ) -> dict[str, Estimator]:
-    """Logistic regression, two forests and boosting. The last forest, without bootstrap, stands in for extra trees."""
+    """Logistic regression, forest and boosting as estimators to be saved in a pipeline; ``presence_learners`` has extra trees too."""
     common = {"featuresCol": features, "labelCol": label, "weightCol": weight}
     forest = {**common, "numTrees": trees, "maxDepth": depth, "seed": SEED}
     return {
         "logistic": LogisticRegression(**common, maxIter=500, standardization=False),
         "forest": RandomForestClassifier(**forest),
-        "forest_no_bootstrap": RandomForestClassifier(**forest, bootstrap=False, featureSubsetStrategy="onethird"),
         "boosting": GBTClassifier(**common, maxIter=rounds, maxDepth=3, stepSize=0.1, seed=SEED),
     }
 
@@ -205,43 +217,146 @@ def oof_predict(
     return reduce(DataFrame.unionByName, scored)
 
 
+def presence_learners(*, trees: int = 150, rounds: int = 100, depth: int = FOREST_DEPTH) -> dict[str, Learner | Logistic]:
+    """Logistic regression, forest, extra trees and boosting, for all folds and settings at once."""
+    return {
+        "logistic": Logistic(),
+        "forest": Learner("forest", trees, depth),
+        "extra_trees": Learner("extra_trees", trees, depth),
+        "boosting": Learner("boosting", rounds, 3, share="all"),
+    }
+
+
+class FoldValues(NamedTuple):
+    """Rows for every held-out fold: (fold, id, train, y, weight, x), written once.
+
+    ``x`` has the prepared columns and, behind them, all principal components; ``kept`` has how many a fold and setting use.
+    """
+
+    rows: DataFrame
+    width: int
+    kept: dict[tuple[int, str], tuple[int, ...]]
+
+
+def fold_values(
+    data: DataFrame, columns: Sequence[str], label: str, folds: Sequence[int], settings: Mapping[str, float | None]
+) -> FoldValues:
+    """Preparation, components and balanced weights of each fold, from its training rows; ``data`` has ``id`` and ``fold_id``."""
+    size, kept, parts = len(columns), {}, []
+    for fold in folds:
+        train, _ = image_folds(data, fold)
+        prep = preparation(train, columns)
+        ready = prep.transform(data)
+        x = vector_to_array("features")
+        if any(target is not None for target in settings.values()):
+            reduce_ = fitted_pca(prep.transform(train))
+            ready = reduce_.transform(ready)
+            x = F.concat(x, vector_to_array("reduced"))
+        for setting, target in settings.items():
+            chosen = range(size) if target is None else range(size, size + components_for(reduce_.explainedVariance.toArray(), target))
+            kept[fold, setting] = tuple(chosen)
+        weighted = balanced_weights(ready, label, train=train)
+        parts.append(
+            weighted.select(
+                F.lit(fold).alias("fold"), "id", (F.col("fold_id") != fold).alias("train"), F.col(label).cast("double").alias("y"),
+                F.coalesce("weight", F.lit(0.0)).alias("weight"), x.alias("x"),
+            )
+        )
+    width = size * (1 + any(target is not None for target in settings.values()))
+    return FoldValues(_written(reduce(DataFrame.unionByName, parts), "fold-values"), width, kept)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def fit_experiments(values: FoldValues, experiments: Sequence[Experiment]) -> DataFrame:
+    """(experiment, id, p) of every row, from the model of the folds that it is not in."""
+    scored = []
+    grown = [(n, e) for n, e in enumerate(experiments) if isinstance(e.learner, Learner)]
+    if grown:
+        edges = trees.column_edges(values.rows, values.width)
+        rows = _written(trees.binned(values.rows, edges), "binned")
+        own = [e for _, e in grown]
+        numbers = F.array(*[F.lit(n) for n, _ in grown])
+        found = trees.predict(rows, trees.fit(rows, own, edges), own)
+        scored.append(found.withColumn("experiment", F.element_at(numbers, F.col("experiment") + 1)))
+    for learner in dict.fromkeys(e.learner for e in experiments if isinstance(e.learner, Logistic)):
+        numbers, folds, chosen = zip(*((n, e.fold, e.columns) for n, e in enumerate(experiments) if e.learner == learner))
+        betas = logistic.fit(values.rows, learner, folds, chosen)
+        scored.append(logistic.predict(values.rows, numbers, folds, chosen, betas))
+    return reduce(DataFrame.unionByName, scored)
+
+
+def cross_fit(
+    cells: DataFrame,
+    columns: Sequence[str],
+    models: Mapping[str, Learner | Logistic],
+    *,
+    settings: Mapping[str, float | None] | None = None,
+    keep: Sequence[str] = (),
+    label: str = "player_present",
+    folds: Sequence[int] = FOLDS,
+) -> DataFrame:
+    """(model, pca, label, fold_id, kept columns…, p): every row scored by each model and setting of the folds it is not in.
+
+    All experiments share their preparation and their passes over the rows.
+    """
+    settings = {"whole": None} if settings is None else settings
+    needed = list(dict.fromkeys([*columns, *keep, label, "fold_id"]))
+    data = _written(cells.select(*needed).withColumn("id", F.monotonically_increasing_id()), "cells")
+    values = fold_values(data, columns, label, folds, settings)
+    experiments = [
+        Experiment(name, setting, fold, values.kept[fold, setting], learner)
+        for name, learner in models.items() for setting in settings for fold in folds
+    ]
+    names = F.array(*[F.struct(F.lit(e.model).alias("model"), F.lit(e.setting).alias("pca")) for e in experiments])
+    scored = _written(fit_experiments(values, experiments), "scored")
+    named = scored.withColumn("_e", F.element_at(names, F.col("experiment") + 1)).select("_e.model", "_e.pca", "id", "p")
+    return named.join(data.select("id", *dict.fromkeys([*keep, label, "fold_id"])), "id").drop("id")
+
+
+def fold_metrics(scored: DataFrame, label: str = "player_present") -> DataFrame:
+    """Metrics of ``cross_fit`` rows per model, setting and fold."""
+    keys = ["model", "pca", "fold_id"]
+    return binary_metrics(scored, label, "p", keys=keys).join(curve_areas(scored, label, "p", keys=keys), keys)
+
+
 def experiment_grid(
     cells: DataFrame,
     columns: Sequence[str],
     *,
-    models: Mapping[str, Estimator] | None = None,
+    models: Mapping[str, Learner | Logistic] | None = None,
     settings: Mapping[str, float | None] = PCA_SETTINGS,
     label: str = "player_present",
     folds: Sequence[int] = FOLDS,
-    parallelism: int = 4,
 ) -> DataFrame:
-    """Mean out-of-fold metrics per model and PCA setting, best F1 first. A failed experiment is a row with its error."""
+    """Mean out-of-fold metrics per model and PCA setting, best F1 first. A failed experiment is a row with its error.
+
+    All experiments run together; only if that fails does each run alone, so that one cannot take the others with it.
+    """
     spark = cells.sparkSession
-    data = checkpointed(cells.select(*columns, label, "fold_id"))
-    # Medians and scales depend on the fold alone.
-    prepared = {fold: preparation(image_folds(data, fold)[0], columns) for fold in folds}
-
-    def run(name: str, estimator: Estimator, setting: str, variance: float | None) -> dict:
-        try:
-            scored = oof_predict(
-                data, estimator, columns, keep=[label, "fold_id"], label=label, variance=variance, folds=folds,
-                materialise=False, prepared=prepared,
-            )
-            # A fold is the key on which both sides agree; each side has one row per fold.
-            point = binary_metrics(scored, label, "p", keys=["fold_id"])
-            area = curve_areas(scored, label, "p", keys=["fold_id"])
-            row = point.join(area, "fold_id").agg(*[F.avg(m).alias(m) for m in METRICS]).first()
-            return {"model": name, "pca": setting, **row.asDict(), "error": None}
-        except Exception as problem:  # noqa: BLE001 - the grid goes on and reports it
-            return {"model": name, "pca": setting, **dict.fromkeys(METRICS), "error": str(problem)}
-
-    chosen = presence_classifiers(label=label) if models is None else models
-    jobs = [(n, e, s, v) for n, e in chosen.items() for s, v in settings.items()]
-    with ThreadPoolExecutor(parallelism) as pool:
-        rows = list(pool.map(lambda job: run(*job), jobs))
+    chosen = presence_learners() if models is None else models
+
+    def run(some: Mapping[str, Learner | Logistic], own: Mapping[str, float | None]) -> list[tuple]:
+        scored = cross_fit(cells, columns, some, settings=own, label=label, folds=folds)
+        means = fold_metrics(scored, label).groupBy("model", "pca").agg(*[F.avg(m).alias(m) for m in METRICS])
+        return [(*row, None) for row in means.collect()]
+
+    try:
+        rows = run(chosen, settings)
+    except Exception:  # noqa: BLE001 - found out one by one below
+        rows = []
+        for name, learner in chosen.items():
+            for setting, target in settings.items():
+                try:
+                    rows += run({name: learner}, {setting: target})
+                except Exception as problem:  # noqa: BLE001 - the grid goes on and reports it
+                    rows.append((name, setting, *[None] * len(METRICS), str(problem)))
     shape = "model string, pca string, " + ", ".join(f"{m} double" for m in METRICS) + ", error string"
-    table = spark.createDataFrame([tuple(r[c] for c in ("model", "pca", *METRICS, "error")) for r in rows], shape)
-    return table.orderBy(F.desc_nulls_last("f1"), "model", "pca")
+    return spark.createDataFrame(rows, shape).orderBy(F.desc_nulls_last("f1"), "model", "pca")
 
 
 # ---- counts ----
@@ -250,7 +365,7 @@ def experiment_grid(
 def count_regressors(
     n: int, deviation: float, *, trees: int = 150, rounds: int = 100, alpha: float = 1.0, depth: int = FOREST_DEPTH
 ) -> dict[str, Estimator]:
-    """Ridge, two forests (the second without bootstrap) and boosting for ``n`` training rows whose counts have this population deviation.
+    """Ridge, forest and boosting as estimators for ``n`` training rows whose counts have this population deviation.
 
     Ridge penalises the raw sum of squares. Spark averages the loss and scales the label first, so the strength that
     means the same is ``alpha * deviation / n``.
@@ -260,7 +375,6 @@ def count_regressors(
     return {
         "ridge": LinearRegression(**common, regParam=alpha * deviation / max(n, 1), elasticNetParam=0.0, standardization=False),
         "forest": RandomForestRegressor(**forest),
-        "forest_no_bootstrap": RandomForestRegressor(**forest, bootstrap=False, featureSubsetStrategy="onethird"),
         "boosting": GBTRegressor(**common, maxIter=rounds, maxDepth=3, stepSize=0.1, seed=SEED),
     }
 
@@ -294,6 +408,35 @@ def oof_counts(
     return reduce(DataFrame.unionByName, parts)
 
 
+def count_learners(*, trees: int = 150, rounds: int = 100, depth: int = FOREST_DEPTH) -> dict[str, Learner]:
+    """Forest, extra trees and boosting for counts, for all folds at once."""
+    return {
+        "forest": Learner("forest", trees, depth, share="all", regression=True),
+        "extra_trees": Learner("extra_trees", trees, depth, share="all", regression=True),
+        "boosting": Learner("boosting", rounds, 3, share="all", regression=True),
+    }
+
+
+def cross_fit_counts(
+    table: DataFrame, models: Mapping[str, Learner], columns: Sequence[str], *, folds: Sequence[int] = FOLDS, key: str = "image"
+) -> DataFrame:
+    """(model, key, count, fold_id, predicted): out-of-fold counts of all models, rounded and clipped like ``oof_counts``."""
+    filled = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    known = table.select(key, "count", "fold_id", filled.alias("x"), F.monotonically_increasing_id().alias("id"))
+    data = _written(known, "counts")
+    folded = data.withColumn("fold", F.explode(F.array(*map(F.lit, folds)))).select(
+        "fold", "id", (F.col("fold_id") != F.col("fold")).alias("train"), F.col("count").cast("double").alias("y"), F.lit(1.0).alias("weight"), "x"
+    )
+    values = FoldValues(_written(folded, "fold-values"), len(columns), {})
+    experiments = [Experiment(name, "whole", fold, tuple(range(len(columns))), learner) for name, learner in models.items() for fold in folds]
+    names, of_fold = (F.array(*map(F.lit, column)) for column in zip(*((e.model, e.fold) for e in experiments)))
+    scored = fit_experiments(values, experiments)
+    highest = values.rows.where("train").groupBy("fold").agg(F.max("y").cast("long").alias("highest"))
+    named = scored.select(F.element_at(names, F.col("experiment") + 1).alias("model"), F.element_at(of_fold, F.col("experiment") + 1).alias("fold"), "id", "p")
+    clipped = round_and_clip(named.join(highest, "fold"), "p", highest=F.col("highest"), into="predicted")
+    return clipped.select("model", "id", "predicted").join(data.select("id", key, "count", "fold_id"), "id").drop("id")
+
+
 def two_stage_counts(
     cells: DataFrame,
     classifier: Estimator,

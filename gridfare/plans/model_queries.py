@@ -208,7 +208,7 @@ def _standardise(spark, sf):
 # ---- learners, with the library's default trees and rounds. Values of a learner have no SQL; what must hold for any learner has: which rows it answers for, supports, ranges. Each oracle states that.
 
 _SHARES = "(VALUES (0.90::DOUBLE), (0.95::DOUBLE), (0.98::DOUBLE)) s(target)"
-_MODELS = ["boosting", "forest", "forest_no_bootstrap", "logistic"]
+_MODELS = ["boosting", "extra_trees", "forest", "logistic"]
 
 
 def _names(names, column):
@@ -237,22 +237,14 @@ def _pca(spark, sf):
 @query(
     "presence_classifiers",
     f"""WITH {CELLS} SELECT model, fold_id, count(*) AS n, count(*) FILTER (label > 0) AS positives, TRUE AS in_range
-    FROM cells, {_names(_MODELS, 'model')} WHERE fold_id = 1 GROUP BY 1, 2""",
+    FROM cells, {_names(_MODELS, 'model')} GROUP BY 1, 2""",
 )
 def _classifiers(spark, sf):
-    cells = checkpointed(_presence(spark, sf).select(*fx.CELL_FEATURES, "player_present", "fold_id"))
-    # All models on one fold; experiment_grid has all folds.
-    prepared = {1: models.preparation(models.image_folds(cells, 1)[0], fx.CELL_FEATURES)}
-    parts = []
-    for name, estimator in models.presence_classifiers().items():
-        scored = models.oof_predict(
-            cells, estimator, fx.CELL_FEATURES, keep=["player_present", "fold_id"], folds=(1,), materialise=False, prepared=prepared
-        )
-        found = metrics.binary_metrics(scored, "player_present", "p", keys=["fold_id"])
-        parts.append(found.withColumn("model", F.lit(name)))
-    whole = reduce(DataFrame.unionByName, parts)
+    """All models on all folds."""
+    scored = models.cross_fit(_presence(spark, sf), fx.CELL_FEATURES, models.presence_learners())
+    found = metrics.binary_metrics(scored, "player_present", "p", keys=["model", "fold_id"])
     n = (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n")
-    return whole.select("model", "fold_id", n, (F.col("tp") + F.col("fn")).alias("positives"), _inside("f1", 0, 1))
+    return found.select("model", "fold_id", n, (F.col("tp") + F.col("fn")).alias("positives"), _inside("f1", 0, 1))
 
 
 @query("oof_predict", f"WITH {CELLS} SELECT image, cell_id, fold_id, TRUE AS in_range FROM cells")
@@ -268,7 +260,7 @@ def _oof(spark, sf):
     FROM {_names(_MODELS, 'model')}, {_names(models.PCA_SETTINGS, 'pca')}""",
 )
 def _grid(spark, sf):
-    found = models.experiment_grid(_presence(spark, sf), fx.CELL_FEATURES, models=models.presence_classifiers(), parallelism=8)
+    found = models.experiment_grid(_presence(spark, sf), fx.CELL_FEATURES)
     sound = reduce(lambda a, b: a & b, [F.col(m).between(0, 1) for m in models.METRICS])
     return found.select("model", "pca", "error", F.coalesce(sound, F.lit(False)).alias("in_range"))
 
@@ -283,15 +275,14 @@ _COUNTED = f"WITH {CELLS}, i AS (SELECT image, min(count)::BIGINT AS count, min(
 @query(
     "count_regressors",
     f"""{_COUNTED} SELECT model, image, count, fold_id, TRUE AS in_range
-    FROM i, {_names(['boosting', 'forest', 'forest_no_bootstrap', 'ridge'], 'model')}""",
+    FROM i, {_names(['boosting', 'extra_trees', 'forest', 'ridge'], 'model')}""",
 )
 def _regressors(spark, sf):
-    table, parts = _table(spark, sf), []
-    for name in models.count_regressors(1, 1.0):
-        make = lambda n, s, name=name: models.count_regressors(n, s)[name]
-        scored = models.oof_counts(table, make, comp.count_feature_columns())
-        parts.append(scored.select(F.lit(name).alias("model"), "image", "count", "fold_id", _inside("predicted", 0, 20)))
-    return reduce(DataFrame.unionByName, parts)
+    table, columns = _table(spark, sf), comp.count_feature_columns()
+    ridge = models.oof_counts(table, lambda n, s: models.count_regressors(n, s)["ridge"], columns)
+    grown = models.cross_fit_counts(table, models.count_learners(), columns)
+    both = grown.unionByName(ridge.withColumn("model", F.lit("ridge")))
+    return both.select("model", "image", "count", "fold_id", _inside("predicted", 0, 20))
 
 
 @query("two_stage_counts", f"{_COUNTED} SELECT image, count, fold_id, TRUE AS in_range FROM i")
@@ -350,12 +341,16 @@ def _importance(spark, sf):
 
 @query(
     "team_classifier",
-    f"""WITH {CELLS} SELECT label::VARCHAR AS class, count(*) AS support, TRUE AS in_range FROM cells WHERE fold_id = 1 GROUP BY 1""",
+    f"""WITH {CELLS} SELECT fold_id, label::VARCHAR AS class, count(*) AS support, TRUE AS in_range FROM cells GROUP BY 1, 2""",
 )
 def _teams(spark, sf):
-    cells = _presence(spark, sf)
-    train, valid = models.image_folds(cells, 1)
-    model = models.team_classifier(train, fx.CELL_FEATURES)
-    scored = model.transform(valid).withColumn("guess", F.col("prediction").cast("long"))
-    report = metrics.multiclass_report(scored, "label", "guess").where("class RLIKE '^[0-9]+$' AND support > 0")
-    return report.select("class", "support", _inside("f1", 0, 1))
+    """A forest for each fold, on the rows of the others."""
+    cells = checkpointed(_presence(spark, sf))
+    reports = []
+    for fold in models.FOLDS:
+        train, valid = models.image_folds(cells, fold)
+        model = models.team_classifier(train, fx.CELL_FEATURES)
+        scored = model.transform(valid).withColumn("guess", F.col("prediction").cast("long"))
+        report = metrics.multiclass_report(scored, "label", "guess").where("class RLIKE '^[0-9]+$' AND support > 0")
+        reports.append(report.select(F.lit(fold).cast("long").alias("fold_id"), "class", "support", _inside("f1", 0, 1)))
+    return reduce(DataFrame.unionByName, reports)

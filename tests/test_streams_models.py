@@ -4,10 +4,12 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from gridfare.operators import metrics, models
+from gridfare.operators.trees import Learner
 from gridfare.plans import catalog
 from gridfare.plans import fixtures as fx
 from gridfare.streaming import jobs, leases
@@ -144,9 +146,7 @@ def test_each_cell_is_scored_once_out_of_fold(spark, sf):
 def test_a_failed_experiment_is_reported(spark):
     rows = [(f, float(i), i % 2) for f in (1, 2) for i in range(20)]
     df = spark.createDataFrame(rows, "fold_id int, x double, player_present int")
-    broken = models.presence_classifiers(trees=2, rounds=2)["forest"].copy()
-    broken.setParams(labelCol="absent")
-    good = models.presence_classifiers(trees=2, rounds=2)["logistic"]
+    broken, good = Learner("forest", 2, depth="deep"), models.presence_learners()["logistic"]
     table = models.experiment_grid(df, ["x"], models={"bad": broken, "good": good}, settings={"whole": None}, folds=(1, 2)).collect()
     assert [r["model"] for r in table] == ["good", "bad"] and table[1]["error"] and table[0]["error"] is None
 
@@ -155,32 +155,51 @@ def test_bundle(spark, sf):
     assert catalog.QUERIES["save_bundle"](spark, sf).count() == fx.cells(spark, sf).count()
 
 
-@pytest.mark.parametrize("name", ["presence_classifiers", "oof_predict", "experiment_grid", "two_stage_counts", "fit_final", "count_regressors", "team_classifier"])
+@pytest.mark.parametrize("name", ["oof_predict", "two_stage_counts", "fit_final"])
 def test_learner_queries_fit_the_full_numbers(spark, sf, monkeypatch, name):
     class Reached(Exception):
         pass
 
     def numbers(found):
-        trees = {found[n].getNumTrees() for n in ("forest", "forest_no_bootstrap")}
-        assert trees == {150} and found["boosting"].getMaxIter() == 100
+        assert found["forest"].getNumTrees() == 150 and found["boosting"].getMaxIter() == 100
         raise Reached
 
-    classifiers, team = models.presence_classifiers, models.team_classifier
+    classifiers = models.presence_classifiers
     monkeypatch.setattr(models, "presence_classifiers", lambda **settings: numbers(classifiers(**settings)))
+    with pytest.raises(Reached):
+        catalog.QUERIES[name](spark, sf)
+
 
-    def counted(table, make, columns):
-        found = make(9, 1.0)
-        if hasattr(found, "getNumTrees"):
-            assert found.getNumTrees() == 150
-            raise Reached
-        return table.withColumn("predicted", F.lit(0.0))
+@pytest.mark.parametrize("name, chosen, operator", [
+    ("presence_classifiers", "presence_learners", "cross_fit"), ("experiment_grid", "presence_learners", "experiment_grid"), ("count_regressors", "count_learners", "cross_fit_counts"),
+])
+def test_cross_fitted_queries_fit_the_full_numbers(spark, sf, monkeypatch, name, chosen, operator):
+    """Whole folds and settings, 150 trees, 100 rounds."""
 
-    monkeypatch.setattr(models, "oof_counts", counted)
+    class Reached(Exception):
+        pass
 
-    def teams(train, columns, **settings):
-        assert settings.get("trees", team.__kwdefaults__["trees"]) == 100
+    def seen(*args, **settings):
+        found = next((a for a in args if isinstance(a, dict)), None) or settings.get("models") or getattr(models, chosen)()
+        assert {found[n].trees for n in ("forest", "extra_trees")} == {150} and found["boosting"].trees == 100
+        assert "folds" not in settings and "settings" not in settings
         raise Reached
 
-    monkeypatch.setattr(models, "team_classifier", teams)
+    monkeypatch.setattr(models, operator, seen)
+    monkeypatch.setattr(models, "oof_counts", lambda *a, **s: None)
     with pytest.raises(Reached):
         catalog.QUERIES[name](spark, sf)
+
+
+def test_team_query_has_every_fold(spark, sf, monkeypatch):
+    assert models.team_classifier.__kwdefaults__["trees"] == 100
+    asked = []
+
+    def fitted(train, columns, **settings):
+        assert "trees" not in settings
+        asked.append(sorted(r[0] for r in train.select("fold_id").distinct().collect()))
+        return SQLTransformer(statement="SELECT *, 0D AS prediction FROM __THIS__")
+
+    monkeypatch.setattr(models, "team_classifier", fitted)
+    catalog.QUERIES["team_classifier"](spark, sf)
+    assert asked == [[f for f in models.FOLDS if f != fold] for fold in models.FOLDS]
