@@ -6,10 +6,11 @@ these conditional probabilities scores the document.
 Tokens are lower-cased words and pieces of words, each with its blank in front: the commonest words of the whole corpus, the
 pieces that cover most of the other words, and every single byte. A word without a number is cut into the longest pieces
 from the left, so each text has tokens of its own and no two words share one. Each context position has a table of hidden vectors; their sum passes through tanh, and a two-level softmax first
-names the token's class and then the token in it, classes being runs of words of like frequency. Training is data-parallel:
-in each round every task starts from the common network, takes every position of all its documents as a target (every
-``stride``-th one if asked), and emits its weights; Spark sums them, weighted by examples, entry by entry. A sum has as many entries as the
-network, whatever the input, so the driver holds one network.
+names the token's class and then the token in it, classes being runs of words of like frequency. Texts become tokens once, in a
+table in the shared folder, from which training and scoring read. Training is data-parallel: in a round every task starts from
+the common network, takes every position of all its documents as a target (every ``stride``-th one if asked), and emits its
+weights in chunks; the chunks of all tasks are summed, weighted by examples. A sum has as many entries as the network, whatever
+the input, so the driver holds one network.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from gridfare.llm.columns import keyed_text
-from gridfare.session import checkpointed
+from gridfare.session import checkpointed, scratch_path
 
 CLASSES, MEMBERS = 32, 32
 SIZE = CLASSES * MEMBERS
 BYTES, PIECES, LONGEST_PIECE = 256, 256, 4
-SIDE, HIDDEN = 3, 24
-ROUNDS, STRIDE, BATCH, RATE = 2, 1, 512, 0.1
-HELD_WORDS, LONGEST_HELD, SLAB_TOKENS, CHUNK = 200_000, 64, 65_536, 512
+SIDE, HIDDEN = 2, 16
+ROUNDS, STRIDE, BATCH, RATE = 1, 1, 2_048, 0.1
+HELD_WORDS, LONGEST_HELD, SLAB_TOKENS, CHUNK = 200_000, 64, 65_536, 4_096
 
 _SHAPES = {
     "table": (2 * SIDE, SIZE, HIDDEN), "bias": (HIDDEN,), "to_class": (HIDDEN, CLASSES), "class_bias": (CLASSES,),
@@ -86,16 +87,32 @@ def cut(word: bytes, numbers: dict[bytes, int]) -> list[int]:
     return out
 
 
-def contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The numbers on the left and the right of each position."""
-    padded = np.concatenate([np.zeros(SIDE, np.int64), tokens, np.zeros(SIDE, np.int64)])
-    return np.stack([padded[at + SIDE + step] for step in range(-SIDE, SIDE + 1) if step], axis=1)
+def windows(texts: list[np.ndarray], stride: int = 1, first: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(contexts, targets, text of each) of the positions of all texts, at most ``SLAB_TOKENS`` at a time.
+
+    A context has the numbers on the left and on the right of its position; outside a text they are 0. ``first`` says where a
+    text's positions begin, from which on every ``stride``-th is taken.
+    """
+    gap = np.zeros(SIDE, np.uint16)
+    line = np.concatenate([gap, *(part for own in texts for part in (own, gap))])
+    sizes = np.array([len(own) for own in texts], np.int64)
+    begins = SIDE + np.cumsum(sizes + SIDE) - sizes - SIDE
+    for number in range(0, len(line), SLAB_TOKENS):
+        at = np.arange(number, min(number + SLAB_TOKENS, len(line)))
+        owner = np.searchsorted(begins, at, "right") - 1
+        place = at - begins[owner] if len(begins) else at
+        kept = (owner >= 0) & (place < sizes[owner]) if len(begins) else np.zeros(len(at), bool)
+        if stride > 1:
+            kept &= (place - np.asarray(first)[owner]) % stride == 0
+        at, owner = at[kept], owner[kept]
+        if len(at):
+            yield np.stack([line[at + step] for step in range(-SIDE, SIDE + 1) if step], axis=1), line[at].astype(np.int64), owner
 
 
 def _hidden(net: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
-    total = net["bias"] + net["table"][0][context[:, 0]]
+    total = net["bias"] + np.take(net["table"][0], context[:, 0], axis=0)
     for place in range(1, 2 * SIDE):
-        total += net["table"][place][context[:, place]]
+        total += np.take(net["table"][place], context[:, place], axis=0)
     return np.tanh(total)
 
 
@@ -145,9 +162,10 @@ def learn(net: dict[str, np.ndarray], squares: dict[str, np.ndarray], context: n
         squares[name] += grad * grad
         net[name] -= RATE * grad / (np.sqrt(squares[name]) + 1e-6)
     # Rows of the tables that no context names have no gradient and stay as they are.
-    rows = (context + np.arange(2 * SIDE) * SIZE).T.ravel()
+    rows = (context + np.arange(2 * SIDE, dtype=np.uint16) * np.uint16(SIZE)).T.ravel()
     order = np.argsort(rows, kind="stable")
-    named, begins = np.unique(rows[order], return_index=True)
+    begins = np.flatnonzero(np.diff(rows[order], prepend=np.int64(-1)))
+    named = rows[order[begins]]
     grad = np.add.reduceat(back[order % count], begins, axis=0) / count
     table, held = (part["table"].reshape(-1, HIDDEN) for part in (net, squares))
     held[named] += grad * grad
@@ -242,96 +260,111 @@ def start(texts: DataFrame, seed: int = 5) -> Model:
     return model
 
 
-def train_round(texts: DataFrame, model: Model, stride: int) -> Model:
+def token_ids(text: Column, model: Model) -> Column:
+    """The tokens of a text column as little-endian 16-bit numbers; a null text has none."""
+
+    @arrow_udf("binary")
+    def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([model.tokens(value or "").astype("<u2").tobytes() for value in batch.to_pylist()], pa.binary())
+
+    return number(text)
+
+
+def token_table(texts: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, ids) of all texts, written to the shared folder."""
+    path = scratch_path(texts.sparkSession, "masked-ids")
+    texts.select("doc_id", token_ids(F.col("text"), model).alias("ids")).write.parquet(path)
+    return texts.sparkSession.read.parquet(path)
+
+
+def _texts(ids: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Runs of texts, (place of the first, tokens of each), that have ``SLAB_TOKENS`` tokens or few more together."""
+    held: list[np.ndarray] = []
+    start = size = 0
+    for place in range(len(ids)):
+        held.append(np.frombuffer(ids[place].as_buffer(), "<u2"))
+        size += len(held[-1])
+        if size >= SLAB_TOKENS:
+            yield start, held
+            start, held, size = place + 1, [], 0
+    if held:
+        yield start, held
+
+
+def train_round(table: DataFrame, model: Model, stride: int = STRIDE) -> Model:
     """The mean of the networks that the tasks make of ``model``, weighted by their examples."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(model.numbers, model.flat.copy())
         net = own.parts()
         squares = {name: np.zeros_like(weight) for name, weight in net.items()}
-        context, targets, held, seen = [], [], 0, 0
-
-        def step() -> None:
-            every, wanted = np.concatenate(context), np.concatenate(targets)
-            for begin in range(0, len(wanted), BATCH):
-                learn(net, squares, every[begin : begin + BATCH], wanted[begin : begin + BATCH])
-            context.clear()
-            targets.clear()
-
+        seen = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = own.tokens(text)
-                at = np.arange((doc_id or 0) % stride, len(tokens), stride)
-                if not len(at):
-                    continue
-                seen += len(at)
-                for begin in range(0, len(at), SLAB_TOKENS):
-                    some = at[begin : begin + SLAB_TOKENS]
-                    context.append(contexts(tokens, some))
-                    targets.append(tokens[some])
-                    held += len(some)
-                    if held >= 8 * BATCH:
-                        step()
-                        held = 0
-        if targets:
-            step()
+            first = [(doc_id or 0) % stride for doc_id in batch.column(0).to_pylist()]
+            for start, texts in _texts(batch.column(1)):
+                for context, targets, _ in windows(texts, stride, first[start : start + len(texts)]):
+                    seen += len(targets)
+                    for begin in range(0, len(targets), BATCH):
+                        learn(net, squares, context[begin : begin + BATCH], targets[begin : begin + BATCH])
         if seen:
             sums = np.append(own.flat.astype(np.float64), 1.0) * seen
             starts = np.arange(0, len(sums), CHUNK)
-            yield pa.record_batch([pa.array(starts), pa.array([sums[i : i + CHUNK] for i in starts])], names=["start", "sums"])
+            yield pa.record_batch([pa.array(starts), pa.array([sums[i : i + CHUNK].tobytes() for i in starts], pa.binary())], names=["start", "sums"])
 
-    emitted = texts.select("doc_id", "text").mapInArrow(local, "start long, sums array<double>")
-    entries = emitted.select("start", F.posexplode("sums").alias("at", "value")).groupBy((F.col("start") + F.col("at")).alias("entry"))
-    rows = entries.agg(F.sum("value").alias("value")).toArrow()
-    if not rows.num_rows:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for start_, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(sums, np.float64)
+                held[start_] = held[start_] + part if start_ in held else part
+        yield pa.record_batch([pa.array(held.keys(), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["start", "sums"])
+
+    shape = "start long, sums binary"
+    rows = table.select("doc_id", "ids").mapInArrow(local, shape).repartition("start").mapInArrow(add, shape).collect()
+    if not rows:
         return model
     total = np.zeros(WEIGHTS + 1)
-    total[rows["entry"].to_numpy()] = rows["value"].to_numpy()
+    for row in rows:
+        part = np.frombuffer(row["sums"], np.float64)
+        total[row["start"] : row["start"] + len(part)] += part
     return Model(model.numbers, (total[:-1] / total[-1]).astype(np.float32))
 
 
+def train(table: DataFrame, model: Model, *, rounds: int = ROUNDS, stride: int = STRIDE) -> Model:
+    for _ in range(rounds):
+        model = train_round(table, model, stride)
+    return model
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Model:
     """Train on all documents; an empty corpus leaves the starting network."""
     texts = keyed_text(docs, id_col, text_col)
     model = start(texts)
-    for _ in range(rounds):
-        model = train_round(texts, model, stride)
-    return model
+    return train(token_table(texts, model), model, rounds=rounds, stride=stride)
 
 
-def scored(text: Column, model: Model) -> Column:
-    """struct<n_tokens, log_likelihood> of a text column: tokens of a few texts are predicted together."""
+def scored(ids: Column, model: Model) -> Column:
+    """struct<n_tokens, log_likelihood> of a column of ``token_ids``: tokens of a few texts are predicted together."""
 
     @arrow_udf("struct<n_tokens:long,log_likelihood:double>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = model.parts()
         for batch in batches:
             sums, counts = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-            context, targets, owners, held = [], [], [], 0
-
-            def flush() -> None:
-                if targets:
-                    chances = log_chances(net, np.concatenate(context), np.concatenate(targets))
-                    np.add.at(sums, np.concatenate(owners), chances)
-                for kept in (context, targets, owners):
-                    kept.clear()
-
-            for row, value in enumerate(batch.to_pylist()):
-                tokens = model.tokens(value or "")
-                counts[row] = len(tokens)
-                for begin in range(0, len(tokens), SLAB_TOKENS):
-                    at = np.arange(begin, min(begin + SLAB_TOKENS, len(tokens)))
-                    context.append(contexts(tokens, at))
-                    targets.append(tokens[at])
-                    owners.append(np.full(len(at), row))
-                    held += len(at)
-                    if held >= SLAB_TOKENS:
-                        flush()
-                        held = 0
-            flush()
+            for first, texts in _texts(batch):
+                counts[first : first + len(texts)] = [len(own) for own in texts]
+                for context, targets, owner in windows(texts):
+                    sums[first : first + len(texts)] += np.bincount(owner, log_chances(net, context, targets), len(texts))
             yield pa.StructArray.from_arrays([pa.array(counts), pa.array(sums)], ["n_tokens", "log_likelihood"])
 
-    return score(text)
+    return score(ids)
+
+
+def score_tokens(table: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, per_token) of every row of (doc_id, ids)."""
+    rows = table.select("doc_id", scored(F.col("ids"), model).alias("s"))
+    return rows.select("doc_id", "s.n_tokens", "s.log_likelihood", (F.col("s.log_likelihood") / F.nullif("s.n_tokens", F.lit(0))).alias("per_token"))
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,5 +372,12 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
 
     ``n_tokens`` counts words and pieces. A text without words, a null one too, has the empty sum 0 and no mean; repeated rows are scored alike.
     """
-    rows = keyed_text(docs, id_col, text_col).select("doc_id", scored(F.col("text"), model).alias("s"))
-    return rows.select("doc_id", "s.n_tokens", "s.log_likelihood", (F.col("s.log_likelihood") / F.nullif("s.n_tokens", F.lit(0))).alias("per_token"))
+    return score_tokens(keyed_text(docs, id_col, text_col).select("doc_id", token_ids(F.col("text"), model).alias("ids")), model)
+
+
+def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score_documents`` with a model of the same documents; texts become tokens once for both."""
+    texts = keyed_text(docs, id_col, text_col)
+    model = start(texts)
+    table = token_table(texts, model)
+    return score_tokens(table, train(table, model))

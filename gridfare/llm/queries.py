@@ -22,8 +22,7 @@ def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def masked_scores(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _documents(spark, sf)
-    return masked_lm.score_documents(docs, masked_lm.fit(docs))
+    return masked_lm.score_corpus(_documents(spark, sf))
 
 
 def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -262,18 +262,39 @@ def test_masked_training_takes_every_position(documents, monkeypatch):
     texts = [(1, "one two three four five six seven eight nine"), (15, "a b"), (None, "c")]
 
     class Local:
-        sparkSession = documents.sparkSession
-
         def select(self, *_):
             return self
 
         def mapInArrow(self, local, _):
-            batch = pa.record_batch([pa.array([i for i, _ in texts]), pa.array([t for _, t in texts])], names=["doc_id", "text"])
-            list(local(iter([batch])))
-            return documents.sparkSession.createDataFrame([], "start long, sums array<double>")
+            numbers = [before.tokens(text).astype("<u2").tobytes() for _, text in texts]
+            list(local(iter([pa.record_batch([pa.array([i for i, _ in texts]), pa.array(numbers, pa.binary())], names=["doc_id", "ids"])])))
+            return documents.sparkSession.createDataFrame([], "start long, sums binary")
 
-    masked_lm.train_round(Local(), before, masked_lm.STRIDE)
+    masked_lm.train_round(Local(), before)
     assert sum(seen) == sum(len(before.tokens(text)) for _, text in texts)
+    seen.clear()
+    for stride in range(1, 4):
+        masked_lm.train_round(Local(), before, stride)
+    taken = [len(range((i or 0) % stride, len(before.tokens(text)), stride)) for stride in range(1, 4) for i, text in texts]
+    assert sum(seen) == sum(taken)
+
+
+def test_windows_by_definition(monkeypatch):
+    """Every position of every text with its neighbours in the text, whatever the slabs."""
+    random = np.random.default_rng(0)
+    texts = [random.integers(1, 99, n).astype("<u2") for n in (5, 0, 1, 12, 3, 0)]
+    side = masked_lm.SIDE
+    expected = []
+    for owner, own in enumerate(texts):
+        line = [0] * side + own.tolist() + [0] * side
+        for at in range(len(own)):
+            around = line[at : at + 2 * side + 1]
+            expected.append((owner, around[side], around[:side] + around[side + 1 :]))
+    for slab in (1, 4, 100):
+        monkeypatch.setattr(masked_lm, "SLAB_TOKENS", slab)
+        got = [(int(o), int(t), c.tolist()) for context, targets, owner in masked_lm.windows(texts) for c, t, o in zip(context, targets, owner)]
+        assert got == expected
+    assert list(masked_lm.windows([])) == [] == list(masked_lm.windows([np.array([], "<u2")]))
 
 
 def test_masked_tokens_tell_all_words_apart(documents, no_docs):
@@ -295,9 +316,8 @@ def test_masked_chances_sum_to_one_and_scores_to_their_sum(documents):
     net = model.parts()
     text = " ".join(r["text"] for r in documents.limit(3).collect())
     tokens = model.tokens(text)
-    at = np.arange(len(tokens))
-    context = masked_lm.contexts(tokens, at)
-    assert context[5].tolist() == [*tokens[2:5], *tokens[6:9]] and context[0][:3].tolist() == [0, 0, 0]
+    context = np.concatenate([c for c, _, _ in masked_lm.windows([tokens.astype("<u2")])])
+    assert context[5].tolist() == [*tokens[3:5], *tokens[6:8]] and context[0][:2].tolist() == [0, 0]
     every = [masked_lm.log_chances(net, context[:1], np.array([word]))[0] for word in range(masked_lm.SIZE)]
     assert abs(np.exp(every).sum() - 1) < 1e-4
     got = documents.sparkSession.createDataFrame([(1, text)], "doc_id long, text string")
@@ -309,7 +329,7 @@ def test_one_training_step_follows_the_gradient():
     model = masked_lm.Model({}, np.random.default_rng(0).standard_normal(masked_lm.WEIGHTS).astype(np.float64) * 0.1)
     net = model.parts()
     rng = np.random.default_rng(1)
-    context, targets = rng.integers(0, masked_lm.SIZE, (64, 6)), rng.integers(0, masked_lm.SIZE, 64)
+    context, targets = rng.integers(0, masked_lm.SIZE, (64, 2 * masked_lm.SIDE)).astype(np.uint16), rng.integers(0, masked_lm.SIZE, 64)
     for name, weight in net.items():
         at = tuple(int(rng.integers(n)) for n in weight.shape)
         if name == "table":
