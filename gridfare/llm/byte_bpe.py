@@ -39,7 +39,8 @@ class Ranks:
 
     def __init__(self, byte: list[int], last: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> None:
         self.byte, self.last = np.array(byte, dtype=np.int32), np.array(last, dtype=np.int32)
-        self.span = 1 + max(max(pair) for pair in pairs)
+        # Tokens that no merge goes on from can stand in a pair too.
+        self.span = 1 + max(*byte, *last, *(max(*pair, token) for pair, (_, token) in pairs.items()))
         listed = sorted((first * self.span + second, rank) for (first, second), (rank, _) in pairs.items())
         self.keys = np.array([key for key, _ in listed], dtype=np.int64)
         self.values = np.array([rank for _, rank in listed], dtype=np.int32)
@@ -56,6 +57,13 @@ class Ranks:
         return np.where(self.keys[at] == wanted, self.values[at], _NONE)
 
 
+    def one(self, first: int, second: int) -> int | None:
+        """The rank of one pair, if it merges."""
+        wanted = first * self.span + second
+        at = int(self.keys.searchsorted(wanted))
+        return int(self.values[at]) if at < len(self.keys) and self.keys[at] == wanted else None
+
+
 class FileRanks(Ranks):
     """A rank file: one base64 token and its rank per line. A pair merges when its bytes are a token; ranks are ids."""
 
@@ -82,15 +90,34 @@ def load_ranks(path: str) -> FileRanks:
 
 
 def merge_word(word: bytes, ranks: Ranks) -> list[int]:
-    """The ids of one word by the definition: merge the pair of lowest rank, the leftmost first, until none is left."""
+    """The ids of one word by the definition: merge the pair of lowest rank, the leftmost first, until none is left.
+
+    Pairs wait in a heap and parts are linked, so a word takes time in proportion to its length times its logarithm.
+    """
     parts = [*ranks.byte[list(word[:-1])].tolist(), int(ranks.last[word[-1]])]
-    while len(parts) > 1:
-        found = ranks.of(np.array(parts[:-1]), np.array(parts[1:]))
-        at = int(found.argmin())
-        if found[at] == _NONE:
-            break
-        parts[at : at + 2] = [ranks.merged[int(found[at])]]
-    return parts
+    end = len(parts)
+    left, right = list(range(-1, end - 1)), list(range(1, end + 1))
+    found = ranks.of(np.array(parts[:-1]), np.array(parts[1:]))
+    at = np.flatnonzero(found != _NONE)
+    # How often a part has changed; a pair that has waited since before is out of date.
+    version = [0] * end
+    waiting = [(rank, place, 0, 0) for rank, place in zip(found[at].tolist(), at.tolist())]
+    heapify(waiting)
+    while waiting:
+        rank, place, own, other = heappop(waiting)
+        after = right[place]
+        if version[place] != own or after == end or version[after] != other:
+            continue
+        parts[place] = ranks.merged[rank]
+        right[place], version[after] = right[after], -1
+        version[place] += 1
+        if right[place] < end:
+            left[right[place]] = place
+        for first in (left[place], place):
+            second = right[first] if first >= 0 else end
+            if second < end and (lower := ranks.one(parts[first], parts[second])) is not None:
+                heappush(waiting, (lower, first, version[first], version[second]))
+    return [part for part, state in zip(parts, version) if state >= 0]
 
 
 def replay(words: Sequence[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

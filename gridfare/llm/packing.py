@@ -2,10 +2,11 @@
 
 Documents are tokenised once, into a table in the shared folder. Document frequencies count all of them. Documents are then
 range-partitioned by their two most telling tokens (and their id, so that a common token spreads over many tasks): a
-partition is a shard of lexically close documents. A task reads its shard in blocks, builds the inverted index of a block,
-takes the longest open document as seed, and adds its best unused neighbours until the window is full. The last one is cut
-and its rest stays open. Long documents fill windows of their own first. What is left of a block, less than a window, is
-cut at powers of two, which are not padded.
+partition is a shard of lexically close documents. A task builds the inverted index of its shard, takes the longest open
+document as seed, asks with all of its tokens, and adds the best unused neighbours until the window is full. The last one is
+cut and its rest stays open. Long documents fill windows of their own first. What is left of a shard, less than a window, is
+cut at powers of two, which are not padded. Only a shard of more than ``BLOCK_TOKENS``, three times what shards are made for, is
+indexed in blocks.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from gridfare.llm.columns import keyed_text
 from gridfare.session import scratch_path
 
 WINDOW, END_ID = 2_048, 1
-SHARD_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 8_000_000, 2_000_000, 4_096
+SHARD_TOKENS, BLOCK_TOKENS = 2_000_000, 6_000_000
 REMEMBERED_WORDS = 500_000
-#: BM25's saturation and length weights, and how many of a seed's terms, the rarest first, make its query.
-SATURATION, LENGTH_WEIGHT, QUERY_TERMS = 1.2, 0.75, 32
+#: BM25's saturation and length weights.
+SATURATION, LENGTH_WEIGHT = 1.2, 0.75
 
 
 def word_ranks(model: dict) -> Ranks:
@@ -52,15 +53,15 @@ def word_ranks(model: dict) -> Ranks:
 class WordTokens:
     """Ids by a tokenizer file. Texts of the first 256 characters, which its normal form leaves as they are but for case, are
     cut at spaces; each different chunk is cut by the file's pattern once and each different word goes through the merge
-    replay once. All other texts go through the library.
+    replay once. All other texts go through the library, those that hold one of its added tokens too.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
         ranks = word_ranks(content["model"])
+        self.added = [token["content"] for token in content.get("added_tokens", ())]
         cut = pattern_cut(content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         words = Encoder(cut, lambda fresh: replay([word.encode() for word in fresh], ranks), REMEMBERED_WORDS)
 
@@ -71,7 +72,7 @@ class WordTokens:
         self.chunks = Encoder(space_cut, spell, REMEMBERED_WORDS)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        easy = [text.lower() if text.isascii() or is_latin(text) else None for text in texts]
+        easy = [text.lower() if (text.isascii() or is_latin(text)) and not any(token in text for token in self.added) else None for text in texts]
         ids, counts = self.chunks.encode([text for text in easy if text is not None])
         parts = iter(np.split(ids, np.cumsum(counts)[:-1]))
         return [
@@ -152,15 +153,14 @@ def document_frequencies(table: DataFrame, vocabulary: int) -> tuple[np.ndarray,
 
 
 class BlockIndex:
-    """Inverted index of a block: for each token the documents that hold it, with their BM25 weights."""
+    """Inverted index of a shard: for each token the documents that hold it, with their BM25 weights."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
         self.terms, docs, weights, terms = [], [], [], []
         for number, own in enumerate(ids):
             term, times = np.unique(own, return_counts=True)
             times = times / (times + SATURATION * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * len(own) / mean_length))
-            rarest = term[np.argsort(-idf[term], kind="stable")[:QUERY_TERMS]]
-            self.terms.append(rarest[idf[rarest] > 0])
+            self.terms.append(term[idf[term] > 0])
             terms.append(term)
             docs.append(np.full(len(term), number, np.int32))
             weights.append((idf[term] * times).astype(np.float32))
@@ -197,9 +197,7 @@ def pack_block(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, windo
         filled: list[Piece] = [(seed, int(begin[seed]), int(rest[seed]))]
         space = window - int(rest[seed])
         rest[seed] = 0
-        unused = np.flatnonzero(rest)
-        near = unused[np.argsort(-index.scores(seed)[unused], kind="stable")]
-        for number in near.tolist():
+        for number in nearest(index, seed, rest) if space else ():
             taken = min(space, int(rest[number]))
             filled.append((number, int(begin[number]), taken))
             begin[number] += taken
@@ -211,6 +209,24 @@ def pack_block(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, windo
     return sequences
 
 
+def nearest(index: BlockIndex, seed: int, rest: np.ndarray) -> Iterator[int]:
+    """The unused documents by falling score, ties by place; ordered in growing portions, as a few fill a window."""
+    unused = np.flatnonzero(rest)
+    against = -index.scores(seed)[unused]
+    portion = 64
+    while len(unused):
+        if portion < len(unused):
+            # All that score like the last of the portion belong to it, which keeps ties in order.
+            limit = np.partition(against, portion)[portion]
+            near = against <= limit
+        else:
+            near = np.ones(len(unused), bool)
+        first, own = unused[near], against[near]
+        yield from first[np.argsort(own, kind="stable")].tolist()
+        unused, against = unused[~near], against[~near]
+        portion *= 4
+
+
 def cut_at_powers(pieces: list[Piece], length: int) -> list[list[Piece]]:
     """The same tokens in sequences whose lengths are the powers of two that add up to ``length``."""
     out: list[list[Piece]] = []
@@ -288,7 +304,7 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
                 owners.append(owner)
                 ids.append(np.frombuffer(value, kind))
                 held += len(ids[-1])
-                if held >= BLOCK_TOKENS or len(ids) >= BLOCK_DOCS:
+                if held >= BLOCK_TOKENS:
                     yield emit()
                     held = 0
         if ids:

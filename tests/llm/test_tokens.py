@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -25,9 +26,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    own = Tokenizer.from_file(WORDS)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(WORDS)
 
 
 def check_bpe(docs, library):
@@ -76,9 +75,44 @@ def test_forgetting_and_long_texts_change_nothing(monkeypatch, library):
     assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_long_unbroken_words(library, tokenizer):
+    """Overlapping merges of a very long word take no time that grows with its square."""
+    ranks = byte_bpe.load_ranks(RANKS)
+    for word in ("a" * 200_000, "ab" * 50_000, "xyzzy" * 9_999):
+        begin = time.perf_counter()
+        found = byte_bpe.merge_word(word.encode(), ranks)
+        assert time.perf_counter() - begin < 10
+        assert b"".join(ranks.token[i] for i in found).decode() == word
+    for word in ("a" * 5_000, "ab" * 2_500, "thth" * 700 + "e"):
+        assert byte_bpe.merge_word(word.encode(), ranks) == library.encode_ordinary(word)
+        assert packing.WordTokens(WORDS).encode([word])[0].tolist() == tokenizer.encode(word, add_special_tokens=False).ids
+
+
+def test_pairs_of_tokens_that_no_merge_goes_on_from(tokenizer):
+    """Every token may stand beside any other; each pair has a key of its own."""
+    vocabulary = [t for t in tokenizer.get_vocab() if t.isascii() and t.isalpha()]
+    random = np.random.default_rng(3)
+    words = ["".join(random.choice(vocabulary, 2)) for _ in range(20_000)] + ["onhenderin", "ofattionly"]
+    text = " ".join(words)
+    assert packing.WordTokens(WORDS).encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_neighbours_come_in_order():
+    random = np.random.default_rng(4)
+
+    class Index:
+        def scores(self, _):
+            return scores
+
+    for size in (0, 5, 64, 65, 3_000):
+        scores, rest = random.integers(0, 40, size).astype(float), random.integers(0, 2, size)
+        unused = np.flatnonzero(rest)
+        assert list(packing.nearest(Index(), 0, rest)) == unused[np.argsort(-scores[unused], kind="stable")].tolist()
+
+
 def test_word_tokens_equal_the_library(tokenizer):
     every = "".join(map(chr, range(256)))
-    texts = [every, every[::-1], "I'VE don't 'S'T ÀÉÎ ß µ ªº ½¾ ²³ 12345 aaaa!!!!", "x" * 300, "", " \n ", "日本 Ωσς İ e\u0301", "<|endoftext|> <|startoftext|>",
+    texts = [every, every[::-1], "I'VE don't 'S'T ÀÉÎ ß µ ªº ½¾ ²³ 12345 aaaa!!!!", "x" * 300, "", " \n ", "日本 Ωσς İ e\u0301", "<|endoftext|> <|startoftext|>", "in a <|endoftext|>text and <|EndOfText|>",
              "the quick, brown (fox)... jumps" * 3, "a\u00a0b\x85c\x1cd"]
     found = packing.WordTokens(WORDS).encode(texts)
     assert [x.tolist() for x in found] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
