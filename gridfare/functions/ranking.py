@@ -1,9 +1,10 @@
 """Positions, running sums and exact quantiles that stay whole when one group is very large.
 
-A window over a whole group puts the group in one task. Here a group is cut into blocks along its order: a block is a
-function of the first order column that never decreases with it, so no pass over the data is needed to choose the
-cuts. Rows are ordered inside (group, block), and shifted by the totals of the group's earlier blocks, which are one small
-row each. Every input takes this one path, and nothing runs when the plan is built.
+A window over a whole group puts the group in one task. For positions rows are dealt out by ranges of the whole order, of
+which Spark draws the borders from a sample, and numbered there. Running sums are for counted values: a group is cut into
+blocks by a function of the first order column that never decreases with it, so no pass over the data is needed to choose
+the cuts. Values are ordered inside (group, block), and shifted by the totals of the group's earlier blocks, which are one
+small row each.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
+from gridfare.session import scratch_path
+
 #: Blocks per unit of the logarithm of a number, and leading characters that make a block of texts.
 BLOCKS_PER_LOG, BLOCK_CHARS = 4096, 12
 
@@ -87,11 +90,29 @@ def running_sums(
     )
 
 
-def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, into: str = "pos", stats: Mapping[str, tuple[str, Column]] | None = None
-) -> DataFrame:
-    """Add the 1-based position of each row within ``keys``, and figures of the whole group."""
-    return running_sums(df, keys, order, {into: F.lit(1).cast("long")}, stats=stats)
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, into: str = "pos") -> DataFrame:
+    """Add the 1-based position of each row within ``keys``; ``order`` should be unique inside a group.
+
+    Rows are dealt out by ranges of keys and order and sorted there, so neither one large group, nor equal beginnings of texts,
+    nor one popular first value meets in one task. They are written once with their number inside their range; a group's rows
+    lie side by side in each range, and what its earlier ranges hold is added, a row per range and group.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    path = scratch_path(spark, "positions")
+    dealt.withColumn("_line", F.monotonically_increasing_id()).write.parquet(path)
+    lines = spark.read.parquet(path).withColumn("_range", F.shiftright("_line", 33))
+    parts = lines.groupBy(*keys, "_range").agg(F.min("_line").alias("_begin"), F.count(F.lit(1)).alias("_held"))
+    before = _group(keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select(
+        *[F.col(key).alias(f"_key_{place}") for place, key in enumerate(keys)],
+        F.col("_range").alias("_at"), "_begin", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"),
+    )
+    here = F.col("_range") == F.col("_at")
+    for place, key in enumerate(keys):
+        here = here & F.col(key).eqNullSafe(F.col(f"_key_{place}"))
+    place = (F.col("_line") - F.col("_begin") + F.col("_before") + 1).alias(into)
+    return lines.join(shifts, here).select(*[F.col(c) for c in df.columns if c != into], place)
 
 
 def exact_quantiles(

@@ -178,25 +178,35 @@ def plausibility_audit(fares: DataFrame, *, min_price: float = MIN_PRICE, max_pr
     )
 
 
-def _listed(name: str, domain: Sequence[object]) -> Column:
-    """The values of a stated domain that occur, and ``other`` for any outside it: a set no larger than the domain."""
-    value = F.col(name).cast("string")
-    known = F.when(value.isin([str(v) for v in domain]), value).when(value.isNotNull(), "other")
-    return F.array_join(F.sort_array(F.collect_set(known)), ",")
+#: The columns whose values a profile counts, and the values that each may have.
+PROFILED = {
+    "Schema_Version": tuple(str(v) for v in range(1, SCHEMA_VERSION + 1)),
+    "Flight_Category": FLIGHT_CATEGORIES,
+    "Data_Source": DATA_SOURCES,
+    "Days_to_Departure": tuple(str(h) for h in HORIZONS),
+}
 
 
 def dataset_profile(fares: DataFrame) -> DataFrame:
-    """One row: size, dates, routes and the values of the small domains."""
-    return fares.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.min("Scrape_Timestamp").alias("first_scrape"),
-        F.max("Scrape_Timestamp").alias("last_scrape"),
-        F.countDistinct("Source_City", "Destination_City").alias("routes"),
-        _listed("Schema_Version", range(1, SCHEMA_VERSION + 1)).alias("versions"),
-        _listed("Flight_Category", FLIGHT_CATEGORIES).alias("categories"),
-        _listed("Data_Source", DATA_SOURCES).alias("sources"),
-        _listed("Days_to_Departure", HORIZONS).alias("horizons"),
-    )
+    """(field, value, n_rows, expected): rows, routes and time span, and how often each value of the small domains occurs.
+
+    Every value is counted as it is; ``expected`` tells whether its domain has it. A null value is a value of its own and never
+    expected. Routes are counted in ``n_rows`` of the field ``routes``, the field ``rows`` counts all rows, and ``first_scrape``
+    and ``last_scrape`` have the times as values.
+    """
+    size = fares.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("Source_City", "Destination_City").alias("routes"),
+        F.min("Scrape_Timestamp").alias("first"), F.max("Scrape_Timestamp").alias("last"),
+    )
+    nothing, none = F.lit(None).cast("string"), F.lit(None).cast("long")
+    whole = [("rows", nothing, F.col("rows")), ("routes", nothing, F.col("routes")), ("first_scrape", F.col("first"), none), ("last_scrape", F.col("last"), none)]
+    spans = F.array(*[F.struct(F.lit(field).alias("field"), value.alias("value"), n.alias("n_rows"), F.lit(True).alias("expected")) for field, value, n in whole])
+    long = fares.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in PROFILED])).alias("v")).select("v.*")
+    counted = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+    expected = F.lit(False)
+    for field, domain in PROFILED.items():
+        expected = F.when(F.col("field") == field, F.col("value").isin(*domain)).otherwise(expected)
+    return counted.withColumn("expected", F.coalesce(expected, F.lit(False))).unionByName(size.select(F.inline(spans)))
 
 
 def integrity_counts(fares: DataFrame) -> DataFrame:

@@ -617,12 +617,16 @@ query(
 
 query(
     "dataset_profile",
-    f"""WITH {FARES} SELECT count(*) AS n_rows, min(scraped) AS first_scrape, max(scraped) AS last_scrape,
-      count(DISTINCT src || '>' || dst) AS routes,
-      array_to_string(list_sort(list(DISTINCT CASE WHEN version::VARCHAR IN ('1', '2', '3', '4') THEN version::VARCHAR ELSE 'other' END)), ',') AS versions,
-      array_to_string(list_sort(list(DISTINCT CASE WHEN cat IN ('Best', 'Cheapest', 'Median', 'NoFlights') THEN cat ELSE 'other' END)), ',') AS categories,
-      array_to_string(list_sort(list(DISTINCT CASE WHEN source IN ('fast-flights', 'fli', 'playwright') THEN source ELSE 'other' END)), ',') AS sources,
-      array_to_string(list_sort(list(DISTINCT CASE WHEN days IN ('1', '3', '7', '14', '30', '60') THEN days ELSE 'other' END)), ',') AS horizons FROM fares""",
+    f"""WITH {FARES}, v AS (
+      SELECT 'Schema_Version' AS field, version::VARCHAR AS value, version::VARCHAR IN ('1', '2', '3', '4') AS ok FROM fares
+      UNION ALL SELECT 'Flight_Category', cat, cat IN ('Best', 'Cheapest', 'Median', 'NoFlights') FROM fares
+      UNION ALL SELECT 'Data_Source', source, source IN ('fast-flights', 'fli', 'playwright') FROM fares
+      UNION ALL SELECT 'Days_to_Departure', days, days IN ('1', '3', '7', '14', '30', '60') FROM fares)
+    SELECT field, value, count(*) AS n_rows, coalesce(bool_and(ok), FALSE) AS expected FROM v GROUP BY field, value
+    UNION ALL SELECT 'rows', NULL, count(*), TRUE FROM fares
+    UNION ALL SELECT 'routes', NULL, count(DISTINCT src || '>' || dst), TRUE FROM fares
+    UNION ALL SELECT 'first_scrape', min(scraped), NULL, TRUE FROM fares
+    UNION ALL SELECT 'last_scrape', max(scraped), NULL, TRUE FROM fares""",
 )(lambda spark, sf: quality.dataset_profile(fx.fares(spark, sf)))
 
 query(

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,9 +185,47 @@ def test_tolerant_pages(spark):
     assert [(r["kept"], r["skipped"]) for r in counts] == [(1, 1), (0, 0), (0, 0), (0, 0)]
 
 
+def _without(record, name):
+    return {k: v for k, v in record.items() if k != name}
+
+
+def test_entries_that_lack_a_field_are_skipped(spark):
+    """A null field is kept, a missing one is not, in the entry, in its carbon record and in every leg."""
+    entry, leg = _entry(), _leg()
+    lacking = [_without(entry, name) for name in entry] + [entry | {"carbon": _without(entry["carbon"], name)} for name in entry["carbon"]]
+    lacking += [_entry(legs=[leg, _without(leg, name)]) for name in leg] + [_entry(legs=[{"from_code": "DEL"}]), _entry(legs=[None]), entry | {"legs": None}, entry | {"carbon": None}]
+    nulls = [_entry(legs=[{name: None for name in leg}]), entry | {"carbon": dict.fromkeys(entry["carbon"])}, entry | {"price": None, "airlines": None}]
+    pages = _pages(spark, {"entries": [entry, *lacking, *nulls]})
+    assert sorted(r["entry_pos"] for r in fares.explode_pages(pages).collect()) == [0, *range(1 + len(lacking), 1 + len(lacking) + len(nulls))]
+    row = fares.page_counts(pages).first()
+    assert (row["kept"], row["skipped"]) == (1 + len(nulls), len(lacking))
+
+
 # ---- picks ----
 
 
+def test_picks_of_large_searches_equal_sorting(spark):
+    """Many results in one block, equal prices, a block border at the middle, and searches of every small size."""
+    random = np.random.default_rng(6)
+    prices = {1: random.integers(1, 10**6, 3_000), 2: np.full(500, 77), 3: random.integers(10_000, 10_003, 901), 4: [5, 5, 9, 9], 5: [1, 2]}
+    prices |= {10 + n: random.integers(1, 6, n) for n in range(1, 9)}
+    rows = [(s, int(r), int(p)) for s, own in prices.items() for r, p in zip(random.permutation(len(own)), own)] + [(1, 10**6, None), (9, 0, None)]
+    results = spark.createDataFrame(rows, "search_id long, rank long, price long").repartition(4)
+    tasks = spark.createDataFrame([(s,) for s in [*prices, 9]], "search_id long")
+    got = {(r["search_id"], r["flight_category"]): (r["rank"], r["price"], r["num_results"]) for r in fares.fare_categories(tasks, results).collect()}
+    expected = {(9, "NoFlights"): (None, None, 0)}
+    for search in prices:
+        own = sorted((p, r) for s, r, p in rows if s == search and p is not None)
+        expected[search, "Best"] = (*min((r, p) for p, r in own), len(own))
+        expected[search, "Cheapest"] = (own[0][1], own[0][0], len(own))
+        middle = own[len(own) // 2]
+        if middle[0] != own[0][0]:
+            expected[search, "Median"] = (middle[1], middle[0], len(own))
+    assert got == expected
+    medians = {(r["search_id"], "Median"): (r["rank"], r["price"]) for r in fares.pick_median(results).collect()}
+    assert medians == {k: v[:2] for k, v in expected.items() if k[1] == "Median"}
+
+
 def _picked(spark, prices, **kw):
     tasks = spark.createDataFrame([(1,)], "search_id long")
     results = spark.createDataFrame([(1, i, p) for i, p in enumerate(prices)], "search_id long, rank long, price long")

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridfare.functions import ranking
 from gridfare.functions.ranking import exact_quantiles, order_block, positions, running_sums
+from gridfare.session import scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -38,13 +40,32 @@ def test_descending_running_sum(skewed):
     same(running_sums(skewed, ["k"], ["v", "id"], sums, descending=True), plain(skewed, ["k"], [F.col("v").desc(), "id"], sums))
 
 
-def test_positions_with_group_figures(skewed):
+def test_sums_with_group_figures(skewed):
     stats = {"n": ("sum", F.lit(1)), "low": ("min", F.col("v"))}
-    found = positions(skewed, ["k"], ["v", "id"], stats=stats)
+    found = running_sums(skewed, ["k"], ["v", "id"], {"pos": F.lit(1).cast("long")}, stats=stats)
     want = plain(skewed, ["k"], ["v", "id"], {"pos": F.lit(1).cast("long")}, [("n", F.count(F.lit(1))), ("low", F.min("v"))])
     same(found, want)
 
 
+@pytest.mark.parametrize("name", ["shared beginnings", "one popular value", "all different"])
+def test_no_range_holds_far_more_than_the_others(spark, monkeypatch, name):
+    """Names with the same twelve characters in front, one value in nine rows of ten, and different names."""
+    values = {
+        "shared beginnings": lambda i: f"collection-of-images-{i * 7919 % 20_000:06d}", "one popular value": lambda i: "same" if i % 10 else f"n{i}", "all different": lambda i: f"{i * 7919 % 20_000:06d}",
+    }[name]
+    df = spark.createDataFrame([(values(i), i) for i in range(20_000)], "name string, id long").repartition(8)
+    paths = []
+    monkeypatch.setattr(ranking, "scratch_path", lambda s, n: paths.append(scratch_path(s, n)) or paths[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = positions(df, [], ["name", "id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    same(found, plain(df, [], ["name", "id"], {"pos": F.lit(1).cast("long")}))
+    held = [r["count"] for r in spark.read.parquet(paths[0]).groupBy(F.shiftright("_line", 33)).count().collect()]
+    assert len(held) > 4 and max(held) <= 2 * float(np.median(held))
+
+
 def test_blocks_follow_the_order_of_every_kind(spark):
     numbers = [float("-inf"), -1e300, -5.5, -1.0, -1e-9, -0.0, 0.0, 1e-9, 0.5, 1.0, 1999.0, 2000.0, 1e12, 1e300, float("inf"), float("nan")]
     rows = [(x, str(i).zfill(14), i) for i, x in enumerate(numbers)] + [(None, None, None)]
