@@ -116,17 +116,24 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, into:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *, weight: str | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    *,
+    weight: str | None = None,
+    stats: Mapping[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per entry of ``probs``.
 
     Values are counted first, so what is ordered is distinct values, and no group is held in memory. ``weight`` names a
-    column of counts when the caller has done that already.
+    column of counts when the caller has done that already; ``stats`` then adds figures of the group, as in ``running_sums``.
     """
     known = df.where(F.col(value).isNotNull())
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     seen = known.groupBy(*keys, value).agg(rows.alias("_c"))
-    located = running_sums(seen, keys, [value], {"_upto": F.col("_c")}, stats={"_n": ("sum", F.col("_c"))})
+    stats = stats or {}
+    located = running_sums(seen, keys, [value], {"_upto": F.col("_c")}, stats={"_n": ("sum", F.col("_c")), **stats})
 
     def at(index: Column) -> Column:
         inside = (F.col("_upto") > index) & (F.col("_upto") - F.col("_c") <= index)
@@ -136,10 +143,10 @@ def exact_quantiles(
     for name, prob in probs.items():
         place = F.lit(prob) * (F.col("_n") - 1)
         aggs += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}")]
-    ends = located.groupBy(*keys, "_n").agg(*aggs)
+    ends = located.groupBy(*keys, "_n", *stats).agg(*aggs)
     out = []
     for name, prob in probs.items():
         place = F.lit(prob) * (F.col("_n") - 1)
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((low + (high - low) * (place - F.floor(place))).alias(name))
-    return ends.select(*keys, *out)
+    return ends.select(*keys, *stats, *out)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from gridfare.functions.columns import col, flag, half_even
-from gridfare.functions.ranking import order_block
+from gridfare.functions.ranking import running_sums
 from gridfare.schemas import (
     CABIN,
     CURRENCY,
@@ -234,53 +233,20 @@ def pick_cheapest(results: DataFrame, *, search: str = "search_id", rank: str =
     return picked.select(search, "_p.*")
 
 
-def _block_picks(results: DataFrame, search: str, rank: str) -> DataFrame:
-    """One row per search and price block: its size, its first and its cheapest row, and the size of the blocks up to it.
-
-    Blocks are ranges of prices, so counts tell in which one the middle of a search lies. Rows are aggregated, which combines
-    before the shuffle; only blocks are ordered, and a search has no more of them than there are ranges.
-    """
-    priced = results.where("price is not null")
-    row = F.struct(*_payload(results, search))
-    keyed = priced.select(search, order_block(priced, "price").alias("_block"), F.col("price").alias("_price"), F.col(rank).alias("_rank"), row.alias("_row"))
-    order = F.struct("_price", "_rank")
-    blocks = keyed.groupBy(search, "_block").agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_rank").alias("_first"), F.min_by("_row", "_rank").alias("_best"), F.min(order).alias("_low"), F.min_by("_row", order).alias("_cheap")
-    )
-    whole = Window.partitionBy(search)
-    upto = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumns({"num_results": F.sum("_c").over(whole), "_upto": F.sum("_c").over(upto), "_least": F.min("_low").over(whole), "_start": F.min("_first").over(whole)})
+def _ranked(results: DataFrame, search: str, rank: str) -> DataFrame:
+    stats = {"num_results": ("sum", F.lit(1)), "_first": ("min", F.col(rank)), "_low": ("min", F.col("price"))}
+    return running_sums(results.where("price is not null"), [search], ["price", rank], {"_pos": F.lit(1).cast("long")}, stats=stats)
 
 
-def _middle_place() -> Column:
-    """Where in its block the middle row of a search stands, from 1; outside 1 to the size in all other blocks."""
-    return F.floor(F.col("num_results") / 2) + 1 - (F.col("_upto") - F.col("_c"))
-
-
-def _middles(blocks: DataFrame, results: DataFrame, search: str, rank: str) -> DataFrame:
-    """(search, num_results, row) of the middle rows that cost more than the cheapest.
-
-    The first of a block is its cheapest row, which the aggregate has found. For the others the rows of that one block are read
-    again and put in order.
-    """
-    held = blocks.withColumn("_place", _middle_place()).where("_place BETWEEN 1 AND _c")
-    dearer = F.col("_row.price") != F.col("_least._price")
-    first = held.where("_place = 1").select(search, "num_results", F.col("_cheap").alias("_row"), "_least")
-    wanted = held.where("_place > 1").select(F.col(search).alias("_s"), F.col("_block").alias("_b"), "num_results", "_place", "_least")
-    priced = results.where("price is not null")
-    keyed = priced.select(search, order_block(priced, "price").alias("_block"), "price", F.col(rank).alias("_rank"), F.struct(*_payload(results, search)).alias("_row"))
-    inside = Window.partitionBy(search, "_block").orderBy("price", "_rank")
-    met = keyed.join(wanted, (F.col(search) == F.col("_s")) & (F.col("_block") == F.col("_b"))).withColumn("_at", F.row_number().over(inside))
-    later = met.where("_at = _place").select(search, "num_results", "_row", "_least")
-    return first.unionByName(later).where(dearer).select(search, "num_results", "_row")
+def _is_median() -> Column:
+    return (F.col("_pos") == F.floor(F.col("num_results") / 2) + 1) & (F.col("price") != F.col("_low"))
 
 
 def pick_median(
     results: DataFrame, *, search: str = "search_id", rank: str = "rank"
 ) -> DataFrame:
     """The middle of the stable price order (upper middle when even), unless it costs the same as the cheapest."""
-    found = _middles(_block_picks(results, search, rank), results, search, rank)
-    return found.select(search, "_row.*").select(*results.columns)
+    return _ranked(results, search, rank).where(_is_median()).select(*results.columns)
 
 
 def fare_categories(
@@ -292,19 +258,18 @@ def fare_categories(
 ) -> DataFrame:
     """Best, Cheapest and Median rows of every search, or its NoFlights row.
 
-    Best and cheapest come from aggregates over price blocks; the median is selected by the blocks' counts, so that no search is
-    ever put in order as a whole.
+    Results are ordered by price inside price blocks of their search, so that a search of any size spreads over tasks;
+    a result that serves several categories is exploded, not read again.
     """
-    blocks = _block_picks(results, search, rank)
-    ends = F.array_compact(
+    names = F.array_compact(
         F.array(
-            F.when(F.col("_first") == F.col("_start"), F.struct(F.lit("Best").alias("flight_category"), F.col("_best").alias("_row"))),
-            F.when(F.col("_low") == F.col("_least"), F.struct(F.lit("Cheapest").alias("flight_category"), F.col("_cheap").alias("_row"))),
+            F.when(F.col(rank) == F.col("_first"), "Best"),
+            F.when(F.col("_pos") == 1, "Cheapest"),
+            F.when(_is_median(), "Median"),
         )
     )
-    sides = blocks.select(search, "num_results", F.inline(ends))
-    middles = _middles(blocks, results, search, rank).withColumn("flight_category", F.lit("Median"))
-    chosen = sides.unionByName(middles).select(search, "num_results", "flight_category", "_row.*")
+    chosen = _ranked(results, search, rank).withColumn("flight_category", F.explode(names))
+    chosen = chosen.drop("_pos", "_first", "_low")
     return tasks.join(chosen, search, "left").fillna({"flight_category": "NoFlights", "num_results": 0})
 
 

@@ -230,20 +230,12 @@ def integrity_counts(fares: DataFrame) -> DataFrame:
 def lead_time_bands(fares: DataFrame) -> DataFrame:
     """Fare statistics by horizon, departure weekday, booking weekday and category."""
     keys = ["Days_to_Departure", "Day_of_Week", "Booking_Day_Of_Week", "Flight_Category"]
-    # Counted per price once; the basic figures and the quantiles both read the counts.
-    priced = fares.where("Price_INR is not null")
-    counts = priced.groupBy(*keys, "Price_INR").agg(F.count(F.lit(1)).alias("_rows"))
-    price, rows = F.col("Price_INR"), F.col("_rows")
-    basics = counts.groupBy(*keys).agg(
-        F.sum(rows).alias("n"),
-        (F.sum(price * rows) / F.sum(rows)).alias("mean_price"),
-        F.min(price).alias("min_price"),
-        F.max(price).alias("max_price"),
-    )
-    middles = exact_quantiles(
-        counts, keys, "Price_INR", {"q25": 0.25, "median_price": 0.5, "q75": 0.75}, weight="_rows"
-    )
-    return basics.join(middles, keys)
+    # Counted per price once; all figures come from one pass over the counts.
+    counts = fares.where("Price_INR is not null").groupBy(*keys, "Price_INR").agg(F.count(F.lit(1)).alias("_rows"))
+    price, rows = F.col("Price_INR"), F.col("_c")
+    basics = {"n": ("sum", rows), "_total": ("sum", price * rows), "min_price": ("min", price), "max_price": ("max", price)}
+    bands = exact_quantiles(counts, keys, "Price_INR", {"q25": 0.25, "median_price": 0.5, "q75": 0.75}, weight="_rows", stats=basics)
+    return bands.select(*keys, "n", (F.col("_total") / F.col("n")).alias("mean_price"), "min_price", "max_price", "q25", "median_price", "q75")
 
 
 # ---- run health ----
