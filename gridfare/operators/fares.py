@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -273,8 +275,8 @@ def fare_categories(
     return tasks.join(chosen, search, "left").fillna({"flight_category": "NoFlights", "num_results": 0})
 
 
-def fare_rows(tasks: DataFrame, itineraries: DataFrame, *, now: str = "now") -> DataFrame:
-    """Tasks and their itineraries to full version-4 rows, in file order.
+def fare_rows(tasks: DataFrame, itineraries: DataFrame, *, now: str = "now", keep: Sequence[str] = ()) -> DataFrame:
+    """Tasks and their itineraries to full version-4 rows, in file order; ``keep`` names columns of the tasks to carry along.
 
     ``tasks``: search_id, origin, destination, days_out and the scrape time. ``itineraries``: search_id, rank and
     the columns of :func:`normalise_itineraries`.
@@ -305,4 +307,4 @@ def fare_rows(tasks: DataFrame, itineraries: DataFrame, *, now: str = "now") ->
             "Carbon_Typical_g": F.col("co2_typical_g"),
         }
     )
-    return named.select("search_id", *[F.col(c).cast(FARE_SCHEMA[c].dataType).alias(c) for c in FARE_COLUMNS])
+    return named.select("search_id", *keep, *[F.col(c).cast(FARE_SCHEMA[c].dataType).alias(c) for c in FARE_COLUMNS])

@@ -8,26 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfare.functions.columns import col
+from gridfare.functions.ranking import positions
 from gridfare.schemas import BATCHES, DISPLAY_ZONE, HORIZONS, ROTATION_EPOCH
 
 
 def route_universe(airports: DataFrame, *, code: str = "code") -> DataFrame:
     """All ordered pairs of distinct codes, with their index in sorted order.
 
-    The output is quadratic in the codes by definition. Pairs come from exploding one sorted array of codes, and the
-    index is arithmetic: no join and no global window.
+    The output is quadratic in the codes by definition. Codes are numbered by ranges of their order; a pair is made from its
+    index by arithmetic, so tasks hold equal shares of the indices, and looks up its two codes by number.
     """
+    spark = airports.sparkSession
     codes = airports.select(F.col(code).alias("code")).where("code is not null").distinct()
-    listed = codes.agg(F.sort_array(F.collect_set("code")).alias("codes")).withColumn("n", F.size("codes"))
-    origins = listed.select("codes", "n", F.posexplode("codes").alias("i", "origin"))
-    pairs = origins.select("n", "i", "origin", F.posexplode("codes").alias("j", "destination")).where("i <> j")
-    place = F.col("i") * (F.col("n") - 1) + F.col("j") - F.when(F.col("j") > F.col("i"), 1).otherwise(0)
-    return pairs.select(
-        "origin",
-        "destination",
-        place.cast("long").alias("route_idx"),
-        (F.col("n") * (F.col("n") - 1)).cast("long").alias("n_routes"),
+    numbered = positions(codes, [], ["code"], into="place")
+    n = numbered.count()
+    pairs = spark.range(n * (n - 1)).select(
+        F.col("id").alias("route_idx"), F.expr(f"id div {max(n - 1, 1)}").alias("i"), (F.col("id") % F.lit(max(n - 1, 1))).alias("_j")
     )
+    ends = pairs.select("route_idx", "i", (F.col("_j") + F.when(F.col("_j") >= F.col("i"), 1).otherwise(0)).alias("j"))
+    origins = numbered.select((F.col("place") - 1).alias("i"), F.col("code").alias("origin"))
+    targets = numbered.select((F.col("place") - 1).alias("j"), F.col("code").alias("destination"))
+    whole = ends.join(origins, "i").join(targets, "j")
+    return whole.select("origin", "destination", "route_idx", F.lit(n * (n - 1)).cast("long").alias("n_routes"))
 
 
 def _split(position: Column, size: Column, parts: int) -> tuple[Column, Column, Column]:

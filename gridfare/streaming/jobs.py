@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
 from gridfare.functions.columns import count_if, image_number, ratio
+from gridfare.functions.ranking import positions
 from gridfare.operators.explore import image_activity, progress_totals
 from gridfare.operators.fares import explode_pages, fare_rows, normalise_itineraries
 from gridfare.operators.quality import valid_rows, validate_fares
@@ -47,14 +47,14 @@ def run_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 # ---- fares ----
 
 
-def page_fares(pages: DataFrame) -> DataFrame:
-    """Validated fare rows of one batch of result pages.
+def page_fares(pages: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
+    """Validated fare rows of one batch of result pages, with the columns of the pages that ``keep`` names.
 
     ``pages``: search_id, origin, destination, days_out, now and the page text ``body``.
     """
     tasks = pages.drop("body")
     entries = explode_pages(pages.select("search_id", "body")).withColumnRenamed("entry_pos", "rank")
-    return validate_fares(fare_rows(tasks, normalise_itineraries(entries)))
+    return validate_fares(fare_rows(tasks, normalise_itineraries(entries), keep=keep))
 
 
 def stream_fares(pages: DataFrame, path: str, checkpoint: str, *, lateness: str = "1 day") -> StreamingQuery:
@@ -68,7 +68,7 @@ def stream_fares(pages: DataFrame, path: str, checkpoint: str, *, lateness: str
 
     def store(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
-        rows = valid_rows(page_fares(held)).join(held.select("search_id", "now"), "search_id")
+        rows = valid_rows(page_fares(held, keep=["now"]))
         dated = rows.withColumns({"year_month": F.date_format("now", "yyyy_MM"), "batch_id": F.lit(batch_id)})
         writer = dated.drop("now").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("year_month", "batch_id").parquet(path)
@@ -106,10 +106,12 @@ def _epoch(name: str) -> Column:
 def stale_alert(hours: DataFrame, *, stale_hours: float = STALE_HOURS) -> DataFrame:
     """Silences longer than the limit, from :func:`hourly_activity`.
 
-    A silence lies between two neighbouring active hours, so the window runs over hours and not over events.
+    A silence lies between two neighbouring active hours. Hours are numbered by ranges of time, and each looks up the one
+    before it, so no task holds all of them. The first hour has none.
     """
-    before = F.lag("last_ts").over(Window.partitionBy(F.lit(0)).orderBy("first_ts"))
-    gaps = hours.select(before.alias("silent_from"), F.col("first_ts").alias("silent_until"))
+    numbered = positions(hours.select("first_ts", "last_ts"), [], ["first_ts"], into="place")
+    before = numbered.select((F.col("place") + 1).alias("place"), F.col("last_ts").alias("silent_from"))
+    gaps = numbered.select("place", F.col("first_ts").alias("silent_until")).join(before, "place")
     length = (_epoch("silent_until") - _epoch("silent_from")) / 3600
     return gaps.select("silent_from", "silent_until", length.alias("hours")).where(F.col("hours") > stale_hours)
 
