@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridfare.llm.columns import keyed_text
+from gridfare.llm.columns import free_name, keyed_text
 
 #: White space that does not count: space and the characters 9 to 13.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -70,13 +70,14 @@ def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Winners are few columns wide, so a text moves once more at most, to meet its group and id under one key.
     """
+    pick, place = free_name(docs, "_pick"), free_name(docs, "_place")
     best = winners(docs, id_col=id_col, text_col=text_col, salts=salts)
-    staying = best.select(_pick(F.col("digest"), F.col("keep_id")).alias("_pick"))
+    staying = best.select(_pick(F.col("digest"), F.col("keep_id")).alias(pick))
     body = F.regexp_replace(F.coalesce(docs[text_col].cast("string"), F.lit("")), BLANKS, "")
-    keyed = docs.withColumn("_pick", _pick(F.sha2(body, 256), docs[id_col].cast("long")))
-    place = Window.partitionBy("_pick").orderBy(F.length(text_col).desc_nulls_last(), F.col(text_col))
-    kept = keyed.join(staying, "_pick", "left_semi").withColumn("_place", F.row_number().over(place))
-    return kept.where("_place = 1").drop("_pick", "_place")
+    keyed = docs.withColumn(pick, _pick(F.sha2(body, 256), docs[id_col].cast("long")))
+    order = Window.partitionBy(pick).orderBy(F.length(text_col).desc_nulls_last(), F.col(text_col))
+    kept = keyed.join(staying, pick, "left_semi").withColumn(place, F.row_number().over(order))
+    return kept.where(F.col(place) == 1).drop(pick, place)
 
 
 def _pick(digest: Column, row_id: Column) -> Column:

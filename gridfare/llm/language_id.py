@@ -8,7 +8,6 @@ follow-the-regularised-leader with an elastic net (the first penalty keeps most
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +23,6 @@ DIM = 1 << 14
 ROWS_PER_LANGUAGE = 1_200
 SLAB_CHARS = 1 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -62,7 +60,7 @@ class Model:
         return values @ self.weights[at] + self.weights[-1]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         logits = self.logits(*self.features(gram_counts(text)))
         chances = _softmax(logits / self.temperature)

@@ -205,7 +205,9 @@ def fit(
     texts = keyed_text(docs).where(~held_out(F.col("doc_id")) & (F.octet_length("text") <= train_bytes))
     fitting = marks.join(texts.select("doc_id"), "doc_id", "left_semi")
     chosen = fitting.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id")
+    met = texts.join(F.broadcast(chosen), "doc_id")
+    # Of a repeated id the text of least hash, whatever the order of rows.
+    found = met.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = found.select("label", F.col("text").cast("binary").alias("text")).toArrow()
     if not sample.num_rows:
         net = Network.random(0)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from gridfare.llm.columns import keyed_text
+from gridfare.llm.columns import free_name, keyed_text
 from gridfare.llm.components import components
 from gridfare.session import checkpointed
 
@@ -247,8 +247,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each component, with all its columns; rows without an id stay."""
+    """The row with the smallest id of each component, with all its columns; rows without an id stay.
+
+    A row stays if its own component is named by its id, so where an id is repeated each of its rows is judged by its own text.
+    """
     placed = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    staying = placed.where("component_id IS NOT NULL").select(F.col("component_id").alias("_keep_id")).distinct()
-    kept = docs.join(staying, docs[id_col].cast("long") == staying["_keep_id"], "left_semi")
-    return kept.union(docs.where(docs[id_col].isNull()))
+    staying = placed.where("doc_id = component_id").select("doc_id", "fingerprint").distinct()
+    mark = free_name(docs, "_print")
+    texts = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    marked = docs.where(docs[id_col].isNotNull()).withColumn(mark, F.lower(F.lpad(F.hex(fingerprints(texts)), 16, "0")))
+    own = (marked[id_col].cast("long") == staying["doc_id"]) & (marked[mark] == staying["fingerprint"])
+    return marked.join(staying, own, "left_semi").drop(mark).union(docs.where(docs[id_col].isNull()))

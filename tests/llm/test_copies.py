@@ -234,5 +234,21 @@ def test_rotations_keep_lengths():
 
 
 def test_all_queries_are_registered(sf):
-    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 14))
     assert os.path.isdir(sf)
+
+
+def test_repeated_ids_are_judged_by_their_own_texts(spark):
+    """Ids 3 and 8 share a text, another row with id 8 has a different one: the copy goes, the different text stays."""
+    one, other = "a text that two documents share word for word", "quite another text with nothing in common at all"
+    rows = [(3, one, "x"), (8, one, "y"), (8, other, "z"), (None, one, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _print string")
+    kept = sorted((r["doc_id"] or 0, r["text"], r["_print"]) for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == [(0, one, "n"), (3, one, "x"), (8, other, "z")]
+
+
+def test_exact_copies_keep_columns_of_any_name(spark):
+    rows = [(1, "a b", "p", 7), (2, "ab", "q", 8), (2, "c", "r", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _pick string, _place int")
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

@@ -125,6 +125,22 @@ def test_languages_on_odd_and_empty_tables(odd_docs, no_docs):
     assert language_id.fit(no_docs).languages == []
 
 
+def test_signs_that_are_no_letters_have_no_language():
+    model = language_id.Model(["en", "de"], np.ones(language_id.DIM), np.zeros((language_id.DIM + 1, 2)), 1.0)
+    assert [model.predict(text)[0] for text in ("½ ² ①", "12 _ !", "", None)] == ["und"] * 4
+    assert model.predict("½ ª")[0] in ("en", "de") and model.predict("日")[0] in ("en", "de")
+
+
+def test_the_text_of_a_repeated_id_does_not_depend_on_the_order(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda views, labels: seen.append([bytes(v) for v in views]))
+    rows = [(i % 40, f"text number {i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for own in (rows, rows[::-1]):
+        quality.fit(spark.createDataFrame(own, "doc_id long, text string").repartition(7), labels)
+    assert seen[0] == seen[1] and len(seen[0]) == 40 - sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(40))
+
+
 def test_gram_counts_by_definition_across_slabs(monkeypatch):
     text = "Ünïcode text, repeated. " * 20
     whole = language_id.gram_counts(text)
