@@ -22,6 +22,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
 from gridfare.llm.columns import keyed_text
+from gridfare.session import scratch_path
 
 KINDS = ("assign", "access", "hex", "format")
 #: The words before an assigned secret, and the patterns.
@@ -35,6 +36,7 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 HELD_SHAPES = 100_000
 
 SAMPLE_PER_KIND, LONGEST_SAMPLED, ALPHA, FLOOR, ODDS = 400, 128, 0.05, 1e-4, math.log(99)
+SALTS = 64
 
 Span = tuple[str, int, int]
 
@@ -250,9 +252,18 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     """
     found = keyed_text(docs, id_col, text_col).select(F.explode(_labelled(F.col("text"))).alias("v")).select("v.kind", "v.value")
     short = F.length("value") <= LONGEST_SAMPLED
-    distinct = found.select("kind", short.alias("short"), F.when(short, F.col("value")).otherwise(F.sha2("value", 256)).alias("value")).distinct()
-    place = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    taken = distinct.where("short").withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample)
+    different = found.select("kind", short.alias("short"), F.when(short, F.col("value")).otherwise(F.sha2("value", 256)).alias("value")).distinct()
+    # Texts are scanned once: the sample and the counts read what is written here.
+    path = scratch_path(docs.sparkSession, "secret-values")
+    different.write.parquet(path)
+    distinct = docs.sparkSession.read.parquet(path)
+    # The least of each salt, then the least of these: no task sees more than a sample from every salt.
+    order = (F.xxhash64("value"), "value")
+    salted = distinct.where("short").withColumn("salt", F.crc32(F.col("value").cast("binary")) % SALTS)
+    for keys in (["kind", "salt"], ["kind"]):
+        place = Window.partitionBy(*keys).orderBy(*order)
+        salted = salted.withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample)
+    taken = salted
     by_kind: dict[str, list[str]] = {}
     for row in taken.select("kind", "value").collect():
         by_kind.setdefault(row["kind"], []).append(shape(row["value"]))
