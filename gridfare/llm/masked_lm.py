@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from gridfare.llm.byte_bpe import Encoder, Spelt, sliced
 from gridfare.llm.columns import keyed_text
 from gridfare.session import checkpointed, scratch_path
 
@@ -32,8 +34,10 @@ CLASSES, MEMBERS = 32, 32
 SIZE = CLASSES * MEMBERS
 BYTES, PIECES, LONGEST_PIECE = 256, 256, 4
 SIDE, HIDDEN = 2, 16
-ROUNDS, STRIDE, BATCH, RATE = 1, 1, 2_048, 0.1
-HELD_WORDS, LONGEST_HELD, SLAB_TOKENS, CHUNK = 200_000, 64, 65_536, 4_096
+ROUNDS, STRIDE, BATCH, RATE = 1, 1, 4_096, 0.1
+#: Exponentials of numbers up to here, and sums of a few of them, are far from the ends of 32-bit floats.
+SAFE = 60.0
+HELD_WORDS, KNOWN_WORDS, SLAB_TOKENS, CHUNK = 200_000, 500_000, 65_536, 4_096
 
 _SHAPES = {
     "table": (2 * SIDE, SIZE, HIDDEN), "bias": (HIDDEN,), "to_class": (HIDDEN, CLASSES), "class_bias": (CLASSES,),
@@ -48,7 +52,7 @@ class Model:
 
     numbers: dict[bytes, int]
     flat: np.ndarray
-    _held: dict[bytes, list[int]] = field(default_factory=dict, repr=False)
+    _words: Encoder | None = field(default=None, repr=False)
 
     def parts(self) -> dict[str, np.ndarray]:
         out, at = {}, 0
@@ -60,17 +64,23 @@ class Model:
 
     def tokens(self, text: str) -> np.ndarray:
         """The numbers of all words and pieces, in order."""
-        held, out = self._held, []
-        for word in text.encode("utf-8", "surrogatepass").lower().split():
-            found = held.get(word)
-            if found is None:
-                found = cut(word, self.numbers)
-                if len(word) <= LONGEST_HELD:
-                    if len(held) >= HELD_WORDS:
-                        held.clear()
-                    held[word] = found
-            out += found
-        return np.array(out, dtype=np.int64)
+        return self.encode([text])[0].astype(np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """``tokens`` of each text, as 32-bit numbers; a word is cut when it is met first."""
+        if self._words is None:
+            self._words = Encoder(byte_words, self._spell, KNOWN_WORDS)
+        ids, counts = self._words.encode(texts)
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
+
+    def _spell(self, words: list[bytes]) -> Spelt:
+        spelt = [cut(word, self.numbers) for word in words]
+        counts = np.array([len(own) for own in spelt], np.int64)
+        return np.fromiter(chain.from_iterable(spelt), np.uint16, int(counts.sum())), np.cumsum(counts) - counts, counts
+
+
+def byte_words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def cut(word: bytes, numbers: dict[bytes, int]) -> list[int]:
@@ -116,47 +126,72 @@ def _hidden(net: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
     return np.tanh(total)
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
-
+def _shares(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(softmax, logarithm of its divisor) of each row, in the place of ``logits``.
 
-def _by_class(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The positions of each class that occurs."""
-    classes = targets // MEMBERS
+    Rows are shifted by their largest entry only where some entry is too far from 0 for its exponential.
+    """
+    shift = 0.0
+    if len(logits) and max(logits.max(), -logits.min()) > SAFE:
+        shift = logits.max(axis=1)
+        logits -= shift[:, None]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    logits /= total[:, None]
+    return logits, np.log(total) + shift
+
+
+def by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """(an order that puts positions of one class together, the run of each class that occurs)."""
+    classes = (targets // MEMBERS).astype(np.uint8)
     order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for number in range(CLASSES):
-        if cuts[number] < cuts[number + 1]:
-            yield number, order[cuts[number] : cuts[number + 1]]
+    ends = np.cumsum(np.bincount(classes, minlength=CLASSES)).tolist()
+    return order, [(number, slice(begin, end)) for number, (begin, end) in enumerate(zip([0, *ends], ends)) if begin < end]
+
+
+def _logits(net: dict[str, np.ndarray], hidden: np.ndarray, runs: list[tuple[int, slice]]) -> tuple[np.ndarray, np.ndarray]:
+    """(of the classes, of the members of the target's class) of positions in the order of ``by_class``."""
+    outer = hidden @ net["to_class"] + net["class_bias"]
+    inner = np.empty((len(hidden), MEMBERS), hidden.dtype)
+    for number, run in runs:
+        np.matmul(hidden[run], net["to_member"][number], out=inner[run])
+        inner[run] += net["member_bias"][number]
+    return outer, inner
 
 
 def log_chances(net: dict[str, np.ndarray], context: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """log P(target | both sides) of each row."""
-    hidden = _hidden(net, context)
-    out = _log_softmax(hidden @ net["to_class"] + net["class_bias"])[np.arange(len(targets)), targets // MEMBERS].astype(np.float64)
-    for number, rows in _by_class(targets):
-        inner = _log_softmax(hidden[rows] @ net["to_member"][number] + net["member_bias"][number])
-        out[rows] += inner[np.arange(len(rows)), targets[rows] % MEMBERS]
+    order, runs = by_class(targets)
+    targets = targets[order]
+    every = np.arange(len(targets))
+    outer, inner = _logits(net, _hidden(net, context[order]), runs)
+    named = outer[every, targets // MEMBERS] + inner[every, targets % MEMBERS]
+    out = np.empty(len(targets))
+    out[order] = named.astype(np.float64) - _shares(outer)[1] - _shares(inner)[1]
     return out
 
 
 def learn(net: dict[str, np.ndarray], squares: dict[str, np.ndarray], context: np.ndarray, targets: np.ndarray) -> None:
     """One step of adaptive gradient descent on the mean log loss."""
     count = len(targets)
+    order, runs = by_class(targets)
+    context, targets = context[order], targets[order]
+    every = np.arange(count)
     hidden = _hidden(net, context)
-    slope = np.exp(_log_softmax(hidden @ net["to_class"] + net["class_bias"]))
-    slope[np.arange(count), targets // MEMBERS] -= 1
+    outer, inner = _logits(net, hidden, runs)
+    slope, inner = _shares(outer)[0], _shares(inner)[0]
+    slope[every, targets // MEMBERS] -= 1
+    inner[every, targets % MEMBERS] -= 1
     grads = {name: np.zeros_like(weight) for name, weight in net.items() if name != "table"}
-    grads["to_class"][:], grads["class_bias"][:] = hidden.T @ slope, slope.sum(axis=0)
+    ones = np.ones(count, np.float32)
+    grads["to_class"][:], grads["class_bias"][:] = hidden.T @ slope, ones @ slope
     back = slope @ net["to_class"].T
-    for number, rows in _by_class(targets):
-        inner = np.exp(_log_softmax(hidden[rows] @ net["to_member"][number] + net["member_bias"][number]))
-        inner[np.arange(len(rows)), targets[rows] % MEMBERS] -= 1
-        grads["to_member"][number], grads["member_bias"][number] = hidden[rows].T @ inner, inner.sum(axis=0)
-        back[rows] += inner @ net["to_member"][number].T
+    for number, run in runs:
+        own = inner[run]
+        grads["to_member"][number], grads["member_bias"][number] = hidden[run].T @ own, ones[run] @ own
+        back[run] += own @ net["to_member"][number].T
     back *= 1 - hidden * hidden
-    grads["bias"][:] = back.sum(axis=0)
+    grads["bias"][:] = ones @ back
     for name, grad in grads.items():
         grad /= count
         squares[name] += grad * grad
@@ -166,7 +201,7 @@ def learn(net: dict[str, np.ndarray], squares: dict[str, np.ndarray], context: n
     order = np.argsort(rows, kind="stable")
     begins = np.flatnonzero(np.diff(rows[order], prepend=np.int64(-1)))
     named = rows[order[begins]]
-    grad = np.add.reduceat(back[order % count], begins, axis=0) / count
+    grad = np.add.reduceat(np.take(back, order % count, axis=0), begins, axis=0) / count
     table, held = (part["table"].reshape(-1, HIDDEN) for part in (net, squares))
     held[named] += grad * grad
     table[named] -= RATE * grad / (np.sqrt(held[named]) + 1e-6)
@@ -185,7 +220,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.update(text.encode("utf-8", "surrogatepass").lower().split())
+                held.update(byte_words(text))
                 if len(held) > HELD_WORDS:
                     yield emit()
         yield emit()
@@ -265,8 +300,9 @@ def token_ids(text: Column, model: Model) -> Column:
 
     @arrow_udf("binary")
     def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([model.tokens(value or "").astype("<u2").tobytes() for value in batch.to_pylist()], pa.binary())
+        for batch in sliced(batches):
+            texts = [value or "" for value in batch.to_pylist()]
+            yield pa.array([own.astype("<u2").tobytes() for own in model.encode(texts)], pa.binary())
 
     return number(text)
 
