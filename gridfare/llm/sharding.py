@@ -1,88 +1,121 @@
 """Shards by a weighted hash tree of regions, racks and shards.
 
-Every shard draws for a document: an exponential variate with the shard's weight as rate, from a hash of the document's
-key and the shard's number. A rack's draw is the least of its shards' draws and a region's the least of its racks'; the
-least of exponentials is again one, with the sum of the weights as rate. Descending by least draw therefore picks every
-child in proportion to its weight at each level, and when a weight changes only the draws on the path to that shard do:
-documents move into or out of that subtree and between no others. A new shard takes documents only into itself.
+A document descends the tree: at each level every child draws an exponential variate with its weight as rate, from a hash of
+the document's key and the child, and the least draw wins, so children win in proportion to their weights. Only the children
+of the node that was chosen draw.
+
+Weight that comes later draws for itself. Each change of the tree is a generation with the weight that it adds; at the top the
+regions of all generations draw together, and below it a document goes on among the weights of the generation that won. The
+least of exponentials is again one with the sum of their rates, so shares follow the weights of all generations together, and
+documents whose first generation wins stay where they were: added weight takes documents only into the shards that it was
+added to. Weight taken away lowers the rates on the path to its shard, and documents leave only subtrees on that path.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridfare.llm.columns import keyed_text, unsigned_share
+from gridfare.llm.columns import free_name, keyed_text, unsigned_share
 
 #: Numbering blocks per shard; slots are counted inside blocks, so no task has to order a whole shard.
 SLOT_BLOCKS = 256
+REGION, RACK, SHARD = range(3)
 
 
 @dataclass(frozen=True)
 class Tree:
-    """Shard weights, and how many shards a rack and racks a region hold; shard numbers fill racks in order."""
+    """Shard weights, and how many shards a rack and racks a region hold; shard numbers fill racks in order.
+
+    ``added`` has the later generations: the weights that each of them added, by shard.
+    """
 
     weights: tuple[float, ...]
     rack_shards: int = 5
     region_racks: int = 4
+    added: tuple[tuple[tuple[int, float], ...], ...] = ()
 
     @staticmethod
     def even(shards: int, rack_shards: int = 5, region_racks: int = 4) -> Tree:
         return Tree((1.0,) * shards, rack_shards, region_racks)
 
-    def levels(self) -> list[list[list[int]]]:
-        """Regions as lists of racks as lists of shard numbers; a shard of weight zero is left out."""
-        live = [s for s, weight in enumerate(self.weights) if weight > 0]
-        regions: dict[int, dict[int, list[int]]] = {}
-        for shard in live:
-            rack = shard // self.rack_shards
-            regions.setdefault(rack // self.region_racks, {}).setdefault(rack, []).append(shard)
-        return [list(racks.values()) for racks in regions.values()]
+    def grown(self, extra: Mapping[int, float]) -> Tree:
+        """The tree with more weight on some shards, old or new; documents move only into these."""
+        if any(weight <= 0 for weight in extra.values()):
+            raise ValueError("added weights are positive")
+        return replace(self, added=(*self.added, tuple(sorted(extra.items()))))
+
+    def shrunk(self, shard: int, factor: float) -> Tree:
+        """The tree with the weight of a shard times ``factor``, from 0 to 1; documents leave only its region."""
+        if not 0 <= factor <= 1:
+            raise ValueError("the factor is from 0 to 1")
+        weights = tuple(weight * (factor if number == shard else 1) for number, weight in enumerate(self.weights))
+        added = tuple(tuple((number, weight * (factor if number == shard else 1)) for number, weight in change) for change in self.added)
+        return replace(self, weights=weights, added=added)
+
+    def generations(self) -> list[dict[int, float]]:
+        return [dict(enumerate(self.weights)), *map(dict, self.added)]
 
+    def node_weights(self, level: int) -> list[dict[int, float]]:
+        """The weight of each node of a level that has any, by generation."""
+        size = {REGION: self.rack_shards * self.region_racks, RACK: self.rack_shards, SHARD: 1}[level]
+        sums: list[dict[int, float]] = []
+        for shards in self.generations():
+            sums.append({})
+            for shard, weight in shards.items():
+                if weight > 0:
+                    sums[-1][shard // size] = sums[-1].get(shard // size, 0.0) + weight
+        return sums
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
-    return -F.log(unsigned_share(F.xxhash64(key, F.lit(shard)))) / F.lit(float(weight))
 
+def draw(key: Column, level: int, generation: Column, node: Column, weight: Column) -> Column:
+    """The variate of a node; without weight it never wins."""
+    share = unsigned_share(F.xxhash64(key, F.lit(level), generation, node))
+    return F.when(weight > 0, -F.log(share) / weight).otherwise(F.lit(float("inf")))
 
-def _least(draws: Sequence[Column]) -> Column:
-    return F.least(*draws) if len(draws) > 1 else draws[0]
+
+def _winner(draws: Iterable[tuple[Column, int]]) -> Column:
+    """The number beside the least draw, the smaller one in a tie."""
+    pairs = [F.struct(drawn.alias("draw"), F.lit(number).alias("number")) for drawn, number in draws]
+    return (F.least(*pairs) if len(pairs) > 1 else pairs[0])["number"]
 
 
 def assign(docs: DataFrame, tree: Tree, *, key: str = "doc_id", into: str = "shard") -> DataFrame:
-    """Add the shard of each row. A null key is a key like any other; equal keys share a shard."""
-    regions = tree.levels()
-    if not regions:
+    """Add the shard of each row. A null key is a key like any other; equal keys share a shard.
+
+    A row draws once per (generation, region), then once per rack of its region and once per shard of its rack.
+    """
+    tops = [(generation, region, weight) for generation, nodes in enumerate(tree.node_weights(REGION)) for region, weight in sorted(nodes.items())]
+    if not tops:
         raise ValueError("a tree needs a shard with a positive weight")
     key_col = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    numbers = [shard for racks in regions for rack in racks for shard in rack]
-    leaf = {shard: F.col("_draws")[i] for i, shard in enumerate(numbers)}
-    drawn = docs.withColumn("_draws", F.array(*[_draw(key_col, s, tree.weights[s]) for s in numbers]))
-    rack_draws = [[_least([leaf[s] for s in rack]) for rack in racks] for racks in regions]
-    drawn = drawn.withColumn("_racks", F.array(*[F.array(*draws) for draws in rack_draws]))
-    drawn = drawn.withColumn("_regions", F.transform("_racks", F.array_min))
-    region = F.array_position("_regions", F.array_min("_regions")).cast("int") - 1
-    drawn = drawn.withColumn("_region", region)
-    racks_here = F.col("_racks")[F.col("_region")]
-    drawn = drawn.withColumn("_rack", F.array_position(racks_here, F.array_min(racks_here)).cast("int") - 1)
-    members = F.array(*[F.array(*[F.array(*map(F.lit, rack)) for rack in racks]) for racks in regions])
-    place = F.array(*[F.array(*[F.array(*[F.lit(numbers.index(s)) for s in rack]) for rack in racks]) for racks in regions])
-    here = place[F.col("_region")][F.col("_rack")]
-    draws = F.transform(here, lambda i: F.col("_draws")[i])
-    shard = members[F.col("_region")][F.col("_rack")][F.array_position(draws, F.array_min(draws)).cast("int") - 1]
-    return drawn.withColumn(into, shard).drop("_draws", "_racks", "_regions", "_region", "_rack")
+    first, generation, node = (free_name(docs, name) for name in ("_first", "_generation", "_node"))
+    picked = _winner((draw(key_col, REGION, F.lit(g), F.lit(region), F.lit(weight)), i) for i, (g, region, weight) in enumerate(tops))
+    rows = docs.withColumn(first, picked)
+    listed = [F.array(*[F.lit(top[part]) for top in tops])[F.col(first)] for part in (0, 1)]
+    rows = rows.withColumns({generation: listed[0], node: listed[1]}).drop(first)
+    for level, fan in ((RACK, tree.region_racks), (SHARD, tree.rack_shards)):
+        weights = tree.node_weights(level)
+        nodes = fan * (1 + max(max(own, default=0) for own in weights) // fan)
+        table = F.array(*[F.lit(float(own.get(n, 0.0))) for own in weights for n in range(nodes)])
+        below = [F.col(node) * fan + child for child in range(fan)]
+        draws = [draw(key_col, level, F.col(generation), n, table[F.col(generation) * nodes + n]) for n in below]
+        rows = rows.withColumn(node, F.col(node) * fan + _winner((drawn, child) for child, drawn in enumerate(draws)))
+    return rows.withColumn(into, F.col(node)).drop(generation, node)
 
 
 def slots(rows: DataFrame, shard: str, key: str, *, into: str = "slot", blocks: int = SLOT_BLOCKS) -> DataFrame:
     """Number the rows of each shard from 0 without a gap.
 
     Rows are ordered inside (shard, block) and shifted by the rows of the shard's earlier blocks. The table of block
-    sizes has shards x blocks rows whatever the input, which bounds the broadcast.
+    sizes has shards x blocks rows whatever the input, which bounds the broadcast. All columns say which block a row is in, so
+    that rows of one key spread too; only rows that are equal in all of them stay together.
     """
-    blocked = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    blocked = rows.withColumn("_block", F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int"))
     sizes = blocked.groupBy(shard, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -102,7 +135,7 @@ def shard_table(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_co
     rows = keyed_text(docs, id_col, text_col).select(
         "doc_id", (F.octet_length("text") + F.lit(row_overhead)).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")
     )
-    placed = assign(rows, Tree.even(shards))
-    placed = assign(placed, Tree.even(shards + 1), into="grown_shard")
+    tree = Tree.even(shards)
+    placed = assign(assign(rows, tree), tree.grown({shards: 1.0}), into="grown_shard")
     numbered = slots(placed, "shard", "doc_id")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -371,18 +371,34 @@ def test_masked_scores_on_odd_and_empty_tables(odd_docs, no_docs):
     assert masked_lm.score_documents(no_docs, masked_lm.fit(no_docs)).count() == 0
 
 
+def descended(docs, tree):
+    """doc_id -> shard, by the definition: the variates of all nodes are known and each level is decided in turn."""
+    fan = {sharding.RACK: tree.region_racks, sharding.SHARD: tree.rack_shards}
+    named = [(level, g, node, w) for level in range(3) for g, nodes in enumerate(tree.node_weights(level)) for node, w in nodes.items()]
+    key = sharding.F.col("doc_id").cast("string")
+    lit = sharding.F.lit
+    drawn = docs.select("doc_id", sharding.F.array(*[sharding.draw(key, level, lit(g), lit(node), lit(w)) for level, g, node, w in named]).alias("d"))
+    shards = {}
+    for r in drawn.collect():
+        draws = {name[:3]: value for name, value in zip(named, r["d"])}
+        _, g, node = min((name for name in draws if name[0] == sharding.REGION), key=draws.get)
+        for level in (sharding.RACK, sharding.SHARD):
+            node = min((name for name in draws if name[:2] == (level, g) and name[2] // fan[level] == node), key=draws.get)[2]
+        shards[r["doc_id"]] = node
+    return shards
+
+
 def test_shards_by_brute_force(documents, spark):
     rows = sharding.shard_table(documents, 40).collect()
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
-    draws = documents.select(
-        "doc_id", sharding.F.array(*[sharding._draw(sharding.F.col("doc_id").cast("string"), s, 1.0) for s in range(41)]).alias("d")
-    ).collect()
-    least = {r["doc_id"]: (int(np.argmin(r["d"][:40])), int(np.argmin(r["d"]))) for r in draws}
+    tree = sharding.Tree.even(40)
+    before, after = descended(documents, tree), descended(documents, tree.grown({40: 1.0}))
     for r in rows:
         data = texts[r["doc_id"]].encode()
         assert (r["size"], r["text_crc32"], r["law"]) == (len(data) + 16, zlib.crc32(data), "key")
-        assert (r["shard"], r["grown_shard"]) == least[r["doc_id"]]
+        assert (r["shard"], r["grown_shard"]) == (before[r["doc_id"]], after[r["doc_id"]])
         assert r["grown_shard"] in (r["shard"], 40)
+    assert any(r["grown_shard"] == 40 for r in rows)
     check_slots(rows)
 
 
@@ -399,9 +415,37 @@ def test_weights_set_shares_and_confine_moves(spark):
     before = {r["doc_id"]: r["s"] for r in sharding.assign(docs, sharding.Tree(tuple(weights), 2, 2), into="s").collect()}
     for shard, weight in enumerate(weights):
         assert abs(sum(s == shard for s in before.values()) - 6000 * weight / 12) < 6 * 6000**0.5
-    weights[5] = 4.0
-    after = {r["doc_id"]: r["s"] for r in sharding.assign(docs, sharding.Tree(tuple(weights), 2, 2), into="s").collect()}
+    tree = sharding.Tree(tuple(weights), 2, 2)
+
+    def placed(tree):
+        return {r["doc_id"]: r["s"] for r in sharding.assign(docs, tree, into="s").collect()}
+
+    grown = tree.grown({5: 2.0})
+    after = placed(grown)
     assert {after[i] for i in before if before[i] != after[i]} == {5}
+    assert abs(sum(s == 5 for s in after.values()) - 6000 * 4 / 14) < 6 * 6000**0.5
+    more = grown.grown({2: 1.0, 9: 3.0})
+    later = placed(more)
+    assert {later[i] for i in after if after[i] != later[i]} == {2, 9} and later == descended(docs, more)
+    for shard, weight in {0: 1, 1: 2, 2: 1, 3: 1, 4: 4, 5: 4, 6: 1, 7: 1, 8: 0, 9: 3}.items():
+        assert abs(sum(s == shard for s in later.values()) - 6000 * weight / 18) < 6 * 6000**0.5
+    gone = placed(more.shrunk(5, 0.0))
+    assert 5 not in gone.values() and {later[i] // 4 for i in later if later[i] != gone[i]} == {1}
+    with pytest.raises(ValueError):
+        tree.grown({1: 0.0})
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, 2, 3, 4), (None, 5, 6, 7)], "doc_id long, _first long, _node long, _generation long")
+    rows = sharding.assign(docs, sharding.Tree.even(3)).collect()
+    assert sorted((r["_first"], r["_node"], r["_generation"]) for r in rows) == [(2, 3, 4), (5, 6, 7)]
+
+
+def test_one_id_with_many_rows_spreads_over_blocks(spark):
+    docs = spark.range(2000).selectExpr("CAST(NULL AS long) AS doc_id", "CAST(id AS string) AS text")
+    rows = sharding.shard_table(docs, 7).collect()
+    check_slots(rows)
+    assert len(rows) == 2000 and len({r["shard"] for r in rows}) == 1
 
 
 def test_shards_of_odd_and_empty_tables(odd_docs, no_docs):
