@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridfare.llm.columns import free_name, keyed_text, unsigned_share
+from gridfare.llm.columns import keyed_text, unsigned_share
 
 #: Numbering blocks per shard; slots are counted inside blocks, so no task has to order a whole shard.
 SLOT_BLOCKS = 256
@@ -93,19 +93,29 @@ def assign(docs: DataFrame, tree: Tree, *, key: str = "doc_id", into: str = "sha
     if not tops:
         raise ValueError("a tree needs a shard with a positive weight")
     key_col = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    first, generation, node = (free_name(docs, name) for name in ("_first", "_generation", "_node"))
-    picked = _winner((draw(key_col, REGION, F.lit(g), F.lit(region), F.lit(weight)), i) for i, (g, region, weight) in enumerate(tops))
-    rows = docs.withColumn(first, picked)
-    listed = [F.array(*[F.lit(top[part]) for top in tops])[F.col(first)] for part in (0, 1)]
-    rows = rows.withColumns({generation: listed[0], node: listed[1]}).drop(first)
+    top = _winner((draw(key_col, REGION, F.lit(g), F.lit(region), F.lit(weight)), i) for i, (g, region, weight) in enumerate(tops))
+    listed = F.array(*[F.struct(F.lit(g).alias("generation"), F.lit(region).alias("node")) for g, region, _ in tops])
+    at = listed[top]
     for level, fan in ((RACK, tree.region_racks), (SHARD, tree.rack_shards)):
-        weights = tree.node_weights(level)
-        nodes = fan * (1 + max(max(own, default=0) for own in weights) // fan)
-        table = F.array(*[F.lit(float(own.get(n, 0.0))) for own in weights for n in range(nodes)])
-        below = [F.col(node) * fan + child for child in range(fan)]
-        draws = [draw(key_col, level, F.col(generation), n, table[F.col(generation) * nodes + n]) for n in below]
-        rows = rows.withColumn(node, F.col(node) * fan + _winner((drawn, child) for child, drawn in enumerate(draws)))
-    return rows.withColumn(into, F.col(node)).drop(generation, node)
+        at = _below(at, key_col, level, fan, tree.node_weights(level))
+    return docs.withColumn(into, F.coalesce(at["node"], F.lit(-1)))
+
+
+def _below(at: Column, key: Column, level: int, fan: int, weights: list[dict[int, float]]) -> Column:
+    """(generation, node) of the child that wins under a node.
+
+    The node is bound by a function of one array entry. Each level names it once for all draws, so the expression stays small
+    when a filter on the shard is pushed through.
+    """
+    nodes = fan * (1 + max(max(own, default=0) for own in weights) // fan)
+    table = F.array(*[F.lit(float(own.get(n, 0.0))) for own in weights for n in range(nodes)])
+
+    def descend(here: Column) -> Column:
+        generation, first = here["generation"], here["node"] * fan
+        draws = [(draw(key, level, generation, first + child, table[generation * nodes + first + child]), child) for child in range(fan)]
+        return F.struct(generation.alias("generation"), (first + _winner(draws)).alias("node"))
+
+    return F.transform(F.array(at), descend)[0]
 
 
 def slots(rows: DataFrame, shard: str, key: str, *, into: str = "slot", blocks: int = SLOT_BLOCKS) -> DataFrame:
