@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: a seed document's window is filled with the nearest unused documents by BM25.
 
 Documents are tokenised once, into a table in the shared folder. Document frequencies count all of them. Documents are then
-range-partitioned by their two most telling tokens (and their id, so that a common token spreads over many tasks): a
+dealt by ranges of their two most telling tokens (and their hashed id, so that a common token spreads over many tasks): a
 partition is a shard of lexically close documents. A task builds the inverted index of its shard, takes the longest open
 document as seed, asks with all of its tokens, and adds the best unused neighbours until the window is full. The last one is
 cut and its rest stays open. Long documents fill windows of their own first. What is left of a shard, less than a window, is
@@ -16,54 +16,64 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from tokenizers import Tokenizer
 
-from gridfare.llm.byte_bpe import BLOCK_CHARS, SLICE_ROWS, Encoder, Ranks, Spelt, pattern_cut, replay
+from gridfare.llm.byte_bpe import BLOCK_CHARS, SLICE_ROWS, Encoder, Spelt, narrow_pattern
 from gridfare.llm.columns import keyed_text
 from gridfare.session import scratch_path
 
 WINDOW, END_ID = 2_048, 1
 SHARD_TOKENS, BLOCK_TOKENS = 2_000_000, 6_000_000
 REMEMBERED_WORDS = 500_000
+#: A token in one document of so many is common in its shard; so many common ones at most have columns, which bounds their memory.
+DENSE, DENSE_COLUMNS = 16, 1_024
+#: The share of documents whose places set the borders of the shards (every document has a place, so they decide about balance
+#: alone), and the numbers that hashed ids are folded to, by which documents of one pair of tokens spread.
+BORDER_SHARE, SPREAD = 0.05, 1 << 20
 #: BM25's saturation and length weights.
 SATURATION, LENGTH_WEIGHT = 1.2, 0.75
 
 
-def word_ranks(model: dict) -> Ranks:
-    """The merges of a tokenizer file whose tokens are spelt in printable stand-ins for bytes and mark the end of a word."""
-    # The stand-ins: printable bytes stand for themselves, the others follow from 256 on.
+def byte_signs() -> dict[int, str]:
+    """The printable characters that stand for bytes in the tokens of a file, by byte."""
+    # Printable bytes stand for themselves, the others follow from 256 on.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    sign = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
-    ids, end = model["vocab"], model["end_of_word_suffix"]
-    pairs = {}
-    for rank, merge in enumerate(model["merges"]):
-        first, second = merge.split(" ") if isinstance(merge, str) else merge
-        pairs[ids[first], ids[second]] = rank, ids[first + second]
-    return Ranks([ids[sign[b]] for b in range(256)], [ids[sign[b] + end] for b in range(256)], pairs)
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 class WordTokens:
     """Ids by a tokenizer file. Texts of the first 256 characters, which its normal form leaves as they are but for case, are
-    cut at spaces; each different chunk is cut by the file's pattern once and each different word goes through the merge
-    replay once. All other texts go through the library, those that hold one of its added tokens too.
+    cut at spaces; each different chunk is cut by the file's pattern once and each different word goes through the file's model
+    once. All other texts go through the library whole, those that hold one of its added tokens too.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        ranks = word_ranks(content["model"])
         self.added = [token["content"] for token in content.get("added_tokens", ())]
-        cut = pattern_cut(content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        words = Encoder(cut, lambda fresh: replay([word.encode() for word in fresh], ranks), REMEMBERED_WORDS)
+        find = narrow_pattern(content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        signs, model = byte_signs(), self.tokenizer.model
+
+        def cut(chunk: str) -> Iterable[str]:
+            return find.findall(chunk) if len(chunk) <= BLOCK_CHARS else (match[0] for match in find.finditer(chunk))
+
+        def merge(words: list[str]) -> Spelt:
+            signed = (word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(signs) for word in words)
+            spelt = [[token.id for token in model.tokenize(word)] for word in signed]
+            counts = np.fromiter(map(len, spelt), np.int64, len(spelt))
+            return np.fromiter(chain.from_iterable(spelt), np.int32, int(counts.sum())), np.cumsum(counts) - counts, counts
+
+        words = Encoder(cut, merge, REMEMBERED_WORDS)
 
         def spell(chunks: list[str]) -> Spelt:
             ids, counts = words.encode(chunks)
@@ -153,7 +163,10 @@ def document_frequencies(table: DataFrame, vocabulary: int) -> tuple[np.ndarray,
 
 
 class BlockIndex:
-    """Inverted index of a shard: for each token the documents that hold it, with their BM25 weights."""
+    """Inverted index of a shard: for each token the documents that hold it, with their BM25 weights.
+
+    Tokens of one document in ``DENSE`` or more have a column of weights, since their lists would be nearly as long.
+    """
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
         self.terms, docs, weights, terms = [], [], [], []
@@ -164,19 +177,27 @@ class BlockIndex:
             terms.append(term)
             docs.append(np.full(len(term), number, np.int32))
             weights.append((idf[term] * times).astype(np.float32))
-        every = np.concatenate(terms)
+        every, self.size = np.concatenate(terms), len(ids)
         order = np.argsort(every, kind="stable")
         self.docs, self.weights = np.concatenate(docs)[order], np.concatenate(weights)[order]
         self.starts = np.searchsorted(every[order], np.arange(len(idf) + 1))
-        self.size = len(ids)
+        common = np.flatnonzero(np.diff(self.starts) * DENSE >= self.size)[:DENSE_COLUMNS]
+        self.column = np.full(len(idf), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.size), np.float32)
+        for column, term in enumerate(common.tolist()):
+            own = slice(self.starts[term], self.starts[term + 1])
+            self.dense[column, self.docs[own]] = self.weights[own]
 
     def scores(self, seed: int) -> np.ndarray:
         terms = self.terms[seed]
+        columns = self.column[terms]
+        asked = np.zeros(len(self.dense), np.float32)
+        asked[columns[columns >= 0]] = 1.0
+        terms = terms[columns < 0]
         begins, sizes = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
-        if not len(terms):
-            return np.zeros(self.size)
         at = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-        return np.bincount(self.docs[at], weights=self.weights[at], minlength=self.size)
+        return np.bincount(self.docs[at], weights=self.weights[at], minlength=self.size) + asked @ self.dense
 
 
 Piece = tuple[int, int, int]  # document of the block, first token, tokens
@@ -264,19 +285,26 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
     idf[END_ID] = 0.0
     mean_length = max(tokens / max(rows, 1), 1.0)
 
-    @arrow_udf("struct<first:int,second:int>")
-    def telling(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            both = np.zeros((len(batch), 2), np.int32)
-            for row, value in enumerate(batch.to_pylist()):
-                term, times = np.unique(np.frombuffer(value, kind), return_counts=True)
-                # A token of one document only leads to no neighbour.
-                weight = idf[term] * times / (times + SATURATION) * (seen[term] > 1)
-                for place in range(min(2, len(term))):
-                    best = int(weight.argmax())
-                    both[row, place] = term[best]
-                    weight[best] = -1.0
-            yield pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["first", "second"])
+    def place(borders: list[int]) -> Column:
+        """(order, shard) of a row: its two most telling tokens, then its hashed id, and how many borders are at or below that."""
+
+        @arrow_udf("struct<order:long,shard:int>")
+        def telling(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for values, hashes in batches:
+                order = np.zeros(len(values), np.int64)
+                for row, value in enumerate(values.to_pylist()):
+                    term, times = np.unique(np.frombuffer(value, kind), return_counts=True)
+                    # A token of one document only leads to no neighbour.
+                    weight = idf[term] * times / (times + SATURATION) * (seen[term] > 1)
+                    for _ in range(2):
+                        best = int(weight.argmax())
+                        order[row] = order[row] * vocabulary + int(term[best])
+                        weight[best] = -1.0
+                order = order * SPREAD + hashes.to_numpy()
+                shard = np.searchsorted(np.array(borders, np.int64), order, "right").astype(np.int32)
+                yield pa.StructArray.from_arrays([pa.array(order), pa.array(shard)], ["order", "shard"])
+
+        return telling(F.col("ids"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = TaskContext.get().partitionId() << 36
@@ -310,7 +338,11 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
         if ids:
             yield emit()
 
-    shards = max(1, ceil(tokens / SHARD_TOKENS))
-    keyed = coded.withColumn("key", telling(F.col("ids"))).select("doc_id", "ids", "key.first", "key.second")
-    near = keyed.repartitionByRange(shards, "first", "second", "doc_id").sortWithinPartitions("first", "second", "doc_id")
+    shards, borders = max(1, ceil(tokens / SHARD_TOKENS)), []
+    if shards > 1:
+        shares = [number / shards for number in range(1, shards)]
+        looked = coded.sample(BORDER_SHARE, 7).select(place([])["order"].alias("order"))
+        borders = looked.agg(F.percentile_approx("order", shares, max(10_000, 20 * shards))).first()[0] or []
+    near = coded.withColumn("at", place(borders)).select("doc_id", "ids", "at.order", "at.shard")
+    near = near.repartitionById(shards, F.col("shard")).sortWithinPartitions("order", "doc_id")
     return near.select("doc_id", "ids").mapInArrow(pack, _PIECES)
