@@ -25,11 +25,11 @@ from pyspark.sql.functions import arrow_udf
 
 from gridfare.llm.columns import keyed_text
 
-#: Characters cut into words at a time, words replayed together, and words a worker remembers. They bound memory; none
-#: changes a result.
+#: Characters cut into words at a time, words replayed together, and words a worker remembers, also by their ids, as words may
+#: be very long. They bound memory; none changes a result.
 BLOCK_CHARS = 2_000_000
 REPLAYED_WORDS = 100_000
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS, REMEMBERED_IDS = 300_000, 8_000_000
 SLICE_ROWS = 512
 _NONE = np.int32(2**31 - 1)
 
@@ -285,7 +285,7 @@ class Encoder:
             while end < len(texts) and size + len(texts[end]) <= BLOCK_CHARS:
                 size += len(texts[end])
                 end += 1
-            if len(self.numbers) > self.remember:
+            if len(self.numbers) > self.remember or len(self.ids) > REMEMBERED_IDS:
                 self.forget()
             words = [self.cut(text) for text in texts[begin:end]]
             numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int32)

@@ -192,3 +192,24 @@ def test_null_ids_decode_to_null(spark):
     found = [row[0] for row in ids.select(byte_bpe.decode(F.col("ids"), RANKS)).collect()]
     tokens = byte_bpe.load_ranks(RANKS).token
     assert found == [None, b"", tokens[0] + tokens[1]]
+
+
+def test_encoder_forgets_by_words_and_by_ids(monkeypatch):
+    """Whatever is forgotten, texts get the same ids."""
+    spelt = []
+
+    def spell(words):
+        spelt.extend(words)
+        counts = np.array([len(word) for word in words], np.int64)
+        return np.frombuffer("".join(words).encode(), np.uint8).astype(np.int32), np.cumsum(counts) - counts, counts
+
+    texts = ["ab c", "ab " + "x" * 50, "c ab", ""]
+    expected = [list(text.replace(" ", "").encode()) for text in texts]
+    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 1)
+    for words, ids in ((99, 99), (0, 99), (99, 10)):
+        monkeypatch.setattr(byte_bpe, "REMEMBERED_IDS", ids)
+        spelt.clear()
+        known = byte_bpe.Encoder(str.split, spell, words)
+        values, counts = known.encode(texts)
+        assert [own.tolist() for own in np.split(values, np.cumsum(counts)[:-1])] == expected
+        assert len(spelt) == len(set(spelt)) + {99: 0 if ids == 99 else 2, 0: 3}[words]
