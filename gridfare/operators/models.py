@@ -273,9 +273,16 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 
 def fit_experiments(values: FoldValues, experiments: Sequence[Experiment]) -> DataFrame:
-    """(experiment, id, p) of every row, from the model of the folds that it is not in."""
+    """(experiment, id, p) of every row, from the model of the folds that it is not in.
+
+    Experiments that differ in name only, as settings that keep the same components do, are fitted once.
+    """
+    same: dict[tuple, list[int]] = {}
+    for n, e in enumerate(experiments):
+        same.setdefault((e.fold, e.columns, e.learner), []).append(n)
+    firsts = [experiments[numbers[0]] for numbers in same.values()]
     scored = []
-    grown = [(n, e) for n, e in enumerate(experiments) if isinstance(e.learner, Learner)]
+    grown = [(n, e) for n, e in enumerate(firsts) if isinstance(e.learner, Learner)]
     if grown:
         edges = trees.column_edges(values.rows, values.width)
         rows = _written(trees.binned(values.rows, edges), "binned")
@@ -283,11 +290,12 @@ def fit_experiments(values: FoldValues, experiments: Sequence[Experiment]) -> Da
         numbers = F.array(*[F.lit(n) for n, _ in grown])
         found = trees.predict(rows, trees.fit(rows, own, edges), own)
         scored.append(found.withColumn("experiment", F.element_at(numbers, F.col("experiment") + 1)))
-    for learner in dict.fromkeys(e.learner for e in experiments if isinstance(e.learner, Logistic)):
-        numbers, folds, chosen = zip(*((n, e.fold, e.columns) for n, e in enumerate(experiments) if e.learner == learner))
+    for learner in dict.fromkeys(e.learner for e in firsts if isinstance(e.learner, Logistic)):
+        numbers, folds, chosen = zip(*((n, e.fold, e.columns) for n, e in enumerate(firsts) if e.learner == learner))
         betas = logistic.fit(values.rows, learner, folds, chosen)
         scored.append(logistic.predict(values.rows, numbers, folds, chosen, betas))
-    return reduce(DataFrame.unionByName, scored)
+    everyone = F.array(*[F.array(*map(F.lit, numbers)) for numbers in same.values()])
+    return reduce(DataFrame.unionByName, scored).withColumn("experiment", F.explode(F.element_at(everyone, F.col("experiment") + 1)))
 
 
 def cross_fit(

@@ -1,30 +1,34 @@
-"""Trees for many experiments at once: forests, extra trees and boosting, grown level by level from histograms.
-
-An experiment is a learner, a held-out fold and a set of columns. Columns are binned once per fold. For a level, each task
-adds up whole-number statistics of its rows by (experiment, tree, node, column, bin); one aggregate merges them, and the best
-split of a node is chosen where its bins meet. All experiments and trees that are due share a pass over the rows, as many as
-``PASS_CELLS`` allows. A node of at most ``NODE_ROWS`` rows leaves this loop: its rows meet in one task, which grows the rest of the tree
-below it with the same functions. Statistics are fixed-point numbers, so their sums do not depend on the order of rows, and
-bootstrap counts, column choices and random thresholds are hashes of seed, tree and node: both ways give the same tree, and so
-does a lost task that runs again.
+"""Trees for many experiments at once: forests, extra trees and boosting, grown from histograms.
+
+An experiment is a learner, a held-out fold and a set of columns. Columns are binned once per fold, and training rows that are equal
+in fold, bins of the experiment's columns, label and weight become one row with a count: a tree cannot tell them apart, and the
+bootstrap count of ``n`` equal rows is one Poisson draw of mean ``n``. A tree on at most ``NODE_ROWS`` such rows is grown in one task,
+some trees of an experiment together. On more, each task adds up whole-number statistics of its rows by (experiment, tree, node, column,
+bin); one aggregate merges them, and the best split of a node is chosen where its bins meet, until a node has few enough rows. All
+experiments and trees that are due share a pass over the rows, as many as ``PASS_CELLS`` allows. Statistics are fixed-point numbers, so
+their sums do not depend on the order of rows, and bootstrap counts, column choices and random thresholds are hashes of seed, tree and
+row or node: both ways give the same tree, and so does a lost task that runs again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridfare.session import scratch_path
 
 BINS = 64
-#: Rows of a node that one task finishes, histogram cells a task holds in a pass, rows scored together.
-NODE_ROWS, PASS_CELLS, CHUNK_ROWS = 1 << 16, 1 << 22, 1 << 17
+#: Different rows of a node that one task finishes, histogram cells a task holds in a pass, rows scored together.
+NODE_ROWS, PASS_CELLS, CHUNK_ROWS = 1 << 21, 1 << 22, 1 << 17
+#: Trees that a task grows from the same rows, at most.
+TASK_TREES = 25
 #: One in fixed point.
 UNIT = 1 << 20
 SEED = 42
@@ -32,7 +36,10 @@ SEED = 42
 
 @dataclass(frozen=True)
 class Learner:
-    """``kind`` is forest, extra_trees or boosting; ``share`` of the columns is tried at a node ("sqrt" or "all")."""
+    """``kind`` is forest, extra_trees or boosting; ``share`` of the columns is tried at a node ("sqrt" or "all").
+
+    With ``classes`` the labels are 0 to ``classes - 1`` and a leaf has the share of each; otherwise it has one number.
+    """
 
     kind: str
     trees: int
@@ -41,6 +48,7 @@ class Learner:
     rate: float = 0.1
     regression: bool = False
     seed: int = SEED
+    classes: int = 0
 
 
 class Experiment(NamedTuple):
@@ -73,30 +81,60 @@ def _uniform(*parts: np.ndarray | int) -> np.ndarray:
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(12)])
 
 
-def copies(learner: Learner, tree: int, row_id: np.ndarray) -> np.ndarray:
-    """How often a tree sees each row: a bootstrap for forests, once for the others."""
+@lru_cache(maxsize=4096)
+def _poisson(mean: int) -> tuple[int, np.ndarray]:
+    """How likely a Poisson number of this mean is at most ``low``, ``low + 1``, …; beyond lies less than a double can tell."""
+    reach = int(12 * np.sqrt(mean)) + 20
+    low = max(mean - reach, 0)
+    numbers = np.arange(1, mean + reach + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(mean) - np.log(numbers))]) - mean
+    return low, np.cumsum(np.exp(logs[low:]))
+
+
+def copies(learner: Learner, tree: int, row_id: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """How often a tree sees each row, or each ``n`` equal rows: a bootstrap for forests, once for the others."""
     if learner.kind != "forest":
-        return np.ones(len(row_id), np.int64)
-    return np.searchsorted(_POISSON, _uniform(learner.seed, tree, row_id), "right")
+        return np.ones(len(row_id), np.int64) if n is None else n
+    drawn = _uniform(learner.seed, tree, row_id)
+    seen = np.searchsorted(_POISSON, drawn, "right")
+    if n is not None:
+        many = np.flatnonzero(n > 1)
+        many = many[np.argsort(n[many], kind="stable")]
+        means, begins = np.unique(n[many], return_index=True)
+        for mean, a, b in zip(means.tolist(), begins, [*begins[1:], len(many)]):
+            low, shares = _poisson(mean)
+            seen[many[a:b]] = low + np.searchsorted(shares, drawn[many[a:b]], "right")
+    return seen
 
 
 # ---- statistics and splits ----
 
 
 def statistics(learner: Learner, seen: np.ndarray, y: np.ndarray, weight: np.ndarray, margin: np.ndarray | None = None) -> np.ndarray:
-    """(rows, mass, slope, curve) of each row as whole numbers; a leaf's value is slope over curve."""
+    """(rows, mass, slopes…) of each row as whole numbers; boosting has a curve behind its slope, classes have a slope each."""
     mass = seen * weight
-    if learner.kind != "boosting":
-        slope = curve = None
-    elif learner.regression:
-        slope, curve = mass * (y - margin), mass
-    else:
+    if learner.kind == "boosting" and learner.regression:
+        parts = (mass, mass * (y - margin), mass)
+    elif learner.kind == "boosting":
         chance = 1 / (1 + np.exp(-margin))
-        slope, curve = mass * (y - chance), mass * chance * (1 - chance)
-    parts = (mass, mass * y if slope is None else slope, mass if curve is None else curve)
+        parts = (mass, mass * (y - chance), mass * chance * (1 - chance))
+    elif learner.classes:
+        parts = (mass, *(mass * (y == k) for k in range(learner.classes)))
+    else:
+        parts = (mass, mass * y)
     return np.stack([(seen > 0).astype(np.int64), *(np.rint(p * UNIT).astype(np.int64) for p in parts)], axis=1)
 
 
+def _statistics_width(learner: Learner) -> int:
+    return 4 if learner.kind == "boosting" else 2 + (learner.classes or 1)
+
+
+def _purity(learner: Learner, sums: np.ndarray) -> np.ndarray:
+    """Squared slopes over the mass; NaN without mass."""
+    squares = (sums[..., 2:].astype(float) ** 2).sum(axis=-1) if learner.classes else sums[..., 2].astype(float) ** 2
+    return squares / sums[..., 1]
+
+
 def _tried(learner: Learner, tree: int, nodes: np.ndarray, width: int) -> np.ndarray:
     """Which columns each node tries."""
     if learner.share == "all":
@@ -106,34 +144,31 @@ def _tried(learner: Learner, tree: int, nodes: np.ndarray, width: int) -> np.nda
 
 
 class Split(NamedTuple):
-    """Of a number of nodes: the column (-1 for none), the last bin that goes left, statistics of both sides."""
+    """Of a number of nodes: the column (-1 for none), the last bin that goes left, statistics of both sides, what is gained."""
 
     column: np.ndarray
     cut: np.ndarray
     left: np.ndarray
     right: np.ndarray
+    gain: np.ndarray
 
 
 def best_splits(learner: Learner, tree: int, nodes: np.ndarray, cells: Iterable[tuple[int, np.ndarray]], edges: Sequence[np.ndarray], width: int) -> Split:
-    """The best split of each node. ``cells`` gives (column, array of nodes x bins x 4) one column at a time.
+    """The best split of each node. ``cells`` gives (column, array of nodes x bins x statistics) one column at a time.
 
     A split gains as much as the variance falls, which for two classes is their impurity. Extra trees try one threshold a column,
     drawn between the least and the greatest edge inside the node, and moved up to the next edge.
     """
     size = len(nodes)
     best, column, cut = np.zeros(size), np.full(size, -1), np.zeros(size, np.int64)
-    left, right = np.zeros((size, 4), np.int64), np.zeros((size, 4), np.int64)
+    left, right = (np.zeros((size, _statistics_width(learner)), np.int64) for _ in range(2))
     tried = _tried(learner, tree, nodes, width)
     for place, histogram in cells:
         sums = histogram.cumsum(axis=1)
         whole = sums[:, -1:]
         rest = whole - sums
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = (
-                sums[..., 2].astype(float) ** 2 / sums[..., 1]
-                + rest[..., 2].astype(float) ** 2 / rest[..., 1]
-                - whole[..., 2].astype(float) ** 2 / whole[..., 1]
-            )
+            gain = _purity(learner, sums) + _purity(learner, rest) - _purity(learner, whole)
         open_ = (sums[..., 1] > 0) & (rest[..., 1] > 0) & tried[:, place, None]
         if learner.kind == "extra_trees":
             open_ &= np.arange(BINS)[None, :] == _drawn(learner, tree, nodes, place, histogram, edges[place])[:, None]
@@ -141,10 +176,10 @@ def best_splits(learner: Learner, tree: int, nodes: np.ndarray, cells: Iterable[
         at = gain.argmax(axis=1)
         found = gain[np.arange(size), at]
         # Rounding leaves a trace of gain where there is none.
-        better = found > np.maximum(best, 1e-9 * np.abs(whole[:, 0, 2]))
+        better = found > np.maximum(best, 1e-9 * np.abs(whole[:, 0, 1 if learner.classes else 2]))
         best[better], column[better], cut[better] = found[better], place, at[better]
         left[better], right[better] = sums[better, at[better]], rest[better, at[better]]
-    return Split(column, cut, left, right)
+    return Split(column, cut, left, right, best)
 
 
 def _drawn(learner: Learner, tree: int, nodes: np.ndarray, place: int, histogram: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -159,78 +194,103 @@ def _drawn(learner: Learner, tree: int, nodes: np.ndarray, place: int, histogram
 
 
 def _histogram(slot: np.ndarray, bins: np.ndarray, stats: np.ndarray, slots: int) -> np.ndarray:
-    """Sums of the four statistics, one a row of ``stats``, by slot and bin."""
+    """Sums of the statistics, one a row of ``stats``, by slot and bin."""
     flat = slot * BINS + bins
     sums = [np.bincount(flat, own, slots * BINS) for own in stats]
-    return np.stack(sums, axis=1).astype(np.int64).reshape(slots, BINS, 4)
+    return np.stack(sums, axis=1).astype(np.int64).reshape(slots, BINS, len(stats))
 
 
-def _histograms(learner: Learner, tree: int, nodes: np.ndarray, slot: np.ndarray, bins: np.ndarray, stats: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _histograms(learner: Learner, tree: int, nodes: np.ndarray, slot: np.ndarray, columns: np.ndarray, rows: np.ndarray, stats: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(column, histogram) one at a time, of the rows whose node tries the column."""
-    tried = _tried(learner, tree, nodes, bins.shape[1])
-    for k in range(bins.shape[1]):
+    tried = _tried(learner, tree, nodes, len(columns))
+    for k, own in enumerate(columns):
         if tried[:, k].all():
-            yield k, _histogram(slot, bins[:, k], stats, len(nodes))
+            yield k, _histogram(slot, own[rows], stats, len(nodes))
         elif tried[:, k].any():
-            mine = tried[slot, k]
-            yield k, _histogram(slot[mine], bins[mine, k], stats[:, mine], len(nodes))
+            mine = np.flatnonzero(tried[:, k][slot])
+            yield k, _histogram(slot[mine], own[rows[mine]], stats[:, mine], len(nodes))
+
+
+def _histograms_below(above: list[np.ndarray], totals: np.ndarray, slot: np.ndarray, columns: np.ndarray, rows: np.ndarray, stats: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The same for pairs of children when every column is tried: the smaller child is counted, the other is what it leaves of its parent."""
+    counted = np.zeros(len(totals), bool)
+    small = 2 * np.arange(len(totals) // 2) + (totals[1::2, 0] < totals[::2, 0])
+    counted[small] = True
+    mine = np.flatnonzero(counted[slot])
+    pair, stats, kept = slot[mine] // 2, stats[:, mine], rows[mine]
+    for k, own in enumerate(columns):
+        found = _histogram(pair, own[kept], stats, len(small))
+        both = np.empty((len(totals), *found.shape[1:]), np.int64)
+        both[small], both[small ^ 1] = found, above[k] - found
+        yield k, both
 
 
-def leaf_value(total: np.ndarray) -> np.ndarray:
-    return total[..., 2] / np.maximum(total[..., 3], 1)
+def leaf_value(learner: Learner, total: np.ndarray) -> np.ndarray:
+    if learner.classes:
+        return total[..., 2:] / np.maximum(total[..., 1:2], 1)
+    return total[..., 2] / np.maximum(total[..., 3 if learner.kind == "boosting" else 1], 1)
 
 
 @dataclass
 class Tree:
-    """Nodes numbered from 1, children 2n and 2n + 1, in ascending order; a leaf has column -1."""
+    """Nodes numbered from 1, children 2n and 2n + 1, in ascending order; a leaf has column -1. ``gain`` is what each split gains."""
 
     node: np.ndarray
     column: np.ndarray
     cut: np.ndarray
     value: np.ndarray
+    gain: np.ndarray
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
         """The place of each row's leaf."""
+        inner = self.column >= 0
+        column = np.where(inner, self.column, 0)
+        cut = np.where(inner, self.cut, BINS)
+        left = np.where(inner, np.searchsorted(self.node, 2 * self.node), np.arange(len(self.node)))
+        flat, begin = np.ascontiguousarray(bins).reshape(-1), np.arange(len(bins)) * bins.shape[1]
         at = np.zeros(len(bins), np.int64)
-        going = np.arange(len(bins))
-        while len(going):
-            here = at[going]
-            inner = self.column[here] >= 0
-            going, here = going[inner], here[inner]
-            after = 2 * self.node[here] + (bins[going, self.column[here]] > self.cut[here])
-            at[going] = np.searchsorted(self.node, after)
+        for _ in range(int(self.node[-1]).bit_length() - int(self.node[0]).bit_length()):
+            at = left[at] + (flat[begin + column[at]] > cut[at])
         return at
 
 
 def grow(learner: Learner, tree: int, bins: np.ndarray, stats: np.ndarray, edges: Sequence[np.ndarray], root: int = 1) -> Tree:
     """The tree below ``root`` from all of its rows; numbers go on from the root's."""
-    width = bins.shape[1]
+    columns = np.ascontiguousarray(bins.T)
+    width = len(columns)
     parts: list[tuple] = []
-    rows, node = np.arange(len(bins)), np.full(len(bins), root, np.int64)
-    total = {root: stats.sum(axis=0)}
+    rows, slot = np.arange(len(bins)), np.zeros(len(bins), np.int64)
+    nodes, totals = np.array([root], np.int64), stats.sum(axis=0)[None, :]
+    above: list[np.ndarray] | None = None
     for level in range(root.bit_length() - 1, learner.depth + 1):
-        nodes = np.array(sorted(total), np.int64)
-        slot, totals = np.searchsorted(nodes, node), np.array([total[int(n)] for n in nodes])
         if level == learner.depth:
-            parts.append((nodes, np.full(len(nodes), -1), np.zeros(len(nodes), np.int64), leaf_value(totals)))
+            parts.append((nodes, np.full(len(nodes), -1), np.zeros(len(nodes), np.int64), leaf_value(learner, totals), np.zeros(len(nodes))))
             break
-        cells = _histograms(learner, tree, nodes, slot, bins[rows], stats[rows].T.astype(float))
-        split = best_splits(learner, tree, nodes, cells, edges, width)
-        parts.append((nodes, split.column, split.cut, leaf_value(totals)))
-        stays = split.column[slot] >= 0
+        weights, held = stats[rows].T.astype(float), []
+        if above is None:
+            cells = _histograms(learner, tree, nodes, slot, columns, rows, weights)
+        else:
+            cells = _histograms_below(above, totals, slot, columns, rows, weights)
+        split = best_splits(learner, tree, nodes, _kept(cells, held if learner.share == "all" else None), edges, width)
+        parts.append((nodes, split.column, split.cut, leaf_value(learner, totals), split.gain))
+        inner = split.column >= 0
+        stays = np.flatnonzero(inner[slot])
         rows, slot = rows[stays], slot[stays]
         if not len(rows):
             break
-        right = bins[rows, split.column[slot]] > split.cut[slot]
-        node = 2 * nodes[slot] + right
-        inner = split.column >= 0
-        total = dict(zip((2 * nodes[inner]).tolist(), split.left[inner])) | dict(zip((2 * nodes[inner] + 1).tolist(), split.right[inner]))
-    return Tree(*(np.concatenate([p[k] for p in parts]) for k in range(4)))
+        right = columns[split.column[slot], rows] > split.cut[slot]
+        slot = 2 * (np.cumsum(inner) - 1)[slot] + right
+        nodes = np.stack([2 * nodes[inner], 2 * nodes[inner] + 1], axis=1).reshape(-1)
+        totals = np.stack([split.left[inner], split.right[inner]], axis=1).reshape(len(nodes), -1)
+        above = [h[inner] for h in held] if learner.share == "all" else None
+    return Tree(*(np.concatenate([p[k] for p in parts]) for k in range(5)))
 
 
-def first_margin(learner: Learner, y: np.ndarray, weight: np.ndarray) -> float:
-    """Where boosting starts: the mean, or the log odds of the weighted mean."""
-    return _start(learner, int(np.rint(weight * y * UNIT).astype(np.int64).sum()), int(np.rint(weight * UNIT).astype(np.int64).sum()))
+def _kept(cells: Iterable[tuple[int, np.ndarray]], into: list[np.ndarray] | None) -> Iterator[tuple[int, np.ndarray]]:
+    for place, histogram in cells:
+        if into is not None:
+            into.append(histogram)
+        yield place, histogram
 
 
 def _start(learner: Learner, slope: int, mass: int) -> float:
@@ -241,12 +301,13 @@ def _start(learner: Learner, slope: int, mass: int) -> float:
     return float(np.log(mean / (1 - mean)))
 
 
-def boost(learner: Learner, bins: np.ndarray, y: np.ndarray, weight: np.ndarray, edges: Sequence[np.ndarray]) -> list[Tree]:
-    """All rounds on rows that are at hand; leaf values hold the rate."""
-    margin = np.full(len(y), first_margin(learner, y, weight))
-    ones, trees = np.ones(len(y), np.int64), []
+def boost(learner: Learner, bins: np.ndarray, y: np.ndarray, weight: np.ndarray, edges: Sequence[np.ndarray], n: np.ndarray | None = None) -> list[Tree]:
+    """All rounds on rows that are at hand, ``n`` equal ones each; leaf values hold the rate."""
+    n = np.ones(len(y), np.int64) if n is None else n
+    margin = np.full(len(y), _start(learner, int((np.rint(weight * y * UNIT).astype(np.int64) * n).sum()), int((np.rint(weight * UNIT).astype(np.int64) * n).sum())))
+    trees = []
     for number in range(learner.trees):
-        tree = grow(learner, number, bins, statistics(learner, ones, y, weight, margin), edges)
+        tree = grow(learner, number, bins, statistics(learner, n, y, weight, margin), edges)
         tree.value = tree.value * learner.rate
         margin = margin + tree.value[tree.leaves(bins)]
         trees.append(tree)
@@ -256,30 +317,64 @@ def boost(learner: Learner, bins: np.ndarray, y: np.ndarray, weight: np.ndarray,
 # ---- passes over the rows ----
 
 ROWS = "fold int, id long, train boolean, y double, weight double, bins binary"
-_SPLITS = "experiment int, tree int, node long, col int, cut int, lefts array<long>, rights array<long>"
+_SPLITS = "experiment int, tree int, node long, col int, cut int, gain double, lefts array<long>, rights array<long>"
 _TREES = pa.schema([
     ("experiment", pa.int32()), ("tree", pa.int32()), ("node", pa.list_(pa.int64())), ("col", pa.list_(pa.int32())),
-    ("cut", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())),
+    ("cut", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())), ("gain", pa.list_(pa.float64())),
 ])
-_TREES_DDL = "experiment int, tree int, node array<long>, col array<int>, cut array<int>, value array<double>"
+_TREES_DDL = "experiment int, tree int, node array<long>, col array<int>, cut array<int>, value array<double>, gain array<double>"
 Edges = Mapping[int, Sequence[np.ndarray]]
 
 
 class _Rows(NamedTuple):
     ids: np.ndarray
+    n: np.ndarray
     y: np.ndarray
     weight: np.ndarray
     bins: np.ndarray
 
 
-def _by_fold(batch: pa.RecordBatch) -> Iterator[tuple[int, _Rows]]:
+def _chosen_bins(columns: Sequence[int]) -> Column:
+    """The bins of these columns, in this order."""
+    runs: list[list[int]] = []
+    for c in columns:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return F.concat(*[F.substring("bins", a + 1, b - a + 1) for a, b in runs])
+
+
+def _by_choice(rows: DataFrame, choices: Sequence[tuple[int, ...]], experiments: Sequence[Experiment]) -> DataFrame:
+    """Each row once for every choice of columns that an experiment on its fold has: ``own`` is its place, ``bins`` its columns."""
+    shapes = []
+    for place, columns in enumerate(choices):
+        folds = sorted({e.fold for e in experiments if e.columns == columns})
+        shapes.append(F.when(F.col("fold").isin(folds), F.struct(F.lit(place).alias("own"), _chosen_bins(columns).alias("bins"))))
+    kept = [c for c in rows.columns if c != "bins"]
+    return rows.withColumn("_c", F.explode(F.filter(F.array(*shapes), lambda c: c.isNotNull()))).select(*kept, "_c.own", "_c.bins")
+
+
+def _grouped(rows: DataFrame, choices: Sequence[tuple[int, ...]], experiments: Sequence[Experiment]) -> DataFrame:
+    """The training rows, equal ones of a fold and choice as one with their number ``n`` and an id made of what they are."""
+    spread = _by_choice(rows.where("train").select("fold", "y", "weight", "bins"), choices, experiments)
+    found = spread.groupBy("fold", "own", "bins", "y", "weight").agg(F.count(F.lit(1)).alias("n"))
+    return found.withColumn("id", F.xxhash64("bins", "y", "weight"))
+
+
+def _choices(experiments: Sequence[Experiment]) -> list[tuple[int, ...]]:
+    return sorted({tuple(e.columns) for e in experiments})
+
+
+def _by_group(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], _Rows]]:
+    """((fold, choice), rows) of a batch."""
     if not batch.num_rows:
         return
-    fold, ids, y, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "id", "y", "weight"))
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-    for one in np.unique(fold):
-        mine = fold == one
-        yield int(one), _Rows(ids[mine], y[mine], weight[mine], bins[mine])
+    fold, own, ids, n, y, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "own", "id", "n", "y", "weight"))
+    for one in sorted(set(zip(fold.tolist(), own.tolist()))):
+        mine = np.flatnonzero((fold == one[0]) & (own == one[1]))
+        bins = np.frombuffer(b"".join(batch.column("bins").take(pa.array(mine)).to_pylist()), np.uint8).reshape(len(mine), -1)
+        yield one, _Rows(ids[mine], n[mine], y[mine], weight[mine], bins)
 
 
 @dataclass
@@ -288,17 +383,20 @@ class _Growing:
 
     experiment: int
     tree: int
-    splits: dict[int, tuple[int, int]]
+    splits: dict[int, tuple[int, int, float]]
     totals: dict[int, np.ndarray]
     closed: set[int]
     before: list[Tree]
+    learner: Learner
     start: float = 0.0
 
     def shape(self, rate: float = 1.0) -> Tree:
         nodes = np.array(sorted({*self.splits, *self.totals}), np.int64)
-        pairs = [self.splits.get(int(n), (-1, 0)) for n in nodes]
-        values = [float(leaf_value(self.totals[int(n)])) * rate if int(n) in self.totals else 0.0 for n in nodes]
-        return Tree(nodes, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], np.int64), np.array(values))
+        splits = [self.splits.get(int(n), (-1, 0, 0.0)) for n in nodes]
+        none = np.zeros(_statistics_width(self.learner), np.int64)
+        values = leaf_value(self.learner, np.stack([self.totals.get(int(n), none) for n in nodes])) * rate
+        column, cut, gain = (np.array(v, t) for v, t in zip(zip(*splits), (np.int64, np.int64, float)))
+        return Tree(nodes, column, cut, values, gain)
 
     def margin(self, bins: np.ndarray) -> np.ndarray:
         out = np.full(len(bins), self.start)
@@ -307,20 +405,21 @@ class _Growing:
         return out
 
 
-def _level(rows: DataFrame, experiments: Sequence[Experiment], edges: Edges, due: list[tuple[_Growing, list[int]]]) -> list[tuple]:
-    """Splits of the nodes that are due, from one pass over the training rows."""
+def _level(groups: DataFrame, experiments: Sequence[Experiment], edges: Edges, due: list[tuple[_Growing, list[int]]]) -> list[tuple]:
+    """Splits of the nodes that are due, from one pass over the grouped rows."""
+    choices, most = _choices(experiments), max(_statistics_width(e.learner) for e in experiments)
     shapes = [(g, g.shape(), np.array(sorted(nodes), np.int64)) for g, nodes in due]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for fold, part in _by_fold(batch):
+            for group, part in _by_group(batch):
                 for place, (growing, shape, nodes) in enumerate(shapes):
                     spec = experiments[growing.experiment]
-                    if spec.fold != fold:
+                    if (spec.fold, choices.index(spec.columns)) != group:
                         continue
-                    bins = part.bins[:, spec.columns]
-                    seen = copies(spec.learner, growing.tree, part.ids)
+                    bins = part.bins
+                    seen = copies(spec.learner, growing.tree, part.ids, part.n)
                     here = shape.node[shape.leaves(bins)]
                     slot = np.minimum(np.searchsorted(nodes, here), len(nodes) - 1)
                     mine = (nodes[slot] == here) & (seen > 0)
@@ -335,8 +434,8 @@ def _level(rows: DataFrame, experiments: Sequence[Experiment], edges: Edges, due
             sums = found[column, slot, bin_]
             same = [np.full(len(column), v) for v in (growing.experiment, growing.tree)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(same[0], pa.int32()), pa.array(same[1], pa.int32()), pa.array(nodes[slot]), pa.array(column, pa.int32()), pa.array(bin_, pa.int32()), *(pa.array(sums[:, k]) for k in range(4))],
-                names=["experiment", "tree", "node", "col", "bin", "s0", "s1", "s2", "s3"],
+                [pa.array(same[0], pa.int32()), pa.array(same[1], pa.int32()), pa.array(nodes[slot]), pa.array(column, pa.int32()), pa.array(bin_, pa.int32()), *(pa.array(sums[:, k] if k < sums.shape[1] else np.zeros(len(sums), np.int64)) for k in range(most))],
+                names=["experiment", "tree", "node", "col", "bin", *(f"s{k}" for k in range(most))],
             )
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,12 +451,13 @@ def _level(rows: DataFrame, experiments: Sequence[Experiment], edges: Edges, due
         if waiting is not None and waiting.num_rows:
             out.append(_chosen(waiting, experiments, edges))
         if out:
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[n.split()[0] for n in _SPLITS.split(", ")])
 
-    cells = rows.where("train").mapInArrow(count, "experiment int, tree int, node long, col int, bin int, s0 long, s1 long, s2 long, s3 long")
+    sums_ddl = ", ".join(f"s{k} long" for k in range(most))
+    cells = groups.mapInArrow(count, f"experiment int, tree int, node long, col int, bin int, {sums_ddl}")
     key = ["experiment", "tree", "node"]
-    summed = cells.groupBy(*key, "col", "bin").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(4)])
+    summed = cells.groupBy(*key, "col", "bin").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(most)])
     return summed.repartition(*key).sortWithinPartitions(*key).mapInArrow(choose, _SPLITS).collect()
 
 
@@ -365,12 +465,13 @@ def _chosen(cells: pa.Table, experiments: Sequence[Experiment], edges: Edges) ->
     """The split of one node; without one, the first statistics are the node's own."""
     number, tree, node = (cells[c][0].as_py() for c in ("experiment", "tree", "node"))
     spec = experiments[number]
-    full = np.zeros((len(spec.columns), 1, BINS, 4), np.int64)
-    full[cells["col"].to_numpy(), 0, cells["bin"].to_numpy()] = np.stack([cells[f"s{k}"].to_numpy() for k in range(4)], axis=1)
+    width = _statistics_width(spec.learner)
+    full = np.zeros((len(spec.columns), 1, BINS, width), np.int64)
+    full[cells["col"].to_numpy(), 0, cells["bin"].to_numpy()] = np.stack([cells[f"s{k}"].to_numpy() for k in range(width)], axis=1)
     own = [edges[spec.fold][c] for c in spec.columns]
     split = best_splits(spec.learner, tree, np.array([node]), enumerate(full), own, len(spec.columns))
     left = split.left[0] if split.column[0] >= 0 else full[0, 0].sum(axis=0)
-    return number, tree, node, int(split.column[0]), int(split.cut[0]), left.tolist(), split.right[0].tolist()
+    return number, tree, node, int(split.column[0]), int(split.cut[0]), float(split.gain[0]), left.tolist(), split.right[0].tolist()
 
 
 def _passes(due: list[tuple[_Growing, list[int]]], experiments: Sequence[Experiment], cells: int) -> Iterator[list[tuple[_Growing, list[int]]]]:
@@ -390,7 +491,7 @@ def _passes(due: list[tuple[_Growing, list[int]]], experiments: Sequence[Experim
         yield group
 
 
-def _grow_levels(rows: DataFrame, experiments: Sequence[Experiment], edges: Edges, growing: list[_Growing], node_rows: int) -> None:
+def _grow_levels(groups: DataFrame, experiments: Sequence[Experiment], edges: Edges, growing: list[_Growing], node_rows: int) -> None:
     """Split all nodes of more than ``node_rows`` rows, level by level, in as few passes as histograms allow."""
     while True:
         due = []
@@ -405,84 +506,106 @@ def _grow_levels(rows: DataFrame, experiments: Sequence[Experiment], edges: Edge
         for group in _passes(due, experiments, PASS_CELLS):
             for one, nodes in group:
                 one.closed.update(nodes)
-            for row in _level(rows, experiments, edges, group):
+            for row in _level(groups, experiments, edges, group):
                 one, node = at[row["experiment"], row["tree"]], row["node"]
                 if row["col"] < 0:
                     one.totals[node] = np.array(row["lefts"])
                     continue
-                one.splits[node] = (row["col"], row["cut"])
+                one.splits[node] = (row["col"], row["cut"], row["gain"])
                 del one.totals[node]
                 one.totals[2 * node], one.totals[2 * node + 1] = np.array(row["lefts"]), np.array(row["rights"])
 
 
-def _finish(rows: DataFrame, experiments: Sequence[Experiment], edges: Edges, growing: list[_Growing]) -> DataFrame:
-    """Trees below all open nodes: a node's rows meet in one task, packed, and no node has more than ``NODE_ROWS``."""
-    shapes = []
+def _finish(groups: DataFrame, experiments: Sequence[Experiment], edges: Edges, growing: list[_Growing]) -> DataFrame:
+    """Trees below all open nodes, none of more than ``NODE_ROWS`` rows. Whole trees of an experiment share a task and its rows."""
+    spark, choices = groups.sparkSession, _choices(experiments)
+    whole: dict[int, list[int]] = {}
+    jobs: list[tuple[int, list[int], Tree | None, int]] = []
     for one in growing:
         learner = experiments[one.experiment].learner
-        nodes = np.array(sorted(n for n in one.totals if n not in one.closed and n.bit_length() <= learner.depth), np.int64)
-        if len(nodes):
-            shapes.append((one.experiment, one.tree, one.shape(), nodes))
+        nodes = sorted(n for n in one.totals if n not in one.closed and n.bit_length() <= learner.depth)
+        if not one.closed:
+            whole.setdefault(one.experiment, []).append(one.tree)
+        else:
+            shape = one.shape()
+            jobs += [(one.experiment, [one.tree], shape, n) for n in nodes]
+    step = min(max(sum(map(len, whole.values())) // (3 * spark.sparkContext.defaultParallelism), 1), TASK_TREES)
+    jobs += [(e, own[a : a + step], None, 1) for e, own in whole.items() for a in range(0, len(own), step)]
+    if not jobs:
+        return spark.createDataFrame([], _TREES_DDL)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for fold, part in _by_fold(batch):
-                for number, tree, shape, nodes in shapes:
+            for group, part in _by_group(batch):
+                numbers, blobs, all_rows = [], [], None
+                placed: dict[tuple[int, int], np.ndarray] = {}
+                for place, (number, own, shape, node) in enumerate(jobs):
                     spec = experiments[number]
-                    if spec.fold != fold:
+                    if (spec.fold, choices.index(spec.columns)) != group:
                         continue
-                    bins = part.bins[:, spec.columns]
-                    seen = copies(spec.learner, tree, part.ids)
-                    kept = np.flatnonzero(seen)
-                    here = shape.node[shape.leaves(bins[kept])] if len(shape.node) > 1 else np.ones(len(kept), np.int64)
-                    if len(nodes) > 1:
-                        order = np.argsort(here, kind="stable")
-                        kept, here = kept[order], here[order]
-                    ends = np.searchsorted(here, nodes, "right")
-                    blobs = [_packed(bins[kept[a:b]], seen[kept[a:b]], part.y[kept[a:b]], part.weight[kept[a:b]]) for a, b in zip(np.searchsorted(here, nodes), ends)]
-                    size = len(nodes)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([number] * size, pa.int32()), pa.array([tree] * size, pa.int32()), pa.array(nodes), pa.array(blobs, pa.binary())],
-                        names=["experiment", "tree", "node", "rows"],
-                    )
+                    if shape is None:
+                        all_rows = _packed(part) if all_rows is None else all_rows
+                        blob = all_rows
+                    else:
+                        if (number, own[0]) not in placed:
+                            here = shape.node[shape.leaves(part.bins)]
+                            placed[number, own[0]] = np.where(copies(spec.learner, own[0], part.ids, part.n) > 0, here, 0)
+                        mine = np.flatnonzero(placed[number, own[0]] == node)
+                        blob = _packed(_Rows(*(v[mine] for v in part))) if len(mine) else b""
+                    if blob:
+                        numbers.append(place)
+                        blobs.append(blob)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["job", "rows"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition has the rows of one job."""
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
-            for number, tree, node, blobs in zip(*(batch.column(c).to_pylist() for c in ("experiment", "tree", "node", "rows"))):
-                spec = experiments[number]
-                bins, seen, y, weight = _unpacked(blobs, len(spec.columns))
-                own = [edges[spec.fold][c] for c in spec.columns]
-                if spec.learner.kind == "boosting":
-                    found = boost(spec.learner, bins, y, weight, own)
-                else:
-                    found = [grow(spec.learner, tree, bins, statistics(spec.learner, seen, y, weight), own, node)]
-                yield _tree_batch([(number, tree + k, one) for k, one in enumerate(found)])
+            for job, blob in zip(batch.column("job").to_pylist(), batch.column("rows").to_pylist()):
+                held.setdefault(job, []).append(blob)
+        while held:
+            job, blobs = held.popitem()
+            number, own, _, node = jobs[job]
+            spec = experiments[number]
+            rows = _unpacked(blobs, len(spec.columns))
+            del blobs
+            mine = [edges[spec.fold][c] for c in spec.columns]
+            if spec.learner.kind == "boosting":
+                yield _tree_batch(list((number, k, one) for k, one in enumerate(boost(spec.learner, rows.bins, rows.y, rows.weight, mine, rows.n))))
+                continue
+            for tree in own:
+                seen = copies(spec.learner, tree, rows.ids, rows.n)
+                kept = np.flatnonzero(seen)
+                stats = statistics(spec.learner, seen[kept], rows.y[kept], rows.weight[kept])
+                yield _tree_batch([(number, tree, grow(spec.learner, tree, rows.bins[kept], stats, mine, node))])
 
-    packed = rows.where("train").mapInArrow(pack, "experiment int, tree int, node long, rows binary")
-    return packed.groupBy("experiment", "tree", "node").agg(F.collect_list("rows").alias("rows")).mapInArrow(finish, _TREES_DDL)
+    packed = groups.mapInArrow(pack, "job int, rows binary")
+    return packed.repartitionById(len(jobs), "job").mapInArrow(finish, _TREES_DDL)
 
 
-def _packed(bins: np.ndarray, seen: np.ndarray, y: np.ndarray, weight: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(v).tobytes() for v in (bins, seen.astype(np.uint8), y, weight))
+def _packed(rows: _Rows) -> bytes:
+    kinds = (np.int64, np.int64, np.float64, np.float64, np.uint8)
+    return b"".join(np.ascontiguousarray(v, k).tobytes() for v, k in zip(rows, kinds))
 
 
-def _unpacked(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
-    parts: list[list[np.ndarray]] = [[], [], [], []]
+def _unpacked(blobs: list[bytes], width: int) -> _Rows:
+    """The rows of all blobs in the order of their numbers of copies, which makes drawing faster."""
+    parts: list[list[np.ndarray]] = [[], [], [], [], []]
     for blob in blobs:
-        size = len(blob) // (width + 17)
-        at = 0
-        for k, (kind, each) in enumerate(((np.uint8, width), (np.uint8, 1), (np.float64, 8), (np.float64, 8))):
+        size, at = len(blob) // (width + 32), 0
+        for k, (kind, each) in enumerate(((np.int64, 8), (np.int64, 8), (np.float64, 8), (np.float64, 8), (np.uint8, width))):
             parts[k].append(np.frombuffer(blob[at : at + size * each], kind))
             at += size * each
-    bins, seen, y, weight = (np.concatenate(p) for p in parts)
-    return bins.reshape(-1, width), seen.astype(np.int64), y, weight
+    ids, n, y, weight, bins = (np.concatenate(p) for p in parts)
+    order = np.argsort(n, kind="stable")
+    return _Rows(ids[order], n[order], y[order], weight[order], bins.reshape(-1, width)[order])
 
 
 def _tree_batch(trees: Sequence[tuple[int, int, Tree]]) -> pa.RecordBatch:
     columns = [
         pa.array([t[0] for t in trees], pa.int32()), pa.array([t[1] for t in trees], pa.int32()), pa.array([t[2].node for t in trees], pa.list_(pa.int64())),
         pa.array([t[2].column.astype(np.int32) for t in trees], pa.list_(pa.int32())), pa.array([t[2].cut.astype(np.int32) for t in trees], pa.list_(pa.int32())),
-        pa.array([t[2].value for t in trees], pa.list_(pa.float64())),
+        pa.array([t[2].value.reshape(-1) for t in trees], pa.list_(pa.float64())), pa.array([t[2].gain for t in trees], pa.list_(pa.float64())),
     ]
     return pa.RecordBatch.from_arrays(columns, schema=_TREES)
 
@@ -518,38 +641,46 @@ def binned(values: DataFrame, edges: Edges) -> DataFrame:
 
 
 def fit(rows: DataFrame, experiments: Sequence[Experiment], edges: Edges, *, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Trees of all experiments, (experiment, tree, node, col, cut, value), from ``binned`` rows; written once.
+    """Trees of all experiments, (experiment, tree, node, col, cut, value, gain), from ``binned`` rows; written once.
 
     A tree may come in parts: one for its nodes above those that a task finished, and one for each of these.
     """
     spark = rows.sparkSession
-    sums = rows.where("train").groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.rint(F.col("weight") * F.col("y") * UNIT).cast("long")).alias("slope"),
-        F.sum(F.rint(F.col("weight") * UNIT).cast("long")).alias("mass"),
-    )
-    counts = {row["fold"]: row for row in sums.collect()}
+    path = scratch_path(spark, "trees")
+    choices = _choices(experiments)
+    _grouped(rows, choices, experiments).write.parquet(f"{path}/groups")
+    groups = spark.read.parquet(f"{path}/groups")
+    sums = groups.groupBy("fold", "own").agg(F.count(F.lit(1)).alias("rows"), *_starts(F.col("n")))
+    counts = {(row["fold"], row["own"]): row for row in sums.collect()}
     growing, large = [], []
     for number, spec in enumerate(experiments):
-        if spec.fold not in counts:
+        count = counts.get((spec.fold, choices.index(spec.columns)))
+        if count is None:
             continue
-        root = np.array([counts[spec.fold]["n"], 0, 0, 0])
-        small = counts[spec.fold]["n"] <= node_rows
+        root = np.array([count["rows"], *[0] * (_statistics_width(spec.learner) - 1)])
+        small = count["rows"] <= node_rows
         if spec.learner.kind == "boosting" and not small:
-            large.append((number, counts[spec.fold]))
+            large.append((number, count))
         else:
             trees = 1 if spec.learner.kind == "boosting" else spec.learner.trees
-            growing += [_Growing(number, t, {}, {1: root}, set(), []) for t in range(trees)]
-    path = scratch_path(spark, "trees")
-    _grow_levels(rows, experiments, edges, growing, node_rows)
+            growing += [_Growing(number, t, {}, {1: root}, set(), [], spec.learner) for t in range(trees)]
+    _grow_levels(groups, experiments, edges, growing, node_rows)
     tops = [(g.experiment, g.tree, g.shape()) for g in growing if g.closed]
-    tops += _boost_levels(rows, experiments, edges, large)
-    _finish(rows, experiments, edges, growing).write.parquet(f"{path}/below")
+    tops += _boost_levels(groups, experiments, edges, large)
+    _finish(groups, experiments, edges, growing).write.parquet(f"{path}/below")
     _tree_frame(spark, tops).write.parquet(f"{path}/above")
     return spark.read.parquet(f"{path}/below", f"{path}/above")
 
 
-def _boost_levels(rows: DataFrame, experiments: Sequence[Experiment], edges: Edges, large: list[tuple]) -> list[tuple[int, int, Tree]]:
+def _starts(n: Column) -> list[Column]:
+    """Slope and mass of rows that stand for ``n`` each, in fixed point."""
+    return [
+        F.sum(F.rint(F.col("weight") * F.col("y") * UNIT).cast("long") * n).alias("slope"),
+        F.sum(F.rint(F.col("weight") * UNIT).cast("long") * n).alias("mass"),
+    ]
+
+
+def _boost_levels(groups: DataFrame, experiments: Sequence[Experiment], edges: Edges, large: list[tuple]) -> list[tuple[int, int, Tree]]:
     """Boosting on more rows than a task finishes: all experiments go through a round together, a pass a level."""
     before: dict[int, list[Tree]] = {number: [] for number, _ in large}
     for turn in range(max((experiments[n].learner.trees for n, _ in large), default=0)):
@@ -558,61 +689,75 @@ def _boost_levels(rows: DataFrame, experiments: Sequence[Experiment], edges: Edg
             learner = experiments[number].learner
             if turn < learner.trees:
                 start = _start(learner, sums["slope"], sums["mass"])
-                now.append(_Growing(number, turn, {}, {1: np.array([sums["n"], 0, 0, 0])}, set(), before[number], start))
-        _grow_levels(rows, experiments, edges, now, 0)
+                now.append(_Growing(number, turn, {}, {1: np.array([sums["rows"], 0, 0, 0])}, set(), before[number], learner, start))
+        _grow_levels(groups, experiments, edges, now, 0)
         for one in now:
             before[one.experiment] = [*one.before, one.shape(experiments[one.experiment].learner.rate)]
     return [(number, k, tree) for number, trees in before.items() for k, tree in enumerate(trees)]
 
 
 def _tree_frame(spark: SparkSession, trees: Sequence[tuple[int, int, Tree]]) -> DataFrame:
-    data = [(e, t, one.node.tolist(), one.column.tolist(), one.cut.tolist(), one.value.tolist()) for e, t, one in trees]
+    data = [(e, t, one.node.tolist(), one.column.tolist(), one.cut.tolist(), one.value.reshape(-1).tolist(), one.gain.tolist()) for e, t, one in trees]
     return spark.createDataFrame(data, _TREES_DDL)
 
 
 def joined_tree(parts: Sequence[Tree]) -> Tree:
     """One tree of its parts; where a part goes on below a node, that part's word counts."""
+    if len(parts) == 1:
+        return parts[0]
     nodes: dict[int, tuple] = {}
     for part in sorted(parts, key=lambda p: int(p.node[0])):
-        nodes.update(zip(part.node.tolist(), zip(part.column.tolist(), part.cut.tolist(), part.value.tolist())))
+        nodes.update(zip(part.node.tolist(), zip(part.column, part.cut, part.value, part.gain)))
     order = sorted(nodes)
-    columns, cuts, values = zip(*(nodes[n] for n in order))
-    return Tree(np.array(order, np.int64), np.array(columns), np.array(cuts, np.int64), np.array(values))
+    return Tree(np.array(order, np.int64), *(np.array(v) for v in zip(*(nodes[n] for n in order))))
+
+
+def whole_trees(found: Iterable[Mapping], learner: Learner) -> dict[int, Tree]:
+    """The trees of one experiment by number, from the rows of ``fit``."""
+    parts: dict[int, list[Tree]] = {}
+    for row in found:
+        value = np.array(row["value"])
+        value = value.reshape(-1, learner.classes) if learner.classes else value
+        parts.setdefault(row["tree"], []).append(Tree(np.array(row["node"]), np.array(row["col"]), np.array(row["cut"]), value, np.array(row["gain"])))
+    return {tree: joined_tree(parts[tree]) for tree in sorted(parts)}
 
 
 def predict(rows: DataFrame, trees: DataFrame, experiments: Sequence[Experiment], *, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(experiment, id, p) of the rows outside each experiment's training rows: a chance, or a number for a regression.
 
-    Rows of a fold are dealt in chunks and meet the trees of each experiment on that fold.
+    Different rows of a fold and choice of columns are dealt in chunks, meet the trees of each experiment on them, and give their
+    answer to all rows like them.
     """
-    spark = rows.sparkSession
-    starts = {row["fold"]: row for row in rows.where("train").groupBy("fold").agg(
-        F.sum(F.rint(F.col("weight") * F.col("y") * UNIT).cast("long")).alias("slope"), F.sum(F.rint(F.col("weight") * UNIT).cast("long")).alias("mass")
-    ).collect()}
-    held_out = rows.where("NOT train")
-    chunks = max(held_out.count() // chunk_rows, 0) + 1
-    folds = spark.createDataFrame([(n, e.fold) for n, e in enumerate(experiments) if e.fold in starts], "experiment int, fold int")
-    dealt = held_out.join(F.broadcast(folds), "fold").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+    spark, choices = rows.sparkSession, _choices(experiments)
+    starts = {row["fold"]: row for row in rows.where("train").groupBy("fold").agg(*_starts(F.lit(1))).collect()}
+    held_out = _by_choice(rows.where("NOT train").select("fold", "id", "bins"), choices, experiments)
+    points = held_out.select("fold", "own", "bins").distinct()
+    path = scratch_path(spark, "points")
+    points.write.parquet(path)
+    points = spark.read.parquet(path)
+    largest = points.groupBy("fold", "own").count().agg(F.max("count")).first()[0] or 0
+    chunks = largest // chunk_rows + 1
+    used = [(n, e.fold, choices.index(e.columns)) for n, e in enumerate(experiments) if e.fold in starts]
+    known = F.broadcast(spark.createDataFrame(used, "experiment int, fold int, own int"))
+    dealt = points.join(known, ["fold", "own"]).withColumn("chunk", F.pmod(F.xxhash64("bins"), F.lit(chunks)).cast("int"))
     whole = trees.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def score(key: tuple, own: pa.Table, rows_: pa.Table) -> pa.Table:
         number = key[0].as_py()
         spec = experiments[number]
         if not rows_.num_rows:
-            return pa.table({"experiment": pa.array([], pa.int32()), "id": pa.array([], pa.int64()), "p": pa.array([], pa.float64())})
-        bins = np.frombuffer(b"".join(rows_["bins"].to_pylist()), np.uint8).reshape(rows_.num_rows, -1)[:, spec.columns]
-        parts: dict[int, list[Tree]] = {}
-        for tree, *arrays in zip(own["tree"].to_pylist(), *(own[c].to_pylist() for c in ("node", "col", "cut", "value"))):
-            parts.setdefault(tree, []).append(Tree(*map(np.array, arrays)))
+            return pa.table({"experiment": pa.array([], pa.int32()), "fold": pa.array([], pa.int32()), "own": pa.array([], pa.int32()), "bins": pa.array([], pa.binary()), "p": pa.array([], pa.float64())})
+        bins = np.frombuffer(b"".join(rows_["bins"].to_pylist()), np.uint8).reshape(rows_.num_rows, -1)
         total = np.zeros(len(bins))
-        for number_ in sorted(parts):
-            tree = joined_tree(parts[number_])
+        grown = whole_trees(own.to_pylist(), spec.learner)
+        for tree in grown.values():
             total = total + tree.value[tree.leaves(bins)]
         if spec.learner.kind == "boosting":
             total = total + _start(spec.learner, starts[spec.fold]["slope"], starts[spec.fold]["mass"])
             total = total if spec.learner.regression else 1 / (1 + np.exp(-total))
         else:
-            total = total / max(len(parts), 1)
-        return pa.table({"experiment": pa.array([number] * len(total), pa.int32()), "id": rows_["id"], "p": pa.array(total)})
+            total = total / max(len(grown), 1)
+        return pa.table({"experiment": pa.array([number] * len(total), pa.int32()), "fold": rows_["fold"], "own": rows_["own"], "bins": rows_["bins"], "p": pa.array(total)})
 
-    return whole.groupBy("experiment", "chunk").cogroup(dealt.groupBy("experiment", "chunk")).applyInArrow(score, "experiment int, id long, p double")
+    scored = whole.groupBy("experiment", "chunk").cogroup(dealt.groupBy("experiment", "chunk")).applyInArrow(score, "experiment int, fold int, own int, bins binary, p double")
+    return held_out.join(scored, ["fold", "own", "bins"]).select("experiment", "id", "p")

@@ -151,3 +151,28 @@ def test_counts_of_all_models(spark):
     assert len(found) == 3 * 160
     off = {m: np.mean([abs(r["predicted"] - r["count"]) for r in found if r["model"] == m]) for m in ("forest", "extra_trees", "boosting")}
     assert max(off.values()) < 1
+
+
+def test_equal_rows_are_one_with_a_count(spark):
+    """A tree cannot tell equal rows apart: they are packed once, whatever their number, and drawn as often as single rows would be."""
+    data = [(0, i, True, float(i % 2), 1.0, [float(i % 4), 1.0]) for i in range(800)]
+    values = spark.createDataFrame(data, "fold int, id long, train boolean, y double, weight double, x array<double>")
+    edges = trees.column_edges(values, 2)
+    own = [Experiment("forest", "whole", 0, (0,), Learner("forest", 3, 2))]
+    grouped = trees._grouped(trees.binned(values, edges), [(0,)], own).collect()
+    assert len(grouped) == 4 and {r["n"] for r in grouped} == {200} and len({r["id"] for r in grouped}) == 4
+    ids = np.arange(20_000)
+    for n in (1, 2, 30, 5_000):
+        seen = trees.copies(own[0].learner, 1, ids, np.full(len(ids), n))
+        assert abs(seen.mean() / n - 1) < 4 / np.sqrt(n * len(ids)) and abs(seen.var() / n - 1) < 0.06
+    assert trees.copies(own[0].learner, 1, ids, np.ones(len(ids), np.int64)).tolist() == trees.copies(own[0].learner, 1, ids).tolist()
+
+
+def test_boosting_of_counts_is_boosting_of_repeated_rows():
+    rng = np.random.default_rng(6)
+    bins, y, weight, n = rng.integers(0, 64, (300, 3)).astype(np.uint8), rng.integers(0, 2, 300).astype(float), np.ones(300), rng.integers(1, 5, 300)
+    learner, edges = Learner("boosting", 4, 3, "all"), [np.arange(63.0)] * 3
+    counted = trees.boost(learner, bins, y, weight, edges, n)
+    repeated = trees.boost(learner, *(np.repeat(v, n, axis=0) for v in (bins, y, weight)), edges)
+    for a, b in zip(counted, repeated):
+        assert a.node.tolist() == b.node.tolist() and a.column.tolist() == b.column.tolist() and np.allclose(a.value, b.value, atol=1e-4)
