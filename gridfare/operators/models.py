@@ -12,7 +12,7 @@ from functools import reduce
 from typing import NamedTuple
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from gridfare.functions.ranking import exact_quantiles
 from gridfare.operators import components as comp
 from gridfare.operators import logistic, trees
+from gridfare.operators.forest import ForestClassifier
 from gridfare.operators.logistic import Logistic
 from gridfare.operators.metrics import binary_metrics, count_metrics, curve_areas, round_and_clip
 from gridfare.operators.trees import Experiment, Learner
@@ -135,7 +136,7 @@ def presence_classifiers(
     forest = {**common, "numTrees": trees, "maxDepth": depth, "seed": SEED}
     return {
         "logistic": LogisticRegression(**common, maxIter=500, standardization=False),
-        "forest": RandomForestClassifier(**forest),
+        "forest": ForestClassifier(**forest),
         "boosting": GBTClassifier(**common, maxIter=rounds, maxDepth=3, stepSize=0.1, seed=SEED),
     }
 
@@ -559,7 +560,7 @@ def team_classifier(
     train: DataFrame, columns: Sequence[str], *, label: str = "label", trees: int = 100, depth: int = FOREST_DEPTH
 ) -> PipelineModel:
     """Forest over the eleven labels with balanced weights."""
-    forest = RandomForestClassifier(
+    forest = ForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED
     )
     return fit_presence(train, forest, columns, label=label)[0]
