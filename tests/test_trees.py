@@ -176,3 +176,16 @@ def test_boosting_of_counts_is_boosting_of_repeated_rows():
     repeated = trees.boost(learner, *(np.repeat(v, n, axis=0) for v in (bins, y, weight)), edges)
     for a, b in zip(counted, repeated):
         assert a.node.tolist() == b.node.tolist() and a.column.tolist() == b.column.tolist() and np.allclose(a.value, b.value, atol=1e-4)
+
+
+def test_settings_of_the_same_columns_are_fitted_once(spark, monkeypatch):
+    """Two shares that keep the same components are one experiment with two names."""
+    rng = np.random.default_rng(10)
+    rows = [(i % 2 + 1, float(v), float(w), int(v + w > 0)) for i, (v, w) in enumerate(rng.normal(size=(200, 2)).round(1))]
+    cells = spark.createDataFrame(rows, "fold_id long, a double, b double, player_present long")
+    asked, fitted = [], trees.fit
+    monkeypatch.setattr(trees, "fit", lambda rows_, own, edges: asked.append(len(own)) or fitted(rows_, own, edges))
+    scored = models.cross_fit(cells, ["a", "b"], {"forest": Learner("forest", 2, 3)}, settings={"most": 0.999, "nearly": 0.9999}, folds=(1, 2))
+    found = {(r["pca"], r["fold_id"]): r["accuracy"] for r in models.fold_metrics(scored).collect()}
+    assert asked == [2] and len(found) == 4 and scored.count() == 400
+    assert all(found["most", f] == found["nearly", f] for f in (1, 2))
