@@ -9,10 +9,20 @@ from gridfare.operators.fares import normalise_itineraries
 from gridfare.schemas import FARE_COLUMNS
 
 
-def table(spark: SparkSession, sf: str, name: str, *, spread: str | None = None) -> DataFrame:
-    """One driver table; ``spread`` names a key to deal its rows out by before costly expressions."""
+#: Rows that a task takes at most when a table is dealt out, on average: of flat rows, and of planes with their 64 pixels.
+TABLE_ROWS, PLANE_ROWS = 1 << 18, 1 << 12
+
+
+def parts(spark: SparkSession, sf: str, name: str, rows: int) -> int:
+    """Partitions to deal a driver table out to, ``rows`` to each: their number grows with the table, a task does not."""
+    most = spark.read.parquet(f"{sf}/{name}.parquet").count()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-most // rows))
+
+
+def table(spark: SparkSession, sf: str, name: str, *, spread: str | None = None, rows: int = TABLE_ROWS) -> DataFrame:
+    """One driver table; ``spread`` names a key to deal its rows out by before costly expressions, about ``rows`` to a task."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), spread) if spread else df
+    return df.repartition(parts(spark, sf, name, rows), spread) if spread else df
 
 
 # ---- fares ----
@@ -55,31 +65,39 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as page entries with nought to three legs, short times, unknown hours and missing carbon."""
-    leg_minute = "((i - 1) * 300 + l_partkey % 360)"
-    length = "((l_partkey * 7 + i * 45) % 400)"
-    departs = f"(l_shipdate + make_dt_interval(0, 0, CAST({leg_minute} AS INT)))"
-    arrives = f"(l_shipdate + make_dt_interval(0, 0, CAST({leg_minute} + {length} AS INT)))"
-
-    def date(at: str, shift: int) -> str:
-        month = f"IF((l_partkey + i + {shift}) % 29 = 0, NULL, month({at}))"
-        return f"array(year({at}), {month}, day({at}))"
+    moments, lengths = [], [f"((l_partkey * 7 + {i} * 45) % 400)" for i in (1, 2, 3)]
+    for i in (1, 2, 3):
+        minute = f"(({i} - 1) * 300 + l_partkey % 360)"
+        moments.append(f"timestampadd(MINUTE, CAST({minute} AS INT), l_shipdate) AS _departs_{i}")
+        moments.append(f"timestampadd(MINUTE, CAST({minute} + {lengths[i - 1]} AS INT), l_shipdate) AS _arrives_{i}")
+
+    def leg(i: int) -> str:
+        departs, arrives, length = f"_departs_{i}", f"_arrives_{i}", lengths[i - 1]
+
+        def date(at: str, shift: int) -> str:
+            month = f"IF((l_partkey + {i} + {shift}) % 29 = 0, NULL, month({at}))"
+            return f"array(year({at}), {month}, day({at}))"
+
+        def time(at: str, shift: int) -> str:
+            return (
+                f"CASE WHEN (l_partkey + {i} + {shift}) % 17 = 0 THEN array(CAST(NULL AS INT), minute({at}))"
+                f" WHEN (l_suppkey + {i} + {shift}) % 7 = 0 THEN array(hour({at}))"
+                f" ELSE array(hour({at}), minute({at})) END"
+            )
 
-    def time(at: str, shift: int) -> str:
         return (
-            f"CASE WHEN (l_partkey + i + {shift}) % 17 = 0 THEN array(CAST(NULL AS INT), minute({at}))"
-            f" WHEN (l_suppkey + i + {shift}) % 7 = 0 THEN array(hour({at}))"
-            f" ELSE array(hour({at}), minute({at})) END"
+            f"named_struct('from_code', {_code(f'(l_suppkey + {i})')}, 'to_code', {_code(f'(l_suppkey + {i} + 1)')},"
+            f" 'dep_date', {date(departs, 0)}, 'dep_time', {time(departs, 0)},"
+            f" 'arr_date', {date(arrives, 5)}, 'arr_time', {time(arrives, 5)},"
+            f" 'duration', CAST(IF(l_partkey % 9 = 0, NULL, {length}) AS INT),"
+            f" 'plane_type', concat('A', CAST(l_partkey % 5 + 318 AS STRING)))"
         )
 
-    leg = (
-        f"named_struct('from_code', {_code('(l_suppkey + i)')}, 'to_code', {_code('(l_suppkey + i + 1)')},"
-        f" 'dep_date', {date(departs, 0)}, 'dep_time', {time(departs, 0)},"
-        f" 'arr_date', {date(arrives, 5)}, 'arr_time', {time(arrives, 5)},"
-        f" 'duration', CAST(IF(l_partkey % 9 = 0, NULL, {length}) AS INT),"
-        f" 'plane_type', concat('A', CAST(l_partkey % 5 + 318 AS STRING)))"
-    )
-    legs = f"transform(slice(array(1, 2, 3), 1, l_linenumber % 4), i -> {leg})"
-    return table(spark, sf, "lineitem", spread="l_orderkey").selectExpr(
+    # Each leg is written out, so that Spark compiles it; a function of the leg's number would be interpreted.
+    listed = ", ".join(f"IF(l_linenumber % 4 >= {i}, {leg(i)}, NULL)" for i in (1, 2, 3))
+    legs = f"IF(l_linenumber IS NULL, NULL, array_compact(array({listed})))"
+    timed = table(spark, sf, "lineitem", spread="l_orderkey").selectExpr("*", *moments)
+    return timed.selectExpr(
         "l_orderkey AS search_id",
         "struct(l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank",
         "l_partkey AS part",
@@ -172,7 +190,7 @@ FOLD = "CAST(image_num % 4 + 1 AS BIGINT) AS fold_id"
 
 def planes(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as images holding one 8x8 plane, row-major."""
-    return table(spark, sf, "embeddings", spread="vec_id").selectExpr(
+    return table(spark, sf, "embeddings", spread="vec_id", rows=PLANE_ROWS).selectExpr(
         "vec_id",
         "concat('img_', vec_id + 1, '.jpg') AS image",
         "vec_id + 1 AS image_num",
