@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from gridfare.functions.columns import col, flag, half_even
 from gridfare.functions.ranking import running_sums
@@ -22,6 +23,9 @@ from gridfare.schemas import (
     SOURCE,
 )
 
+#: Priced results of a search that are ordered in one task.
+SEARCH_ROWS = 1 << 16
+
 # ---- result pages ----
 
 
@@ -235,9 +239,26 @@ def pick_cheapest(results: DataFrame, *, search: str = "search_id", rank: str =
     return picked.select(search, "_p.*")
 
 
-def _ranked(results: DataFrame, search: str, rank: str) -> DataFrame:
+def _ranked(results: DataFrame, search: str, rank: str, most: int) -> DataFrame:
+    """Priced results with their place by price, and the figures of their search.
+
+    A search of at most ``most`` priced results is ordered as a whole, a larger one in price blocks that spread over tasks. The large
+    ones are as many as the rows divided by ``most`` at the utmost, and without any their part does not run.
+    """
+    priced = results.where("price is not null")
+    large = F.broadcast(priced.groupBy(search).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(search))
+    whole = Window.partitionBy(search)
+    small = priced.join(large, search, "left_anti").withColumns(
+        {
+            "_pos": F.row_number().over(whole.orderBy("price", rank)).cast("long"),
+            "num_results": F.count(F.lit(1)).over(whole),
+            "_first": F.min(rank).over(whole),
+            "_low": F.min("price").over(whole),
+        }
+    )
     stats = {"num_results": ("sum", F.lit(1)), "_first": ("min", F.col(rank)), "_low": ("min", F.col("price"))}
-    return running_sums(results.where("price is not null"), [search], ["price", rank], {"_pos": F.lit(1).cast("long")}, stats=stats)
+    spread = priced.join(large, search, "left_semi")
+    return small.unionByName(running_sums(spread, [search], ["price", rank], {"_pos": F.lit(1).cast("long")}, stats=stats))
 
 
 def _is_median() -> Column:
@@ -245,10 +266,10 @@ def _is_median() -> Column:
 
 
 def pick_median(
-    results: DataFrame, *, search: str = "search_id", rank: str = "rank"
+    results: DataFrame, *, search: str = "search_id", rank: str = "rank", most: int = SEARCH_ROWS
 ) -> DataFrame:
     """The middle of the stable price order (upper middle when even), unless it costs the same as the cheapest."""
-    return _ranked(results, search, rank).where(_is_median()).select(*results.columns)
+    return _ranked(results, search, rank, most).where(_is_median()).select(*results.columns)
 
 
 def fare_categories(
@@ -257,10 +278,11 @@ def fare_categories(
     *,
     search: str = "search_id",
     rank: str = "rank",
+    most: int = SEARCH_ROWS,
 ) -> DataFrame:
     """Best, Cheapest and Median rows of every search, or its NoFlights row.
 
-    Results are ordered by price inside price blocks of their search, so that a search of any size spreads over tasks;
+    A search of more than ``most`` priced results is ordered inside price blocks, so that a search of any size spreads over tasks;
     a result that serves several categories is exploded, not read again.
     """
     names = F.array_compact(
@@ -270,7 +292,7 @@ def fare_categories(
             F.when(_is_median(), "Median"),
         )
     )
-    chosen = _ranked(results, search, rank).withColumn("flight_category", F.explode(names))
+    chosen = _ranked(results, search, rank, most).withColumn("flight_category", F.explode(names))
     chosen = chosen.drop("_pos", "_first", "_low")
     return tasks.join(chosen, search, "left").fillna({"flight_category": "NoFlights", "num_results": 0})
 
