@@ -121,7 +121,16 @@ _CODES = ["r // 8", "32 + g // 8", "64 + b // 8"] + [
 _HIST = ", ".join(f"count(*) FILTER (code = {k}) AS f{k:03d}" for k in range(192))
 _HISTOGRAM_SQL = f"""WITH {RGB}, codes AS (SELECT image, cell_row, cell_col, unnest([{', '.join(_CODES)}]) AS code FROM pixels)
     SELECT image, cell_row, cell_col, {_HIST} FROM codes GROUP BY ALL"""
-query("colour_histogram", _HISTOGRAM_SQL)(lambda spark, sf: pl.colour_histogram(_pixels(spark, sf), KEYS))
+
+
+def _dealt(spark, sf, rows):
+    """Rows dealt out by cell, more tasks for more planes: what is counted or joined by cell then needs no other shuffle."""
+    return rows.repartition(fx.parts(spark, sf, "embeddings", fx.PLANE_ROWS), *KEYS)
+
+
+query("colour_histogram", _HISTOGRAM_SQL)(
+    lambda spark, sf: pl.colour_histogram(_dealt(spark, sf, _pixels(spark, sf).drop("team")), KEYS)
+)
 
 
 def _moment_sql(c):
@@ -395,8 +404,8 @@ _CELL_HOG = f"""WITH {_CENTRAL}, squares AS (SELECT image, cell_row, cell_col, y
 def _export(spark, sf):
     """Grid cells of 4x4 pixels with their whole vector, one row per value; dense squares of 2x2 pixels."""
     tinted = fx.colour_planes(spark, sf).drop("team")
-    pixels = pl.assign_cell(pl.explode_pixels(tinted, ["r", "g", "b"]), **CELL)
-    crops = _cell_planes(spark, sf)
+    pixels = _dealt(spark, sf, pl.assign_cell(pl.explode_pixels(tinted, ["r", "g", "b"]), **CELL))
+    crops = _dealt(spark, sf, _cell_planes(spark, sf))
     table = pl.feature_export(
         crops.select(*KEYS),
         pl.colour_histogram(pixels, KEYS),
