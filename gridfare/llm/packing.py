@@ -307,6 +307,9 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
         return telling(F.col("ids"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # All texts are tokenised; a worker lives on, and what it remembers would stay beside the shards and all later steps.
+        word_tokens.cache_clear()
+        pa.default_memory_pool().release_unused()
         numbers = TaskContext.get().partitionId() << 36
         ids: list[np.ndarray] = []
         owners: list[int | None] = []
