@@ -12,28 +12,30 @@ indexed in blocks.
 from __future__ import annotations
 
 import json
-import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from tokenizers import Tokenizer
 
-from gridfare.llm.byte_bpe import BLOCK_CHARS, SLICE_ROWS, Encoder, Spelt, narrow_pattern
+from gridfare.llm.byte_bpe import BLOCK_CHARS, narrow_pattern
 from gridfare.llm.columns import keyed_text
+from gridfare.llm.words import SPELT_WORDS, Lookup, Spelt
 from gridfare.session import scratch_path
 
 WINDOW, END_ID = 2_048, 1
 SHARD_TOKENS, BLOCK_TOKENS = 2_000_000, 6_000_000
-REMEMBERED_WORDS = 500_000
+#: Texts and their characters that are tokenised together.
+CODED_ROWS, TEXT_CHARS = 1_024, 4_000_000
 #: A token in one document of so many is common in its shard; so many common ones at most have columns, which bounds their memory.
 DENSE, DENSE_COLUMNS = 16, 1_024
 #: The share of documents whose places set the borders of the shards (every document has a place, so they decide about balance
@@ -52,8 +54,7 @@ def byte_signs() -> dict[int, str]:
 
 class WordTokens:
     """Ids by a tokenizer file. Texts of the first 256 characters, which its normal form leaves as they are but for case, are
-    cut at spaces; each different chunk is cut by the file's pattern once and each different word goes through the file's model
-    once. All other texts go through the library whole, those that hold one of its added tokens too.
+    cut at spaces; a new chunk is cut by the file's pattern and a new word goes through the file's model. All other texts go through the library whole, those that hold one of its added tokens too.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,38 +65,64 @@ class WordTokens:
         find = narrow_pattern(content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         signs, model = byte_signs(), self.tokenizer.model
 
-        def cut(chunk: str) -> Iterable[str]:
-            return find.findall(chunk) if len(chunk) <= BLOCK_CHARS else (match[0] for match in find.finditer(chunk))
-
         def merge(words: list[str]) -> Spelt:
             signed = (word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(signs) for word in words)
             spelt = [[token.id for token in model.tokenize(word)] for word in signed]
             counts = np.fromiter(map(len, spelt), np.int64, len(spelt))
-            return np.fromiter(chain.from_iterable(spelt), np.int32, int(counts.sum())), np.cumsum(counts) - counts, counts
+            return np.fromiter(chain.from_iterable(spelt), np.int32, int(counts.sum())), counts
 
-        words = Encoder(cut, merge, REMEMBERED_WORDS)
+        words = Lookup(merge)
 
         def spell(chunks: list[str]) -> Spelt:
-            ids, counts = words.encode(chunks)
-            return ids, np.cumsum(counts) - counts, counts
-
-        self.chunks = Encoder(space_cut, spell, REMEMBERED_WORDS)
+            ids, counts, begin = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+            while begin < len(chunks):
+                if len(chunks[begin]) > BLOCK_CHARS:
+                    matches = (match[0] for match in find.finditer(chunks[begin]))
+                    parts = [words.encode(pa.array(own, pa.large_string()))[0] for own in iter(lambda: list(islice(matches, SPELT_WORDS)), [])]
+                    ids += parts
+                    counts.append(np.array([sum(map(len, parts))], np.int64))
+                    begin += 1
+                    continue
+                end, size = begin, 0
+                while end < len(chunks) and (end == begin or size + len(chunks[end]) <= BLOCK_CHARS):
+                    size += len(chunks[end])
+                    end += 1
+                cut = [find.findall(chunk) for chunk in chunks[begin:end]]
+                own, lengths = words.encode(pa.array(list(chain.from_iterable(cut)), pa.large_string()))
+                ends = np.cumsum([0, *map(len, cut)])
+                ids.append(own)
+                counts.append(np.diff(np.concatenate([[0], np.cumsum(lengths)])[ends]))
+                begin = end
+            return np.concatenate(ids), np.concatenate(counts)
+
+        self.chunks = Lookup(spell)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
         easy = [text.lower() if (text.isascii() or is_latin(text)) and not any(token in text for token in self.added) else None for text in texts]
-        ids, counts = self.chunks.encode([text for text in easy if text is not None])
-        parts = iter(np.split(ids, np.cumsum(counts)[:-1]))
-        return [
-            next(parts) if low is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-            for low, text in zip(easy, texts)
-        ]
-
-
-def space_cut(text: str) -> Iterable[str]:
-    """Chunks between spaces and line ends; those of a very long text one by one."""
-    if len(text) <= BLOCK_CHARS:
-        return text.replace("\n", " ").split(" ")
-    return (match[0] for match in re.finditer(r"[^ \n]+", text))
+        parts = chain.from_iterable(map(self.easy_ids, blocks([text for text in easy if text is not None])))
+        for low, text in zip(easy, texts):
+            out.append(next(parts) if low is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
+        return out
+
+    def easy_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that are cut at spaces and line ends."""
+        pieces = pc.split_pattern(pa.array([text.replace("\n", " ") for text in texts], pa.large_string()), " ")
+        ids, counts = self.chunks.encode(pieces.values)
+        ends = np.concatenate([[0], np.cumsum(counts)])[pieces.offsets.to_numpy()]
+        return np.split(ids, ends[1:-1])
+
+
+def blocks(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of ``TEXT_CHARS`` characters together, or one longer text."""
+    begin = 0
+    while begin < len(texts):
+        end, size = begin + 1, len(texts[begin])
+        while end < len(texts) and size + len(texts[end]) <= TEXT_CHARS:
+            size += len(texts[end])
+            end += 1
+        yield texts[begin:end]
+        begin = end
 
 
 def is_latin(text: str) -> bool:
@@ -109,14 +136,28 @@ def is_latin(text: str) -> bool:
 @lru_cache(maxsize=1)
 def word_tokens(path: str) -> WordTokens:
     """One per worker, so that its tasks share the words it has met."""
+    # Look-ups make and drop large buffers; the system's own pool gives them back at once.
+    pa.set_memory_pool(pa.system_memory_pool())
     return WordTokens(path)
 
 
+def give_back() -> None:
+    """A worker lives on from step to step; memory that it has freed goes back to the system."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def width(vocabulary: int) -> str:
     """The narrowest type that holds all ids."""
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def last_places(ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each token of a text, where the text has it last; ``last`` has an entry for each token, whatever it holds."""
+    last[ids] = np.arange(len(ids))
+    return last[ids]
+
+
 def token_table(texts: DataFrame, path: str, vocabulary: int) -> DataFrame:
     """(doc_id, ids, seen): the ids of each text and the closing id as little-endian integers, and one more row a task.
 
@@ -126,14 +167,15 @@ def token_table(texts: DataFrame, path: str, vocabulary: int) -> DataFrame:
     kind = width(vocabulary)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = word_tokens(path), np.zeros(vocabulary + 2, np.int64)
+        give_back()
+        known, seen, last = word_tokens(path), np.zeros(vocabulary + 2, np.int64), np.zeros(vocabulary, np.int64)
         names = ["doc_id", "ids", "seen"]
         for batch in batches:
-            for begin in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(begin, SLICE_ROWS)
+            for begin in range(0, batch.num_rows, CODED_ROWS):
+                part = batch.slice(begin, CODED_ROWS)
                 coded = [np.append(own, END_ID).astype(kind) for own in known.encode(part.column(1).to_pylist())]
                 for own in coded:
-                    seen[np.unique(own)] += 1
+                    seen[own[last_places(own, last) == np.arange(len(own))]] += 1
                     seen[-1] += len(own)
                 seen[-2] += len(coded)
                 values = pa.array([own.tobytes() for own in coded], pa.binary())
@@ -290,16 +332,20 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
 
         @arrow_udf("struct<order:long,shard:int>")
         def telling(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            last = np.zeros(vocabulary, np.int64)
             for values, hashes in batches:
                 order = np.zeros(len(values), np.int64)
                 for row, value in enumerate(values.to_pylist()):
-                    term, times = np.unique(np.frombuffer(value, kind), return_counts=True)
+                    own = np.frombuffer(value, kind)
+                    times = np.bincount(last_places(own, last))
+                    term, times = own[times > 0], times[times > 0]
                     # A token of one document only leads to no neighbour.
                     weight = idf[term] * times / (times + SATURATION) * (seen[term] > 1)
                     for _ in range(2):
-                        best = int(weight.argmax())
-                        order[row] = order[row] * vocabulary + int(term[best])
-                        weight[best] = -1.0
+                        # The smallest of the tokens that weigh most.
+                        best = term[weight == weight.max()].min()
+                        order[row] = order[row] * vocabulary + int(best)
+                        weight[term == best] = -1.0
                 order = order * SPREAD + hashes.to_numpy()
                 shard = np.searchsorted(np.array(borders, np.int64), order, "right").astype(np.int32)
                 yield pa.StructArray.from_arrays([pa.array(order), pa.array(shard)], ["order", "shard"])
@@ -309,7 +355,7 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # All texts are tokenised; a worker lives on, and what it remembers would stay beside the shards and all later steps.
         word_tokens.cache_clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
         numbers = TaskContext.get().partitionId() << 36
         ids: list[np.ndarray] = []
         owners: list[int | None] = []

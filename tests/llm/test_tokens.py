@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridfare.llm import byte_bpe, packing
+from gridfare.llm import byte_bpe, packing, words
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -213,3 +214,26 @@ def test_encoder_forgets_by_words_and_by_ids(monkeypatch):
         values, counts = known.encode(texts)
         assert [own.tolist() for own in np.split(values, np.cumsum(counts)[:-1])] == expected
         assert len(spelt) == len(set(spelt)) + {99: 0 if ids == 99 else 2, 0: 3}[words]
+
+
+@pytest.mark.parametrize("bound", ["REMEMBERED_WORDS", "REMEMBERED_IDS", "REMEMBERED_BYTES"])
+def test_lookup_forgets_by_words_ids_and_bytes(tokenizer, monkeypatch, bound):
+    monkeypatch.setattr(words, bound, 3)
+    monkeypatch.setattr(packing, "TEXT_CHARS", 40)
+    texts = ["one two, two.\nthree", "", " two  don't é 12 ", "\t\t\t\t one", "three " * 20, "it's <|endoftext|>", "日本 one"]
+    found = packing.WordTokens(WORDS).encode(texts)
+    assert [x.tolist() for x in found] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_remembered_words_take_little_memory():
+    known = packing.WordTokens(WORDS)
+    known.encode(["a"])
+    texts = [" ".join(f"w{hashlib.md5(bytes([row, n % 256, n // 256])).hexdigest()[:9].translate(str.maketrans('0123456789', 'ghijklmnop'))}" for n in range(500)) for row in range(80)]
+    tracemalloc.start()
+    try:
+        for text in texts:
+            known.encode([text])
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 4_000_000
