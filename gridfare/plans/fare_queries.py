@@ -756,5 +756,7 @@ def _all_months(spark, sf):
     append_fares_monthly(quality.valid_rows(rows), current, F.to_timestamp("Scrape_Timestamp"))
     old = rows.where("Schema_Version = 3 AND try_cast(Days_to_Departure AS BIGINT) >= 0")
     month = F.date_format(F.to_timestamp("Scrape_Timestamp"), "yyyy_MM").alias("year_month")
-    old.select(*FARE_COLUMNS_V3, month).write.partitionBy("year_month").option("header", True).csv(legacy)
+    # Without the hint each task would write a file for each of its months, and their number would be tasks times months.
+    months = old.select(*FARE_COLUMNS_V3, month).hint("rebalance", "year_month")
+    months.write.partitionBy("year_month").option("header", True).csv(legacy)
     return read_fares_all_months(spark, current, legacy).select(*_FILE_COLUMNS, "Run_Id")

@@ -409,3 +409,23 @@ def test_log_lines(spark, tmp_path):
     assert quality.failed_runs(logs, "2026-07-20 00:00:00").count() == 0
     age = quality.freshness(logs, "ts", "2026-06-20 03:02:00").first()
     assert (age["age_hours"], age["stale"]) == (48, True)
+
+
+def test_legacy_months_are_not_split_by_task(spark, tmp_path, monkeypatch):
+    """A month of few rows is one file, however many tasks have rows of it."""
+    from gridfare.plans import catalog, fare_queries
+
+    lines = spark.range(1200).selectExpr(
+        "id AS l_orderkey", "id * 11 AS l_partkey", "id AS l_suppkey", "1L AS l_linenumber", "2.0D AS l_quantity", "900.0D AS l_extendedprice",
+        "0.0D AS l_discount", "'R' AS l_returnflag", "date_add(DATE'2020-01-01', CAST(id % 60 AS INT)) AS l_shipdate",
+    )
+    lines.write.parquet(f"{tmp_path}/in/lineitem.parquet")
+    monkeypatch.setattr(fare_queries, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        rows = catalog.QUERIES["read_fares_all_months"](spark, f"{tmp_path}/in")
+        months = {row["Scrape_Timestamp"][:7] for row in rows.where("Schema_Version = 3").select("Scrape_Timestamp").distinct().collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(list((tmp_path / "fares-v3").rglob("*.csv"))) == len(months) > 1
