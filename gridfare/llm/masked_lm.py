@@ -15,19 +15,19 @@ the input, so the driver holds one network.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from gridfare.llm.byte_bpe import Encoder, Spelt, sliced
 from gridfare.llm.columns import keyed_text
+from gridfare.llm.words import Lookup, Spelt
 from gridfare.session import checkpointed, scratch_path
 
 CLASSES, MEMBERS = 32, 32
@@ -37,7 +37,9 @@ SIDE, HIDDEN = 2, 16
 ROUNDS, STRIDE, BATCH, RATE = 1, 1, 4_096, 0.1
 #: Exponentials of numbers up to here, and sums of a few of them, are far from the ends of 32-bit floats.
 SAFE = 60.0
-HELD_WORDS, KNOWN_WORDS, SLAB_TOKENS, CHUNK = 200_000, 500_000, 65_536, 4_096
+HELD_WORDS, SLAB_TOKENS, CHUNK = 200_000, 65_536, 4_096
+#: Bytes of texts whose words are looked up together, and of the longest word that is cut beside others. They bound memory.
+BLOCK_BYTES, LONG_WORD = 2_000_000, 64
 
 _SHAPES = {
     "table": (2 * SIDE, SIZE, HIDDEN), "bias": (HIDDEN,), "to_class": (HIDDEN, CLASSES), "class_bias": (CLASSES,),
@@ -52,7 +54,7 @@ class Model:
 
     numbers: dict[bytes, int]
     flat: np.ndarray
-    _words: Encoder | None = field(default=None, repr=False)
+    _words: Lookup | None = field(default=None, repr=False)
 
     def parts(self) -> dict[str, np.ndarray]:
         out, at = {}, 0
@@ -64,23 +66,34 @@ class Model:
 
     def tokens(self, text: str) -> np.ndarray:
         """The numbers of all words and pieces, in order."""
-        return self.encode([text])[0].astype(np.int64)
+        return np.concatenate([ids for ids, _ in self.encode(pa.array([text], pa.string()))]).astype(np.int64)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """``tokens`` of each text, as 32-bit numbers; a word is cut when it is met first."""
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(tokens of some texts one after the other, where each text ends in them), of all texts; a word is cut when it is met first."""
         if self._words is None:
-            self._words = Encoder(byte_words, self._spell, KNOWN_WORDS)
-        ids, counts = self._words.encode(texts)
-        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
+            cutter = Cutter(self.numbers)
+            self._words = Lookup(lambda words: cutter.spell([word.encode() for word in words]))
+        for block in blocks(texts):
+            words, ends = byte_words(block)
+            ids, counts = self._words.encode(words.cast(pa.large_string()))
+            yield ids, np.concatenate([[0], np.cumsum(counts)])[ends]
 
-    def _spell(self, words: list[bytes]) -> Spelt:
-        spelt = [cut(word, self.numbers) for word in words]
-        counts = np.array([len(own) for own in spelt], np.int64)
-        return np.fromiter(chain.from_iterable(spelt), np.uint16, int(counts.sum())), np.cumsum(counts) - counts, counts
 
+def blocks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of ``BLOCK_BYTES`` together, or little more than one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // BLOCK_BYTES)) + 1).tolist(), len(texts)]
+    for begin, end in zip(cuts, cuts[1:]):
+        if begin < end:
+            yield texts.slice(begin, end - begin)
 
-def byte_words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+
+def byte_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts one after the other, where each text's end): lower-cased and cut as bytes are, by ASCII alone."""
+    cut_ = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    some = pc.greater(pc.binary_length(cut_.values), 0)
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return cut_.values.filter(some), before[cut_.offsets.to_numpy()[1:]]
 
 
 def cut(word: bytes, numbers: dict[bytes, int]) -> list[int]:
@@ -97,6 +110,69 @@ def cut(word: bytes, numbers: dict[bytes, int]) -> list[int]:
     return out
 
 
+def laid_out(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all words, a blank before each and ``LONGEST_PIECE`` behind the last, where each begins); words hold no blank."""
+    line = np.frombuffer(b"".join([b" ", b" ".join(words), b" " * LONGEST_PIECE]), np.uint8)
+    return line, np.flatnonzero(line == 32)[: len(words)]
+
+
+class Cutter:
+    """``cut`` for many words at once: the longest piece at every place of a line of words, from a tree of the pieces' bytes.
+
+    Words hold no blank, so no piece reaches over the end of a word.
+    """
+
+    def __init__(self, numbers: dict[bytes, int]) -> None:
+        self.numbers = numbers
+
+    @cached_property
+    def tree(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the node behind a node and a byte, 0 for none; the token that ends there, 0 for none); 1 is the root."""
+        branches, ends = [[0] * 256, [0] * 256], [0, 0]
+        for token, number in self.numbers.items():
+            if len(token) > LONGEST_PIECE:
+                continue
+            node = 1
+            for byte in token:
+                if not branches[node][byte]:
+                    branches[node][byte] = len(branches)
+                    branches.append([0] * 256)
+                    ends.append(0)
+                node = branches[node][byte]
+            ends[node] = number
+        return np.array(branches, np.int32).reshape(-1), np.array(ends, np.uint16)
+
+    def spell(self, words: Sequence[bytes]) -> Spelt:
+        whole = np.fromiter((self.numbers.get(b" " + word, 0) for word in words), np.uint16, len(words))
+        long = np.fromiter((len(word) > LONG_WORD for word in words), bool, len(words))
+        parts = [(np.flatnonzero(whole), whole[whole > 0], np.zeros(np.count_nonzero(whole), np.int64))]
+        for place in np.flatnonzero(long & (whole == 0)).tolist():
+            own = np.array(cut(words[place], self.numbers), np.uint16)
+            parts.append((np.full(len(own), place), own, np.arange(len(own))))
+        owner = np.flatnonzero(~long & (whole == 0))
+        if len(owner):
+            line, at = laid_out([words[place] for place in owner.tolist()])
+            ends = np.append(at[1:], len(line) - LONGEST_PIECE)
+            branches, tokens = self.tree
+            node = branches[256 + line[: len(line) - LONGEST_PIECE].astype(np.int32)]
+            longest, width = tokens[node], np.ones(len(node), np.int32)
+            for more in range(1, LONGEST_PIECE):
+                node = branches[256 * node + line[more : len(line) - LONGEST_PIECE + more]]
+                found = tokens[node]
+                longest, width = np.where(found, found, longest), np.where(found, more + 1, width)
+            turn = 0
+            while len(at):
+                parts.append((owner, longest[at], np.full(len(at), turn)))
+                at = at + width[at]
+                open_ = at < ends
+                at, owner, ends, turn = at[open_], owner[open_], ends[open_], turn + 1
+        owners, ids, turns = (np.concatenate(column) for column in zip(*parts))
+        counts = np.bincount(owners, minlength=len(words))
+        out = np.empty(len(ids), np.uint16)
+        out[(np.cumsum(counts) - counts)[owners] + turns] = ids
+        return out, counts
+
+
 def windows(texts: list[np.ndarray], stride: int = 1, first: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(contexts, targets, text of each) of the positions of all texts, at most ``SLAB_TOKENS`` at a time.
 
@@ -196,61 +272,93 @@ def learn(net: dict[str, np.ndarray], squares: dict[str, np.ndarray], context: n
         grad /= count
         squares[name] += grad * grad
         net[name] -= RATE * grad / (np.sqrt(squares[name]) + 1e-6)
-    # Rows of the tables that no context names have no gradient and stay as they are.
-    rows = (context + np.arange(2 * SIDE, dtype=np.uint16) * np.uint16(SIZE)).T.ravel()
-    order = np.argsort(rows, kind="stable")
-    begins = np.flatnonzero(np.diff(rows[order], prepend=np.int64(-1)))
-    named = rows[order[begins]]
-    grad = np.add.reduceat(np.take(back, order % count, axis=0), begins, axis=0) / count
-    table, held = (part["table"].reshape(-1, HIDDEN) for part in (net, squares))
-    held[named] += grad * grad
-    table[named] -= RATE * grad / (np.sqrt(held[named]) + 1e-6)
+    # Sums by place, token and hidden unit; rows that no context names have no gradient and stay as they are.
+    grad, slopes = np.empty_like(net["table"]), np.ascontiguousarray(back.T, float)
+    for place in range(2 * SIDE):
+        at = context[:, place].astype(np.intp)
+        for unit in range(HIDDEN):
+            grad[place, :, unit] = np.bincount(at, slopes[unit], SIZE)
+    grad /= count
+    squares["table"] += grad * grad
+    step = np.sqrt(squares["table"])
+    step += 1e-6
+    np.divide(grad, step, out=step)
+    step *= RATE
+    net["table"] -= step
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over all texts. A task counts its own words first and hands them on whenever it holds too many."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
 
-        def emit() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-            held.clear()
-            return out
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+        def emit(found: pa.Table) -> Iterator[pa.RecordBatch]:
+            shape = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+            return iter(found.select(["word", "n"]).cast(shape).to_batches())
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(byte_words(text))
-                if len(held) > HELD_WORDS:
-                    yield emit()
-        yield emit()
+            for block in blocks(batch.column(0)):
+                found = pc.value_counts(byte_words(block)[0])
+                held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+                if sum(map(len, held[1:])) > HELD_WORDS:
+                    held = [merged()]
+                    if len(held[0]) > HELD_WORDS:
+                        yield from emit(held.pop())
+        if held:
+            yield from emit(merged())
 
     return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different key and the sum of its weights, which are whole numbers below 2^53."""
+    found, place = np.unique(keys, return_inverse=True)
+    return found, np.bincount(place, weights, len(found)).astype(np.int64)
+
+
 def piece_weights(counts: DataFrame, own: set[bytes]) -> DataFrame:
-    """(piece, weight) of the words that are not in ``own``: how many tokens a piece saves where it occurs, overlaps included."""
+    """(piece, weight) of the words that are not in ``own``: how many tokens a piece saves where it occurs, overlaps included.
+
+    Pieces of one width are numbers made of their bytes; a task adds up those it holds and hands them on when they are too many.
+    """
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        listed = pa.array(sorted(own), pa.binary())
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {width: [] for width in range(2, LONGEST_PIECE + 1)}
+
+        def merged(width: int) -> tuple[np.ndarray, np.ndarray]:
+            return summed(*(np.concatenate(column) for column in zip(*held[width])))
 
-        def emit() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["piece", "weight"])
-            held.clear()
-            return out
+        def emit(width: int, keys: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+            data = np.ascontiguousarray(keys.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width])
+            ends = np.arange(len(keys) + 1, dtype=np.int32) * width
+            pieces = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+            return pa.record_batch([pieces, pa.array(weights, pa.int64())], names=["piece", "weight"])
 
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word in own:
-                    continue
-                whole = b" " + word
-                for begin in range(0, len(whole), SLAB_TOKENS):
-                    for width in range(2, LONGEST_PIECE + 1):
-                        for at in range(begin, min(begin + SLAB_TOKENS, len(whole) - width + 1)):
-                            held[whole[at : at + width]] += n * (width - 1)
-                    if len(held) > HELD_WORDS:
-                        yield emit()
-        yield emit()
+            other = batch.filter(pc.invert(pc.is_in(batch.column(0), value_set=listed)))
+            line, starts = laid_out(other.column(0).to_pylist())
+            times = other.column(1).to_numpy()
+            for begin in range(0, len(line) - LONGEST_PIECE if len(starts) else 0, SLAB_TOKENS):
+                end = min(begin + SLAB_TOKENS, len(line) - LONGEST_PIECE)
+                n = times[np.searchsorted(starts, np.arange(begin, end), "right") - 1]
+                keys, inside = line[begin:end].astype(np.uint32), np.ones(end - begin, bool)
+                for width in range(2, LONGEST_PIECE + 1):
+                    last = line[begin + width - 1 : end + width - 1]
+                    inside &= last != 32
+                    keys |= last.astype(np.uint32) << np.uint32(8 * (width - 1))
+                    held[width].append(summed(keys[inside], n[inside] * (width - 1)))
+                    if sum(len(found) for found, _ in held[width][1:]) > HELD_WORDS:
+                        held[width] = [merged(width)]
+                        if len(held[width][0][0]) > HELD_WORDS:
+                            yield emit(width, *held[width].pop())
+        for width, parts in held.items():
+            if parts:
+                yield emit(width, *merged(width))
 
     return counts.mapInArrow(weigh, "piece binary, weight long").groupBy("piece").agg(F.sum("weight").alias("weight"))
 
@@ -259,12 +367,11 @@ def token_counts(counts: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
     """(number, n) of the tokens of all texts, from the counts of their words."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [0] * SIZE
+        cutter, sums = Cutter(numbers), np.zeros(SIZE, np.int64)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for number in cut(word, numbers):
-                    sums[number] += n
-        yield pa.record_batch([pa.array(range(SIZE), pa.int64()), pa.array(sums, pa.int64())], names=["number", "n"])
+            ids, sizes = cutter.spell(batch.column(0).to_pylist())
+            sums += np.bincount(ids, np.repeat(batch.column(1).to_numpy(), sizes), SIZE).astype(np.int64)
+        yield pa.record_batch([pa.array(range(SIZE), pa.int64()), pa.array(sums)], names=["number", "n"])
 
     return counts.mapInArrow(tally, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
 
@@ -300,9 +407,13 @@ def token_ids(text: Column, model: Model) -> Column:
 
     @arrow_udf("binary")
     def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in sliced(batches):
-            texts = [value or "" for value in batch.to_pylist()]
-            yield pa.array([own.astype("<u2").tobytes() for own in model.encode(texts)], pa.binary())
+        for batch in batches:
+            parts = [pa.array([], pa.binary())]
+            for ids, ends in model.encode(batch):
+                places = np.concatenate([[0], 2 * ends]).astype(np.int32)
+                buffers = [None, pa.py_buffer(places.tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())]
+                parts.append(pa.Array.from_buffers(pa.binary(), len(ends), buffers))
+            yield pa.concat_arrays(parts)
 
     return number(text)
 

@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -326,6 +327,49 @@ def test_masked_tokens_tell_all_words_apart(documents, no_docs):
     assert len(bare.tokens("ab c")) == 5
 
 
+def test_masked_words_are_counted_and_cut_together_as_by_definition(spark, monkeypatch):
+    """Words, pieces and tokens by the definition, whatever the blocks; cutting together is what keeps their cost low."""
+    rng = np.random.default_rng(3)
+    letters = list("abcdeé0ß\x1c\x85\u3000K")
+    words = ["".join(rng.choice(letters, int(n))) for n in rng.integers(1, 9, 3_000)] + ["ab" * 80, "é" * 70, "x"]
+    texts = ["", None, " \t\x0b\x0c\r\n", "  A b\tC ", *(" ".join(words[at : at + 40]) for at in range(0, len(words), 40))]
+    expected = Counter(word for text in texts if text for word in text.encode().lower().split())
+    monkeypatch.setattr(masked_lm, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(masked_lm, "HELD_WORDS", 500)
+    monkeypatch.setattr(masked_lm, "SLAB_TOKENS", 97)
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "doc_id long, text string")
+    counts = masked_lm.word_counts(masked_lm.keyed_text(docs)).persist()
+    assert {bytes(r["word"]): r["n"] for r in counts.collect()} == expected
+
+    own = {word for word, _ in expected.most_common(20)}
+    pieces = Counter()
+    for word, n in expected.items():
+        whole = b" " + word
+        for width in range(2, masked_lm.LONGEST_PIECE + 1) if word not in own else ():
+            for at in range(len(whole) - width + 1):
+                pieces[whole[at : at + width]] += n * (width - 1)
+    assert {bytes(r["piece"]): r["weight"] for r in masked_lm.piece_weights(counts, own).collect()} == pieces
+
+    tokens = [*(bytes([value]) for value in range(256)), *(b" " + word for word in own), *(piece for piece, _ in pieces.most_common(200))]
+    numbers = {token: number for number, token in enumerate(dict.fromkeys(tokens), 1)}
+    spelt = {word: masked_lm.cut(word, numbers) for word in expected}
+    ids, sizes = masked_lm.Cutter(numbers).spell(list(spelt))
+    assert [own.tolist() for own in np.split(ids, np.cumsum(sizes)[:-1])] == list(spelt.values())
+    tally = Counter()
+    for word, n in expected.items():
+        for number in spelt[word]:
+            tally[number] += n
+    found = {r["number"]: r["n"] for r in masked_lm.token_counts(counts, numbers).collect()}
+    assert {number: n for number, n in found.items() if n} == tally
+
+    model = masked_lm.Model(numbers, np.zeros(masked_lm.WEIGHTS, np.float32))
+    coded = docs.select(masked_lm.token_ids(docs["text"], model).alias("ids"))
+    lines = [[n for word in (text or "").encode().lower().split() for n in spelt[word]] for text in texts]
+    assert [np.frombuffer(r["ids"], "<u2").tolist() for r in coded.collect()] == lines
+    blocks = [np.split(own, ends[:-1]) for own, ends in model.encode(pa.array(texts, pa.string()))]
+    assert len(blocks) > 2 and [own.tolist() for block in blocks for own in block] == lines
+
+
 def test_masked_chances_sum_to_one_and_scores_to_their_sum(documents):
     model = masked_lm.start(masked_lm.keyed_text(documents))
     model.flat += np.random.default_rng(0).standard_normal(model.flat.shape).astype(np.float32) * 0.1
