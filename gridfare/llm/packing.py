@@ -11,6 +11,7 @@ indexed in blocks.
 
 from __future__ import annotations
 
+import gc
 import json
 import zlib
 from collections.abc import Iterator
@@ -143,10 +144,17 @@ def word_tokens(path: str) -> WordTokens:
 
 def give_back() -> None:
     """A worker lives on from step to step; memory that it has freed goes back to the system."""
+    gc.collect()
     for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
         pool.release_unused()
 
 
+def drop_words() -> None:
+    """All texts are tokenised: what a worker remembers of words would stay beside all later steps."""
+    word_tokens.cache_clear()
+    give_back()
+
+
 def width(vocabulary: int) -> str:
     """The narrowest type that holds all ids."""
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
@@ -191,6 +199,7 @@ def document_frequencies(table: DataFrame, vocabulary: int) -> tuple[np.ndarray,
     """(documents with each token, documents, tokens) over all rows; as many entries as the vocabulary, plus two."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_words()
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 seen = np.frombuffer(value, np.int64)
@@ -332,6 +341,7 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
 
         @arrow_udf("struct<order:long,shard:int>")
         def telling(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            drop_words()
             last = np.zeros(vocabulary, np.int64)
             for values, hashes in batches:
                 order = np.zeros(len(values), np.int64)
@@ -353,9 +363,7 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
         return telling(F.col("ids"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # All texts are tokenised; a worker lives on, and what it remembers would stay beside the shards and all later steps.
-        word_tokens.cache_clear()
-        give_back()
+        drop_words()
         numbers = TaskContext.get().partitionId() << 36
         ids: list[np.ndarray] = []
         owners: list[int | None] = []
