@@ -199,11 +199,18 @@ def _hidden(net: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
     total = net["bias"] + np.take(net["table"][0], context[:, 0], axis=0)
     for place in range(1, 2 * SIDE):
         total += np.take(net["table"][place], context[:, place], axis=0)
-    return np.tanh(total)
+    # tanh(x) = 1 - 2 / (exp(2x) + 1), in the place of x.
+    total += total
+    with np.errstate(over="ignore"):
+        np.exp(total, out=total)
+    total += 1
+    np.divide(-2, total, out=total)
+    total += 1
+    return total
 
 
-def _shares(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(softmax, logarithm of its divisor) of each row, in the place of ``logits``.
+def _totals(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """(sum of the exponentials, what was taken off before) of each row; ``logits`` becomes the exponentials.
 
     Rows are shifted by their largest entry only where some entry is too far from 0 for its exponential.
     """
@@ -212,9 +219,18 @@ def _shares(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         shift = logits.max(axis=1)
         logits -= shift[:, None]
     np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], np.float32)
-    logits /= total[:, None]
-    return logits, np.log(total) + shift
+    return logits @ np.ones(logits.shape[1], np.float32), shift
+
+
+def _shares(logits: np.ndarray) -> np.ndarray:
+    """The softmax of each row, in the place of ``logits``."""
+    logits /= _totals(logits)[0][:, None]
+    return logits
+
+
+def _log_total(logits: np.ndarray) -> np.ndarray:
+    total, shift = _totals(logits)
+    return np.log(total) + shift
 
 
 def by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -243,7 +259,7 @@ def log_chances(net: dict[str, np.ndarray], context: np.ndarray, targets: np.nda
     outer, inner = _logits(net, _hidden(net, context[order]), runs)
     named = outer[every, targets // MEMBERS] + inner[every, targets % MEMBERS]
     out = np.empty(len(targets))
-    out[order] = named.astype(np.float64) - _shares(outer)[1] - _shares(inner)[1]
+    out[order] = named.astype(np.float64) - _log_total(outer) - _log_total(inner)
     return out
 
 
@@ -255,7 +271,7 @@ def learn(net: dict[str, np.ndarray], squares: dict[str, np.ndarray], context: n
     every = np.arange(count)
     hidden = _hidden(net, context)
     outer, inner = _logits(net, hidden, runs)
-    slope, inner = _shares(outer)[0], _shares(inner)[0]
+    slope, inner = _shares(outer), _shares(inner)
     slope[every, targets // MEMBERS] -= 1
     inner[every, targets % MEMBERS] -= 1
     grads = {name: np.zeros_like(weight) for name, weight in net.items() if name != "table"}
