@@ -153,8 +153,17 @@ class Split(NamedTuple):
     gain: np.ndarray
 
 
-def best_splits(learner: Learner, tree: int, nodes: np.ndarray, cells: Iterable[tuple[int, np.ndarray]], edges: Sequence[np.ndarray], width: int) -> Split:
-    """The best split of each node. ``cells`` gives (column, array of nodes x bins x statistics) one column at a time.
+def _choice(learner: Learner, tree: int, nodes: np.ndarray, width: int) -> np.ndarray:
+    """The columns each node tries, in ascending order; all nodes try the same number."""
+    return np.nonzero(_tried(learner, tree, nodes, width))[1].reshape(len(nodes), -1)
+
+
+#: A column for all nodes or one for each, and their histograms of it: nodes x bins x statistics.
+Cells = tuple[np.ndarray | int, np.ndarray]
+
+
+def best_splits(learner: Learner, tree: int, nodes: np.ndarray, cells: Iterable[Cells], edges: Sequence[np.ndarray]) -> Split:
+    """The best split of each node. ``cells`` gives each node the columns it tries one at a time, in ascending order.
 
     A split gains as much as the variance falls, which for two classes is their impurity. Extra trees try one threshold a column,
     drawn between the least and the greatest edge inside the node, and moved up to the next edge.
@@ -162,35 +171,52 @@ def best_splits(learner: Learner, tree: int, nodes: np.ndarray, cells: Iterable[
     size = len(nodes)
     best, column, cut = np.zeros(size), np.full(size, -1), np.zeros(size, np.int64)
     left, right = (np.zeros((size, _statistics_width(learner)), np.int64) for _ in range(2))
-    tried = _tried(learner, tree, nodes, width)
+    table = _edge_table(edges) if learner.kind == "extra_trees" else None
     for place, histogram in cells:
+        place = np.broadcast_to(place, size)
         sums = histogram.cumsum(axis=1)
         whole = sums[:, -1:]
         rest = whole - sums
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = _purity(learner, sums) + _purity(learner, rest) - _purity(learner, whole)
-        open_ = (sums[..., 1] > 0) & (rest[..., 1] > 0) & tried[:, place, None]
-        if learner.kind == "extra_trees":
-            open_ &= np.arange(BINS)[None, :] == _drawn(learner, tree, nodes, place, histogram, edges[place])[:, None]
+        open_ = (sums[..., 1] > 0) & (rest[..., 1] > 0)
+        if table is not None:
+            open_ &= np.arange(BINS)[None, :] == _drawn_cuts(learner, tree, nodes, place, histogram, *table)[:, None]
         gain = np.where(open_, gain, 0.0)
         at = gain.argmax(axis=1)
         found = gain[np.arange(size), at]
         # Rounding leaves a trace of gain where there is none.
         better = found > np.maximum(best, 1e-9 * np.abs(whole[:, 0, 1 if learner.classes else 2]))
-        best[better], column[better], cut[better] = found[better], place, at[better]
+        best[better], column[better], cut[better] = found[better], place[better], at[better]
         left[better], right[better] = sums[better, at[better]], rest[better, at[better]]
     return Split(column, cut, left, right, best)
 
 
+def _edge_table(edges: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(the edges of each column, infinite behind the last; how many there are)."""
+    counts = np.array([len(own) for own in edges], np.int64)
+    table = np.full((len(edges), max(counts.max(initial=0), 1)), np.inf)
+    for own, row in zip(edges, table):
+        row[: len(own)] = own
+    return table, counts
+
+
 def _drawn(learner: Learner, tree: int, nodes: np.ndarray, place: int, histogram: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The thresholds of nodes that try the same column."""
+    table, counts = _edge_table([edges])
+    return _drawn_cuts(learner, tree, nodes, place, histogram, np.repeat(table, place + 1, axis=0), np.repeat(counts, place + 1))
+
+
+def _drawn_cuts(learner: Learner, tree: int, nodes: np.ndarray, place: np.ndarray | int, histogram: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    place = np.broadcast_to(place, len(nodes))
     held = histogram[..., 0] > 0
     low, high = held.argmax(axis=1), BINS - 1 - held[:, ::-1].argmax(axis=1)
-    last = max(len(edges) - 1, 0)
-    if not len(edges):
-        return np.zeros(len(nodes), np.int64)
-    least, most = edges[np.minimum(low, last)], edges[np.clip(high - 1, 0, last)]
-    value = least + _uniform(learner.seed + 2, tree, nodes, place) * (most - least)
-    return np.clip(np.searchsorted(edges, value, "left"), low, np.maximum(high - 1, low))
+    last = np.maximum(counts[place] - 1, 0)
+    with np.errstate(invalid="ignore"):
+        least, most = table[place, np.minimum(low, last)], table[place, np.clip(high - 1, 0, last)]
+        value = least + _uniform(learner.seed + 2, tree, nodes, place) * (most - least)
+    cut = np.clip((table[place] < value[:, None]).sum(axis=1), low, np.maximum(high - 1, low))
+    return np.where(counts[place] > 0, cut, 0)
 
 
 def _histogram(slot: np.ndarray, bins: np.ndarray, stats: np.ndarray, slots: int) -> np.ndarray:
@@ -200,26 +226,23 @@ def _histogram(slot: np.ndarray, bins: np.ndarray, stats: np.ndarray, slots: int
     return np.stack(sums, axis=1).astype(np.int64).reshape(slots, BINS, len(stats))
 
 
-def _histograms(learner: Learner, tree: int, nodes: np.ndarray, slot: np.ndarray, columns: np.ndarray, rows: np.ndarray, stats: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(column, histogram) one at a time, of the rows whose node tries the column."""
-    tried = _tried(learner, tree, nodes, len(columns))
-    for k, own in enumerate(columns):
-        if tried[:, k].all():
-            yield k, _histogram(slot, own[rows], stats, len(nodes))
-        elif tried[:, k].any():
-            mine = np.flatnonzero(tried[:, k][slot])
-            yield k, _histogram(slot[mine], own[rows[mine]], stats[:, mine], len(nodes))
+def _histograms(learner: Learner, tree: int, nodes: np.ndarray, slot: np.ndarray, columns: np.ndarray, stats: np.ndarray) -> Iterator[Cells]:
+    """Each node's histograms of the columns it tries, one column of each node at a time."""
+    choice = _choice(learner, tree, nodes, len(columns))
+    flat, at = columns.reshape(-1), np.arange(len(slot))
+    for own in choice.T:
+        yield own, _histogram(slot, flat[(own * len(slot))[slot] + at], stats, len(nodes))
 
 
-def _histograms_below(above: list[np.ndarray], totals: np.ndarray, slot: np.ndarray, columns: np.ndarray, rows: np.ndarray, stats: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _histograms_below(above: list[np.ndarray], totals: np.ndarray, slot: np.ndarray, columns: np.ndarray, stats: np.ndarray) -> Iterator[Cells]:
     """The same for pairs of children when every column is tried: the smaller child is counted, the other is what it leaves of its parent."""
     counted = np.zeros(len(totals), bool)
     small = 2 * np.arange(len(totals) // 2) + (totals[1::2, 0] < totals[::2, 0])
     counted[small] = True
     mine = np.flatnonzero(counted[slot])
-    pair, stats, kept = slot[mine] // 2, stats[:, mine], rows[mine]
+    pair, stats = slot[mine] // 2, stats[:, mine]
     for k, own in enumerate(columns):
-        found = _histogram(pair, own[kept], stats, len(small))
+        found = _histogram(pair, own[mine], stats, len(small))
         both = np.empty((len(totals), *found.shape[1:]), np.int64)
         both[small], both[small ^ 1] = found, above[k] - found
         yield k, both
@@ -257,28 +280,30 @@ class Tree:
 def grow(learner: Learner, tree: int, bins: np.ndarray, stats: np.ndarray, edges: Sequence[np.ndarray], root: int = 1) -> Tree:
     """The tree below ``root`` from all of its rows; numbers go on from the root's."""
     columns = np.ascontiguousarray(bins.T)
-    width = len(columns)
     parts: list[tuple] = []
-    rows, slot = np.arange(len(bins)), np.zeros(len(bins), np.int64)
+    slot = np.zeros(len(bins), np.int64)
     nodes, totals = np.array([root], np.int64), stats.sum(axis=0)[None, :]
+    # Whole numbers below 2^53, so sums of floats are exact.
+    weights = np.ascontiguousarray(stats.T, float)
     above: list[np.ndarray] | None = None
     for level in range(root.bit_length() - 1, learner.depth + 1):
         if level == learner.depth:
             parts.append((nodes, np.full(len(nodes), -1), np.zeros(len(nodes), np.int64), leaf_value(learner, totals), np.zeros(len(nodes))))
             break
-        weights, held = stats[rows].T.astype(float), []
+        held: list[np.ndarray] = []
         if above is None:
-            cells = _histograms(learner, tree, nodes, slot, columns, rows, weights)
+            cells = _histograms(learner, tree, nodes, slot, columns, weights)
         else:
-            cells = _histograms_below(above, totals, slot, columns, rows, weights)
-        split = best_splits(learner, tree, nodes, _kept(cells, held if learner.share == "all" else None), edges, width)
+            cells = _histograms_below(above, totals, slot, columns, weights)
+        split = best_splits(learner, tree, nodes, _kept(cells, held if learner.share == "all" else None), edges)
         parts.append((nodes, split.column, split.cut, leaf_value(learner, totals), split.gain))
         inner = split.column >= 0
-        stays = np.flatnonzero(inner[slot])
-        rows, slot = rows[stays], slot[stays]
-        if not len(rows):
+        if not inner.all():
+            stays = np.flatnonzero(inner[slot])
+            slot, columns, weights = slot[stays], columns.take(stays, axis=1), weights.take(stays, axis=1)
+        if not len(slot):
             break
-        right = columns[split.column[slot], rows] > split.cut[slot]
+        right = columns[split.column[slot], np.arange(len(slot))] > split.cut[slot]
         slot = 2 * (np.cumsum(inner) - 1)[slot] + right
         nodes = np.stack([2 * nodes[inner], 2 * nodes[inner] + 1], axis=1).reshape(-1)
         totals = np.stack([split.left[inner], split.right[inner]], axis=1).reshape(len(nodes), -1)
@@ -286,7 +311,7 @@ def grow(learner: Learner, tree: int, bins: np.ndarray, stats: np.ndarray, edges
     return Tree(*(np.concatenate([p[k] for p in parts]) for k in range(5)))
 
 
-def _kept(cells: Iterable[tuple[int, np.ndarray]], into: list[np.ndarray] | None) -> Iterator[tuple[int, np.ndarray]]:
+def _kept(cells: Iterable[Cells], into: list[np.ndarray] | None) -> Iterator[Cells]:
     for place, histogram in cells:
         if into is not None:
             into.append(histogram)
@@ -469,7 +494,8 @@ def _chosen(cells: pa.Table, experiments: Sequence[Experiment], edges: Edges) ->
     full = np.zeros((len(spec.columns), 1, BINS, width), np.int64)
     full[cells["col"].to_numpy(), 0, cells["bin"].to_numpy()] = np.stack([cells[f"s{k}"].to_numpy() for k in range(width)], axis=1)
     own = [edges[spec.fold][c] for c in spec.columns]
-    split = best_splits(spec.learner, tree, np.array([node]), enumerate(full), own, len(spec.columns))
+    tried = _choice(spec.learner, tree, np.array([node]), len(spec.columns))[0]
+    split = best_splits(spec.learner, tree, np.array([node]), ((k, full[k]) for k in tried.tolist()), own)
     left = split.left[0] if split.column[0] >= 0 else full[0, 0].sum(axis=0)
     return number, tree, node, int(split.column[0]), int(split.cut[0]), float(split.gain[0]), left.tolist(), split.right[0].tolist()
 

@@ -189,3 +189,40 @@ def test_settings_of_the_same_columns_are_fitted_once(spark, monkeypatch):
     found = {(r["pca"], r["fold_id"]): r["accuracy"] for r in models.fold_metrics(scored).collect()}
     assert asked == [2] and len(found) == 4 and scored.count() == 400
     assert all(found["most", f] == found["nearly", f] for f in (1, 2))
+
+
+@pytest.mark.parametrize("kind", ["forest", "extra_trees"])
+def test_a_level_counts_as_often_as_a_node_tries_columns(monkeypatch, kind):
+    """Each pass takes one tried column of every node, so wide tables cost what is tried, not all columns; counts by definition."""
+    random = np.random.default_rng(4)
+    bins = random.integers(0, trees.BINS, (400, 30)).astype(np.uint8)
+    slot, stats = random.integers(0, 6, 400), random.integers(0, 5, (3, 400)).astype(float)
+    learner, nodes = trees.Learner(kind, 1, 6), np.arange(8, 14)
+    found = list(trees._histograms(learner, 3, nodes, slot, np.ascontiguousarray(bins.T), stats))
+    tried = trees._tried(learner, 3, nodes, 30)
+    assert len(found) == 5 and all(set(np.flatnonzero(tried[n])) == {int(own[n]) for own, _ in found} for n in range(6))
+    for own, histogram in found:
+        for n in range(6):
+            mine = slot == n
+            expected = [np.bincount(bins[mine, own[n]], part[mine], trees.BINS) for part in stats]
+            assert (histogram[n] == np.stack(expected, axis=1)).all()
+
+    edges = [np.sort(random.standard_normal(int(n))) for n in random.integers(0, 64, 30)]
+    table = trees._edge_table(edges)
+    for own, histogram in found:
+        drawn = trees._drawn_cuts(learner, 3, nodes, own, histogram, *table)
+        for n in range(6):
+            held = np.flatnonzero(histogram[n, :, 0])
+            low, high, mine = held.min(), held.max(), edges[own[n]]
+            if not len(mine):
+                assert drawn[n] == 0
+                continue
+            least, most = mine[min(low, len(mine) - 1)], mine[min(max(high - 1, 0), len(mine) - 1)]
+            value = least + trees._uniform(learner.seed + 2, 3, nodes[n], own[n]) * (most - least)
+            assert drawn[n] == np.clip(np.searchsorted(mine, value, "left"), low, max(high - 1, low))
+
+    counted, plain = [], trees._histogram
+    monkeypatch.setattr(trees, "_histogram", lambda *given: counted.append(1) or plain(*given))
+    y = random.random(400)
+    trees.grow(learner, 0, bins, trees.statistics(learner, np.ones(400, np.int64), y, np.ones(400)), [np.arange(63.0)] * 30)
+    assert len(counted) <= 5 * learner.depth
