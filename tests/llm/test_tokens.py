@@ -237,3 +237,24 @@ def test_remembered_words_take_little_memory():
     finally:
         tracemalloc.stop()
     assert held < 4_000_000
+
+
+def test_workers_drop_the_tokeniser_once_all_texts_are_tokenised(spark):
+    """Its words would stay beside the steps that follow, in the worker's memory."""
+    packing.word_tokens(public_tokenizers.path("word_bpe_49k.json"))
+    assert packing.word_tokens.cache_info().currsize == 1
+
+    class Table:
+        def where(self, _):
+            return self
+
+        def select(self, _):
+            return self
+
+        def mapInArrow(self, entries, shape):
+            assert list(entries(iter([]))) == []
+            return spark.createDataFrame([], shape)
+
+    seen, rows, tokens = packing.document_frequencies(Table(), 5)
+    assert seen.tolist() == [0] * 5 and (rows, tokens) == (0, 0)
+    assert packing.word_tokens.cache_info().currsize == 0
